@@ -1,47 +1,12 @@
-"""Cutting lineage: intermediate tables go to the folder that all machines of the cluster share."""
+"""Tables in and between the stages of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary one."""
-    where = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-    where = tempfile.mkdtemp(prefix="gridloom-")
-    spark.conf.set(SETTING, where)
-    return where
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that a lost executor costs no earlier stage.
-
-    The files are removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from gridloom.cluster import cut, shared_dir
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may be gone; its files then stay for the folder's owner
-        pass
+__all__ = ["cut", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
