@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import chat, decontamination, fingerprints, jaccard, language_model, licenses, mixing, token_counts, toxicity, urls
+from gridloom.llm.oracles import ORACLES as SQL
 from gridloom.llm.store import table
 
 
@@ -68,4 +69,6 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = SQL
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES = ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -122,21 +122,20 @@ def fit(texts: list[str | None], labels: list[int], shares: tuple[float, float])
     for first, points, at in _points(column):
         text, feature, often = _grams(points, at, wanted)
         x[first + text, feature] = ratio[chosen[feature]] * _value(often)
-    w, b = _logistic(x, y, np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()))
-    return Model(chosen, w * ratio[chosen], b)
+    w = _logistic(x, y, np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()), none.bias)
+    return Model(chosen, w * ratio[chosen], none.bias)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; weights of the rows add up to one."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    """Logistic regression by accelerated gradient steps; weights of the rows add up to one. The bias stays the log odds of
+    the labels, so a text without any known n-gram gets their share."""
     step = 4 / (float((weight[:, None] * x * x).sum()) + 1)
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w, b
+    w = ahead = np.zeros(x.shape[1])
     for k in range(STEPS):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ vw.astype(np.float32) + vb, -60, 60))) - y)
-        nw, nb = vw - step * (x.T @ error.astype(np.float32) + L2 * vw), vb - step * error.sum()
-        pull = k / (k + 3)
-        vw, vb, w, b = nw + pull * (nw - w), nb + pull * (nb - b), nw, nb
-    return w, float(b)
+        error = weight * (1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + bias, -60, 60))) - y)
+        new = ahead - step * (x.T @ error.astype(np.float32) + L2 * ahead)
+        ahead, w = new + k / (k + 3) * (new - w), new
+    return w
 
 
 def train(documents: DataFrame, labels: DataFrame, a_label: int = TRAIN_A_LABEL) -> Model:

@@ -121,8 +121,8 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize(("width", "num", "block"), [(4, 85, 256), (5, 80, 256), (4, 85, 8)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, num, block):
+@pytest.mark.parametrize(("width", "num", "block", "paired"), [(4, 85, 256, 48), (5, 80, 256, 48), (4, 85, 8, 48), (4, 85, 8, 3)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, num, block, paired):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
     rows, n = awkward(), 100
     passage = prose("common", 60)
@@ -135,7 +135,7 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, num, block):
     rows += [(n + 40 + i, rows[20][1].upper() + " ", "copy") for i in range(15)] + [(8, rows[30][1], "second text"), (3, "a b", "second")]
     random.Random(1).shuffle(rows)
     want = linked_components(rows, width, num, 100)
-    got = jaccard.join(documents(spark, rows), width, num).collect()
+    got = jaccard.join(documents(spark, rows), width, num, paired=paired).collect()
     assert len(got) == len(rows)
     sizes = Counter((i, len(shingle_set(t, width))) for i, t, _ in rows)
     assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == sizes
