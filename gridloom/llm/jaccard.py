@@ -3,11 +3,13 @@
 Which rows of the matrix can meet at all is found first, without loss. Two sets of m <= M shingles with Jaccard
 similarity of t or more differ in k = (m + M)(1 - t)/(1 + t) shingles at most. Shingle hashes are dealt into more than k parts, so
 in at least one part the two sets are equal. A document has one key a part (a hash of all its shingles there),
-and only documents that share a key can be linked; a shared passage alone does not give a shared key. Sizes are
+and only documents that share a key can be linked. Sizes are
 classed so that both documents of a pair use the same number of parts. Documents with more empty parts than a
 pair may rely on also give prefix keys: their n - ceil(t n) + 1 smallest hashes.
 
-Documents that share keys form clusters. Within a cluster, equal sets are one row; rows are dealt into blocks, and
+A key that few sets share gives their pairs; of these, sets whose outlines (how many hashes fall into each of 64 classes)
+differ by more than k are dropped. A key that many share ties them all to one set, already within a batch. What is left forms
+clusters. Within a cluster, equal sets are one row; rows are dealt into blocks, and
 a task multiplies two blocks: it builds their incidence of documents by n-grams, adds up overlap counts over blocks of columns and
 drops pairs that their sizes or what is still to come cannot lift to the threshold.
 """
@@ -32,8 +34,9 @@ BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
 COLUMNS = 4096
 #: Documents a block of keys.
 DOCS_A_KEY_BLOCK = 32_768
-_ROWS = "kind byte, a long, b long, c long, d long, payload binary"
-_META, _KEYS, _EDGE = 0, 1, 2
+#: A key of up to so many sets gives their pairs, which outlines then thin out; of more it ties them all to one.
+PAIRED = 48
+OUTLINE = 64
 
 
 def _bounds() -> list[int]:
@@ -80,67 +83,144 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
 
 
-def _led(keys: np.ndarray, docs: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each key the smallest document: (keys, their leaders, and the distinct pairs of leader and other documents)."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    at = _runs(keys)
-    first = at[:-1]
-    leader = np.repeat(docs[first], np.diff(at))
-    other = docs != leader
-    pairs = np.unique(leader[other].astype(np.int64) * count + docs[other])
-    return keys[first], docs[first], pairs // max(count, 1), pairs % max(count, 1)
+def _groups(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, set) in order of both, and where each key's begin and, last, end."""
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    if len(keys):
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])
+        keys, sets = keys[new], sets[new]
+    return keys, sets, _runs(keys)
 
 
-def _signed(width: int, num: int, den: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def batch_of(kind, a, b=None, c=None, d=None, payload=None):
-        n = len(a)
-        longs = [pa.array(np.asarray(x, np.int64)) if x is not None else pa.nulls(n, pa.int64()) for x in (a, b, c, d)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *longs, pa.array(payload, pa.binary()) if payload is not None else pa.nulls(n, pa.binary())], names=["kind", "a", "b", "c", "d", "payload"])
+def _described(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, size of the set, digest, outline."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            sizes, digests, key_list, key_docs = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2), np.int64), [], []
-            for low in range(0, len(ids), 1000):
+            sizes, digests, outlines = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64), [b""] * batch.num_rows
+            for low in range(0, batch.num_rows, 1000):
                 hashes, starts = words(batch.column("text").slice(low, 1000))
                 for i, s in enumerate(shingles(hashes, starts, width), low):
                     if len(s):
                         u = np.unique(s)
-                        sizes[i], digests[i] = len(u), _digest(u)
-                        key_list.append(keys_of(u, num, den))
-                        key_docs.append(i)
-            yield batch_of(_META, ids, sizes, digests[:, 0], digests[:, 1])
-            if not key_list:
+                        sizes[i], digests[i], outlines[i] = len(u), _digest(u), outline(u)
+            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(outlines, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "c", "d", "outline"])
+
+    return run
+
+
+def _signed(width: int, num: int, den: int, blocks: int, paired: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys by block, and pairs of sets that a batch ties together, the latter as rows of a block too."""
+
+    def batch_of(names, payload):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payload, pa.binary())], names=["block", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key_list, seen = [], {}
+            for low in range(0, batch.num_rows, 1000):
+                hashes, starts = words(batch.column("text").slice(low, 1000))
+                for s in shingles(hashes, starts, width):
+                    if len(s):
+                        u = np.unique(s)
+                        if (name := _digest(u)[0]) not in seen:  # copies give their keys once
+                            seen[name] = len(u)
+                            key_list.append(keys_of(u, num, den))
+            if not seen:
                 continue
-            # Of each key only the batch's smallest document goes on; the others are tied to it here.
-            uniq, place = np.unique(ids, return_inverse=True)
-            docs = np.repeat(place[np.array(key_docs)], [len(k) for k in key_list])
-            keys, docs, leaders, members = _led(np.concatenate(key_list), docs, len(uniq))
-            if len(leaders):
-                yield batch_of(_EDGE, uniq[leaders], uniq[members])
-            block = (((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((docs, block))
-            keys, docs, block = keys[order], docs[order], block[order]
-            at, names, payload = _runs(block), [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                runs = _runs(docs[a:b])
-                names.append(block[a])
-                payload.append(b"".join((np.int64(len(runs) - 1).tobytes(), uniq[docs[a:b][runs[:-1]]].astype(np.int64).tobytes(), np.diff(runs).astype(np.int32).tobytes(), keys[a:b].tobytes())))
-            yield batch_of(_KEYS, names, payload=payload)
+            names, count = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int32)
+            keys, sets, at = _groups(np.concatenate(key_list), np.repeat(np.arange(len(names)), [len(k) for k in key_list]))
+            many = np.repeat(np.diff(at) > paired, np.diff(at))
+            wide_keys = np.zeros(0, np.uint64)
+            wide_sets, tied = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+            if many.any():
+                # Of a key that very many sets of the batch have, one stands for all and is tied to each.
+                first = np.repeat(sets[at[:-1]], np.diff(at))
+                pairs = np.unique(np.stack([first[many], sets[many]]), axis=1)
+                pairs = pairs[:, pairs[0] != pairs[1]]
+                tied = names[pairs]
+                lead = at[:-1][np.diff(at) > paired]
+                wide_keys, wide_sets = keys[lead], sets[lead]
+                keys, sets = keys[~many], sets[~many]
+            block, wide_block = ((((k >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64) for k in (keys, wide_keys))
+            order = np.lexsort((sets, block))
+            keys, sets, block = keys[order], sets[order], block[order]
+            present = np.union1d(block, wide_block)
+            payload = []
+            for k, a, b in zip(present.tolist(), np.searchsorted(block, present), np.searchsorted(block, present, "right"), strict=True):
+                runs = _runs(sets[a:b])
+                own = sets[a:b][runs[:-1]]
+                wide = wide_block == k
+                head = np.array([len(own), wide.sum()], np.int64)
+                payload.append(b"".join(x.tobytes() for x in (head, wide_keys[wide], names[wide_sets[wide]], names[own], keys[a:b], np.diff(runs).astype(np.int32), count[own])))
+            if tied.shape[1]:
+                present, payload = [*present.tolist(), int(present[0])], [*payload, np.int64(-1).tobytes() + tied.tobytes()]
+            yield batch_of(present, payload)
 
     return run
 
 
-def _block_edges(group: pa.Table) -> pa.Table:
-    keys, docs = [], []
+def _block_edges(group: pa.Table, num: int, den: int, paired: int) -> pa.Table:
+    """Pairs of sets that share a key of the block: all that their sizes allow if few do (sure: false), else a star (true)."""
+    keys, sets, sizes, wide_keys, wide_sets, tied = [], [], [], [], [], []
     for raw in group.column("payload").to_pylist():
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        docs.append(np.repeat(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n)))
-        keys.append(np.frombuffer(raw, np.uint64, len(docs[-1]), 8 + 12 * n))
-    uniq, place = np.unique(np.concatenate(docs), return_inverse=True)
-    _, _, leaders, members = _led(np.concatenate(keys), place, len(uniq))
-    return pa.table({"u": pa.array(uniq[leaders], pa.int64()), "v": pa.array(uniq[members], pa.int64())})
+        if np.frombuffer(raw, np.int64, 1)[0] < 0:
+            tied.append(np.frombuffer(raw, np.int64, -1, 8).reshape(2, -1))
+            continue
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16
+        wide_keys.append(np.frombuffer(raw, np.uint64, m, at))
+        wide_sets.append(np.frombuffer(raw, np.int64, m, at + 8 * m))
+        at += 16 * m
+        names = np.frombuffer(raw, np.int64, n, at)
+        total = (len(raw) - at - 16 * n) // 8
+        runs = np.frombuffer(raw, np.int32, n, at + 8 * n + 8 * total)
+        keys.append(np.frombuffer(raw, np.uint64, total, at + 8 * n))
+        sets.append(np.repeat(names, runs))
+        sizes.append(np.repeat(np.frombuffer(raw, np.int32, n, at + 12 * n + 8 * total), runs))
+    wide_keys, wide_sets = np.concatenate(wide_keys), np.concatenate(wide_sets)
+    keys, sets = np.concatenate([*keys, wide_keys]), np.concatenate([*sets, wide_sets])
+    sizes = np.concatenate([*sizes, np.zeros(len(wide_keys), np.int32)])
+    order = np.lexsort((-sizes, sets, keys))
+    keys, sets, sizes = keys[order], sets[order], sizes[order].astype(np.int64)
+    if len(keys):
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])
+        keys, sets, sizes = keys[new], sets[new], sizes[new]
+    at = _runs(keys)
+    length = np.diff(at)
+    star = (length > paired) | np.isin(keys[at[:-1]], wide_keys)
+    inside = np.repeat(star, length)
+    sure = np.stack([np.repeat(sets[at[:-1]], length)[inside], sets[inside]])
+    few = []
+    for m in np.unique(length[~star & (length > 1)]).tolist():
+        first = at[:-1][~star & (length == m)]
+        i, j = np.triu_indices(m, 1)
+        a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+        fit = (sizes[a] * den >= num * sizes[b]) & (sizes[b] * den >= num * sizes[a])
+        few.append(np.stack([sets[a[fit]], sets[b[fit]]]))
+    pairs = np.unique(np.concatenate(few, axis=1), axis=1) if few else np.zeros((2, 0), np.int64)
+    sure = np.unique(np.concatenate([sure[:, sure[0] != sure[1]], *tied], axis=1), axis=1)
+    both = np.concatenate([pairs, sure], axis=1)
+    return pa.table({"u": pa.array(both[0], pa.int64()), "v": pa.array(both[1], pa.int64()), "sure": pa.array(np.arange(both.shape[1]) >= pairs.shape[1])})
+
+
+def outline(u: np.ndarray) -> bytes:
+    """How many hashes fall into each of OUTLINE classes, 255 at most. What two outlines differ by is no more than what the sets differ by."""
+    return np.minimum(np.bincount((u & np.uint64(OUTLINE - 1)).astype(np.int64), minlength=OUTLINE), 255).astype(np.uint8).tobytes()
+
+
+def _near_outlines(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int16) for k in ("_x", "_y"))
+            total = batch.column("total").to_numpy()
+            apart = np.abs(a - b).sum(1, dtype=np.int64)
+            near = pa.array(apart * (den + num) <= total * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(near), batch.column("v").filter(near)], names=["u", "v"])
+
+    return run
 
 
 def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -224,14 +304,14 @@ def _linked(width: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _verified(documents: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links among ``nodes`` (doc_id, tasks: array of (c, bi, bj)) within each task."""
-    rows = documents.join(nodes, "doc_id").select(F.explode("tasks").alias("t"), "doc_id", "text").select("t.c", "t.bi", "t.bj", "doc_id", "text")
+def _verified(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links among ``nodes`` (doc_id, text, tasks: array of (c, bi, bj)) within each task."""
+    rows = nodes.select(F.explode("tasks").alias("t"), "doc_id", "text").select("t.c", "t.bi", "t.bj", "doc_id", "text")
     rows = rows.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj")
     return rows.mapInArrow(_linked(width, num, den), "u long, v long")
 
 
-def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, paired: int = PAIRED) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
     A text's set: its distinct shingles of ``width`` words (A-Z lower-cased, split at ASCII white space); fewer words are one
@@ -252,33 +332,37 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) ->
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // DOCS_A_KEY_BLOCK))
     named = docs.filter("doc_id is not null")
-    signed = cut(named.mapInArrow(_signed(width, num, den, blocks), _ROWS), "signed")
-    meta = signed.filter(f"kind = {_META}").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d")
-    far = signed.filter(f"kind = {_KEYS}").select("a", "payload").groupBy("a").applyInArrow(_block_edges, "u long, v long")
-    near = signed.filter(f"kind = {_EDGE}").select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    # Equal sets are one row from here on: the smallest doc_id of each digest stands for all.
-    sets = meta.filter("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"))
-    classes = cut(meta.filter("n > 0").join(sets, ["n", "c", "d"]).select("doc_id", "n", "rep"), "classes")
+    # Keys go from the scan straight into the shuffle by block; sizes and digests are worth a second reading of the texts.
+    signed = named.select("text").mapInArrow(_signed(width, num, den, blocks, paired), "block long, payload binary")
+    pairs = signed.groupBy("block").applyInArrow(lambda g: _block_edges(g, num, den, paired), "u long, v long, sure boolean")
+    pairs = cut(pairs.groupBy("u", "v").agg(F.max("sure").alias("sure")), "pairs")
+    described = cut(named.mapInArrow(_described(width), "doc_id long, n long, c long, d long, outline binary"), "described")
+    empty = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+
+    # Equal sets are one row from here on, named by their digest; the smallest doc_id stands for all.
+    digested = described.filter("n > 0")
+    sets = cut(digested.groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"), F.first("outline").alias("outline")), "sets")
+    classes = cut(digested.drop("outline").join(sets.drop("outline"), ["n", "c", "d"]).select("doc_id", "n", "rep"), "classes")
     member = classes.select("doc_id", "rep").distinct()
-    pairs = near.unionByName(far).distinct()
-    pairs = pairs.join(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("_u")), "u")
-    pairs = pairs.join(member.select(F.col("doc_id").alias("v"), F.col("rep").alias("_v")), "v").filter("_u <> _v")
-    clusters = components(pairs.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    end = lambda x, y: sets.select(F.col("c").alias(x), F.col("rep").alias(f"_{x}"), F.col("outline").alias(y), F.col("n").alias(f"_n{x}"))
+    pairs = cut(pairs.join(end("u", "_x"), "u").join(end("v", "_y"), "v").select("sure", F.col("_u").alias("u"), F.col("_v").alias("v"), (F.col("_nu") + F.col("_nv")).alias("total"), "_x", "_y"), "pairs")
+    near = pairs.filter("not sure").mapInArrow(_near_outlines(num, den), "u long, v long")
+    clusters = components(near.unionByName(pairs.filter("sure").select("u", "v")))
 
-    nodes = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("c")).join(classes.filter("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    nodes = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("c")).join(sets.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id")
     size = nodes.groupBy("c").agg(F.count("*").alias("_docs"), F.sum("n").alias("_n"))
     many = F.ceil(F.greatest(F.col("_docs") / BLOCK_DOCS, F.least(F.col("_docs") / 2, F.col("_n") / BLOCK_SHINGLES))).cast("int")
     nodes = nodes.join(size.select("c", many.alias("blocks")), "c")
-    nodes = cut(nodes.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")), "nodes")
+    nodes = nodes.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    nodes = cut(named.join(nodes.select("doc_id", "c", "blocks", "block"), "doc_id"), "nodes")  # texts of clusters only from here on
 
     task = lambda bi, bj: F.struct(F.col("c"), bi.cast("int").alias("bi"), bj.cast("int").alias("bj"))
     own = F.array(task(F.lit(0), F.col("block")))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: task(F.lit(0), b))
-    first = nodes.select("doc_id", F.when(F.col("block") == 0, every).otherwise(own).alias("tasks"))
-    links = cut(_verified(named, first, width, num, den), "links")
+    first = nodes.select("doc_id", "text", F.when(F.col("block") == 0, every).otherwise(own).alias("tasks"))
+    links = cut(_verified(first, width, num, den), "links")
 
-    large = nodes.filter("blocks > 1")
+    large = nodes.filter("blocks > 1").select("doc_id", "c", "blocks", "block").distinct()
     if not large.isEmpty():
         reached = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         parts = reached.groupBy("c", "component").agg(F.count("*").alias("k"))
@@ -289,16 +373,16 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) ->
         mine = F.expr("cast(pmod(xxhash64(doc_id, 1), outer) as int)")
         as_any = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: task(o, F.col("block")))
         as_outer = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: task(mine, b))
-        second = open_.select("doc_id", F.when(outside, F.array_union(as_any, as_outer)).otherwise(as_any).alias("tasks"))
-        links = cut(links.unionByName(_verified(named, second, width, num, den)), "links")
+        second = open_.select("doc_id", F.when(outside, F.concat(F.filter(as_any, lambda t: t["bi"] != mine), as_outer)).otherwise(as_any).alias("tasks"))
+        second = nodes.select("doc_id", "text").join(second, "doc_id")
+        links = cut(links.unionByName(_verified(second, width, num, den)), "links")
 
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("_top")).filter("u <> _top").select("doc_id", "u")
     twice = member.join(twice, "doc_id").select("u", F.col("rep").alias("v"))
     found = components(links.unionByName(twice))
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    out = out.unionByName(meta.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return out.unionByName(_unnamed(docs, width))
+    return out.unionByName(empty).unionByName(_unnamed(docs, width))
 
 
 def _sizes(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
