@@ -30,10 +30,12 @@ from gridloom.llm.components import components
 from gridloom.llm.store import cut
 
 #: A block of the product has about so many documents, and so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 COLUMNS = 4096
 #: Documents a block of keys.
 DOCS_A_KEY_BLOCK = 32_768
+#: Tables of numbers of up to so many rows (some 40 MB) go to all executors instead of texts being shuffled to them.
+BROADCAST_ROWS = 1_000_000
 #: A key of up to so many sets gives their pairs, which outlines then thin out; of more it ties them all to one.
 PAIRED = 48
 OUTLINE = 64
@@ -311,6 +313,59 @@ def _verified(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(_linked(width, num, den), "u long, v long")
 
 
+def _placed(clusters: DataFrame, size: DataFrame) -> DataFrame:
+    """(doc_id, c, blocks, block): clusters dealt into blocks of about BLOCK_DOCS sets and BLOCK_SHINGLES shingles."""
+    nodes = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("c")).join(size, "doc_id")
+    whole = nodes.groupBy("c").agg(F.count("*").alias("_docs"), F.sum("n").alias("_n"))
+    many = F.ceil(F.greatest(F.col("_docs") / BLOCK_DOCS, F.least(F.col("_docs") / 2, F.col("_n") / BLOCK_SHINGLES))).cast("int")
+    nodes = nodes.join(whole.select("c", many.alias("blocks")), "c")
+    return cut(nodes.select("doc_id", "c", "blocks", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block")), "places")
+
+
+def _task(bi, bj):
+    return F.struct(F.col("c"), bi.cast("int").alias("bi"), bj.cast("int").alias("bj"))
+
+
+def _sparse(texts: DataFrame, pairs: DataFrame, size: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links among ``pairs`` (and whatever else comes together): a cluster of one block is one task; of a larger one, a block meets another in
+    the documents that have a pair there."""
+    places = _placed(components(pairs), size)
+    one = places.filter("blocks = 1").select("doc_id", _task(F.lit(0), F.lit(0)).alias("t"))
+    at = lambda x: places.filter("blocks > 1").select(F.col("doc_id").alias(x), F.col("block").alias(f"_{x}"), "c")
+    met = pairs.join(at("u"), "u").join(at("v").drop("c"), "v").withColumn("t", _task(F.least("_u", "_v"), F.greatest("_u", "_v")))
+    met = met.select(F.col("u").alias("doc_id"), "t").unionByName(met.select(F.col("v").alias("doc_id"), "t")).distinct()
+    tasks = cut(one.unionByName(met).groupBy("doc_id").agg(F.collect_list("t").alias("tasks")), "tasks")
+    return cut(_verified(texts.join(_small(tasks), "doc_id"), width, num, den), "links")
+
+
+def _dense(texts: DataFrame, clusters: DataFrame, size: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """All links within ``clusters``: each block meets the first block and itself; then sets outside the cluster's largest component meet all blocks."""
+    places = _placed(clusters, size)
+    nodes = texts.join(_small(places), "doc_id")
+    own = F.array(_task(F.lit(0), F.col("block")))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: _task(F.lit(0), b))
+    first = nodes.select("doc_id", "text", F.when(F.col("block") == 0, every).otherwise(own).alias("tasks"))
+    links = cut(_verified(first, width, num, den), "links")
+    large = places.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    reached = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = reached.groupBy("c", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("c").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("_parts"), F.sum("k").alias("_all"))
+    main = main.filter("_parts > 1").select("c", F.col("m.component").alias("_main"), F.ceil((F.col("_all") - F.col("m.k")) / BLOCK_DOCS).cast("int").alias("outer"))
+    open_ = cut(reached.join(main, "c").select("doc_id", "c", "blocks", "block", "outer", (F.col("component") != F.col("_main")).alias("outside")), "open")
+    mine = F.expr("cast(pmod(xxhash64(doc_id, 1), outer) as int)")
+    as_any = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: _task(o, F.col("block")))
+    as_outer = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: _task(mine, b))
+    both = F.concat(F.filter(as_any, lambda t: t["bi"] != mine), as_outer)
+    second = texts.join(_small(open_), "doc_id").select("doc_id", "text", F.when(F.col("outside"), both).otherwise(as_any).alias("tasks"))
+    return cut(links.unionByName(_verified(second, width, num, den)), "links")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, paired: int = PAIRED) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
@@ -319,8 +374,9 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, pa
     ``component_id`` is the smallest doc_id reachable by links, itself included. No link between different sets is
     lost and none is capped; copies are one row of the product.
 
-    A cluster of over BLOCK_DOCS sets is dealt into blocks: each block meets the first block and itself, and then only
-    sets outside the cluster's largest component meet the other blocks, so a group of near copies costs about its size.
+    Clusters of over BLOCK_DOCS sets are dealt into blocks. Where keys give pairs, a document goes to the blocks in which it has a pair. Where keys
+    tie very many sets together, each block meets the first block and itself, and then only sets outside the cluster's
+    largest component meet the other blocks, so a group of near copies costs about its size.
 
     Null or empty text: no shingles, linked with nothing. Null doc_id: component_id null, never linked. A doc_id that
     repeats is one node with all its texts. Empty table: no rows. Other columns are ignored.
@@ -346,36 +402,20 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, pa
     member = classes.select("doc_id", "rep").distinct()
     end = lambda x, y: sets.select(F.col("c").alias(x), F.col("rep").alias(f"_{x}"), F.col("outline").alias(y), F.col("n").alias(f"_n{x}"))
     pairs = cut(pairs.join(end("u", "_x"), "u").join(end("v", "_y"), "v").select("sure", F.col("_u").alias("u"), F.col("_v").alias("v"), (F.col("_nu") + F.col("_nv")).alias("total"), "_x", "_y"), "pairs")
-    near = pairs.filter("not sure").mapInArrow(_near_outlines(num, den), "u long, v long")
-    clusters = components(near.unionByName(pairs.filter("sure").select("u", "v")))
-
-    nodes = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("c")).join(sets.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id")
-    size = nodes.groupBy("c").agg(F.count("*").alias("_docs"), F.sum("n").alias("_n"))
-    many = F.ceil(F.greatest(F.col("_docs") / BLOCK_DOCS, F.least(F.col("_docs") / 2, F.col("_n") / BLOCK_SHINGLES))).cast("int")
-    nodes = nodes.join(size.select("c", many.alias("blocks")), "c")
-    nodes = nodes.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    nodes = cut(named.join(nodes.select("doc_id", "c", "blocks", "block"), "doc_id"), "nodes")  # texts of clusters only from here on
-
-    task = lambda bi, bj: F.struct(F.col("c"), bi.cast("int").alias("bi"), bj.cast("int").alias("bj"))
-    own = F.array(task(F.lit(0), F.col("block")))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: task(F.lit(0), b))
-    first = nodes.select("doc_id", "text", F.when(F.col("block") == 0, every).otherwise(own).alias("tasks"))
-    links = cut(_verified(first, width, num, den), "links")
-
-    large = nodes.filter("blocks > 1").select("doc_id", "c", "blocks", "block").distinct()
-    if not large.isEmpty():
-        reached = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        parts = reached.groupBy("c", "component").agg(F.count("*").alias("k"))
-        main = parts.groupBy("c").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("_parts"), F.sum("k").alias("_all"))
-        main = main.filter("_parts > 1").select("c", F.col("m.component").alias("_main"), F.ceil((F.col("_all") - F.col("m.k")) / BLOCK_DOCS).cast("int").alias("outer"))
-        open_ = reached.join(main, "c")
-        outside = F.col("component") != F.col("_main")
-        mine = F.expr("cast(pmod(xxhash64(doc_id, 1), outer) as int)")
-        as_any = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: task(o, F.col("block")))
-        as_outer = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: task(mine, b))
-        second = open_.select("doc_id", F.when(outside, F.concat(F.filter(as_any, lambda t: t["bi"] != mine), as_outer)).otherwise(as_any).alias("tasks"))
-        second = nodes.select("doc_id", "text").join(second, "doc_id")
-        links = cut(links.unionByName(_verified(second, width, num, den)), "links")
+    near = cut(pairs.filter("not sure").mapInArrow(_near_outlines(num, den), "u long, v long"), "near")
+    tied = cut(pairs.filter("sure").select("u", "v"), "tied")
+    size = sets.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
+    ends = lambda e: e.select(F.col("u").alias("doc_id")).unionByName(e.select(F.col("v").alias("doc_id")))
+    needed = cut(ends(near).unionByName(ends(tied)).distinct(), "needed")
+    texts = cut(named.join(_small(needed), "doc_id"), "texts")  # of sets that may meet another; only these are sent about
+
+    links = _dense(texts, components(tied), size, width, num, den) if not tied.isEmpty() else None
+    if links is not None:
+        found = components(links)
+        a, b = found.select(F.col("node").alias("u"), F.col("component").alias("_a")), found.select(F.col("node").alias("v"), F.col("component").alias("_b"))
+        near = near.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("_a", "u") != F.coalesce("_b", "v")).select("u", "v")
+    near = _sparse(texts, near, size, width, num, den)
+    links = near if links is None else links.unionByName(near)
 
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("_top")).filter("u <> _top").select("doc_id", "u")
     twice = member.join(twice, "doc_id").select("u", F.col("rep").alias("v"))
