@@ -47,7 +47,9 @@ def frequent_table(documents: DataFrame, path: str, size: int = TABLE_SIZE, samp
     from collections import Counter
 
     tokenizer, _, findall, common, _ = _worker(path)
-    rows = documents.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 20_000).alias("text")).orderBy("h").limit(sample).collect()
+    # Ids are chosen first, so that each task sends few bytes, and then only the texts of these.
+    chosen = documents.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    rows = documents.filter(F.col("doc_id").isin([r["doc_id"] for r in chosen])).select(F.substring("text", 1, 20_000).alias("text")).collect() if chosen else []
     counts = Counter(w for r in rows if r["text"] and common(r["text"]) for w in findall(r["text"]))
     words = sorted(counts, key=lambda w: (-counts[w], w))[:size]
     return dict(zip(words, _lengths(tokenizer, words), strict=True))
