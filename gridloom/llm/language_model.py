@@ -7,7 +7,7 @@ by position, add up to a vector; its products with the output embeddings give lo
 estimation; scoring normalises over all symbols, so the probabilities of all tokens sum to one.
 
 Texts are read twice. The first pass finds the frequent words. The second writes, for each chunk of documents, its
-token numbers and its dictionary, and trains one model a partition on every STRIDE-th token; models are averaged
+token numbers and its dictionary, and trains one model a partition on every token that may be learned from; models are averaged
 by examples. Dictionaries are shuffled by hash block, so a word moves once a chunk and not once a place; counts return to their
 chunks, which are then scored from the written token numbers.
 """
@@ -32,7 +32,7 @@ OUTPUTS = FREQUENT + 1 + RARE
 START = OUTPUTS
 END_HASH = np.uint64(0x1D8AF066B5A3C0DE)
 CHUNK_BYTES, DOCS_A_BLOCK = 8 << 20, 16_384
-STRIDE, BATCH, NOISE, RATE = 2, 512, 32, 0.15
+BATCH, NOISE, RATE = 512, 32, 0.15
 #: Words that each batch reports in the first pass.
 REPORTED = 2000
 LEARNED = "pmod(crc32(cast(doc_id as string)), 7) <> 2"
@@ -206,7 +206,6 @@ def _written(frequent: np.ndarray, order: np.ndarray, counts: np.ndarray, blocks
                 )
                 every = symbol[place].astype(np.int32)
                 taken = np.flatnonzero(learned)
-                taken = taken[(task + chunk) % STRIDE :: STRIDE]
                 trainer.learn(contexts_of(every, sizes)[taken], every[taken])
         if trainer.seen:
             yield _rows_of(1, kind=[_MODEL], vector=[[*(trainer.model.flat() * trainer.seen), float(trainer.seen)]])

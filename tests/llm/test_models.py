@@ -4,6 +4,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import language_model, toxicity
@@ -84,6 +85,17 @@ def test_language_model_is_normalised_and_learns():
     assert np.exp(model.log_probabilities(one, np.arange(language_model.OUTPUTS))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_token_of_learnable_texts_is_learned_from(monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_model.Trainer, "learn", lambda self, contexts, symbols: seen.append(len(symbols)))
+    monkeypatch.setattr(language_model, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    texts = ["one two three", None, "held out text", "four"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts, "learn": [True, True, False, True], "held_out": [False, False, True, False]})
+    none = np.zeros(0, np.uint64)
+    list(language_model._written(none, none.astype(np.uint8), np.zeros(language_model.OUTPUTS, np.int64), 4)(iter([batch])))
+    assert sum(seen) == 4 + 1 + 2
+
+
 def test_contexts_stay_inside_a_text():
     got = language_model.contexts_of(np.array([5, 6, 7, 8]), np.array([3, 1]))
     s = language_model.START
