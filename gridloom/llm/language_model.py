@@ -1,10 +1,12 @@
 """Language-model scoring: unigram counts over the whole corpus and a log-bilinear neural model trained in numpy.
 
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end a text. The model predicts a symbol from the CONTEXT
-symbols before it: the most frequent words and the end are symbols of their own; any other word belongs to
-one of RARE symbols by its last two bytes, and is drawn within it by its add-one unigram share. Embeddings of the context, scaled
-by position, add up to a vector; its products with the output embeddings give logits. Training is by noise-contrastive
-estimation; scoring normalises over all symbols, so the probabilities of all tokens sum to one.
+symbols before it: words that occur at least sqrt(N) / ROOT times among the N learnable tokens (and the LEAST_WORDS most frequent at
+least) and the end are symbols of their own, so symbols grow with the corpus; any other word belongs to one of RARE symbols by its last two bytes, and
+is drawn within it by its add-one unigram share. Embeddings of the context, scaled by position, add up to a vector; its products
+with output embeddings give logits. Symbols stand in about sqrt(V) classes of as many, by frequency: the class is
+predicted first, then the symbol within it. Training is by noise-contrastive estimation, with the expected noise in place of drawn
+noise; scoring normalises over classes and within them, so the probabilities of all tokens sum to one.
 
 Texts are read twice. The first pass finds the frequent words. The second writes, for each chunk of documents, its
 token numbers and its dictionary, and trains one model a partition on every token that may be learned from; models are averaged
@@ -26,18 +28,21 @@ from gridloom.cluster import ship
 from gridloom.llm.bytewords import column, words
 from gridloom.llm.store import cut
 
-FREQUENT, RARE, CONTEXT, SIZE = 191, 64, 4, 24
-#: The end of a text is symbol FREQUENT; an input beyond the outputs stands for what lies before a text.
-OUTPUTS = FREQUENT + 1 + RARE
-START = OUTPUTS
+RARE, CONTEXT, SIZE, ROOT, LEAST_WORDS = 64, 4, 24, 8, 191
+#: Symbols of every model: the rare ones and the end. Frequent words follow; the last input stands for what lies before a text.
+END = RARE
+OUTPUTS = RARE + 1
+START = -1
 END_HASH = np.uint64(0x1D8AF066B5A3C0DE)
 CHUNK_BYTES, DOCS_A_BLOCK = 8 << 20, 16_384
 BATCH, NOISE, RATE = 512, 32, 0.15
 #: Words that each batch reports in the first pass.
 REPORTED = 2000
 LEARNED = "pmod(crc32(cast(doc_id as string)), 7) <> 2"
-_ROWS = "kind byte, chunk long, block long, low long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, symbols binary, payload binary, vector array<double>"
+_ROWS = "kind byte, chunk long, block long, low long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, symbols binary, payload binary"
 _CHUNK, _WORDS, _MODEL = 0, 1, 2
+#: Weights in a row of a model.
+PIECE = 1 << 16
 
 
 def _rare(tails: np.ndarray) -> np.ndarray:
@@ -86,14 +91,24 @@ class Model:
 
     def __init__(self, symbol_counts: np.ndarray):
         r = np.random.default_rng(7)
-        self.share = (symbol_counts + 1) / (symbol_counts + 1).sum()
-        self.inputs = r.normal(0, 0.1, (OUTPUTS + 1, SIZE)).astype(np.float32)
+        v = len(symbol_counts)
+        order = np.argsort(-symbol_counts, kind="stable")
+        self.rank = np.empty(v, np.int64)
+        self.rank[order] = np.arange(v)
+        self.width = int(np.ceil(np.sqrt(v)))
+        share = (symbol_counts[order] + 1) / (symbol_counts + 1).sum()
+        self.class_share = np.add.reduceat(share, np.arange(0, v, self.width))
+        self.share = share / self.class_share[np.arange(v) // self.width]
+        self.inputs = r.normal(0, 0.1, (v + 1, SIZE)).astype(np.float32)
         self.position = np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32)
-        self.outputs = r.normal(0, 0.1, (OUTPUTS, SIZE)).astype(np.float32)
+        # Outputs stand by rank, so a class is a slice.
+        self.outputs = r.normal(0, 0.1, (v, SIZE)).astype(np.float32)
         self.bias = np.log(self.share).astype(np.float32)
+        self.classes = r.normal(0, 0.1, (len(self.class_share), SIZE)).astype(np.float32)
+        self.class_bias = np.log(self.class_share).astype(np.float32)
 
     def weights(self) -> list[np.ndarray]:
-        return [self.inputs, self.position, self.outputs, self.bias]
+        return [self.inputs, self.position, self.outputs, self.bias, self.classes, self.class_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.weights()]).astype(np.float64)
@@ -105,54 +120,83 @@ class Model:
             at += x.size
         return self
 
+    def by_class(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(order by class, ranks in that order, (class, from, to) of each class that occurs)."""
+        rank = self.rank[symbols]
+        order = np.argsort(rank // self.width, kind="stable")
+        rank = rank[order]
+        group = rank // self.width
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        return order, rank, [(int(group[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
     def log_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all symbols."""
+        """Natural logarithms, normalised over all classes and within each."""
+
+        def chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            top = logits.max(1, keepdims=True)
+            return logits[np.arange(len(at)), at] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+
         out = np.empty(len(symbols))
         tables = [self.inputs * self.position[k] for k in range(CONTEXT)]
-        for low in range(0, len(symbols), 4096):
-            c, s = contexts[low : low + 4096], symbols[low : low + 4096]
+        for low in range(0, len(symbols), 1 << 15):
+            order, rank, groups = self.by_class(symbols[low : low + (1 << 15)])
+            c = contexts[low : low + (1 << 15)][order]
             q = sum(t[c[:, k]] for k, t in enumerate(tables))
-            logits = q @ self.outputs.T + self.bias
-            chosen = logits[np.arange(len(s)), s]
-            top = logits.max(1, keepdims=True)
-            out[low : low + len(s)] = chosen - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+            logs = np.empty(len(rank))
+            for a in range(0, len(rank), 4096):
+                logs[a : a + 4096] = chosen(q[a : a + 4096] @ self.classes.T + self.class_bias, rank[a : a + 4096] // self.width)
+            for g, first, end in groups:
+                s = slice(g * self.width, (g + 1) * self.width)
+                for a in range(first, end, 4096):
+                    b = min(a + 4096, end)
+                    logs[a:b] += chosen(q[a:b] @ self.outputs[s].T + self.bias[s], rank[a:b] - s.start)
+            out[low + order] = logs
         return out
 
 
 class Trainer:
     def __init__(self, model: Model, seed: int):
         self.model, self.random, self.seen = model, np.random.default_rng(seed), 0
-        self.noise = np.log(NOISE * model.share).astype(np.float32)
+        self.noise, self.class_noise = ((NOISE * x).astype(np.float32) for x in (model.share, model.class_share))
+        self.log_noise, self.log_class_noise = np.log(self.noise), np.log(self.class_noise)
         self.squares = [np.full(x.shape, 1e-2, np.float32) for x in model.weights()]
 
+    def _move(self, which: int, at, gradient: np.ndarray) -> None:
+        """Changes the rows ``at`` of a weight only."""
+        square = self.squares[which][at] + gradient * gradient
+        self.squares[which][at] = square
+        self.model.weights()[which][at] += RATE * gradient / np.sqrt(square)
+
+    def _contrast(self, q: np.ndarray, targets: np.ndarray, which: int, s: slice, noise: np.ndarray, log_noise: np.ndarray, n: int) -> np.ndarray:
+        """Learns to tell ``targets`` of the outputs ``s`` from noise; the gradient of q."""
+        table, bias = self.model.weights()[which : which + 2]
+        seems = 1 / (1 + np.exp(-np.clip(q @ table[s].T + (bias[s] - log_noise[s]), -30, 30)))
+        rows = np.arange(len(q))
+        to = -noise[s] * seems
+        to[rows, targets] += 1 - seems[rows, targets]
+        to_q = to @ table[s]
+        self._move(which, s, to.T @ q / n)
+        self._move(which + 1, s, to.sum(0) / n)
+        return to_q
+
     def step(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
         m, n = self.model, len(symbols)
-        drawn = self.random.choice(OUTPUTS, NOISE, p=m.share)
-        q = np.zeros((n, SIZE), np.float32)
-        parts = [m.inputs[contexts[:, k]] for k in range(CONTEXT)]
-        for k in range(CONTEXT):
-            q += parts[k] * m.position[k]
-        squash = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        target = m.outputs[symbols]
-        up = 1 - squash((q * target).sum(1) + m.bias[symbols] - self.noise[symbols])
-        down = -squash(q @ m.outputs[drawn].T + m.bias[drawn] - self.noise[drawn])
-        to_q = up[:, None] * target + down @ m.outputs[drawn]
-        hot = np.zeros((n, OUTPUTS + 1), np.float32)
-        rows = np.arange(n)
-        hot[rows, symbols] = up
-        outputs, bias = (hot.T @ q)[:OUTPUTS], hot.sum(0)[:OUTPUTS]
-        np.add.at(outputs, drawn, down.T @ q)
-        np.add.at(bias, drawn, down.sum(0))
-        inputs, position = np.zeros_like(m.inputs), np.zeros_like(m.position)
-        for k in range(CONTEXT):
-            hot[...] = 0
-            hot[rows, contexts[:, k]] = 1
-            inputs += hot.T @ (to_q * m.position[k])
-            position[k] = (to_q * parts[k]).sum(0)
-        for x, square, gradient in zip(m.weights(), self.squares, (inputs, position, outputs, bias), strict=True):
-            gradient /= n
-            square += gradient * gradient
-            x += RATE * gradient / np.sqrt(square)
+        order, rank, groups = m.by_class(symbols)
+        contexts = contexts[order]
+        parts = m.inputs[contexts]
+        q = (parts * m.position).sum(1)
+        to_q = self._contrast(q, rank // m.width, 4, slice(None), self.class_noise, self.log_class_noise, n)
+        for g, a, b in groups:
+            s = slice(g * m.width, (g + 1) * m.width)
+            to_q[a:b] += self._contrast(q[a:b], rank[a:b] - s.start, 2, s, self.noise, self.log_noise, n)
+        flat = contexts.ravel()
+        by = np.argsort(flat, kind="stable")
+        flat = flat[by]
+        starts = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
+        inputs = np.add.reduceat((to_q[:, None, :] * m.position).reshape(-1, SIZE)[by], starts, axis=0)
+        position = (to_q[:, None, :] * parts).sum(0)
+        self._move(0, flat[starts], inputs / n)
+        self._move(1, slice(None), position / n)
         self.seen += n
 
     def learn(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
@@ -171,7 +215,7 @@ def contexts_of(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _rows_of(n: int, **given) -> pa.RecordBatch:
-    kinds = {"kind": pa.int8(), "chunk": pa.int64(), "block": pa.int64(), "low": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary(), "symbols": pa.binary(), "payload": pa.binary(), "vector": pa.list_(pa.float64())}
+    kinds = {"kind": pa.int8(), "chunk": pa.int64(), "block": pa.int64(), "low": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary(), "symbols": pa.binary(), "payload": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
@@ -185,12 +229,12 @@ def _written(frequent: np.ndarray, order: np.ndarray, counts: np.ndarray, blocks
             for part in _parts(batch):
                 tokens, tails, sizes = _tokens(part.column("text"))
                 uniq, first, place = np.unique(tokens, return_index=True, return_inverse=True)
-                symbol = (FREQUENT + 1 + _rare(tails[first])).astype(np.uint8)
+                symbol = _rare(tails[first]).astype(np.int32)
                 at = np.minimum(np.searchsorted(frequent, uniq), max(len(frequent) - 1, 0))
                 if len(frequent):
                     known = frequent[at] == uniq
                     symbol[known] = order[at[known]]
-                symbol[uniq == END_HASH] = FREQUENT
+                symbol[uniq == END_HASH] = END
                 learn = part.column("learn").to_numpy(zero_copy_only=False)
                 learned = np.repeat(learn, sizes)
                 count = np.bincount(place[learned], minlength=len(uniq))
@@ -208,23 +252,33 @@ def _written(frequent: np.ndarray, order: np.ndarray, counts: np.ndarray, blocks
                 taken = np.flatnonzero(learned)
                 trainer.learn(contexts_of(every, sizes)[taken], every[taken])
         if trainer.seen:
-            yield _rows_of(1, kind=[_MODEL], vector=[[*(trainer.model.flat() * trainer.seen), float(trainer.seen)]])
+            flat = np.append(trainer.model.flat() * trainer.seen, trainer.seen)
+            for low in range(0, len(flat), PIECE):
+                yield _rows_of(1, kind=[_MODEL], low=[low], payload=[flat[low : low + PIECE].tobytes()])
 
     return run
 
 
+def _added(group: pa.Table) -> pa.Table:
+    """The sum of the same piece of all models."""
+    total = 0
+    for x in group.column("payload"):
+        total = total + np.frombuffer(x.as_py(), np.float64)
+    return pa.table({"low": group.column("low")[:1], "payload": pa.array([total.tobytes()], pa.binary())})
+
+
 def _summed(group: pa.Table) -> pa.Table:
-    """All pieces of a hash block: each word's count to every piece, and sums by symbol."""
+    """All pieces of a hash block: each word's count to every piece, and sums by rare symbol and of all other symbols."""
     chunk, low, payload = group.column("chunk").to_pylist(), group.column("low").to_pylist(), group.column("payload").to_pylist()
-    n = [len(x) // 17 for x in payload]
+    n = [len(x) // 20 for x in payload]
     hashes = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(payload, n, strict=True)])
     counts = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(payload, n, strict=True)])
-    symbols = np.concatenate([np.frombuffer(x, np.uint8, k, 16 * k) for x, k in zip(payload, n, strict=True)])
+    symbols = np.concatenate([np.frombuffer(x, np.int32, k, 16 * k) for x, k in zip(payload, n, strict=True)])
     _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     total = np.zeros(len(first), np.int64)
     np.add.at(total, place, counts)
     known = total > 0
-    symbol = symbols[first][known].astype(np.int64)
+    symbol = np.minimum(symbols[first][known], RARE).astype(np.int64)
     words_by, distinct = np.zeros(OUTPUTS, np.int64), np.bincount(symbol, minlength=OUTPUTS)
     np.add.at(words_by, symbol, total[known])
     back = total[place]
@@ -248,7 +302,7 @@ def _scored(given) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
                 place = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
-                symbol = np.frombuffer(row["symbols"], np.uint8)
+                symbol = np.frombuffer(row["symbols"], np.int32)
                 count = np.zeros(len(symbol), np.int64)
                 for piece in row["pieces"]:
                     got = np.frombuffer(piece["payload"], np.int64)
@@ -256,7 +310,7 @@ def _scored(given) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 every = symbol[place].astype(np.int32)
                 starts = np.cumsum(sizes) - sizes
                 shared = np.log10(count + 1.0)
-                rare = np.where(symbol > FREQUENT, shared - within[symbol], 0.0)
+                rare = np.where(symbol < RARE, shared - within[np.minimum(symbol, RARE)], 0.0)
                 logs = np.empty(len(every))
                 # One text or a run of tokens at a time would do; a bounded run keeps the context table small.
                 contexts = contexts_of(every, sizes)
@@ -273,6 +327,11 @@ def _scored(given) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
+def least_count(tokens: int) -> int:
+    """How often a word occurs that is a symbol of its own, among so many learnable tokens."""
+    return max(2, int(np.ceil(np.sqrt(tokens) / ROOT)))
+
+
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
@@ -289,20 +348,24 @@ def score(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("learn"), held.alias("held_out"), "text")
     heard = docs.filter("learn").select("text").mapInArrow(_frequent, "kind byte, name long, rare long, n long")
     heard = cut(heard.groupBy("kind", "name").agg(F.max("rare").alias("rare"), F.sum("n").alias("n")), "frequent")
-    top = heard.filter("kind = 0").orderBy(F.desc("n"), "name").limit(FREQUENT).collect()
-    symbol_counts = np.zeros(OUTPUTS, np.int64)
-    for r in heard.filter("kind = 1").collect():  # RARE rows
-        symbol_counts[FREQUENT + 1 + r["name"]] = r["n"]
+    rare = heard.filter("kind = 1").collect()  # RARE rows
+    ends = docs.filter("learn").count()
+    least = least_count(sum(r["n"] for r in rare) + ends)
+    named = heard.filter("kind = 0")
+    top = named.orderBy(F.desc("n"), "name").limit(max(LEAST_WORDS, named.filter(F.col("n") >= least).count())).collect()
+    symbol_counts = np.zeros(OUTPUTS + len(top), np.int64)
+    for r in rare:
+        symbol_counts[r["name"]] = r["n"]
     for s, r in enumerate(top):
-        symbol_counts[s] = r["n"]
-        symbol_counts[FREQUENT + 1 + r["rare"]] -= r["n"]
+        symbol_counts[OUTPUTS + s] = r["n"]
+        symbol_counts[r["rare"]] -= r["n"]
     symbol_counts = np.maximum(symbol_counts, 0)
-    symbol_counts[FREQUENT] = docs.filter("learn").count()
+    symbol_counts[END] = ends
     hashes = np.array([r["name"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
 
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // DOCS_A_BLOCK))
-    written = cut(docs.mapInArrow(_written(hashes[order], order.astype(np.uint8), symbol_counts, blocks), _ROWS), "chunks")
+    written = cut(docs.mapInArrow(_written(hashes[order], (OUTPUTS + order).astype(np.int32), symbol_counts, blocks), _ROWS), "chunks")
     pieces = written.filter(f"kind = {_WORDS}").select("block", "chunk", "low", "payload")
     counted = cut(pieces.groupBy("block").applyInArrow(_summed, "chunk long, low long, payload binary, n long, v long"), "counts")
     sums = counted.filter("chunk = -1").groupBy("low").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # OUTPUTS rows
@@ -310,11 +373,10 @@ def score(documents: DataFrame) -> DataFrame:
     for r in sums:
         n_by[r["low"]], v_by[r["low"]] = r["n"], r["v"]
 
-    # Models are summed weight by weight before anything reaches the driver.
-    weights = written.filter(f"kind = {_MODEL}").select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    got = {r["i"]: r["x"] for r in weights.collect()}
-    start = Model(symbol_counts).flat()
-    flat = np.array([got[i] for i in range(len(start))]) / got[len(start)] if got else start
+    # Models are summed piece by piece before anything reaches the driver.
+    added = written.filter(f"kind = {_MODEL}").select("low", "payload").groupBy("low").applyInArrow(_added, "low long, payload binary").collect()
+    flat = np.concatenate([np.frombuffer(r["payload"], np.float64) for r in sorted(added, key=lambda r: r["low"])]) if added else None
+    flat = Model(symbol_counts).flat() if flat is None else flat[:-1] / flat[-1]
     given = spark.sparkContext.broadcast((flat, symbol_counts, n_by, v_by))
 
     own = counted.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("low", "payload")).alias("pieces"))

@@ -92,10 +92,40 @@ def test_every_token_of_learnable_texts_is_learned_from(monkeypatch):
     texts = ["one two three", None, "held out text", "four"]
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts, "learn": [True, True, False, True], "held_out": [False, False, True, False]})
     none = np.zeros(0, np.uint64)
-    list(language_model._written(none, none.astype(np.uint8), np.zeros(language_model.OUTPUTS, np.int64), 4)(iter([batch])))
+    list(language_model._written(none, none.astype(np.int32), np.zeros(language_model.OUTPUTS, np.int64), 4)(iter([batch])))
     assert sum(seen) == 4 + 1 + 2
 
 
+def test_symbols_grow_with_the_corpus_and_all_are_learned(spark, monkeypatch):
+    made = []
+    kept = language_model._written
+    monkeypatch.setattr(language_model, "_written", lambda hashes, order, counts, blocks: made.append((len(hashes), counts)) or kept(hashes, order, counts, blocks))
+    for n in (300, 900):
+        # all words are as frequent as any other
+        rows = [(i, " ".join(f"a{j} b{j}" for j in np.random.default_rng(i).permutation(n)), "m") for i in range(60)]
+        got = language_model.score(documents(spark, rows)).collect()
+        assert made[-1][0] == 2 * n
+        assert len(made[-1][1]) == language_model.OUTPUTS + 2 * n
+        assert all(r["score"] < 0 for r in got)
+
+
+def test_word_beyond_the_old_cap_is_predicted_from_its_context():
+    v = language_model.OUTPUTS + 600
+    firsts = language_model.OUTPUTS + 2 * np.random.default_rng(2).integers(0, 300, 30_000)
+    symbols = np.column_stack([firsts, firsts + 1]).ravel().astype(np.int32)  # each even symbol is followed by the next
+    contexts = language_model.contexts_of(symbols, np.array([len(symbols)]))
+    model = language_model.Model(np.bincount(symbols, minlength=v))
+    odd = np.flatnonzero(symbols >= language_model.OUTPUTS + 192)[:4000]
+    odd = odd[odd % 2 == 1]
+    before = model.log_probabilities(contexts[odd], symbols[odd]).mean()
+    trainer = language_model.Trainer(model, 0)
+    for _ in range(6):
+        trainer.learn(contexts, symbols)
+    assert model.log_probabilities(contexts[odd], symbols[odd]).mean() > before + 0.5
+    one = np.repeat(contexts[odd[:1]], v, 0)
+    assert np.exp(model.log_probabilities(one, np.arange(v))).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_contexts_stay_inside_a_text():
     got = language_model.contexts_of(np.array([5, 6, 7, 8]), np.array([3, 1]))
     s = language_model.START
