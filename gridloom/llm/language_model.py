@@ -36,8 +36,6 @@ START = -1
 END_HASH = np.uint64(0x1D8AF066B5A3C0DE)
 CHUNK_BYTES, DOCS_A_BLOCK = 8 << 20, 16_384
 BATCH, NOISE, RATE = 512, 32, 0.15
-#: Words that each batch reports in the first pass.
-REPORTED = 2000
 LEARNED = "pmod(crc32(cast(doc_id as string)), 7) <> 2"
 _ROWS = "kind byte, chunk long, block long, low long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, symbols binary, payload binary"
 _CHUNK, _WORDS, _MODEL = 0, 1, 2
@@ -71,17 +69,16 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that a batch holds most often, and how often; the rest by rare symbol."""
+    """How often a batch holds each word, and the words of each rare symbol."""
     for batch in batches:
         for part in _parts(batch):
             hashes, starts, tails = words(part.column("text"), tails=True)
             uniq, first, count = np.unique(hashes, return_index=True, return_counts=True)
-            top = np.argsort(-count, kind="stable")[:REPORTED]
-            rare = np.bincount(_rare(tails[first]), np.delete(count, []), RARE)
-            kinds = np.concatenate([np.zeros(len(top)), np.ones(RARE)]).astype(np.int8)
-            names = np.concatenate([uniq[top].view(np.int64), np.arange(RARE)])
+            rare = np.bincount(_rare(tails[first]), count, RARE)
+            kinds = np.concatenate([np.zeros(len(uniq)), np.ones(RARE)]).astype(np.int8)
+            names = np.concatenate([uniq.view(np.int64), np.arange(RARE)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(names), pa.array(np.concatenate([_rare(tails[first])[top], np.zeros(RARE, np.int64)])), pa.array(np.concatenate([count[top], rare]).astype(np.int64))],
+                [pa.array(kinds), pa.array(names), pa.array(np.concatenate([_rare(tails[first]), np.zeros(RARE, np.int64)])), pa.array(np.concatenate([count, rare]).astype(np.int64))],
                 names=["kind", "name", "rare", "n"],
             )
 

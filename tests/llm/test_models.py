@@ -109,6 +109,18 @@ def test_symbols_grow_with_the_corpus_and_all_are_learned(spark, monkeypatch):
         assert all(r["score"] < 0 for r in got)
 
 
+def test_words_are_counted_exactly_however_many_a_batch_holds():
+    # 3000 words stand before one that each batch holds once
+    text = " ".join(f"w{i} w{i}" for i in range(3000)) + " zz"
+    got = [r for b in language_model._frequent(iter([pa.RecordBatch.from_pydict({"text": [text]})] * 2)) for r in b.to_pylist()]
+    words = Counter()
+    for r in got:
+        if r["kind"] == 0:
+            words[r["name"]] += r["n"]
+    assert sorted(words.values()) == [2] + [4] * 3000
+    assert sum(r["n"] for r in got if r["kind"] == 1) == 2 * 6001
+
+
 def test_word_beyond_the_old_cap_is_predicted_from_its_context():
     v = language_model.OUTPUTS + 600
     firsts = language_model.OUTPUTS + 2 * np.random.default_rng(2).integers(0, 300, 30_000)
