@@ -1,22 +1,19 @@
 """N-gram Jaccard join: a blocked sparse matrix product of documents by n-grams.
 
-Which rows of the matrix can meet at all is found first, without loss. Two sets of m <= M shingles with Jaccard
-similarity of t or more differ in k = (m + M)(1 - t)/(1 + t) shingles at most. Shingle hashes are dealt into more than k parts, so
-in at least one part the two sets are equal. A document has one key a part (a hash of all its shingles there),
-and only documents that share a key can be linked. Sizes are
-classed so that both documents of a pair use the same number of parts. Documents with more empty parts than a
-pair may rely on also give prefix keys: their n - ceil(t n) + 1 smallest hashes.
-
-A key that few sets share gives their pairs; of these, sets whose outlines (how many hashes fall into each of 64 classes)
-differ by more than k are dropped. A key that many share ties them all to one set, already within a batch. What is left forms
-clusters. Within a cluster, equal sets are one row; rows are dealt into blocks, and
-a task multiplies two blocks: it builds their incidence of documents by n-grams, adds up overlap counts over blocks of columns and
-drops pairs that their sizes or what is still to come cannot lift to the threshold.
+Rows of the matrix are distinct sets of shingle hashes, columns are shingles. Which rows can meet is found without loss: shingles
+are ordered by the number of sets that hold them, exact over all documents, and two sets with a similarity of t or more
+share a shingle among the n - ceil(t n) + 1 rarest of each. Most of these stand in one set only, so few rows are left; rows that
+share one and whose sizes allow a link are tied, and tied rows form clusters. A cluster is multiplied in blocks of
+rows: overlap counts add up over columns, and pairs are discarded that their sizes, or what columns are still to come,
+cannot lift to the threshold.
+
+Texts are read once. Shingles go to blocks of hashes, each with the sets of a chunk of documents that hold it, and only those
+of two or more sets come back to their sets. From there on texts are not needed: overlaps are counted on shared
+shingles, sizes on all. Nothing is a row a pair: ties within a block of sets or hashes are reduced to a forest before they leave it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,358 +22,476 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
-from gridloom.llm.bytewords import mix, shingles, words
+from gridloom.llm.bytewords import column, mix, shingles, words
 from gridloom.llm.components import components
 from gridloom.llm.store import cut
 
-#: A block of the product has about so many documents, and so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+#: Sets a block of the product, and sets a tile where those outside of a large cluster's main component meet all others.
+BLOCK_SETS, TILE_SETS = 256, 1024
+#: Shared shingles a block of the product.
+BLOCK_SHINGLES = 400_000
 COLUMNS = 4096
-#: Documents a block of keys.
-DOCS_A_KEY_BLOCK = 32_768
-#: Tables of numbers of up to so many rows (some 40 MB) go to all executors instead of texts being shuffled to them.
-BROADCAST_ROWS = 1_000_000
-#: A key of up to so many sets gives their pairs, which outlines then thin out; of more it ties them all to one.
-PAIRED = 48
-OUTLINE = 64
-
-
-def _bounds() -> list[int]:
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
-    return out
-
-
-BOUNDS = _bounds()
-
-
-def _parts(j: int, num: int, den: int) -> tuple[int, int]:
-    """(parts, empty parts that a set may have) for sizes of which the smaller is in class j."""
-    small = BOUNDS[j + 1] - 1
-    k = (small + small * den // num) * (den - num) // (den + num)
-    slack = (k + 1) // 8
-    return k + 1 + slack, slack
+#: Bytes of text that are worked on at a time, and bytes of text a block of hashes.
+CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 24 << 20
+#: A shingle of so many sets of a chunk goes to its block once, not once a set; it is last in order everywhere.
+HOT = 32
+_LAST = np.int32(2**31 - 1)
+_ROWS = "kind byte, block long, payload binary"
+#: Kinds of rows: shingles, described documents, shared shingles of sets, ties of sets, runs of sets by shingle.
+_SHINGLES, _DOCS, _SHARED, _TIES, _RUNS = range(5)
 
 
-def keys_of(u: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set of hashes (sorted, distinct): two sets whose Jaccard similarity is num/den or more share one."""
-    n = len(u)
-    out = []
-    least = -(-num * n // den)
-    mixed = mix(u)
-    for j in range(bisect_right(BOUNDS, least) - 1, bisect_right(BOUNDS, n)):
-        parts, slack = _parts(j, num, den)
-        part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        out.append(mix(np.add.reduceat(mixed, first) ^ mix((part[first] << np.uint64(8)) + np.uint64(j << 1))))
-        if parts - len(first) > slack:
-            out.append(mix(mixed[: n - least + 1] ^ mix(np.full(1, (j << 1) + 1, np.uint64))))
-    return np.concatenate(out)
+def _block_of(x: np.ndarray, blocks: int) -> np.ndarray:
+    """Even intervals of 64-bit values, so ascending values have ascending blocks."""
+    return (((x >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
 
 
-def _digest(u: np.ndarray) -> tuple[int, int]:
-    sums = mix(u), mix(u * np.uint64(3) + np.uint64(1))
-    return tuple(int(np.add.reduce(x).astype(np.int64)) for x in sums)
-
-
-def _runs(a: np.ndarray) -> np.ndarray:
+def _cuts(a: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin and, last, the end."""
     return np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
 
 
-def _groups(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, set) in order of both, and where each key's begin and, last, end."""
-    order = np.lexsort((sets, keys))
-    keys, sets = keys[order], sets[order]
-    if len(keys):
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])
-        keys, sets = keys[new], sets[new]
-    return keys, sets, _runs(keys)
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one value: ascending 64-bit hashes as differences, every array by planes of bytes, compressed."""
+    out = [np.array([len(arrays)], np.int32).tobytes()]
+    for a in arrays:
+        raw = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
+        planes = np.ascontiguousarray(np.ascontiguousarray(raw).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+        data = pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(a) else b""
+        out += [a.dtype.str.encode().ljust(4), np.array([len(a), len(data)], np.int64).tobytes(), data]
+    return b"".join(out)
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 4
+    for _ in range(int(np.frombuffer(raw, np.int32, 1)[0])):
+        kind = np.dtype(raw[at : at + 4].decode().strip())
+        n, size = np.frombuffer(raw, np.int64, 2, at + 4).tolist()
+        at += 20
+        if n:
+            planes = np.frombuffer(pa.decompress(raw[at : at + size], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+            a = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
+        else:
+            a = np.zeros(0, kind)
+        out.append(np.cumsum(a, dtype=np.uint64) if kind == np.uint64 else a)
+        at += size
+    return out
 
 
-def _described(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, size of the set, digest, outline."""
+def _joined(payloads: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    parts = [_unpacked(x) for x in payloads]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
+
+
+def _rows(kind, block, payload) -> pa.Table:
+    return pa.table({"kind": pa.array(kind, pa.int8()), "block": pa.array(block, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what ``u`` and ``v`` connect: each node with the smallest one it can reach."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not (new[new] == new).all():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    _, at = column(batch.column("text"))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def _incidence(width: int, blocks: int, most: int, hot_from: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each chunk of documents: what each is (id, size, digest), and the shingles of its distinct sets by block."""
+
+    def of(part: pa.RecordBatch) -> pa.Table:
+        hashes, starts = words(part.column("text"))
+        sets = [np.unique(s) for s in shingles(hashes, starts, width)]
+        size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        full = np.flatnonzero(size)
+        c = np.zeros(len(sets), np.int64)
+        if len(full):
+            c[full] = mix(np.add.reduceat(mix(every), (np.cumsum(size) - size)[full]) + size[full].astype(np.uint64)).view(np.int64)
+        ids = part.column("doc_id").to_numpy()
+        kinds, where, payload = [_DOCS], [int(ids[0]) % blocks], [_packed(ids, size, c)]
+        names, lead = np.unique(c[full], return_index=True)  # copies give their shingles once
+        lead = full[lead]
+        if not len(lead):
+            return _rows(kinds, where, payload)
+        h = np.concatenate([sets[k] for k in lead.tolist()])
+        sizes = size[lead].astype(np.int32)
+        owner = np.repeat(np.arange(len(lead)), sizes)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        at = _cuts(h)
+        many = np.diff(at) >= hot_from
+        marks = h[at[:-1][many]]
+        hot = np.repeat(many, np.diff(at))
+        if len(marks):
+            got = np.argsort(owner[hot], kind="stable")
+            held, shingle = owner[hot][got], h[hot][got]
+            target = _block_of(mix(names[held].view(np.uint64)), blocks)
+            by = np.argsort(target, kind="stable")
+            held, shingle, target = held[by], shingle[by], target[by]
+            for a, b in zip((k := _cuts(target))[:-1].tolist(), k[1:].tolist(), strict=True):
+                kinds.append(_SHARED)
+                where.append(int(target[a]))
+                payload.append(_shared(names[held[a:b]], sizes[held[a:b]], shingle[a:b], np.full(b - a, _LAST, np.int32)))
+            h, owner = h[~hot], owner[~hot]
+        block, marked = _block_of(h, blocks), _block_of(marks, blocks)
+        for k in np.union1d(block, marked).tolist():
+            a, b = np.searchsorted(block, (k, k + 1))
+            own, local = np.unique(owner[a:b], return_inverse=True)
+            kinds.append(_SHINGLES)
+            where.append(k)
+            payload.append(_packed(h[a:b], local.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), names[own], sizes[own], marks[marked == k]))
+        return _rows(kinds, where, payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, outlines = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64), [b""] * batch.num_rows
-            for low in range(0, batch.num_rows, 1000):
-                hashes, starts = words(batch.column("text").slice(low, 1000))
-                for i, s in enumerate(shingles(hashes, starts, width), low):
-                    if len(s):
-                        u = np.unique(s)
-                        sizes[i], digests[i], outlines[i] = len(u), _digest(u), outline(u)
-            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(outlines, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "c", "d", "outline"])
+            for part in _parts(batch, most):
+                yield from of(part).to_batches()
 
     return run
 
 
-def _signed(width: int, num: int, den: int, blocks: int, paired: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys by block, and pairs of sets that a batch ties together, the latter as rows of a block too."""
+def _shared(name: np.ndarray, size: np.ndarray, shingle: np.ndarray, held_by: np.ndarray) -> bytes:
+    """Rows (set, its size, a shingle of it, how many sets hold that), sets together."""
+    at = _cuts(name)
+    return _packed(name[at[:-1]], size[at[:-1]], np.diff(at).astype(np.int32), shingle.view(np.int64), held_by)
+
+
+def _counted(blocks: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a block of hashes: shingles of two or more sets, back to their sets. Described documents pass."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kind = group["kind"].to_numpy()
+        through = group.filter(pa.array(kind != _SHINGLES)).select(["kind", "block", "payload"])
+        parts = [_unpacked(x) for x in group.filter(pa.array(kind == _SHINGLES))["payload"].to_pylist()]
+        if not parts:
+            return through
+        h = np.concatenate([p[0] for p in parts])
+        name = np.concatenate([p[2][p[1]] for p in parts])
+        size = np.concatenate([p[3][p[1]] for p in parts])
+        marks = np.unique(np.concatenate([p[4] for p in parts]))
+        parts.clear()
+        order = np.lexsort((name, h))
+        h, name, size = h[order], name[order], size[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
+        h, name, size = h[new], name[new], size[new]
+        at = _cuts(h)
+        held_by = np.minimum(np.diff(at), _LAST - 1).astype(np.int32)
+        held_by[np.isin(h[at[:-1]], marks)] = _LAST
+        held_by = np.repeat(held_by, np.diff(at))
+        keep = held_by > 1
+        h, name, size, held_by = h[keep], name[keep], size[keep], held_by[keep]
+        target = _block_of(mix(name.view(np.uint64)), blocks)
+        order = np.lexsort((name, target))
+        h, name, size, held_by, target = h[order], name[order], size[order], held_by[order], target[order]
+        k = _cuts(target)
+        payload = [_shared(name[a:b], size[a:b], h[a:b], held_by[a:b]) for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)]
+        return pa.concat_tables([through, _rows([_SHARED] * len(payload), target[k[:-1]], payload)])
 
-    def batch_of(names, payload):
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payload, pa.binary())], names=["block", "payload"])
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key_list, seen = [], {}
-            for low in range(0, batch.num_rows, 1000):
-                hashes, starts = words(batch.column("text").slice(low, 1000))
-                for s in shingles(hashes, starts, width):
-                    if len(s):
-                        u = np.unique(s)
-                        if (name := _digest(u)[0]) not in seen:  # copies give their keys once
-                            seen[name] = len(u)
-                            key_list.append(keys_of(u, num, den))
-            if not seen:
-                continue
-            names, count = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int32)
-            keys, sets, at = _groups(np.concatenate(key_list), np.repeat(np.arange(len(names)), [len(k) for k in key_list]))
-            many = np.repeat(np.diff(at) > paired, np.diff(at))
-            wide_keys = np.zeros(0, np.uint64)
-            wide_sets, tied = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
-            if many.any():
-                # Of a key that very many sets of the batch have, one stands for all and is tied to each.
-                first = np.repeat(sets[at[:-1]], np.diff(at))
-                pairs = np.unique(np.stack([first[many], sets[many]]), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
-                tied = names[pairs]
-                lead = at[:-1][np.diff(at) > paired]
-                wide_keys, wide_sets = keys[lead], sets[lead]
-                keys, sets = keys[~many], sets[~many]
-            block, wide_block = ((((k >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64) for k in (keys, wide_keys))
-            order = np.lexsort((sets, block))
-            keys, sets, block = keys[order], sets[order], block[order]
-            present = np.union1d(block, wide_block)
-            payload = []
-            for k, a, b in zip(present.tolist(), np.searchsorted(block, present), np.searchsorted(block, present, "right"), strict=True):
-                runs = _runs(sets[a:b])
-                own = sets[a:b][runs[:-1]]
-                wide = wide_block == k
-                head = np.array([len(own), wide.sum()], np.int64)
-                payload.append(b"".join(x.tobytes() for x in (head, wide_keys[wide], names[wide_sets[wide]], names[own], keys[a:b], np.diff(runs).astype(np.int32), count[own])))
-            if tied.shape[1]:
-                present, payload = [*present.tolist(), int(present[0])], [*payload, np.int64(-1).tobytes() + tied.tobytes()]
-            yield batch_of(present, payload)
+
+def prefixes(name: np.ndarray, size: np.ndarray, shingle: np.ndarray, held_by: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows (set, its size, a shared shingle, how many sets hold that; by set, then from rare to common) stand in a prefix.
+
+    A set's shingles that no other set holds come before all shared ones."""
+    at = _cuts(name)
+    shared = np.diff(at)
+    n = size[at[:-1]].astype(np.int64)
+    take = n - -(-num * n // den) + 1 - (n - shared)
+    return np.arange(len(name)) - np.repeat(at[:-1], shared) < np.repeat(take, shared)
+
+
+def _fits(small: np.ndarray, large: np.ndarray, num: int, den: int) -> np.ndarray:
+    return small.astype(np.int64) * den >= num * large.astype(np.int64)
+
+
+def _active(blocks: int, num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a block of sets: those with a shared shingle in their prefix, each with all its shared ones; ties between
+    them; and, by shingle, the runs of sizes that are tied already."""
+    names = ["kind", "block", "payload", "name", "n"]
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [_unpacked(x) for x in group["payload"].to_pylist()]
+        name = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
+        size = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
+        shingle = np.concatenate([p[3] for p in parts]).view(np.uint64)
+        held_by = np.concatenate([p[4] for p in parts])
+        order = np.lexsort((shingle, held_by, name))
+        name, size, shingle, held_by = name[order], size[order], shingle[order], held_by[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (shingle[1:] != shingle[:-1])  # copies report a hot shingle from each chunk
+        name, size, shingle, held_by = name[new], size[new], shingle[new], held_by[new]
+        first = prefixes(name, size, shingle, held_by, num, den)
+        at = _cuts(name)
+        active = np.flatnonzero(np.logical_or.reduceat(first, at[:-1])) if len(name) else np.zeros(0, np.int64)
+        rows = [pa.table({
+            "kind": pa.array(np.full(len(active), _SHARED), pa.int8()), "block": pa.nulls(len(active), pa.int64()),
+            "payload": pa.array([np.sort(shingle[at[k] : at[k + 1]]).tobytes() for k in active.tolist()], pa.binary()),
+            "name": pa.array(name[at[active]]), "n": pa.array(size[at[active]].astype(np.int64)),
+        })]
+        h, owner, n = shingle[first], name[first], size[first]
+        order = np.lexsort((n, h))
+        h, owner, n = h[order], owner[order], n[order]
+        tied = (h[1:] == h[:-1]) & _fits(n[:-1], n[1:], num, den)
+        u, v = forest(owner[:-1][tied], owner[1:][tied])
+        begin = np.flatnonzero(np.concatenate([[True], ~tied])) if len(h) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(h)) - 1 if len(h) else begin
+        block = _block_of(h[begin], blocks)
+        k = _cuts(block)
+        payload = [_packed(h[begin[a:b]], owner[begin[a:b]], n[begin[a:b]], n[end[a:b]]) for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)]
+        more = _rows([_TIES, *[_RUNS] * len(payload)], [0, *block[k[:-1]].tolist()], [_packed(u, v), *payload])
+        rows.append(more.append_column("name", pa.nulls(more.num_rows, pa.int64())).append_column("n", pa.nulls(more.num_rows, pa.int64())))
+        return pa.concat_tables([r.select(names) for r in rows])
 
     return run
 
 
-def _block_edges(group: pa.Table, num: int, den: int, paired: int) -> pa.Table:
-    """Pairs of sets that share a key of the block: all that their sizes allow if few do (sure: false), else a star (true)."""
-    keys, sets, sizes, wide_keys, wide_sets, tied = [], [], [], [], [], []
-    for raw in group.column("payload").to_pylist():
-        if np.frombuffer(raw, np.int64, 1)[0] < 0:
-            tied.append(np.frombuffer(raw, np.int64, -1, 8).reshape(2, -1))
-            continue
-        n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        at = 16
-        wide_keys.append(np.frombuffer(raw, np.uint64, m, at))
-        wide_sets.append(np.frombuffer(raw, np.int64, m, at + 8 * m))
-        at += 16 * m
-        names = np.frombuffer(raw, np.int64, n, at)
-        total = (len(raw) - at - 16 * n) // 8
-        runs = np.frombuffer(raw, np.int32, n, at + 8 * n + 8 * total)
-        keys.append(np.frombuffer(raw, np.uint64, total, at + 8 * n))
-        sets.append(np.repeat(names, runs))
-        sizes.append(np.repeat(np.frombuffer(raw, np.int32, n, at + 12 * n + 8 * total), runs))
-    wide_keys, wide_sets = np.concatenate(wide_keys), np.concatenate(wide_sets)
-    keys, sets = np.concatenate([*keys, wide_keys]), np.concatenate([*sets, wide_sets])
-    sizes = np.concatenate([*sizes, np.zeros(len(wide_keys), np.int32)])
-    order = np.lexsort((-sizes, sets, keys))
-    keys, sets, sizes = keys[order], sets[order], sizes[order].astype(np.int64)
-    if len(keys):
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])
-        keys, sets, sizes = keys[new], sets[new], sizes[new]
-    at = _runs(keys)
-    length = np.diff(at)
-    star = (length > paired) | np.isin(keys[at[:-1]], wide_keys)
-    inside = np.repeat(star, length)
-    sure = np.stack([np.repeat(sets[at[:-1]], length)[inside], sets[inside]])
-    few = []
-    for m in np.unique(length[~star & (length > 1)]).tolist():
-        first = at[:-1][~star & (length == m)]
-        i, j = np.triu_indices(m, 1)
-        a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-        fit = (sizes[a] * den >= num * sizes[b]) & (sizes[b] * den >= num * sizes[a])
-        few.append(np.stack([sets[a[fit]], sets[b[fit]]]))
-    pairs = np.unique(np.concatenate(few, axis=1), axis=1) if few else np.zeros((2, 0), np.int64)
-    sure = np.unique(np.concatenate([sure[:, sure[0] != sure[1]], *tied], axis=1), axis=1)
-    both = np.concatenate([pairs, sure], axis=1)
-    return pa.table({"u": pa.array(both[0], pa.int64()), "v": pa.array(both[1], pa.int64()), "sure": pa.array(np.arange(both.shape[1]) >= pairs.shape[1])})
-
-
-def outline(u: np.ndarray) -> bytes:
-    """How many hashes fall into each of OUTLINE classes, 255 at most. What two outlines differ by is no more than what the sets differ by."""
-    return np.minimum(np.bincount((u & np.uint64(OUTLINE - 1)).astype(np.int64), minlength=OUTLINE), 255).astype(np.uint8).tobytes()
-
-
-def _near_outlines(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, OUTLINE).astype(np.int16) for k in ("_x", "_y"))
-            total = batch.column("total").to_numpy()
-            apart = np.abs(a - b).sum(1, dtype=np.int64)
-            near = pa.array(apart * (den + num) <= total * (den - num))
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(near), batch.column("v").filter(near)], names=["u", "v"])
+def _tied(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Ties between runs of sizes (smallest, largest) of one shingle."""
+
+    def run(group: pa.Table) -> pa.Table:
+        h, owner, low, high = _joined(group["payload"].to_pylist(), (np.uint64, np.int64, np.int32, np.int32))
+        order = np.lexsort((low, h))
+        h, owner, low, high = h[order], owner[order], low[order], high[order]
+        at = _cuts(h)
+        # The largest size so far within a shingle; sizes are lifted by the run's number, so that one pass serves all.
+        lift = np.repeat(np.arange(len(at) - 1), np.diff(at)) << 33
+        reach = np.maximum.accumulate(high + lift) - lift
+        tied = (h[1:] == h[:-1]) & _fits(reach[:-1], low[1:], num, den)
+        u, v = forest(owner[:-1][tied], owner[1:][tied])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def product(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Boolean matrix of the pairs of sets whose Jaccard similarity is num/den or more."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    total = size[:, None] + size[None, :]
-    alive = (size[:, None] * den >= num * size[None, :]) & (size[None, :] * den >= num * size[:, None])
-    np.fill_diagonal(alive, False)
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, v = _joined(batch.column("payload").to_pylist(), (np.int64, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = _joined(batch.column("payload").to_pylist(), (np.int64,) * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["doc_id", "n", "c"])
+
+
+def product(left: list[np.ndarray], num: int, den: int, size: np.ndarray | None = None, right: list[np.ndarray] | None = None, right_size: np.ndarray | None = None) -> np.ndarray:
+    """Boolean matrix: which sets of ``left`` have a Jaccard similarity of num/den or more with which of ``right`` (else of
+    ``left``, without themselves). Sizes are given where the sets lack shingles that no other has."""
+    own = right is None
+    right = left if own else right
+    a = np.array([len(s) for s in left], np.int64) if size is None else size.astype(np.int64)
+    b = a if own else np.array([len(s) for s in right], np.int64) if right_size is None else right_size.astype(np.int64)
+    total = a[:, None] + b[None, :]
+    alive = (a[:, None] * den >= num * b[None, :]) & (b[None, :] * den >= num * a[:, None])
+    if own:
+        np.fill_diagonal(alive, False)
     if not alive.any():
         return alive
-    hashes, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(hashes, kind="stable")
-    hashes, doc = hashes[order], doc[order]
-    at = _runs(hashes)
-    shared = np.repeat(np.diff(at) > 1, np.diff(at))  # an n-gram of one document adds to no overlap
-    column = np.cumsum(np.concatenate([[0], hashes[shared][1:] != hashes[shared][:-1]])) if shared.any() else np.zeros(0, np.int64)
-    doc = doc[shared]
-    rest = np.bincount(doc, minlength=m)
-    overlap = np.zeros((m, m), np.float64)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (low, low + COLUMNS))
-        incidence = np.zeros((m, min(COLUMNS, int(column[b - 1]) - low + 1)), np.float32)
-        incidence[doc[a:b], column[a:b] - low] = 1
-        overlap += incidence @ incidence.T
-        rest = rest - np.bincount(doc[a:b], minlength=m)
-        alive &= (overlap + np.minimum(rest[:, None], rest[None, :])) * (den + num) >= num * total
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        return every[order], doc[order]
+
+    (h, x), (g, y) = entries(left), entries(right)
+    columns = np.intersect1d(h, g)
+    c, d = np.searchsorted(columns, h), np.searchsorted(columns, g)
+    keep = (c < len(columns)) & (columns[np.minimum(c, len(columns) - 1)] == h) if len(columns) else np.zeros(len(h), bool)
+    c, x = c[keep], x[keep]
+    keep = (d < len(columns)) & (columns[np.minimum(d, len(columns) - 1)] == g) if len(columns) else np.zeros(len(g), bool)
+    d, y = d[keep], y[keep]
+    in_left, in_right = np.bincount(c, minlength=len(columns)), np.bincount(d, minlength=len(columns))
+    shape = (len(left), len(right))
+    # Columns of few rows are multiplied entry by entry, the others as dense strips.
+    thin = in_left * in_right * 100 <= shape[0] * shape[1]
+    few = np.flatnonzero(thin[c])
+    times = in_right[c[few]]
+    at = np.repeat((np.cumsum(in_right) - in_right)[c[few]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    overlap = np.bincount(np.repeat(x[few], times) * shape[1] + y[at], minlength=shape[0] * shape[1]).reshape(shape).astype(np.float32)
+    wide = ~thin
+    place = np.cumsum(wide) - 1
+    x, c = x[wide[c]], place[c[wide[c]]]
+    y, d = y[wide[d]], place[d[wide[d]]]
+    rest_x, rest_y = np.bincount(x, minlength=shape[0]), np.bincount(y, minlength=shape[1])
+    for low in range(0, int(wide.sum()), COLUMNS):
+        alive &= (overlap + np.minimum(rest_x[:, None], rest_y[None, :])) * (den + num) >= num * total
         if not alive.any():
             return alive
-    return alive & (overlap * (den + num) >= num * total)
+        strip = min(COLUMNS, int(wide.sum()) - low)
+        sides = []
+        for doc, col, rows in ((x, c, shape[0]), (y, d, shape[1])):
+            i, j = np.searchsorted(col, (low, low + strip))
+            dense = np.zeros((rows, strip), np.float32)
+            dense[doc[i:j], col[i:j] - low] = 1
+            sides.append(dense)
+            rest = rest_x if doc is x else rest_y
+            rest -= np.bincount(doc[i:j], minlength=rows)
+        overlap += sides[0] @ sides[1].T
+    return alive & (overlap.astype(np.float64) * (den + num) >= num * total)
+
+
+def _tasks(of: Callable[[pa.Table], pa.Table | None], keys: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of`` each run of rows with equal ``keys``; rows come ordered by these."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-def _linked(width: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ordered by task: each task's links, as the edges of a forest."""
-
-    def forest(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        link = product(sets, num, den)
-        label = np.arange(len(ids))
-        while True:
-            low = np.minimum(label, np.where(link, label[None, :], len(ids)).min(1))
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        other = label != np.arange(len(ids))
-        return ids[label[other]], ids[other]
+        def cuts(t: pa.Table) -> np.ndarray:
+            task = np.stack([t[k].to_numpy() for k in keys])
+            return np.concatenate([[0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(0)) + 1, [t.num_rows]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids = t["doc_id"].to_numpy()
-            hashes, starts = words(t["text"])
-            sets = [np.unique(s) for s in shingles(hashes, starts, width)]
-            task = np.stack([t[k].to_numpy() for k in ("c", "bi", "bj")])
-            at = np.concatenate([[0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(0)) + 1, [len(ids)]])
-            us, vs = [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                u, v = forest(ids[a:b], sets[a:b])
-                us.append(u)
-                vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+        def emit(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            got = [x for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if (x := of(t.slice(a, b - a))) is not None]
+            if got:
+                yield from pa.concat_tables(got).combine_chunks().to_batches()
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            last = t.slice(t.num_rows - 1)
-            same = np.ones(t.num_rows, bool)
-            for k in ("c", "bi", "bj"):
-                same &= t[k].to_numpy() == last[k][0].as_py()
-            begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if begin:
-                yield from emit(t.slice(0, begin))
-            held = t.slice(begin)
-        if held is not None:
-            yield from emit(held)
+            if batch.num_rows:
+                t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+                at = cuts(t)
+                yield from emit(t, at[:-1])
+                held = [t.slice(int(at[-2]))]
+        if held:
+            yield from emit(held[0], cuts(held[0]))
 
     return run
 
 
-def _verified(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links among ``nodes`` (doc_id, text, tasks: array of (c, bi, bj)) within each task."""
-    rows = nodes.select(F.explode("tasks").alias("t"), "doc_id", "text").select("t.c", "t.bi", "t.bj", "doc_id", "text")
-    rows = rows.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj")
-    return rows.mapInArrow(_linked(width, num, den), "u long, v long")
+def _sets_of(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    name, size, count, shingle = _unpacked(payload)
+    return name, size, np.split(shingle.view(np.uint64), np.cumsum(count)[:-1])
+
+
+def _edges(name: np.ndarray, other: np.ndarray, link: np.ndarray) -> pa.Table:
+    i, j = np.nonzero(link)
+    u, v = forest(name[i], other[j])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _linked(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Links within a cluster of one block."""
+
+    def of(t: pa.Table) -> pa.Table:
+        name = t["name"].to_numpy()
+        return _edges(name, name, product([np.frombuffer(x, np.uint64) for x in t["payload"].to_pylist()], num, den, t["n"].to_numpy()))
+
+    return of
+
 
+def _gathered(t: pa.Table) -> pa.Table:
+    """One row a block, with all its sets."""
+    sets = [np.frombuffer(x, np.uint64) for x in t["payload"].to_pylist()]
+    payload = _packed(t["name"].to_numpy(), t["n"].to_numpy(), np.array([len(s) for s in sets], np.int32), np.concatenate(sets).view(np.int64))
+    return t.slice(0, 1).select(["c", "block"]).append_column("sets", pa.array([payload], pa.binary()))
 
-def _placed(clusters: DataFrame, size: DataFrame) -> DataFrame:
-    """(doc_id, c, blocks, block): clusters dealt into blocks of about BLOCK_DOCS sets and BLOCK_SHINGLES shingles."""
-    nodes = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("c")).join(size, "doc_id")
-    whole = nodes.groupBy("c").agg(F.count("*").alias("_docs"), F.sum("n").alias("_n"))
-    many = F.ceil(F.greatest(F.col("_docs") / BLOCK_DOCS, F.least(F.col("_docs") / 2, F.col("_n") / BLOCK_SHINGLES))).cast("int")
-    nodes = nodes.join(whole.select("c", many.alias("blocks")), "c")
-    return cut(nodes.select("doc_id", "c", "blocks", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block")), "places")
 
+def _first_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Links within a block (the second row, if any) and between it and the cluster's first block."""
 
-def _task(bi, bj):
-    return F.struct(F.col("c"), bi.cast("int").alias("bi"), bj.cast("int").alias("bj"))
+    def of(t: pa.Table) -> pa.Table:
+        both = [_sets_of(x) for x in t["sets"].to_pylist()]
+        name, size = (np.concatenate([b[k] for b in both]) for k in (0, 1))
+        return _edges(name, name, product([s for b in both for s in b[2]], num, den, size))
 
+    return of
 
-def _sparse(texts: DataFrame, pairs: DataFrame, size: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links among ``pairs`` (and whatever else comes together): a cluster of one block is one task; of a larger one, a block meets another in
-    the documents that have a pair there."""
-    places = _placed(components(pairs), size)
-    one = places.filter("blocks = 1").select("doc_id", _task(F.lit(0), F.lit(0)).alias("t"))
-    at = lambda x: places.filter("blocks > 1").select(F.col("doc_id").alias(x), F.col("block").alias(f"_{x}"), "c")
-    met = pairs.join(at("u"), "u").join(at("v").drop("c"), "v").withColumn("t", _task(F.least("_u", "_v"), F.greatest("_u", "_v")))
-    met = met.select(F.col("u").alias("doc_id"), "t").unionByName(met.select(F.col("v").alias("doc_id"), "t")).distinct()
-    tasks = cut(one.unionByName(met).groupBy("doc_id").agg(F.collect_list("t").alias("tasks")), "tasks")
-    return cut(_verified(texts.join(_small(tasks), "doc_id"), width, num, den), "links")
 
+def _outer_links(num: int, den: int) -> Callable[[pa.Table], pa.Table | None]:
+    """Links between an outer tile (its row comes first) and the sets of a stripe of blocks."""
 
-def _dense(texts: DataFrame, clusters: DataFrame, size: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """All links within ``clusters``: each block meets the first block and itself; then sets outside the cluster's largest component meet all blocks."""
-    places = _placed(clusters, size)
-    nodes = texts.join(_small(places), "doc_id")
-    own = F.array(_task(F.lit(0), F.col("block")))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: _task(F.lit(0), b))
-    first = nodes.select("doc_id", "text", F.when(F.col("block") == 0, every).otherwise(own).alias("tasks"))
-    links = cut(_verified(first, width, num, den), "links")
-    large = places.filter("blocks > 1")
+    def of(t: pa.Table) -> pa.Table | None:
+        if t["block"][0].as_py() >= 0 or t.num_rows < 2:
+            return None
+        mine = _sets_of(t["sets"][0].as_py())
+        out = []
+        for x in t["sets"].to_pylist()[1:]:
+            name, size, sets = _sets_of(x)
+            link = product(mine[2], num, den, mine[1], sets, size)
+            link &= mine[0][:, None] != name[None, :]
+            out.append(_edges(mine[0], name, link))
+        return pa.concat_tables(out)
+
+    return of
+
+
+_EDGES = "u long, v long"
+
+
+def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): a forest of the links of ``sets`` (name, n, payload: shared shingles) within ``clusters`` (node, component)."""
+    known = sets.select("name", "n", (F.octet_length("payload") / 8).alias("_held")).join(clusters.withColumnsRenamed({"node": "name", "component": "c"}), "name")
+    whole = known.groupBy("c").agg(F.count("*").alias("_sets"), F.sum("_held").alias("_all"))
+    many = F.ceil(F.greatest(F.col("_sets") / BLOCK_SETS, F.least(F.col("_sets") / 2, F.col("_all") / BLOCK_SHINGLES))).cast("int")
+    places = known.select("name", "c").join(whole.select("c", many.alias("blocks")), "c").withColumn("block", F.expr("cast(pmod(xxhash64(name), blocks) as int)"))
+    rows = cut(sets.join(places, "name").select("c", "blocks", "block", "name", "n", "payload"), "placed")
+
+    small = rows.filter("blocks = 1").select("c", "name", "n", "payload").repartition("c").sortWithinPartitions("c", "name")
+    links = cut(small.mapInArrow(_tasks(_linked(num, den), ("c",)), _EDGES), "links")
+    large = rows.filter("blocks > 1")
     if large.isEmpty():
         return links
-    reached = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    parts = reached.groupBy("c", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("c").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("_parts"), F.sum("k").alias("_all"))
-    main = main.filter("_parts > 1").select("c", F.col("m.component").alias("_main"), F.ceil((F.col("_all") - F.col("m.k")) / BLOCK_DOCS).cast("int").alias("outer"))
-    open_ = cut(reached.join(main, "c").select("doc_id", "c", "blocks", "block", "outer", (F.col("component") != F.col("_main")).alias("outside")), "open")
-    mine = F.expr("cast(pmod(xxhash64(doc_id, 1), outer) as int)")
-    as_any = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: _task(o, F.col("block")))
-    as_outer = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: _task(mine, b))
-    both = F.concat(F.filter(as_any, lambda t: t["bi"] != mine), as_outer)
-    second = texts.join(_small(open_), "doc_id").select("doc_id", "text", F.when(F.col("outside"), both).otherwise(as_any).alias("tasks"))
-    return cut(links.unionByName(_verified(second, width, num, den)), "links")
 
+    # Every block meets the first; what is then outside of its cluster's largest component meets all.
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        df = df.select("c", "block", "name", "n", "payload").repartition("c", "block").sortWithinPartitions("c", "block", "name")
+        return cut(df.mapInArrow(_tasks(_gathered, ("c", "block")), "c long, block int, sets binary"), name)
 
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    blocks = gathered(large, "blocks").join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
+    to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = blocks.select("c", "block", "sets", F.explode(to).alias("task")).repartition("c", "task").sortWithinPartitions("c", "task", "block")
+    links = cut(links.unionByName(first.mapInArrow(_tasks(_first_links(num, den), ("c", "task")), _EDGES)), "links")
+    reached = large.select("c", "name").join(components(links).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    parts = reached.groupBy("c", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("c").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("_all"))
+    main = main.select("c", F.col("m.component").alias("_main"), F.ceil((F.col("_all") - F.col("m.k")) / TILE_SETS).cast("int").alias("tiles")).filter("tiles > 0")
+    outside = cut(reached.join(main, "c").filter("component <> _main").select("name", "tiles"), "outside")
+    if outside.isEmpty():
+        return links
+    tiles = gathered(large.join(outside, "name").withColumn("block", F.expr("cast(pmod(xxhash64(name, 1), tiles) as int)")), "tiles")
+    stripe = max(1, TILE_SETS // BLOCK_SETS)
+    counts = main.select("c", "tiles").join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
+    stripes = F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / stripe).cast("int"))
+    a = tiles.join(counts, "c").select("c", F.col("block").alias("tile"), F.explode(stripes).alias("stripe"), F.lit(-1).alias("block"), "sets")
+    b = blocks.drop("blocks").join(counts, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.floor(F.col("block") / stripe).cast("int").alias("stripe"), "block", "sets")
+    second = a.unionByName(b).repartition("c", "tile", "stripe").sortWithinPartitions("c", "tile", "stripe", "block")
+    return cut(links.unionByName(second.mapInArrow(_tasks(_outer_links(num, den), ("c", "tile", "stripe")), _EDGES)), "links")
 
 
-def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, paired: int = PAIRED) -> DataFrame:
+def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
     A text's set: its distinct shingles of ``width`` words (A-Z lower-cased, split at ASCII white space); fewer words are one
     shingle, no words none. Two documents link when den * intersection >= num * union; sets are compared by 64-bit hashes.
     ``component_id`` is the smallest doc_id reachable by links, itself included. No link between different sets is
-    lost and none is capped; copies are one row of the product.
+    lost and none is capped; copies are one row of the product. Equal sets are told by a 64-bit digest.
 
-    Clusters of over BLOCK_DOCS sets are dealt into blocks. Where keys give pairs, a document goes to the blocks in which it has a pair. Where keys
-    tie very many sets together, each block meets the first block and itself, and then only sets outside the cluster's
-    largest component meet the other blocks, so a group of near copies costs about its size.
+    Clusters of over BLOCK_SETS sets are dealt into blocks. Each block meets itself and the first block, and then only
+    sets outside of the cluster's largest component meet the other blocks, tile by tile; so a group of near copies that
+    link costs about its size, one in which very many link with nothing costs more.
 
     Null or empty text: no shingles, linked with nothing. Null doc_id: component_id null, never linked. A doc_id that
     repeats is one node with all its texts. Empty table: no rows. Other columns are ignored.
@@ -386,42 +501,34 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100, pa
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // DOCS_A_KEY_BLOCK))
     named = docs.filter("doc_id is not null")
-    # Keys go from the scan straight into the shuffle by block; sizes and digests are worth a second reading of the texts.
-    signed = named.select("text").mapInArrow(_signed(width, num, den, blocks, paired), "block long, payload binary")
-    pairs = signed.groupBy("block").applyInArrow(lambda g: _block_edges(g, num, den, paired), "u long, v long, sure boolean")
-    pairs = cut(pairs.groupBy("u", "v").agg(F.max("sure").alias("sure")), "pairs")
-    described = cut(named.mapInArrow(_described(width), "doc_id long, n long, c long, d long, outline binary"), "described")
+    read = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read // BLOCK_BYTES))
+
+    shingled = named.mapInArrow(_incidence(width, blocks, CHUNK_BYTES, HOT), _ROWS)
+    counted = cut(shingled.groupBy("block").applyInArrow(_counted(blocks), _ROWS), "counted")
+    described = cut(counted.filter(f"kind = {_DOCS}").select("payload").mapInArrow(_documents_of, "doc_id long, n long, c long"), "described")
+    shared = counted.filter(f"kind = {_SHARED}").select("block", "payload")
+    active = cut(shared.groupBy("block").applyInArrow(_active(blocks, num, den), f"{_ROWS}, name long, n long"), "active")
+    ties = active.filter(f"kind = {_TIES}").select("payload").mapInArrow(_pairs_of, _EDGES)
+    ties = ties.unionByName(active.filter(f"kind = {_RUNS}").select("block", "payload").groupBy("block").applyInArrow(_tied(num, den), _EDGES))
+    links = _links(active.filter(f"kind = {_SHARED}").select("name", "n", "payload"), components(ties), num, den)
+
+    # Equal sets are one node, named by the smallest doc_id; a doc_id with several texts joins their nodes.
+    full = described.filter("n > 0")
+    sets = cut(full.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")), "sets")
+    several = full.select("doc_id", "c").distinct().groupBy("doc_id").agg(F.min("c").alias("u"), F.count("*").alias("_k")).filter("_k > 1")
+    several = full.select("doc_id", F.col("c").alias("v")).join(several.select("doc_id", "u"), "doc_id").select("u", "v").distinct()
+    rep = lambda x: sets.select(F.col("c").alias(x), F.col("rep").alias(f"_{x}"))
+    named_links = links.unionByName(several).join(rep("u"), "u").join(rep("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    found = components(named_links).withColumnsRenamed({"node": "rep", "component": "component_id"})
+    sets = cut(sets.join(found, "rep", "left").select("c", "_rows", F.coalesce("component_id", "rep").alias("component_id")), "labelled")
+    # Sets of very many copies are few, 100,000 at most, and go to all executors, so no key of the join is hot.
+    heavy = max(4096, described.count() // 100_000)
+    often, seldom = F.broadcast(sets.filter(F.col("_rows") > heavy).drop("_rows")), sets.filter(F.col("_rows") <= heavy).drop("_rows")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    out = full.join(often, "c").select(*columns).unionByName(full.join(often.select("c"), "c", "left_anti").join(seldom, "c").select(*columns))
     empty = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-
-    # Equal sets are one row from here on, named by their digest; the smallest doc_id stands for all.
-    digested = described.filter("n > 0")
-    sets = cut(digested.groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"), F.first("outline").alias("outline")), "sets")
-    classes = cut(digested.drop("outline").join(sets.drop("outline"), ["n", "c", "d"]).select("doc_id", "n", "rep"), "classes")
-    member = classes.select("doc_id", "rep").distinct()
-    end = lambda x, y: sets.select(F.col("c").alias(x), F.col("rep").alias(f"_{x}"), F.col("outline").alias(y), F.col("n").alias(f"_n{x}"))
-    pairs = cut(pairs.join(end("u", "_x"), "u").join(end("v", "_y"), "v").select("sure", F.col("_u").alias("u"), F.col("_v").alias("v"), (F.col("_nu") + F.col("_nv")).alias("total"), "_x", "_y"), "pairs")
-    near = cut(pairs.filter("not sure").mapInArrow(_near_outlines(num, den), "u long, v long"), "near")
-    tied = cut(pairs.filter("sure").select("u", "v"), "tied")
-    size = sets.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
-    ends = lambda e: e.select(F.col("u").alias("doc_id")).unionByName(e.select(F.col("v").alias("doc_id")))
-    needed = cut(ends(near).unionByName(ends(tied)).distinct(), "needed")
-    texts = cut(named.join(_small(needed), "doc_id"), "texts")  # of sets that may meet another; only these are sent about
-
-    links = _dense(texts, components(tied), size, width, num, den) if not tied.isEmpty() else None
-    if links is not None:
-        found = components(links)
-        a, b = found.select(F.col("node").alias("u"), F.col("component").alias("_a")), found.select(F.col("node").alias("v"), F.col("component").alias("_b"))
-        near = near.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("_a", "u") != F.coalesce("_b", "v")).select("u", "v")
-    near = _sparse(texts, near, size, width, num, den)
-    links = near if links is None else links.unionByName(near)
-
-    twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("_top")).filter("u <> _top").select("doc_id", "u")
-    twice = member.join(twice, "doc_id").select("u", F.col("rep").alias("v"))
-    found = components(links.unionByName(twice))
-    labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    out = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.unionByName(empty).unionByName(_unnamed(docs, width))
 
 
