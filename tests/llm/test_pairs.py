@@ -255,6 +255,66 @@ def test_fingerprints_of_edited_texts(spark):
     assert fingerprints.compare_edited(documents(spark, [(4, "alone in the table", "s")])).first()["near_next"] == 1
 
 
+def pair_likeness(spark, pairs):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    prints = df.select("i", fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
+    return [r for r in prints.select("i", "a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
+
+
+def test_likeness_of_short_texts_and_across_all_lengths(spark):
+    long_, other = prose(4, 200), prose(5, 200)
+    cases = [(long_[:311], long_[:233] + "no."), (long_[:250], long_[:250] + " and so on."), (long_[:505], long_[:505] + " and so on"), ("one two three four", "one two three five"), ("x" * 40 + "日本語のテキスト" * 30, "x" * 40 + "日本語のテキスト" * 30 + "終")]
+    cases += [(long_[:n], long_[: n - n // 10]) for n in range(60, 700, 40)]
+    assert all(r["x"] > 0.3 for r in pair_likeness(spark, cases))
+    assert all(r["x"] < 0.1 for r in pair_likeness(spark, [(long_[:n], other[:n]) for n in range(100, 900, 50)]))
+    same = [("", None), ("one", "one"), (long_, long_), ("", "")]
+    assert all(r["x"] == 1 for r in pair_likeness(spark, same))
+
+
+def test_likeness_equals_brute_force_and_uses_places(spark):
+    words_ = prose(6, 900).split()
+    blocks = [words_[i : i + 90] for i in range(0, 900, 90)]
+    shuffled = [w for k in (7, 2, 9, 0, 5, 3, 8, 1, 6, 4) for w in blocks[k]]
+    r = random.Random(2)
+    cases = [(" ".join(words_), " ".join(shuffled)), (" ".join(words_), "in front " * 20 + " ".join(words_)), (" ".join(words_), edited(" ".join(words_), r, 0.03)), (prose(7, 30), edited(prose(7, 30), r, 0.05)), (prose(9, 4000), edited(prose(9, 4000), r, 0.01))]
+    got = pair_likeness(spark, cases)
+
+    def alike(a, b):
+        places, others = (dict(zip(x["hashes"], x["places"], strict=True)) for x in (a, b))
+        every = sorted({*places, *others})[: max(64, min(len(places), len(others)))]
+        moved = sorted(others[h] - places[h] for h in every if h in places and h in others)
+        reach = max(16, max([*places.values(), *others.values()]) // 8)
+        return sum(abs(m - moved[len(moved) // 2]) <= reach for m in moved) / len(every) if moved else 0.0
+
+    for x in got:
+        both_fine = x["a"]["fine"]["hashes"] and x["b"]["fine"]["hashes"]
+        assert x["x"] == pytest.approx(max(alike(x["a"]["words"], x["b"]["words"]), alike(x["a"]["fine"], x["b"]["fine"]) if both_fine else 0))
+    assert len(got[4]["a"]["words"]["hashes"]) > 100  # grows with the text
+    assert got[1]["x"] > 0.8
+    assert got[0]["x"] < 0.6  # the same passages in another order
+
+
+def test_next_documents_where_one_id_holds_a_third_of_all_rows(spark):
+    ids = [*range(60), *[7] * 40, None, -(1 << 63)]
+    rows = [(i, f"{k:04d} " + prose(k, 6), "s") for k, i in enumerate(ids)]
+    got = fingerprints.compare_edited(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    known = {sha(t[: len(t) - len(t) // 4] + u[: len(t) // 4]): (t, u) for _, t, _ in rows for _, u, _ in rows}
+    after = dict(known[r["edited_sha256"]] for r in got)  # a cycle through all texts, ids in order
+    at, seen = rows[0][1], []
+    for _ in rows:
+        seen.append(at)
+        at = after[at]
+    assert at == rows[0][1]
+    assert len(set(seen)) == len(rows)
+    by_text = {t: i for i, t, _ in rows}
+    order = [by_text[t] for t in seen]
+    assert order[: -2] == sorted(order[:-2])
+    assert set(order[-2:]) == {None, -(1 << 63)}
+
+
 def test_anchors_equal_brute_force(spark):
     text = prose(8, 400)
     df = documents(spark, [(1, text, "a"), (2, "z " * 3 + text[:700], "a")])
