@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from gridloom.cluster import ship
 from gridloom.llm.bytewords import column, mix, shingles, words
 from gridloom.llm.components import components
+from gridloom.llm.packing import block_of, cuts, joined, packed, unpacked
 from gridloom.llm.store import cut
 
 #: Sets a block of the product, and sets a tile where those outside of a large cluster's main component meet all others.
@@ -41,48 +42,6 @@ _ROWS = "kind byte, block long, payload binary"
 _SHINGLES, _DOCS, _SHARED, _TIES, _RUNS = range(5)
 
 
-def _block_of(x: np.ndarray, blocks: int) -> np.ndarray:
-    """Even intervals of 64-bit values, so ascending values have ascending blocks."""
-    return (((x >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-
-
-def _cuts(a: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin and, last, the end."""
-    return np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one value: ascending 64-bit hashes as differences, every array by planes of bytes, compressed."""
-    out = [np.array([len(arrays)], np.int32).tobytes()]
-    for a in arrays:
-        raw = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
-        planes = np.ascontiguousarray(np.ascontiguousarray(raw).view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
-        data = pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(a) else b""
-        out += [a.dtype.str.encode().ljust(4), np.array([len(a), len(data)], np.int64).tobytes(), data]
-    return b"".join(out)
-
-
-def _unpacked(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 4
-    for _ in range(int(np.frombuffer(raw, np.int32, 1)[0])):
-        kind = np.dtype(raw[at : at + 4].decode().strip())
-        n, size = np.frombuffer(raw, np.int64, 2, at + 4).tolist()
-        at += 20
-        if n:
-            planes = np.frombuffer(pa.decompress(raw[at : at + size], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
-            a = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
-        else:
-            a = np.zeros(0, kind)
-        out.append(np.cumsum(a, dtype=np.uint64) if kind == np.uint64 else a)
-        at += size
-    return out
-
-
-def _joined(payloads: list[bytes], kinds: tuple) -> list[np.ndarray]:
-    parts = [_unpacked(x) for x in payloads]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
-
-
 def _rows(kind, block, payload) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int8()), "block": pa.array(block, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
@@ -129,7 +88,7 @@ def _incidence(width: int, blocks: int, most: int, hot_from: int) -> Callable[[I
         if len(full):
             c[full] = mix(np.add.reduceat(mix(every), (np.cumsum(size) - size)[full]) + size[full].astype(np.uint64)).view(np.int64)
         ids = part.column("doc_id").to_numpy()
-        kinds, where, payload = [_DOCS], [int(ids[0]) % blocks], [_packed(ids, size, c)]
+        kinds, where, payload = [_DOCS], [int(ids[0]) % blocks], [packed(ids, size, c)]
         names, lead = np.unique(c[full], return_index=True)  # copies give their shingles once
         lead = full[lead]
         if not len(lead):
@@ -139,28 +98,28 @@ def _incidence(width: int, blocks: int, most: int, hot_from: int) -> Callable[[I
         owner = np.repeat(np.arange(len(lead)), sizes)
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        at = _cuts(h)
+        at = cuts(h)
         many = np.diff(at) >= hot_from
         marks = h[at[:-1][many]]
         hot = np.repeat(many, np.diff(at))
         if len(marks):
             got = np.argsort(owner[hot], kind="stable")
             held, shingle = owner[hot][got], h[hot][got]
-            target = _block_of(mix(names[held].view(np.uint64)), blocks)
+            target = block_of(mix(names[held].view(np.uint64)), blocks)
             by = np.argsort(target, kind="stable")
             held, shingle, target = held[by], shingle[by], target[by]
-            for a, b in zip((k := _cuts(target))[:-1].tolist(), k[1:].tolist(), strict=True):
+            for a, b in zip((k := cuts(target))[:-1].tolist(), k[1:].tolist(), strict=True):
                 kinds.append(_SHARED)
                 where.append(int(target[a]))
                 payload.append(_shared(names[held[a:b]], sizes[held[a:b]], shingle[a:b], np.full(b - a, _LAST, np.int32)))
             h, owner = h[~hot], owner[~hot]
-        block, marked = _block_of(h, blocks), _block_of(marks, blocks)
+        block, marked = block_of(h, blocks), block_of(marks, blocks)
         for k in np.union1d(block, marked).tolist():
             a, b = np.searchsorted(block, (k, k + 1))
             own, local = np.unique(owner[a:b], return_inverse=True)
             kinds.append(_SHINGLES)
             where.append(k)
-            payload.append(_packed(h[a:b], local.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), names[own], sizes[own], marks[marked == k]))
+            payload.append(packed(h[a:b], local.astype(np.uint16 if len(own) < 1 << 16 else np.uint32), names[own], sizes[own], marks[marked == k]))
         return _rows(kinds, where, payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +132,8 @@ def _incidence(width: int, blocks: int, most: int, hot_from: int) -> Callable[[I
 
 def _shared(name: np.ndarray, size: np.ndarray, shingle: np.ndarray, held_by: np.ndarray) -> bytes:
     """Rows (set, its size, a shingle of it, how many sets hold that), sets together."""
-    at = _cuts(name)
-    return _packed(name[at[:-1]], size[at[:-1]], np.diff(at).astype(np.int32), shingle.view(np.int64), held_by)
+    at = cuts(name)
+    return packed(name[at[:-1]], size[at[:-1]], np.diff(at).astype(np.int32), shingle.view(np.int64), held_by)
 
 
 def _counted(blocks: int) -> Callable[[pa.Table], pa.Table]:
@@ -183,7 +142,7 @@ def _counted(blocks: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         kind = group["kind"].to_numpy()
         through = group.filter(pa.array(kind != _SHINGLES)).select(["kind", "block", "payload"])
-        parts = [_unpacked(x) for x in group.filter(pa.array(kind == _SHINGLES))["payload"].to_pylist()]
+        parts = [unpacked(x) for x in group.filter(pa.array(kind == _SHINGLES))["payload"].to_pylist()]
         if not parts:
             return through
         h = np.concatenate([p[0] for p in parts])
@@ -196,16 +155,16 @@ def _counted(blocks: int) -> Callable[[pa.Table], pa.Table]:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
         h, name, size = h[new], name[new], size[new]
-        at = _cuts(h)
+        at = cuts(h)
         held_by = np.minimum(np.diff(at), _LAST - 1).astype(np.int32)
         held_by[np.isin(h[at[:-1]], marks)] = _LAST
         held_by = np.repeat(held_by, np.diff(at))
         keep = held_by > 1
         h, name, size, held_by = h[keep], name[keep], size[keep], held_by[keep]
-        target = _block_of(mix(name.view(np.uint64)), blocks)
+        target = block_of(mix(name.view(np.uint64)), blocks)
         order = np.lexsort((name, target))
         h, name, size, held_by, target = h[order], name[order], size[order], held_by[order], target[order]
-        k = _cuts(target)
+        k = cuts(target)
         payload = [_shared(name[a:b], size[a:b], h[a:b], held_by[a:b]) for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)]
         return pa.concat_tables([through, _rows([_SHARED] * len(payload), target[k[:-1]], payload)])
 
@@ -216,7 +175,7 @@ def prefixes(name: np.ndarray, size: np.ndarray, shingle: np.ndarray, held_by: n
     """Which rows (set, its size, a shared shingle, how many sets hold that; by set, then from rare to common) stand in a prefix.
 
     A set's shingles that no other set holds come before all shared ones."""
-    at = _cuts(name)
+    at = cuts(name)
     shared = np.diff(at)
     n = size[at[:-1]].astype(np.int64)
     take = n - -(-num * n // den) + 1 - (n - shared)
@@ -233,7 +192,7 @@ def _active(blocks: int, num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     names = ["kind", "block", "payload", "name", "n"]
 
     def run(group: pa.Table) -> pa.Table:
-        parts = [_unpacked(x) for x in group["payload"].to_pylist()]
+        parts = [unpacked(x) for x in group["payload"].to_pylist()]
         name = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
         size = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
         shingle = np.concatenate([p[3] for p in parts]).view(np.uint64)
@@ -244,7 +203,7 @@ def _active(blocks: int, num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         new[1:] = (name[1:] != name[:-1]) | (shingle[1:] != shingle[:-1])  # copies report a hot shingle from each chunk
         name, size, shingle, held_by = name[new], size[new], shingle[new], held_by[new]
         first = prefixes(name, size, shingle, held_by, num, den)
-        at = _cuts(name)
+        at = cuts(name)
         active = np.flatnonzero(np.logical_or.reduceat(first, at[:-1])) if len(name) else np.zeros(0, np.int64)
         rows = [pa.table({
             "kind": pa.array(np.full(len(active), _SHARED), pa.int8()), "block": pa.nulls(len(active), pa.int64()),
@@ -258,10 +217,10 @@ def _active(blocks: int, num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         u, v = forest(owner[:-1][tied], owner[1:][tied])
         begin = np.flatnonzero(np.concatenate([[True], ~tied])) if len(h) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(h)) - 1 if len(h) else begin
-        block = _block_of(h[begin], blocks)
-        k = _cuts(block)
-        payload = [_packed(h[begin[a:b]], owner[begin[a:b]], n[begin[a:b]], n[end[a:b]]) for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)]
-        more = _rows([_TIES, *[_RUNS] * len(payload)], [0, *block[k[:-1]].tolist()], [_packed(u, v), *payload])
+        block = block_of(h[begin], blocks)
+        k = cuts(block)
+        payload = [packed(h[begin[a:b]], owner[begin[a:b]], n[begin[a:b]], n[end[a:b]]) for a, b in zip(k[:-1].tolist(), k[1:].tolist(), strict=True)]
+        more = _rows([_TIES, *[_RUNS] * len(payload)], [0, *block[k[:-1]].tolist()], [packed(u, v), *payload])
         rows.append(more.append_column("name", pa.nulls(more.num_rows, pa.int64())).append_column("n", pa.nulls(more.num_rows, pa.int64())))
         return pa.concat_tables([r.select(names) for r in rows])
 
@@ -272,10 +231,10 @@ def _tied(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     """Ties between runs of sizes (smallest, largest) of one shingle."""
 
     def run(group: pa.Table) -> pa.Table:
-        h, owner, low, high = _joined(group["payload"].to_pylist(), (np.uint64, np.int64, np.int32, np.int32))
+        h, owner, low, high = joined(group["payload"].to_pylist(), (np.uint64, np.int64, np.int32, np.int32))
         order = np.lexsort((low, h))
         h, owner, low, high = h[order], owner[order], low[order], high[order]
-        at = _cuts(h)
+        at = cuts(h)
         # The largest size so far within a shingle; sizes are lifted by the run's number, so that one pass serves all.
         lift = np.repeat(np.arange(len(at) - 1), np.diff(at)) << 33
         reach = np.maximum.accumulate(high + lift) - lift
@@ -288,13 +247,13 @@ def _tied(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        u, v = _joined(batch.column("payload").to_pylist(), (np.int64, np.int64))
+        u, v = joined(batch.column("payload").to_pylist(), (np.int64, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = _joined(batch.column("payload").to_pylist(), (np.int64,) * 3)
+        got = joined(batch.column("payload").to_pylist(), (np.int64,) * 3)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["doc_id", "n", "c"])
 
 
@@ -360,7 +319,7 @@ def _tasks(of: Callable[[pa.Table], pa.Table | None], keys: tuple[str, ...]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
-        def cuts(t: pa.Table) -> np.ndarray:
+        def ends(t: pa.Table) -> np.ndarray:
             task = np.stack([t[k].to_numpy() for k in keys])
             return np.concatenate([[0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(0)) + 1, [t.num_rows]])
 
@@ -372,17 +331,17 @@ def _tasks(of: Callable[[pa.Table], pa.Table | None], keys: tuple[str, ...]) ->
         for batch in batches:
             if batch.num_rows:
                 t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
-                at = cuts(t)
+                at = ends(t)
                 yield from emit(t, at[:-1])
                 held = [t.slice(int(at[-2]))]
         if held:
-            yield from emit(held[0], cuts(held[0]))
+            yield from emit(held[0], ends(held[0]))
 
     return run
 
 
 def _sets_of(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    name, size, count, shingle = _unpacked(payload)
+    name, size, count, shingle = unpacked(payload)
     return name, size, np.split(shingle.view(np.uint64), np.cumsum(count)[:-1])
 
 
@@ -405,7 +364,7 @@ def _linked(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 def _gathered(t: pa.Table) -> pa.Table:
     """One row a block, with all its sets."""
     sets = [np.frombuffer(x, np.uint64) for x in t["payload"].to_pylist()]
-    payload = _packed(t["name"].to_numpy(), t["n"].to_numpy(), np.array([len(s) for s in sets], np.int32), np.concatenate(sets).view(np.int64))
+    payload = packed(t["name"].to_numpy(), t["n"].to_numpy(), np.array([len(s) for s in sets], np.int32), np.concatenate(sets).view(np.int64))
     return t.slice(0, 1).select(["c", "block"]).append_column("sets", pa.array([payload], pa.binary()))
 
 

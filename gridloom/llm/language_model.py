@@ -9,9 +9,11 @@ predicted first, then the symbol within it. Training is by noise-contrastive est
 noise; scoring normalises over classes and within them, so the probabilities of all tokens sum to one.
 
 Texts are read twice. The first pass finds the frequent words. The second writes, for each chunk of documents, its
-token numbers and its dictionary, and trains one model a partition on every token that may be learned from; models are averaged
-by examples. Dictionaries are shuffled by hash block, so a word moves once a chunk and not once a place; counts return to their
-chunks, which are then scored from the written token numbers.
+token numbers, its dictionary, and the symbols of the texts to learn from, dealt into lots by a hash of doc_id and words. A lot has about
+LOT_TOKENS tokens, whatever the files and partitions, and trains a model of its own in the order of the hashes, on every token;
+models are averaged by tokens. So scores do not depend on how the table is partitioned. Dictionaries are shuffled by
+hash block, so a word moves once a chunk and not once a place; counts return to their chunks, which are then scored from the
+written token numbers.
 """
 
 from __future__ import annotations
@@ -25,22 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
-from gridloom.llm.bytewords import column, words
+from gridloom.llm.bytewords import column, mix, words
+from gridloom.llm.packing import block_of, cuts, packed, unpacked
 from gridloom.llm.store import cut
 
 RARE, CONTEXT, SIZE, ROOT, LEAST_WORDS = 64, 4, 24, 8, 191
 #: Symbols of every model: the rare ones and the end. Frequent words follow; the last input stands for what lies before a text.
 END = RARE
 OUTPUTS = RARE + 1
-START = -1
 END_HASH = np.uint64(0x1D8AF066B5A3C0DE)
 CHUNK_BYTES, DOCS_A_BLOCK = 8 << 20, 16_384
-BATCH, NOISE, RATE = 512, 32, 0.15
+BATCH, NOISE, RATE = 1024, 32, 0.4
+#: Tokens a lot; lots of which models are first added up; tokens of one class that are multiplied at a time.
+LOT_TOKENS, LOTS_TOGETHER, TILE = 4_000_000, 64, 8
 LEARNED = "pmod(crc32(cast(doc_id as string)), 7) <> 2"
-_ROWS = "kind byte, chunk long, block long, low long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, symbols binary, payload binary"
-_CHUNK, _WORDS, _MODEL = 0, 1, 2
+_ROWS = "kind byte, chunk long, key long, low long, ids array<long>, held array<boolean>, sizes array<long>, payload binary"
+_CHUNK, _WORDS, _LEARN = 0, 1, 2
 #: Weights in a row of a model.
-PIECE = 1 << 16
+PIECE = 1 << 15
+_FAR = np.float32(-60)
 
 
 def _rare(tails: np.ndarray) -> np.ndarray:
@@ -83,32 +88,44 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def laid_out(symbols: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the symbols of texts one after another, each text behind CONTEXT times ``start``; where the texts' own symbols stand)."""
+    place = np.arange(len(symbols)) + CONTEXT * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    out = np.full(len(symbols) + CONTEXT * len(sizes), start, np.int32)
+    out[place] = symbols
+    return out, place
+
+
 class Model:
-    """Log-bilinear weights. All start the same, so models trained apart can be averaged."""
+    """Log-bilinear weights. All start the same, so models trained apart can be averaged. Symbols are numbered by frequency inside
+    (``rank``), so a class is a row of the output tables; places beyond the last symbol are out of reach."""
 
     def __init__(self, symbol_counts: np.ndarray):
         r = np.random.default_rng(7)
         v = len(symbol_counts)
         order = np.argsort(-symbol_counts, kind="stable")
-        self.rank = np.empty(v, np.int64)
+        self.rank = np.empty(v, np.int32)
         self.rank[order] = np.arange(v)
         self.width = int(np.ceil(np.sqrt(v)))
-        share = (symbol_counts[order] + 1) / (symbol_counts + 1).sum()
-        self.class_share = np.add.reduceat(share, np.arange(0, v, self.width))
-        self.share = share / self.class_share[np.arange(v) // self.width]
+        n = -(-v // self.width)
+        share = np.zeros(n * self.width)
+        share[:v] = (symbol_counts[order] + 1) / (symbol_counts + 1).sum()
+        share = share.reshape(n, self.width)
+        self.class_share = share.sum(1)
+        self.share = share / self.class_share[:, None]
+        self.start = v
         self.inputs = r.normal(0, 0.1, (v + 1, SIZE)).astype(np.float32)
         self.position = np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32)
-        # Outputs stand by rank, so a class is a slice.
-        self.outputs = r.normal(0, 0.1, (v, SIZE)).astype(np.float32)
-        self.bias = np.log(self.share).astype(np.float32)
-        self.classes = r.normal(0, 0.1, (len(self.class_share), SIZE)).astype(np.float32)
+        self.outputs = r.normal(0, 0.1, (n, self.width, SIZE)).astype(np.float32)
+        self.bias = np.log(np.maximum(self.share, np.exp(_FAR))).astype(np.float32)
+        self.classes = r.normal(0, 0.1, (n, SIZE)).astype(np.float32)
         self.class_bias = np.log(self.class_share).astype(np.float32)
 
     def weights(self) -> list[np.ndarray]:
         return [self.inputs, self.position, self.outputs, self.bias, self.classes, self.class_bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.weights()]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in self.weights()])
 
     def load(self, flat: np.ndarray) -> Model:
         at = 0
@@ -117,46 +134,61 @@ class Model:
             at += x.size
         return self
 
-    def by_class(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-        """(order by class, ranks in that order, (class, from, to) of each class that occurs)."""
-        rank = self.rank[symbols]
-        order = np.argsort(rank // self.width, kind="stable")
-        rank = rank[order]
-        group = rank // self.width
-        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-        return order, rank, [(int(group[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    def context(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of ranks in a row, and the context vectors of all but the first CONTEXT of them."""
+        e = self.inputs[window]
+        n = len(window) - CONTEXT
+        q = e[CONTEXT - 1 : CONTEXT - 1 + n] * self.position[0]
+        for k in range(1, CONTEXT):
+            q += e[CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.position[k]
+        return e, q
 
-    def log_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all classes and within each."""
+    def log_probabilities(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Natural logarithms for each token of texts one after another, normalised over all classes and within each."""
 
         def chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            top = logits.max(1, keepdims=True)
-            return logits[np.arange(len(at)), at] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+            np.minimum(logits, 80, out=logits)
+            mine = logits[np.arange(len(at)), at]
+            np.exp(logits, out=logits)
+            return mine - np.log(logits.sum(1))
 
+        every, place = laid_out(self.rank[symbols], sizes, self.start)
         out = np.empty(len(symbols))
-        tables = [self.inputs * self.position[k] for k in range(CONTEXT)]
-        for low in range(0, len(symbols), 1 << 15):
-            order, rank, groups = self.by_class(symbols[low : low + (1 << 15)])
-            c = contexts[low : low + (1 << 15)][order]
-            q = sum(t[c[:, k]] for k, t in enumerate(tables))
+        for low in range(0, len(place), 1 << 16):
+            at = place[low : low + (1 << 16)]
+            _, q = self.context(every[at[0] - CONTEXT : at[-1] + 1])
+            q, rank = q[at - at[0]], every[at]
+            group = rank // self.width
+            order = np.argsort(group, kind="stable")
+            q, rank, group = q[order], rank[order], group[order]
             logs = np.empty(len(rank))
-            for a in range(0, len(rank), 4096):
-                logs[a : a + 4096] = chosen(q[a : a + 4096] @ self.classes.T + self.class_bias, rank[a : a + 4096] // self.width)
-            for g, first, end in groups:
-                s = slice(g * self.width, (g + 1) * self.width)
-                for a in range(first, end, 4096):
-                    b = min(a + 4096, end)
-                    logs[a:b] += chosen(q[a:b] @ self.outputs[s].T + self.bias[s], rank[a:b] - s.start)
+            for a in range(0, len(rank), 2048):
+                logs[a : a + 2048] = chosen(q[a : a + 2048] @ self.classes.T + self.class_bias, group[a : a + 2048])
+            ends = cuts(group)
+            for first, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                g = int(group[first])
+                for a in range(first, end, 2048):
+                    b = min(a + 2048, end)
+                    logs[a:b] += chosen(q[a:b] @ self.outputs[g].T + self.bias[g], rank[a:b] - g * self.width)
             out[low + order] = logs
         return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
-    def __init__(self, model: Model, seed: int):
-        self.model, self.random, self.seen = model, np.random.default_rng(seed), 0
+    def __init__(self, model: Model):
+        self.model, self.seen = model, 0
         self.noise, self.class_noise = ((NOISE * x).astype(np.float32) for x in (model.share, model.class_share))
-        self.log_noise, self.log_class_noise = np.log(self.noise), np.log(self.class_noise)
         self.squares = [np.full(x.shape, 1e-2, np.float32) for x in model.weights()]
+        self.log_noise = np.where(self.noise > 0, np.log(np.maximum(self.noise, 1e-30)), 0).astype(np.float32)
+        self.log_class_noise = np.log(self.class_noise)
 
     def _move(self, which: int, at, gradient: np.ndarray) -> None:
         """Changes the rows ``at`` of a weight only."""
@@ -164,64 +196,93 @@ class Trainer:
         self.squares[which][at] = square
         self.model.weights()[which][at] += RATE * gradient / np.sqrt(square)
 
-    def _contrast(self, q: np.ndarray, targets: np.ndarray, which: int, s: slice, noise: np.ndarray, log_noise: np.ndarray, n: int) -> np.ndarray:
-        """Learns to tell ``targets`` of the outputs ``s`` from noise; the gradient of q."""
-        table, bias = self.model.weights()[which : which + 2]
-        seems = 1 / (1 + np.exp(-np.clip(q @ table[s].T + (bias[s] - log_noise[s]), -30, 30)))
-        rows = np.arange(len(q))
-        to = -noise[s] * seems
-        to[rows, targets] += 1 - seems[rows, targets]
-        to_q = to @ table[s]
-        self._move(which, s, to.T @ q / n)
-        self._move(which + 1, s, to.sum(0) / n)
+    def _classes(self, q: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Learns to tell the classes of tokens from noise; the gradient of q."""
+        m, n = self.model, len(q)
+        x = q @ m.classes.T
+        x += m.class_bias - self.log_class_noise
+        seems = _sigmoid(x)
+        rows = np.arange(n)
+        own = 1 - seems[rows, group]
+        seems *= -self.class_noise
+        seems[rows, group] += own
+        to_q = seems @ m.classes
+        self._move(4, slice(None), seems.T @ q / n)
+        self._move(5, slice(None), seems.sum(0) / n)
         return to_q
 
-    def step(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
-        m, n = self.model, len(symbols)
-        order, rank, groups = m.by_class(symbols)
-        contexts = contexts[order]
-        parts = m.inputs[contexts]
-        q = (parts * m.position).sum(1)
-        to_q = self._contrast(q, rank // m.width, 4, slice(None), self.class_noise, self.log_class_noise, n)
-        for g, a, b in groups:
-            s = slice(g * m.width, (g + 1) * m.width)
-            to_q[a:b] += self._contrast(q[a:b], rank[a:b] - s.start, 2, s, self.noise, self.log_noise, n)
-        flat = contexts.ravel()
-        by = np.argsort(flat, kind="stable")
-        flat = flat[by]
-        starts = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-        inputs = np.add.reduceat((to_q[:, None, :] * m.position).reshape(-1, SIZE)[by], starts, axis=0)
-        position = (to_q[:, None, :] * parts).sum(0)
-        self._move(0, flat[starts], inputs / n)
+    def _within(self, q: np.ndarray, rank: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Learns to tell tokens from noise of their class; tokens come by class, and are multiplied in tiles of one class."""
+        m, n = self.model, len(q)
+        at = cuts(group)
+        count, present = np.diff(at), group[at[:-1]]
+        tiles = -(-count // TILE)
+        first = np.cumsum(tiles) - tiles
+        slot = np.repeat(first * TILE - at[:-1], count) + np.arange(n)
+        size, of = int(tiles.sum()), np.repeat(present, tiles)
+        given = np.zeros((size, TILE, SIZE), np.float32)
+        given.reshape(-1, SIZE)[slot] = q
+        table = m.outputs[of]
+        x = np.matmul(given, table.transpose(0, 2, 1))
+        x += (m.bias[of] - self.log_noise[of])[:, None, :]
+        seems = _sigmoid(x)
+        flat, target = seems.reshape(size * TILE, -1), rank - group * m.width
+        own = 1 - flat[slot, target]
+        seems *= -self.noise[of][:, None, :]
+        flat[slot, target] += own
+        if size * TILE > n:
+            empty = np.ones(size * TILE, bool)
+            empty[slot] = False
+            flat[empty] = 0
+        to_q = np.matmul(seems, table).reshape(-1, SIZE)[slot]
+        to_table = np.matmul(seems.transpose(0, 2, 1), given).reshape(size, -1)
+        self._move(2, present, np.add.reduceat(to_table, first, axis=0).reshape(len(present), m.width, SIZE) / n)
+        self._move(3, present, np.add.reduceat(seems.sum(1), first, axis=0) / n)
+        return to_q
+
+    def step(self, window: np.ndarray, at: np.ndarray) -> None:
+        """Learns the ranks at places ``at`` (from CONTEXT on, ascending) of ``window``."""
+        m, n = self.model, len(at)
+        e, q = m.context(window)
+        rank = window[at]
+        group = rank // m.width
+        order = np.argsort(group.astype(np.uint16) if len(m.classes) < 1 << 16 else group, kind="stable")
+        mine, rank, group = (at - CONTEXT)[order], rank[order], group[order]
+        q = q[mine]
+        to_q = self._classes(q, group) + self._within(q, rank, group)
+        spread = np.zeros((len(window) - CONTEXT, SIZE), np.float32)
+        spread[mine] = to_q
+        to_e, position = np.zeros_like(e), np.empty_like(m.position)
+        for k in range(CONTEXT):
+            part = slice(CONTEXT - 1 - k, len(window) - 1 - k)
+            to_e[part] += spread * m.position[k]
+            position[k] = np.einsum("ns,ns->s", spread, e[part])
+        by = np.argsort(window, kind="stable")
+        inputs = window[by]
+        starts = cuts(inputs)[:-1]
+        self._move(0, inputs[starts], np.add.reduceat(to_e[by], starts, axis=0) / n)
         self._move(1, slice(None), position / n)
         self.seen += n
 
-    def learn(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
-        for low in range(0, len(symbols), BATCH):
-            self.step(contexts[low : low + BATCH], symbols[low : low + BATCH])
-
-
-def contexts_of(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The CONTEXT symbols before each token, nearest first; START before a text."""
-    out = np.full((len(symbols), CONTEXT), START, np.int32)
-    inside = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for k in range(CONTEXT):
-        at = np.flatnonzero(inside > k)
-        out[at, k] = symbols[at - k - 1]
-    return out
+    def learn(self, symbols: np.ndarray, sizes: np.ndarray) -> None:
+        """Every token of texts one after another."""
+        every, place = laid_out(self.model.rank[symbols], sizes, self.model.start)
+        for low in range(0, len(place), BATCH):
+            at = place[low : low + BATCH]
+            begin = at[0] - CONTEXT
+            self.step(every[begin : at[-1] + 1], at - begin)
 
 
 def _rows_of(n: int, **given) -> pa.RecordBatch:
-    kinds = {"kind": pa.int8(), "chunk": pa.int64(), "block": pa.int64(), "low": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary(), "symbols": pa.binary(), "payload": pa.binary()}
+    kinds = {"kind": pa.int8(), "chunk": pa.int64(), "key": pa.int64(), "low": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "payload": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
-def _written(frequent: np.ndarray, order: np.ndarray, counts: np.ndarray, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """frequent: hashes of the frequent words, ascending; order: their symbols; counts: of all symbols."""
+def _written(frequent: np.ndarray, order: np.ndarray, blocks: int, lots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """frequent: hashes of the frequent words, ascending; order: their symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        trainer, made = Trainer(Model(counts), task), 0
+        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in _parts(batch):
                 tokens, tails, sizes = _tokens(part.column("text"))
@@ -234,43 +295,74 @@ def _written(frequent: np.ndarray, order: np.ndarray, counts: np.ndarray, blocks
                 symbol[uniq == END_HASH] = END
                 learn = part.column("learn").to_numpy(zero_copy_only=False)
                 learned = np.repeat(learn, sizes)
-                count = np.bincount(place[learned], minlength=len(uniq))
+                count = np.bincount(place[learned], minlength=len(uniq)).astype(np.int32)
                 chunk = (task << 24) + made
                 made += 1
-                yield _rows_of(1, kind=[_CHUNK], chunk=[chunk], ids=[part.column("doc_id").to_pylist()], held=[part.column("held_out").to_pylist()], sizes=[sizes], tokens=[place.astype(np.uint32).tobytes()], symbols=[symbol.tobytes()])
-                block = (((uniq >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-                cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(uniq)]])
-                pieces = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                yield _rows_of(1, kind=[_CHUNK], chunk=[chunk], ids=[part.column("doc_id").to_pylist()], held=[part.column("held_out").to_pylist()], sizes=[sizes], payload=[packed(place.astype(np.uint32), symbol)])
+                ends = cuts(block_of(uniq, blocks))
+                pieces = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 yield _rows_of(
-                    len(pieces), kind=[_WORDS] * len(pieces), chunk=[chunk] * len(pieces), block=[int(block[a]) for a, _ in pieces], low=[a for a, _ in pieces],
-                    payload=[uniq[a:b].tobytes() + count[a:b].astype(np.int64).tobytes() + symbol[a:b].tobytes() for a, b in pieces],
+                    len(pieces), kind=[_WORDS] * len(pieces), chunk=[chunk] * len(pieces), key=[int(block_of(uniq[a : a + 1], blocks)[0]) for a, _ in pieces], low=[a for a, _ in pieces],
+                    payload=[packed(uniq[a:b], count[a:b], symbol[a:b]) for a, b in pieces],
                 )
-                every = symbol[place].astype(np.int32)
-                taken = np.flatnonzero(learned)
-                trainer.learn(contexts_of(every, sizes)[taken], every[taken])
-        if trainer.seen:
-            flat = np.append(trainer.model.flat() * trainer.seen, trainer.seen)
-            for low in range(0, len(flat), PIECE):
-                yield _rows_of(1, kind=[_MODEL], low=[low], payload=[flat[low : low + PIECE].tobytes()])
+                if not learn.any():
+                    continue
+                # Each text to learn from has a name made of its doc_id and its words in order, and goes to a lot by that.
+                n = sizes[learn]
+                starts = np.cumsum(n) - n
+                inside = np.arange(int(n.sum()), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)
+                said = np.add.reduceat(mix(tokens[learned] + mix(inside)), starts)
+                name = mix(said ^ mix(part.column("doc_id").filter(pa.array(learn)).to_numpy().view(np.uint64)))
+                every = symbol[place[learned]]
+                lot = block_of(name, lots)
+                for k in np.unique(lot).tolist():
+                    mine = lot == k
+                    yield _rows_of(1, kind=[_LEARN], key=[k], payload=[packed(name[mine].view(np.int64), n[mine].astype(np.int32), every[np.repeat(mine, n)])])
 
     return run
 
 
-def _added(group: pa.Table) -> pa.Table:
-    """The sum of the same piece of all models."""
-    total = 0
-    for x in group.column("payload"):
-        total = total + np.frombuffer(x.as_py(), np.float64)
-    return pa.table({"low": group.column("low")[:1], "payload": pa.array([total.tobytes()], pa.binary())})
+def _trained(counts) -> Callable[[pa.Table], pa.Table]:
+    """A model of one lot, in pieces: whole and with the number of tokens it has seen."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [unpacked(x) for x in group["payload"].to_pylist()]
+        name, n, every = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        begin = np.cumsum(n.astype(np.int64)) - n
+        order = np.argsort(name, kind="stable")
+        sizes = n[order].astype(np.int64)
+        at = np.repeat(begin[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        trainer = Trainer(Model(counts.value))
+        trainer.learn(every[at], sizes)
+        lot, flat = group["key"][0].as_py(), trainer.model.flat()
+        lows = list(range(0, len(flat), PIECE))
+        return pa.table({
+            "low": pa.array(lows, pa.int64()), "together": pa.array([lot // LOTS_TOGETHER] * len(lows), pa.int64()), "lot": pa.array([lot] * len(lows), pa.int64()),
+            "weight": pa.array([trainer.seen] * len(lows), pa.int64()), "payload": pa.array([flat[a : a + PIECE].tobytes() for a in lows], pa.binary()),
+        })
+
+    return run
+
+
+_PIECES = "low long, together long, lot long, weight long, payload binary"
+
+
+def _averaged(group: pa.Table) -> pa.Table:
+    """The mean of the same piece of models, by weight, in the order of lots."""
+    order = np.argsort(group["lot"].to_numpy())
+    weight = group["weight"].to_numpy()[order]
+    payload = group["payload"].take(pa.array(order))
+    mean = sum(w * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for w, x in zip(weight.tolist(), payload, strict=True)) / weight.sum()
+    first = group["together"].to_numpy().min()
+    return pa.table({"low": group["low"][:1], "together": pa.array([0], pa.int64()), "lot": pa.array([first], pa.int64()), "weight": pa.array([int(weight.sum())]), "payload": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _summed(group: pa.Table) -> pa.Table:
     """All pieces of a hash block: each word's count to every piece, and sums by rare symbol and of all other symbols."""
-    chunk, low, payload = group.column("chunk").to_pylist(), group.column("low").to_pylist(), group.column("payload").to_pylist()
-    n = [len(x) // 20 for x in payload]
-    hashes = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(payload, n, strict=True)])
-    counts = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(payload, n, strict=True)])
-    symbols = np.concatenate([np.frombuffer(x, np.int32, k, 16 * k) for x, k in zip(payload, n, strict=True)])
+    chunk, low = group.column("chunk").to_pylist(), group.column("low").to_pylist()
+    parts = [unpacked(x) for x in group.column("payload").to_pylist()]
+    n = [len(p[0]) for p in parts]
+    hashes, counts, symbols = (np.concatenate([p[k] for p in parts]) for k in range(3))
     _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     total = np.zeros(len(first), np.int64)
     np.add.at(total, place, counts)
@@ -283,7 +375,7 @@ def _summed(group: pa.Table) -> pa.Table:
     return pa.table({
         "chunk": pa.array([*chunk, *[-1] * OUTPUTS], pa.int64()),
         "low": pa.array([*low, *range(OUTPUTS)], pa.int64()),
-        "payload": pa.array([*(back[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)), *[None] * OUTPUTS], pa.binary()),
+        "payload": pa.array([*(packed(back[e - k : e]) for e, k in zip(ends, n, strict=True)), *[None] * OUTPUTS], pa.binary()),
         "n": pa.array([*[None] * len(chunk), *words_by.tolist()], pa.int64()),
         "v": pa.array([*[None] * len(chunk), *distinct.tolist()], pa.int64()),
     })
@@ -298,21 +390,16 @@ def _scored(given) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
-                place = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
-                symbol = np.frombuffer(row["symbols"], np.int32)
+                place, symbol = unpacked(row["payload"])
                 count = np.zeros(len(symbol), np.int64)
                 for piece in row["pieces"]:
-                    got = np.frombuffer(piece["payload"], np.int64)
+                    got = unpacked(piece["payload"])[0]
                     count[piece["low"] : piece["low"] + len(got)] = got
-                every = symbol[place].astype(np.int32)
+                every = symbol[place]
                 starts = np.cumsum(sizes) - sizes
                 shared = np.log10(count + 1.0)
                 rare = np.where(symbol < RARE, shared - within[np.minimum(symbol, RARE)], 0.0)
-                logs = np.empty(len(every))
-                # One text or a run of tokens at a time would do; a bounded run keeps the context table small.
-                contexts = contexts_of(every, sizes)
-                for low in range(0, len(every), 1 << 18):
-                    logs[low : low + (1 << 18)] = model.log_probabilities(contexts[low : low + (1 << 18)], every[low : low + (1 << 18)])
+                logs = model.log_probabilities(every, sizes)
                 base = np.add.reduceat(shared[place], starts) - sizes * np.log10(n_all + v_all + 1.0)
                 full = np.add.reduceat(logs / np.log(10) + rare[place], starts)
                 known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
@@ -336,7 +423,10 @@ def score(documents: DataFrame) -> DataFrame:
     mod 7, is not 2. ``base_score`` sums log10((c + 1)/(N + V + 1)); ``score`` is the model's log10 probability of the
     text with its end. Null text: empty, which is an end alone. Null doc_id: not learned from, ``held_out`` false. Repeated rows
     stay and count each; without any training text N and V are 0; an empty table gives no rows; other columns are
-    ignored; texts of any length are learned from and scored whole.
+    ignored; texts of any length are learned from and scored whole. Scores are the same for any partitioning, but for the
+    rounding of single-precision sums.
+
+    The driver gets the frequent words, whose number grows as the root of the corpus, and one model's weights.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -361,22 +451,26 @@ def score(documents: DataFrame) -> DataFrame:
     hashes = np.array([r["name"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
 
+    lots = max(1, -(-int(symbol_counts.sum()) // LOT_TOKENS))
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // DOCS_A_BLOCK))
-    written = cut(docs.mapInArrow(_written(hashes[order], (OUTPUTS + order).astype(np.int32), symbol_counts, blocks), _ROWS), "chunks")
-    pieces = written.filter(f"kind = {_WORDS}").select("block", "chunk", "low", "payload")
-    counted = cut(pieces.groupBy("block").applyInArrow(_summed, "chunk long, low long, payload binary, n long, v long"), "counts")
+    written = cut(docs.mapInArrow(_written(hashes[order], (OUTPUTS + order).astype(np.int32), blocks, lots), _ROWS), "chunks")
+    pieces = written.filter(f"kind = {_WORDS}").select("key", "chunk", "low", "payload")
+    counted = cut(pieces.groupBy("key").applyInArrow(_summed, "chunk long, low long, payload binary, n long, v long"), "counts")
     sums = counted.filter("chunk = -1").groupBy("low").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # OUTPUTS rows
     n_by, v_by = np.zeros(OUTPUTS, np.int64), np.zeros(OUTPUTS, np.int64)
     for r in sums:
         n_by[r["low"]], v_by[r["low"]] = r["n"], r["v"]
 
-    # Models are summed piece by piece before anything reaches the driver.
-    added = written.filter(f"kind = {_MODEL}").select("low", "payload").groupBy("low").applyInArrow(_added, "low long, payload binary").collect()
-    flat = np.concatenate([np.frombuffer(r["payload"], np.float64) for r in sorted(added, key=lambda r: r["low"])]) if added else None
-    flat = Model(symbol_counts).flat() if flat is None else flat[:-1] / flat[-1]
+    # Models are averaged piece by piece before anything reaches the driver: one model's weights.
+    counts = spark.sparkContext.broadcast(symbol_counts)
+    models = written.filter(f"kind = {_LEARN}").select("key", "payload").repartition(max(lots, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
+    models = models.groupBy("key").applyInArrow(_trained(counts), _PIECES)
+    some = cut(models.groupBy("low", "together").applyInArrow(_averaged, _PIECES), "models")
+    pieces = some.groupBy("low").applyInArrow(_averaged, _PIECES).select("low", "payload").collect()
+    flat = np.concatenate([np.frombuffer(r["payload"], np.float32) for r in sorted(pieces, key=lambda r: r["low"])]) if pieces else Model(symbol_counts).flat()
     given = spark.sparkContext.broadcast((flat, symbol_counts, n_by, v_by))
 
     own = counted.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("low", "payload")).alias("pieces"))
-    chunks = written.filter(f"kind = {_CHUNK}").select("chunk", "ids", "held", "sizes", "tokens", "symbols").join(own, "chunk")
+    chunks = written.filter(f"kind = {_CHUNK}").select("chunk", "ids", "held", "sizes", "payload").join(own, "chunk")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.select("ids", "held", "sizes", "tokens", "symbols", "pieces").mapInArrow(_scored(given), schema)
+    return chunks.select("ids", "held", "sizes", "payload", "pieces").mapInArrow(_scored(given), schema)

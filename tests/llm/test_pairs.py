@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gridloom.llm import bytewords, components, decontamination, fingerprints, jaccard
+from gridloom.llm import bytewords, components, decontamination, fingerprints, jaccard, packing
 from tests.llm.cases import awkward, documents, prose, sha
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -106,7 +106,7 @@ def test_similar_sets_share_a_shingle_of_their_prefixes(num):
 def test_packed_arrays_come_back():
     r = np.random.default_rng(3)
     given = [np.sort(r.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)), r.integers(-9, 9, 40), np.zeros(0, np.int32), np.array([2**31 - 1], np.int32), np.zeros(0, np.uint64), np.arange(7, dtype=np.uint16)]
-    for a, b in zip(given, jaccard._unpacked(jaccard._packed(*given)), strict=True):
+    for a, b in zip(given, packing.unpacked(packing.packed(*given)), strict=True):
         assert a.dtype == b.dtype
         assert a.tolist() == b.tolist()
 
