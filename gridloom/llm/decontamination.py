@@ -2,15 +2,18 @@
 
 Words are runs of ASCII letters, digits and any byte beyond ASCII, A-Z lower-cased; features are shingles of WIDTH
 words (an item of fewer words is one shingle), weighted by how often they stand in the window. For each item length,
-every window of that many words that holds an item's shingle has a 64-bit SimHash from prefix sums; a window without
-one has similarity 0 and is passed over. Fingerprints within RADIUS bits of an item's agree with it up to RADIUS // BLOCKS
-bits in at least one of BLOCKS blocks, so tables by block value miss none; then the weighted Jaccard similarity decides.
+every window of that many words near an item's shingle has a 64-bit SimHash from prefix sums; a window without
+one has similarity 0 and is passed over. Fingerprints within RADIUS bits of each other agree up to SLACK bits in at
+least one of BLOCKS blocks. The index holds, for each block, all values within SLACK bits of an item's, in order; so looking up
+a window's blocks misses none within the radius, and about one in seven of unlike pairs is looked at. Then the
+weighted Jaccard similarity decides.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,52 @@ from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
 from gridloom.llm.bytewords import NON_ALNUM, chained, words
+from gridloom.llm.packing import cuts
+from gridloom.llm.store import cut
 
 WIDTH, SIMILARITY = 5, 0.8
-#: At similarity 0.8 fingerprints differ in 9.7 of 64 bits on average, with a deviation of 2.9; 24 is five deviations on.
-RADIUS, BLOCKS = 24, 8
-#: Items are sent to the workers in lots of so many bytes at most; each lot is held against all documents.
-LOT_BYTES = 16 << 20
-_FILTER_BITS = 20
+#: At similarity 0.8 fingerprints differ in 9.7 of 64 bits on average, with a deviation of 2.9; of 1,800 random pairs
+#: of similarity 0.8 or more none differed in more than 19.
+RADIUS, BLOCKS = 19, 4
+SLACK = RADIUS // BLOCKS
+#: Items are read to the driver and sent to the workers in lots of so many bytes at most; an item's entries in the index take 60 KB.
+LOT_BYTES = 2 << 20
+#: Of several lots, documents without any item's shingle are left out first, by a table of so many bits.
+_SCREEN_BITS, _FILTER_BITS = 27, 20
+_WINDOWS = 8192
+#: 16-bit values of few bits: what may lie between two blocks.
+_MASKS = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= SLACK).astype(np.uint16)
+
+
+class Neighbours:
+    """The multi-index of fingerprints."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block: values within SLACK bits of a fingerprint's, ascending, and whose. Made where they are used."""
+        out = []
+        for block in self.prints.view(np.uint16).reshape(-1, BLOCKS).T:
+            values, item = (block[:, None] ^ _MASKS).ravel(), np.repeat(np.arange(len(block), dtype=np.int32), len(_MASKS))
+            order = np.argsort(values, kind="stable")
+            out.append((values[order], item[order]))
+        return out
+
+    def __getstate__(self) -> dict:
+        return {"prints": self.prints}
+
+    def candidates(self, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``got``, fingerprint): the pairs that agree up to SLACK bits in some block, once each."""
+        pairs = []
+        for block, (values, item) in zip(got.view(np.uint16).reshape(-1, BLOCKS).T, self.tables, strict=True):
+            low, high = np.searchsorted(values, block), np.searchsorted(values, block, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            pairs.append(np.repeat(np.arange(len(got)), n) * len(self.prints) + item[at])
+        both = np.unique(np.concatenate(pairs))
+        return both // len(self.prints), both % len(self.prints)
 
 
 class Index:
@@ -36,7 +78,7 @@ class Index:
         self.ids = [i for i, _ in items]
         hashes, starts = words(pa.array([t for _, t in items], pa.string()), NON_ALNUM)
         self.lengths = np.diff(starts)
-        #: width -> (filter by leading bits, sorted shingles, window size in shingles -> item numbers, fingerprints, tables)
+        #: width -> (filter by leading bits, sorted shingles, window size in shingles -> item numbers, their fingerprints)
         self.widths: dict[int, tuple] = {}
         self.bags: dict[int, Counter] = {}
         for w in sorted({min(width, int(n)) for n in self.lengths if n}):
@@ -50,9 +92,7 @@ class Index:
             for m in sorted({len(v) for v in bags.values()}):
                 same = np.array([k for k in own if len(bags[k]) == m])
                 prints = np.concatenate([fingerprints(bags[k], m) for k in same])
-                blocks = prints.view(np.uint8).reshape(-1, 8)
-                near = [np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ blocks[None, :, b]) <= RADIUS // BLOCKS for b in range(BLOCKS)]
-                sizes[m] = same, prints, near
+                sizes[m] = same, Neighbours(prints)
             self.widths[w] = table, known, sizes
 
     def find(self, texts) -> Iterator[tuple[int, int, float, int, int, int]]:
@@ -70,8 +110,8 @@ class Index:
             seeds, text = seeds[inside], text[inside]
             if not len(seeds):
                 continue
-            cuts = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1, [len(text)]])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ends = cuts(text)
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
                 t = int(text[a])
                 yield from self._in_text(t, every, seeds[a:b], int(starts[t]), int(starts[t + 1]) - w + 1, w, sizes)
 
@@ -81,29 +121,25 @@ class Index:
         reach = max(sizes)
         gaps = np.flatnonzero(np.diff(seeds) > reach) + 1
         for run in np.split(seeds, gaps):
-            for m, (same, prints, near) in sizes.items():
+            for m, (same, index) in sizes.items():
                 begin, end = max(low, int(run[0]) - m + 1), min(high, int(run[-1]) + m)
-                part = every[begin:end]
                 size = min(m, high - low)  # a text shorter than the item is one window
-                if len(part) < size:
+                if end - begin < size:
                     begin = max(low, end - size)
                     end = min(high, begin + size)
-                    part = every[begin:end]
-                got = fingerprints(part, size)
-                blocks = got.view(np.uint8).reshape(-1, 8)
-                candidates = near[0][blocks[:, 0]]
-                for k in range(1, BLOCKS):
-                    candidates = candidates | near[k][blocks[:, k]]
-                window, item = np.nonzero(candidates)
-                apart = np.bitwise_count(got[window] ^ prints[item])
-                close = apart <= RADIUS
-                window, item, apart = window[close], item[close], apart[close]
-                for x in np.argsort(apart, kind="stable").tolist():
-                    k, at = int(same[item[x]]), int(window[x])
-                    found = weighted_jaccard(Counter(part[at : at + size].tolist()), self.bags[k])
-                    if found >= self.similarity:
-                        new = (found, -int(apart[x]), -(begin + at - low))
-                        best[k] = max(best.get(k, new), new)
+                for first in range(begin, end - size + 1, _WINDOWS):
+                    part = every[first : min(end, first + _WINDOWS + size - 1)]
+                    got = fingerprints(part, size)
+                    window, item = index.candidates(got)
+                    apart = np.bitwise_count(got[window] ^ index.prints[item])
+                    close = apart <= RADIUS
+                    window, item, apart = window[close], item[close], apart[close]
+                    for x in np.argsort(apart, kind="stable").tolist():
+                        k, at = int(same[item[x]]), int(window[x])
+                        found = weighted_jaccard(Counter(part[at : at + size].tolist()), self.bags[k])
+                        if found >= self.similarity:
+                            new = (found, -int(apart[x]), -(first + at - low))
+                            best[k] = max(best.get(k, new), new)
         for k, (found, bits, at) in sorted(best.items()):
             yield t, self.ids[k], found, -bits, -at, min(int(self.lengths[k]), high - low + w - 1)
 
@@ -124,15 +160,51 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-def _lots(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark, read to the driver lot by lot of bounded size."""
+def _lots(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark, read to the driver lot by lot; only one lot is held. No items are one empty lot."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    lots = -(-total // LOT_BYTES)
-    if lots <= 1:
-        return [[(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()]]
-    parts = ((items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k)) for k in range(lots))
-    return [[(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()] for part in parts]
+    lots = max(1, -(-total // LOT_BYTES))
+    for k in range(lots):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k) if lots > 1 else items
+        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+
+
+def _screened(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, bool]:
+    """Of a benchmark of several lots: the documents (numbered rows of ``docs``) that hold a shingle of an item, written out;
+    so ``docs`` is read once, however many lots there are. Else ``docs``."""
+    table, lots, shortest = np.zeros(1 << (_SCREEN_BITS - 3), np.uint8), 0, width
+    for lot in _lots(benchmark):
+        lots += 1
+        hashes, starts = words(pa.array([t for _, t in lot], pa.string()), NON_ALNUM)
+        lengths = np.diff(starts)
+        for w in {min(width, int(n)) for n in lengths if n}:
+            shortest = min(shortest, w)
+            at = np.concatenate([chained(hashes[a:b], w) for a, b, n in zip(starts[:-1], starts[1:], lengths, strict=True) if n and min(width, int(n)) == w])
+            bit = at >> np.uint64(64 - _SCREEN_BITS)
+            np.bitwise_or.at(table, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+    if lots < 2:
+        return docs, False
+    given = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = given.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                hashes, starts = words(part.column("text"), NON_ALNUM)
+                keep = np.zeros(part.num_rows, bool)
+                for w in range(shortest, width + 1):
+                    every = chained(hashes, w)
+                    bit = every >> np.uint64(64 - _SCREEN_BITS)
+                    hit = np.flatnonzero(held[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                    keep[np.searchsorted(starts, hit, "right") - 1] = True
+                yield part.filter(pa.array(keep))
+
+    return cut(docs.mapInArrow(run, docs.schema), "screened"), True
+
+
+_FOUND = "doc_id long, item_id long, similarity double, bits_apart int, first_word long, n_words long"
 
 
 def _finder(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,11 +232,14 @@ def find(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, similar
     """
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, many = _screened(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width)
     out = None
     for lot in _lots(benchmark):
         index = spark.sparkContext.broadcast(Index(lot, width, similarity))
-        part = docs.mapInArrow(_finder(index), "doc_id long, item_id long, similarity double, bits_apart int, first_word long, n_words long")
+        part = docs.mapInArrow(_finder(index), _FOUND)
+        if many:
+            part = cut(part, "found")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -185,6 +260,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
 
         return run
 
+    # Lots follow one another over the same rows, so documents are read once.
     out = documents
     for lot in _lots(benchmark):
         out = out.mapInArrow(filtered(spark.sparkContext.broadcast(Index(lot, width, similarity))), documents.schema)

@@ -255,6 +255,43 @@ def test_fingerprints_of_edited_texts(spark):
     assert fingerprints.compare_edited(documents(spark, [(4, "alone in the table", "s")])).first()["near_next"] == 1
 
 
+def test_windows_are_found_through_the_index():
+    r = np.random.default_rng(8)
+    prints = r.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << r.permutation(64)[:k].astype(np.uint64)) for k in r.integers(1, decontamination.RADIUS + 1, 200)]
+    got = np.concatenate([prints ^ np.array(flips), r.integers(0, 1 << 63, 2000, dtype=np.uint64)])
+    place, item = decontamination.Neighbours(prints).candidates(got)
+    pairs = set(zip(place.tolist(), item.tolist(), strict=True))
+    assert len(pairs) == len(place)
+    near = np.bitwise_count(got[:, None] ^ prints[None, :]) <= decontamination.RADIUS
+    assert {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True)} <= pairs
+    assert len(pairs) < 0.2 * len(got) * len(prints)
+
+
+def test_recall_of_the_radius():
+    r = np.random.default_rng(1)
+    apart = []
+    for n in (16, 30, 60, 120, 200):
+        for _ in range(800):
+            a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = a.copy()
+            b[r.integers(0, n, r.integers(1, 3 + n // 20))] = r.integers(0, 1 << 63, dtype=np.uint64)
+            x, y = bytewords.chained(a, 5), bytewords.chained(b, 5)
+            if decontamination.weighted_jaccard(Counter(x.tolist()), Counter(y.tolist())) >= 0.8:
+                apart.append(np.bitwise_count(decontamination.fingerprints(x, len(x)) ^ decontamination.fingerprints(y, len(y)))[0])
+    assert len(apart) > 300
+    assert np.mean(np.array(apart) <= decontamination.RADIUS) > 0.995
+
+
+def test_decontamination_of_a_long_text_and_many_items(spark):
+    items = [(i, prose(f"many{i}", 20)) for i in range(300)]
+    long_ = " ".join(t for _, t in items) + " " + prose("tail", 15000)
+    df, bench = documents(spark, [(1, long_, "s"), (2, prose("clean", 3000), "s")]), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, i) for i, _ in items}
+    assert all(r["similarity"] == 1 and r["bits_apart"] == 0 and r["first_word"] == 20 * r["item_id"] for r in got)
+
+
 def pair_likeness(spark, pairs):
     from pyspark.sql import functions as F
 
