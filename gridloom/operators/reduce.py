@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import amplitude
 
+#: Columns that a user's fold takes at a time.
+FOLDED = 4096
+#: Ranges of values that ``ranks`` puts in order apart.
+RANGES = 64
 OPERATIONS: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "and": F.bit_and, "or": F.bit_or, "xor": F.bit_xor, "all": F.bool_and, "any": F.bool_or, "count": F.count,
 }
@@ -33,22 +37,30 @@ def hreduce(
     """(row, value): each row folded over [start, stop) of its columns.
 
     ``op`` is a name of OPERATIONS, which is combined before the shuffle, or a function of two columns, commutative and
-    associative, that starts from ``identity``; such a row is gathered in column order and folded as an array.
+    associative, that starts from ``identity``; runs of FOLDED columns are gathered and folded in column order, then their results.
     """
     part = _in_range(grid, columns, column_range, size)
     if isinstance(op, str):
         return part.groupBy(rows).agg(OPERATIONS[op](F.col(value)).alias(value))
     if identity is None:
         raise ValueError("a function needs its identity")
-    gathered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(columns), F.col(value).alias("_v")))), lambda x: x["_v"])
     kind = grid.schema[value].dataType
-    folded = F.aggregate(gathered, F.lit(identity).cast(kind), lambda a, x: op(a, x).cast(kind))
-    return part.groupBy(rows).agg(folded.alias(value))
 
+    def folded(at: str, held: str) -> Column:
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct(F.col(at), F.col(held).alias("_v")))), lambda x: x["_v"])
+        return F.aggregate(in_order, F.lit(identity).cast(kind), lambda a, x: op(a, x).cast(kind))
 
-def block_sum(series: DataFrame, block: int = 128, index: str = "i", value: str = "value") -> DataFrame:
-    """(block, value): sums of ``block`` consecutive samples."""
-    return series.groupBy(F.floor(F.col(index) / block).cast("long").alias("block")).agg(F.sum(value).alias(value))
+    # Runs of columns first, so that no array is longer than a run or than the number of runs.
+    runs = part.withColumn("_run", F.floor(F.col(columns) / FOLDED).cast("long")).groupBy(rows, "_run").agg(folded(columns, value).alias("_part"))
+    return runs.groupBy(rows).agg(folded("_run", "_part").alias(value))
+
+
+def block_sum(series: DataFrame, block: int = 128, index: str = "i", value: str = "value", whole: bool = True) -> DataFrame:
+    """(block, value): sums of ``block`` consecutive samples. If ``whole``, a block of another number of samples fails the job."""
+    total = F.sum(value)
+    if whole:
+        total = F.when(F.count(F.lit(1)) == block, total).otherwise(F.raise_error(F.lit(f"the length is no multiple of {block}")))
+    return series.groupBy(F.floor(F.col(index) / block).cast("long").alias("block")).agg(total.alias(value))
 
 
 def masked_sum(grid: DataFrame, mask: DataFrame, rows: str = "row", columns: str = "col", amplitudes: bool = False) -> DataFrame:
@@ -88,15 +100,16 @@ def order_statistic(grid: DataFrame, rank: int, rows: str = "row", value: str =
 def ranks(values: DataFrame, points: DataFrame, value: str = "value", point: str = "point") -> DataFrame:
     """(point, below): for each point how many values are less, by one pass over both in order of value.
 
-    Values are counted by value first. The order is made by ranges of value: counts are summed within a range and then added to
+    Values are counted by value first. The order is made by ranges of about as many values: counts are summed within a range and then added to
     what all ranges before it hold, so no task sees all values.
     """
     counts = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_k"))
     marks = points.select(F.col(point).cast("double").alias("_x")).distinct()
     both = counts.select("_x", "_k", F.lit(1).alias("_last")).unionByName(marks.select("_x", F.lit(0).cast("long").alias("_k"), F.lit(0).alias("_last")))
-    bounds = both.agg(F.min("_x").alias("a"), F.max("_x").alias("b")).first()
-    width = ((bounds["b"] - bounds["a"]) / 64 or 1.0) if bounds["a"] is not None else 1.0
-    both = both.withColumn("_range", F.floor((F.col("_x") - (bounds["a"] or 0.0)) / width).cast("int"))
+    # Ranges hold about as many distinct values each, however these are spread.
+    bounds = both.agg(F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("b")).first()["b"] or []
+    at = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))]).cast("array<double>")
+    both = both.withColumn("_range", F.size(F.filter(at, lambda x: x <= F.col("_x"))))
     totals = both.groupBy("_range").agg(F.sum("_k").alias("_all"))
     before = totals.select("_range", F.coalesce(F.sum("_all").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = W.partitionBy("_range").orderBy("_x", "_last").rowsBetween(W.unboundedPreceding, W.currentRow)

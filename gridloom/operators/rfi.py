@@ -74,14 +74,23 @@ class MedianBackground:
 
 @dataclass(frozen=True)
 class MadNoise:
-    """Adds ``noise``: 1.4826 times the median of the baseline's non-zero absolute deviations, NULL without any."""
+    """Adds ``noise``: 1.4826 times the median of the baseline's non-zero absolute deviations, NULL without any. A
+    baseline of more than ``max_channels`` samples fails the job."""
+
+    max_channels: int | None = None
+
+    def _bounded(self, noise: Column, samples: Column) -> Column:
+        if self.max_channels is None:
+            return noise
+        return F.when(samples > self.max_channels, F.raise_error(F.lit(f"a baseline has more than {self.max_channels} channels"))).otherwise(noise)
 
     def __call__(self, deviations: DataFrame) -> DataFrame:
-        return deviations.withColumn("noise", mad_noise(F.col("dev"), W.partitionBy("baseline")))
+        every = W.partitionBy("baseline")
+        return deviations.withColumn("noise", self._bounded(mad_noise(F.col("dev"), every), F.count(F.lit(1)).over(every)))
 
     def table(self, deviations: DataFrame) -> DataFrame:
         """(baseline, noise)"""
-        return deviations.groupBy("baseline").agg(mad_noise(F.col("dev")).alias("noise"))
+        return deviations.groupBy("baseline").agg(self._bounded(mad_noise(F.col("dev")), F.count(F.lit(1))).alias("noise"))
 
 
 @dataclass(frozen=True)
@@ -105,17 +114,28 @@ class SumThreshold:
     """Adds ``flag`` by sums over windows of 1, 2, 4, ... samples, each against its own, falling threshold.
 
     Samples flagged so far count as the threshold itself; only complete windows count; the sum must be greater; each sample of
-    such a window is flagged. Thresholds are single precision, as the sums' comparands have always been.
+    such a window is flagged. Thresholds are single precision, as the sums' comparands have always been. ``padded``: zeros
+    surround the band, so windows that reach beyond its ends count too; channels are then dense from 0.
     """
 
     n_sigma: float
     n_windows: int = 4
     falloff: float = 1.2
     flag_value: int = 1
+    padded: bool = False
 
     def __call__(self, deviations: DataFrame) -> DataFrame:
         series = W.partitionBy("baseline").orderBy("channel")
-        rows = deviations.withColumn("_f", F.lit(False))
+        rows = deviations
+        if self.padded:
+            # As many zeros as the windows together can reach; the first and the last row bring them.
+            reach, at = 2**self.n_windows, F.col("channel")
+            rows = rows.withColumn("_end", F.max("channel").over(W.partitionBy("baseline")))
+            below, above = F.when(at == 0, at - reach).otherwise(at), F.when(at == F.col("_end"), at + reach).otherwise(at)
+            rows = rows.withColumn("_p", F.explode(F.sequence(below, above))).withColumn("_in", F.col("_p") == at)
+            rows = rows.withColumn("_kept", F.col("dev")).withColumn("dev", F.when(F.col("_in"), F.col("dev")).otherwise(0.0)).drop("_end")
+            series = W.partitionBy("baseline").orderBy("_p")
+        rows = rows.withColumn("_f", F.lit(False))
         for i in range(self.n_windows):
             w = 2**i
             threshold = (F.lit(float(self.n_sigma)) * F.col("noise") * F.lit(self.falloff**-i)).cast("float").cast("double")
@@ -125,6 +145,8 @@ class SumThreshold:
             rows = rows.withColumns({"_s": F.sum("_d").over(back), "_n": F.count(F.lit(1)).over(back)})
             rows = rows.withColumn("_hit", F.coalesce((F.col("_n") == w) & (F.col("_s") > F.col("_t") * w), F.lit(False)))
             rows = rows.withColumn("_f", F.col("_f") | F.max("_hit").over(series.rowsBetween(0, w - 1)))
+        if self.padded:
+            rows = rows.filter("_in").withColumn("dev", F.col("_kept")).drop("_p", "_in", "_kept")
         out = rows.withColumn("flag", F.when(F.col("_f"), self.flag_value).otherwise(0).cast("smallint"))
         return out.drop("_f", "_t", "_d", "_s", "_n", "_hit")
 

@@ -17,16 +17,32 @@ from pyspark.sql import functions as F
 
 from gridloom.cluster import cut
 from gridloom.functions import MAD_NORMAL, median
-from gridloom.schema import GRID3
+from gridloom.schema import GRID3, with_boolean
 
+#: This and the defaults of SumThresholdFlagger.
 PASSES = 4
 
 
+def require_dense(grid: DataFrame, axes: dict[str, int], keys: Sequence[str] = ("baseline",)) -> DataFrame:
+    """``grid``; a ValueError unless each group of ``keys`` has every cell of ``axes`` (name -> size) once. One aggregation, combined
+    before its shuffle, runs at once."""
+    total, inside = 1, F.lit(True)
+    for name, size in axes.items():
+        total *= size
+        inside = inside & F.coalesce((F.col(name) >= 0) & (F.col(name) < size), F.lit(False))
+    cells = grid.groupBy(*keys, *axes).agg(F.count("*").alias("_k"), F.bool_and(inside).alias("_in"))
+    bad = cells.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_k").alias("_most"), F.bool_and("_in").alias("_all"))
+    if first := bad.filter((F.col("_n") != total) | (F.col("_most") > 1) | ~F.col("_all")).first():
+        raise ValueError(f"the grid of {[first[k] for k in keys]} is not dense: {first['_n']} of {total} cells")
+    return grid
+
+
 def average_freq(cube: DataFrame, factor: int) -> DataFrame:
     """Mean magnitude of ``factor`` channels at a time, over unflagged samples that are not NaN; without any 0 and flagged. The
     last bin may be ragged. The input has ``value``, or ``re`` and ``im``."""
     if factor < 1:
         raise ValueError("the factor is positive")
+    cube = with_boolean(cube)
     size = F.hypot("re", "im") if "re" in cube.columns else F.abs(F.col("value").cast("double"))
     good = F.when(~F.col("flag") & ~F.isnan(size), size)
     binned = cube.groupBy("baseline", "time", F.floor(F.col("channel") / factor).cast("int").alias("channel")).agg(F.avg(good).alias("_mean"))
@@ -35,13 +51,13 @@ def average_freq(cube: DataFrame, factor: int) -> DataFrame:
 
 def time_median(cube: DataFrame) -> DataFrame:
     """(baseline, channel, value, flag): median over time of unflagged samples; without any 0 and flagged."""
-    medians = cube.groupBy("baseline", "channel").agg(median(F.when(~F.col("flag"), F.col("value"))).alias("_m"))
+    medians = with_boolean(cube).groupBy("baseline", "channel").agg(median(F.when(~F.col("flag"), F.col("value"))).alias("_m"))
     return medians.select("baseline", "channel", F.coalesce("_m", F.lit(0.0)).alias("value"), F.col("_m").isNull().alias("flag"))
 
 
 def median_abs(cube: DataFrame, keys: Sequence[str] = ("baseline",)) -> DataFrame:
     """(keys, value): median absolute value of unflagged samples, NULL without any; keys beyond the baseline give it along an axis."""
-    return cube.groupBy(*keys).agg(median(F.when(~F.col("flag"), F.abs("value"))).alias("value"))
+    return with_boolean(cube).groupBy(*keys).agg(median(F.when(~F.col("flag"), F.abs("value"))).alias("value"))
 
 
 def interpolate_gaps(series: DataFrame, keys: Sequence[str] = ("baseline", "time"), axis: str = "channel", value: str = "value") -> DataFrame:
@@ -98,7 +114,7 @@ def gaussian(grid: DataFrame, sigma: tuple[float, float], shape: tuple[int, int]
 
 def masked_gaussian(cube: DataFrame, sigma: tuple[float, float], shape: tuple[int, int], passes: int = PASSES, out: str = "background") -> DataFrame:
     """Adds ``out``: the Gaussian mean of unflagged samples, NULL where none has weight. Weights are whole numbers, so that zero is exact."""
-    rows = cube.withColumns({"_num": F.when(~F.col("flag"), F.col("value").cast("double")).otherwise(0.0), "_den": F.when(~F.col("flag"), 1.0).otherwise(0.0)})
+    rows = with_boolean(cube).withColumns({"_num": F.when(~F.col("flag"), F.col("value").cast("double")).otherwise(0.0), "_den": F.when(~F.col("flag"), 1.0).otherwise(0.0)})
     rows = gaussian(rows, sigma, shape, ["_num", "_den"], passes)
     return rows.withColumn(out, F.when(F.col("_den") != 0, F.col("_num") / F.col("_den"))).drop("_num", "_den")
 
@@ -120,7 +136,7 @@ def background2d(cube: DataFrame, shape: tuple[int, int], sigma: tuple[float, fl
 
     Outliers differ from the background by more than ``reject`` deviations of their frequency chunk.
     """
-    rows = cube.withColumn("_given", F.col("flag")).withColumn("_c", _chunk("channel", ends))
+    rows = with_boolean(cube).withColumn("_given", F.col("flag")).withColumn("_c", _chunk("channel", ends))
     for e in range(iterations, 0, -1):
         rows = masked_gaussian(rows, (e * sigma[0], e * sigma[1]), shape)
         rows = rows.withColumn("_res", F.abs(F.col("value") - F.col("background")))
@@ -145,7 +161,7 @@ def sum_threshold(cube: DataFrame, axis: str, windows: Sequence[int], n_sigma: f
     other = "channel" if axis == "time" else "time"
     windows = list(windows)
     pad = max(windows) - 1 if windows else 0
-    rows = cube
+    rows = with_boolean(cube)
     if ends is None or len(ends) <= 2:
         rows = rows.withColumns({"_c": F.lit(0), "_own": F.lit(True)})
     else:
@@ -186,7 +202,7 @@ def unaverage_freq(cube: DataFrame, channels: int, times: int, factor: int = 1,
     ``freq_frac`` of its channels flagged is flagged whole, and so is a channel with more than ``time_frac`` of its times, both
     counted before either is done."""
     low = F.col("channel") * factor
-    rows = cube.select("baseline", "time", "flag", F.explode(F.sequence(low, F.least(low + factor - 1, F.lit(channels - 1)))).alias("channel"))
+    rows = with_boolean(cube).select("baseline", "time", "flag", F.explode(F.sequence(low, F.least(low + factor - 1, F.lit(channels - 1)))).alias("channel"))
     rows = rows.withColumn("_f", _smeared(F.col("flag"), ("baseline", "time"), "channel", extend))
     rows = rows.withColumn("_t", F.sum(F.col("_f").cast("int")).over(W.partitionBy("baseline", "time")))
     rows = rows.withColumn("_k", F.sum(F.col("_f").cast("int")).over(W.partitionBy("baseline", "channel")))
@@ -212,6 +228,8 @@ class SumThresholdFlagger:
     flag_all_time_frac: float = 0.6
     flag_all_freq_frac: float = 0.8
     rho: float = 1.3
+    #: Looks for missing and repeated cells first; frames count rows, so such a cube would get wrong flags.
+    check_dense: bool = False
 
     def get_flags(self, cube: DataFrame, shape: tuple[int, int]) -> DataFrame:
         """(baseline, time, channel, flag) for a dense cube (baseline, time, channel, value or re and im, flag) of ``shape`` (times, channels).
@@ -221,10 +239,14 @@ class SumThresholdFlagger:
         """
         if "re" not in cube.columns:
             GRID3.validate(cube, "cube")
+        cube = with_boolean(cube)
         times, channels = shape
+        if self.check_dense:
+            require_dense(cube, {"time": times, "channel": channels})
         averaged = -(-channels // self.average_freq)
         ends = chunk_ends(averaged, self.freq_chunks)
         windows_freq = sorted({w for w in (ceil(w / self.average_freq) for w in self.windows_freq) if w <= averaged})
+        # Fixed rule: time windows are held against the number of channels; one longer than the times is never complete.
         windows_time = [w for w in self.windows_time if w <= channels]
         spike_freq = self.spike_width_freq / self.average_freq
 

@@ -57,6 +57,11 @@ def zero(spark, sf_dir):
     return basic.zero(_matrix(spark, sf_dir))
 
 
+@query(oracles.ONES)
+def set_ones(spark, sf_dir):
+    return basic.fill_like(_matrix(spark, sf_dir), 1)
+
+
 @query(oracles.SCALE)
 def scale(spark, sf_dir):
     return _rounded(basic.scale(_matrix(spark, sf_dir), 3.0), "value")
@@ -127,7 +132,7 @@ def fill_reduce(spark, sf_dir):
 @query(oracles.BLOCK_SUM)
 def block_sum(spark, sf_dir):
     series = grids.emb2d(spark, sf_dir).select((F.col("baseline") * 64 + F.col("channel")).alias("i"), "value")
-    return _rounded(reduce.block_sum(series), "value")
+    return _rounded(reduce.block_sum(series, whole=False), "value")
 
 
 def _mask(spark, sf_dir):
@@ -147,7 +152,7 @@ def masked_sum_amp(spark, sf_dir):
 @query(oracles.MASKED_MONTHS)
 def masked_sum_months(spark, sf_dir):
     m = grids.li2d(spark, sf_dir)
-    mask = spark.range(0, 96).select(F.col("id").cast("int").alias("row"), (F.col("id") % 2).alias("mask"))
+    mask = m.select("row").distinct().withColumn("mask", F.pmod(F.col("row"), F.lit(2)))
     sums = reduce.masked_sum(m, mask, amplitudes=True)
     return sums.withColumn("value", F.round("value", 2))
 
@@ -205,6 +210,15 @@ def tuning_lookup(spark, sf_dir):
     return found.select("device_name", "match_level")
 
 
+@query(oracles.UPSERT)
+def tuning_upsert(spark, sf_dir):
+    part = grids.table(spark, sf_dir, "part")
+    store = part.groupBy(F.col("p_brand").alias("device_name"), F.col("p_size").cast("string").alias("device_version")).agg(F.count("*").alias("value_n"))
+    changed = store.filter("device_name < 'Brand#3'").withColumn("value_n", -F.col("value_n"))
+    added = store.withColumn("device_name", F.concat("device_name", F.lit("/new")))
+    return tuning.upsert(store, changed.unionByName(added), ["device_name", "device_version"])
+
+
 # One-dimensional flagging
 
 
@@ -239,6 +253,18 @@ def background_median_fullflags(spark, sf_dir):
     return _rounded(rfi.MedianBackground(5, use_flags=rfi.FULL)(g, _sample_flags(g)).select("baseline", "channel", "dev"), "dev")
 
 
+@query(oracles.background(13, "(value < 0)"))
+def background_median_negative(spark, sf_dir):
+    """Negative amplitudes count as flagged."""
+    return _rounded(rfi.MedianBackground(13, amplitudes=True, drop_negative=True)(grids.emb2d(spark, sf_dir)).select("baseline", "channel", "dev"), "dev")
+
+
+@query(oracles.NOISE)
+def noise_mad_bounded(spark, sf_dir):
+    dev = rfi.MedianBackground(13, amplitudes=True)(grids.emb2d(spark, sf_dir))
+    return _rounded(rfi.MadNoise(max_channels=64)(dev).select("baseline", "noise").distinct(), "noise")
+
+
 @query(oracles.NOISE)
 def noise_mad(spark, sf_dir):
     dev = rfi.MedianBackground(13, amplitudes=True)(grids.emb2d(spark, sf_dir))
@@ -263,6 +289,9 @@ QUERIES["threshold_sum"], ORACLES["threshold_sum"] = _flagged(SUMS, every=True),
 QUERIES["flagger_sum_chanflags"], ORACLES["flagger_sum_chanflags"] = _flagged(SUMS, rfi.CHANNEL, True), oracles.flag_sum(1.5, 4, 3, "(channel % 9 = 4)")
 QUERIES["flagger_sum_fullflags"], ORACLES["flagger_sum_fullflags"] = _flagged(SUMS, rfi.FULL, True), oracles.flag_sum(1.5, 4, 3, "((baseline * 7 + channel * 5) % 11 = 0)")
 
+PADDED = rfi.SumThreshold(1.5, flag_value=3, padded=True)
+QUERIES["threshold_sum_padded"], ORACLES["threshold_sum_padded"] = _flagged(PADDED, every=True), oracles.flag_sum(1.5, 4, 3, padded=64)
+
 
 # Two-dimensional flagging
 
@@ -272,6 +301,21 @@ def average_freq(spark, sf_dir):
     return _rounded(twod.average_freq(grids.ev3d(spark, sf_dir), 5), "value")
 
 
+@query(oracles.average_freq(5))
+def average_freq_int_flags(spark, sf_dir):
+    """Flags as small integers."""
+    g = grids.ev3d(spark, sf_dir)
+    return _rounded(twod.average_freq(g.withColumn("flag", F.col("flag").cast("smallint")), 5), "value")
+
+
+@query(oracles.average_freq(4, "(channel * 7 + time * 3) % 11 < 4"))
+def average_freq_nan(spark, sf_dir):
+    """NaN samples are left out of the means; a bin without any other is flagged."""
+    lost = (F.col("channel") * 7 + F.col("time") * 3) % 11 < 4
+    g = grids.ev3d(spark, sf_dir).withColumn("value", F.when(lost, float("nan")).otherwise(F.col("value")))
+    return _rounded(twod.average_freq(g, 4), "value")
+
+
 @query(oracles.TIME_MEDIAN)
 def time_median(spark, sf_dir):
     return _rounded(twod.time_median(grids.ev3d(spark, sf_dir)), "value")
@@ -334,8 +378,8 @@ def combine_flags(spark, sf_dir):
 
 @query(oracles.UNAVERAGE)
 def unaverage_freq(spark, sf_dir):
-    g = grids.ev3d(spark, sf_dir).filter("channel < 16").withColumn("flag", (F.col("value") > 90) | (F.col("time") % 13 == 3) & (F.col("channel") < 9))
-    return twod.unaverage_freq(g, 46, SHAPE[0], 3, 4, 0.3, 0.5)
+    g = grids.ev3d(spark, sf_dir).withColumn("flag", (F.col("value") > 90) | (F.col("time") % 13 == 3) & (F.col("channel") < 9))
+    return twod.unaverage_freq(g, 3 * SHAPE[1] - 2, SHAPE[0], 3, 4, 0.3, 0.5)
 
 
 SMALL = twod.SumThresholdFlagger(outlier_nsigma=1.6, background_reject=1.5, spike_width_time=3.0, spike_width_freq=2.5, freq_chunks=4)
@@ -371,3 +415,32 @@ def fft_round_trip(spark, sf_dir):
     v = grids.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("baseline"), F.col("embedding").cast("array<double>").alias("re"))
     z = fft.fft(fft.fft(v, (8, 8), fft.R2C), (8, 8), fft.C2R, fft.INVERSE)
     return _rounded(z.select("baseline", F.posexplode("re").alias("k", "value")), "value")
+
+
+def _complex_vectors(spark, sf_dir):
+    e, half = F.col("embedding").cast("array<double>"), F.sequence(F.lit(0), F.lit(31))
+    part = lambda k: F.transform(half, lambda i: F.get(e, i * 2 + k))
+    return grids.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("baseline"), part(0).alias("re"), part(1).alias("im"))
+
+
+def _spectrum(z):
+    return z.select("baseline", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z")).select("baseline", "k", "z.re", "z.im")
+
+
+@query(oracles.FFT_C2C)
+def fft_c2c(spark, sf_dir):
+    return _rounded(_spectrum(fft.fft(_complex_vectors(spark, sf_dir), (32,))), "re", "im")
+
+
+@query(oracles.FFT_C2C_INVERSE)
+def fft_c2c_inverse(spark, sf_dir):
+    return _rounded(_spectrum(fft.fft(_complex_vectors(spark, sf_dir), (32,), fft.C2C, fft.INVERSE)), "re", "im")
+
+
+@query(oracles.FFT_SINGLE)
+def fft_single(spark, sf_dir):
+    """Single precision is near double precision, whatever the rounding."""
+    v = _complex_vectors(spark, sf_dir)
+    a, b = _spectrum(fft.fft(v, (32,), single=True)), _spectrum(fft.fft(v, (32,)))
+    both = a.join(b.withColumnsRenamed({"re": "re2", "im": "im2"}), ["baseline", "k"])
+    return both.select("baseline", "k", (F.hypot(F.col("re") - F.col("re2"), F.col("im") - F.col("im2")) < 1e-4).alias("near"), (F.col("re") == F.col("re").cast("float").cast("double")).alias("single"))

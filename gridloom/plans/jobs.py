@@ -1,90 +1,135 @@
-"""Actions in flight: bounded queues, ordered hand-over, deadlines."""
+"""Spark actions in flight: bounded submission with cancellation, values used in turn, deadlines, timing."""
 
 from __future__ import annotations
 
 import asyncio
+import threading
 import time
-from collections import deque
-from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor
+import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.sql import SparkSession
 
 
-class JobQueue:
-    """Spark actions run from threads; ``finish`` waits until at most so many remain, and raises what they raised."""
-
-    def __init__(self, spark: SparkSession, threads: int = 4):
-        self.spark, self._pool, self._jobs = spark, ThreadPoolExecutor(threads), deque()
-
-    def add(self, action: Callable[[], object]) -> Future:
-        job = self._pool.submit(action)
-        self._jobs.append(job)
-        return job
-
-    def clean(self) -> None:
-        """Drops jobs at the front that are done."""
-        while self._jobs and self._jobs[0].done():
-            self._jobs.popleft().result()
-
-    def finish(self, max_remaining: int = 0) -> None:
-        while len(self._jobs) > max_remaining:
-            self._jobs.popleft().result()
+class Actions:
+    """Spark actions run from ``threads`` threads, under a job tag of their own.
+
+    At most ``most`` actions may be unfinished: ``submit`` blocks until there is room, so a fast producer cannot flood
+    the driver. With one thread, actions run in the order in which they were submitted. As a context manager
+    it waits for all on the way out, or cancels what is left if the body failed.
+    """
+
+    def __init__(self, spark: SparkSession, threads: int = 4, most: int | None = None):
+        self.spark, self.tag = spark, f"gridloom-{uuid.uuid4().hex}"
+        self._threads = ThreadPoolExecutor(threads, thread_name_prefix="action")
+        self._room = threading.BoundedSemaphore(most) if most else None
+        self._unsettled: dict[Future, int] = {}
+        self._cancelled = threading.Event()
+
+    def submit(self, action: Callable[[], object]) -> Future:
+        if self._room:
+            self._room.acquire()
+        future = self._threads.submit(self._tagged, action)
+        if self._room:
+            future.add_done_callback(lambda _: self._room.release())
+        self._unsettled[future] = len(self._unsettled)
+        return future
+
+    def _tagged(self, action: Callable[[], object]) -> object:
+        if self._cancelled.is_set():
+            raise InterruptedError("cancelled before it began")
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
+        try:
+            return action()
+        finally:
+            context.removeJobTag(self.tag)
+
+    @property
+    def unfinished(self) -> list[Future]:
+        return [f for f in self._unsettled if not f.done()]
+
+    def settle(self, left: int = 0) -> None:
+        """Waits until at most ``left`` actions are unfinished, then raises the first error among the finished ones, if any."""
+        while len(running := self.unfinished) > left:
+            wait(running, return_when=FIRST_COMPLETED)
+        over = [f for f in self._unsettled if f.done()]
+        for f in over:
+            del self._unsettled[f]
+        for f in over:
+            f.result()
+
+    def cancel(self) -> None:
+        """Stops running Spark jobs of these actions; what has not begun does not begin."""
+        self._cancelled.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def __enter__(self) -> Actions:
+        return self
 
-    def __len__(self) -> int:
-        return len(self._jobs)
+    def __exit__(self, kind, error, trace) -> None:
+        if error is not None:
+            self.cancel()
+            wait(self.unfinished)
+        try:
+            if error is None:
+                self.settle()
+        finally:
+            self._threads.shutdown()
 
-    def __bool__(self) -> bool:
-        return bool(self._jobs)
 
-    def __contains__(self, job: Future) -> bool:
-        return job in self._jobs
+async def results(futures: Iterable[Future]) -> list:
+    """What actions return, awaited from a coroutine."""
+    return list(await asyncio.gather(*(asyncio.wrap_future(f) for f in futures)))
 
 
 async def wait_until(awaitable, when: float):
     """The result, unless ``when`` (of time.monotonic()) comes first: TimeoutError, and the work is cancelled."""
-    return await asyncio.wait_for(awaitable, max(0.0, when - time.monotonic()))
-
+    async with asyncio.timeout(max(0.0, when - time.monotonic())):
+        return await awaitable
 
-class Turn:
-    """One holder's place in a ``Resource``'s queue."""
-
-    def __init__(self, resource: Resource, before: asyncio.Future, after: asyncio.Future):
-        self._resource, self._before, self._after = resource, before, after
-
-    async def wait(self):
-        """The resource, once the holder before has handed it on; raises what stopped that holder."""
-        await self._before
-        return self._resource.value
-
-    def ready(self) -> None:
-        if not self._after.done():
-            self._after.set_result(None)
-
-    def __enter__(self) -> Turn:
-        return self
-
-    def __exit__(self, kind, error, trace) -> None:
-        if error is not None and not self._after.done():
-            self._after.set_exception(error)
-            self._after.exception()
-        self.ready()
 
+class InTurn:
+    """A value that coroutines use one at a time, in the order in which they asked for it.
 
-class Resource:
-    """Something that one job at a time may use, in the order of ``acquire``."""
+    ``async with shared.ask() as value`` waits for the number drawn by ``ask``. If the body fails, whoever comes next fails
+    with the same error on entry, and so on, as what the value holds is then in doubt.
+    """
 
     def __init__(self, value):
-        self.value, self._last = value, None
-
-    def acquire(self) -> Turn:
-        loop = asyncio.get_running_loop()
-        before = self._last
-        if before is None:
-            before = loop.create_future()
-            before.set_result(None)
-        self._last = loop.create_future()
-        return Turn(self, before, self._last)
+        self.value = value
+        self._drawn = self._called = 0
+        self._doubt: BaseException | None = None
+        self._moved = asyncio.Condition()
+
+    def ask(self) -> _Number:
+        self._drawn += 1
+        return _Number(self, self._drawn)
+
+
+class _Number:
+    def __init__(self, shared: InTurn, number: int):
+        self.shared, self.number = shared, number
+
+    async def _over(self) -> None:
+        async with self.shared._moved:
+            self.shared._called = self.number
+            self.shared._moved.notify_all()
+
+    async def __aenter__(self):
+        shared = self.shared
+        async with shared._moved:
+            await shared._moved.wait_for(lambda: shared._called == self.number - 1)
+        if shared._doubt is not None:
+            await self._over()
+            raise shared._doubt
+        return shared.value
+
+    async def __aexit__(self, kind, error, trace) -> None:
+        if error is not None:
+            self.shared._doubt = error
+        await self._over()
 
 
 def elapsed(action: Callable[[], object]) -> tuple[object, float]:

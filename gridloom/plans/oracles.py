@@ -23,11 +23,12 @@ def r6(x: str) -> str:
 
 FILL = "SELECT CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col, 3735928559 AS value FROM range(0, 75) r(i), range(0, 63) c(i)"
 ZERO = f"WITH {EMB} SELECT baseline AS row, channel AS col, CAST(0 AS DOUBLE) AS value FROM emb2d"
+ONES = f"WITH {EMB} SELECT baseline AS row, channel AS col, CAST(1 AS DOUBLE) AS value FROM emb2d"
 SCALE = f"WITH {EMB} SELECT baseline AS row, channel AS col, {r6('value * 3.0::DOUBLE')} AS value FROM emb2d"
 TRANSPOSE = f"WITH {EMB} SELECT channel AS row, CAST(baseline AS INTEGER) AS col, {r6('value')} AS value FROM emb2d"
 REGION_READ = f"WITH {EMB} SELECT CAST((baseline - 10) // 3 AS BIGINT) AS row, CAST((channel - 5) // 2 AS INTEGER) AS col, {r6('value')} AS value FROM emb2d WHERE baseline >= 10 AND baseline < 200 AND (baseline - 10) % 3 = 0 AND channel >= 5 AND channel < 60 AND (channel - 5) % 2 = 0"
-REGION_COPY = f"""WITH {EMB} SELECT d.baseline AS row, d.channel AS col, {r6('coalesce(-s.value, d.value)')} AS value FROM emb2d d
- LEFT JOIN emb2d s ON d.baseline BETWEEN 100 AND 149 AND d.channel BETWEEN 8 AND 27 AND s.baseline = d.baseline - 100 AND s.channel = (d.channel - 8) * 2"""
+REGION_COPY = f"""WITH {EMB}, s AS (SELECT baseline + 100 AS baseline, channel // 2 + 8 AS channel, -value AS value FROM emb2d WHERE baseline < 50 AND channel < 40 AND channel % 2 = 0)
+SELECT d.baseline AS row, d.channel AS col, {r6('coalesce(s.value, d.value)')} AS value FROM emb2d d LEFT JOIN s ON s.baseline = d.baseline AND s.channel = d.channel"""
 FLAG_RATE = f"WITH {EV} SELECT {r6('avg(CAST(flag AS INTEGER)) * 100')} AS percent FROM ev3d"
 VECTORS = f"WITH {EMB} SELECT channel AS pos, {r6('sum(value)')} AS total, count(*) AS n FROM emb2d GROUP BY 1"
 
@@ -44,7 +45,7 @@ BLOCK_SUM = f"WITH {EMB} SELECT CAST((baseline * 64 + channel) // 128 AS BIGINT)
 MASKED_SUM = f"WITH {EMBC} SELECT channel AS col, {r6('sum((baseline % 4) / 2.0::DOUBLE * re)')} AS re, {r6('sum((baseline % 4) / 2.0::DOUBLE * im)')} AS im FROM embc GROUP BY 1"
 MASKED_SUM_AMP = f"WITH {EMBC} SELECT channel AS col, {r6('sum((baseline % 4) / 2.0::DOUBLE * sqrt(re * re + im * im))')} AS value FROM embc GROUP BY 1"
 MASKED_MONTHS = """SELECT l_returnflag || l_linestatus AS col, round(sum(CASE WHEN ((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1) % 2 = 1 THEN l_extendedprice ELSE 0 END), 2) AS value
- FROM lineitem WHERE (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 BETWEEN 0 AND 95 GROUP BY 1"""
+ FROM lineitem GROUP BY 1"""
 
 
 def percentile5(value: str, table: str, where: str = "") -> str:
@@ -59,6 +60,8 @@ RANK_HELPERS = f"""WITH {EMB}, m AS (SELECT baseline AS row, channel AS col, CAS
 SELECT row, count(*) FILTER (value < 0.05) AS below, count(*) FILTER (value = 0) AS zeros, {r6('greatest(coalesce(max(value) FILTER (value < 0.1), 0), 0)')} AS under,
  {r6('median(value) FILTER (value > 0)')} AS middle, {r6('min(value) FILTER (col % 5 <> 0)')} AS low, {r6('max(value) FILTER (col % 5 <> 0)')} AS high FROM m GROUP BY row"""
 NEAREST = "SELECT min(p_brand) AS device_name, CAST(2 AS INTEGER) AS match_level FROM part"
+UPSERT = """WITH s AS (SELECT p_brand AS device_name, CAST(p_size AS VARCHAR) AS device_version, count(*) AS value_n FROM part GROUP BY 1, 2)
+SELECT device_name, device_version, CASE WHEN device_name < 'Brand#3' THEN -value_n ELSE value_n END AS value_n FROM s UNION ALL SELECT device_name || '/new', device_version, value_n FROM s"""
 AMPLITUDE = f"WITH {EMBC} SELECT baseline, channel, {r6('sqrt(re * re + im * im)')} AS value FROM embc"
 
 
@@ -81,19 +84,22 @@ def flag_simple(n_sigma: float, every: bool = False) -> str:
  FROM dev d JOIN noise n ON n.baseline = d.baseline) {where}"""
 
 
-def flag_sum(n_sigma: float, n_windows: int, flag_value: int, flagged: str = "false") -> str:
-    parts = [f"s0 AS (SELECT d.baseline, channel, dev, {n_sigma}::DOUBLE * noise AS thr, false AS f FROM dev d JOIN noise n ON n.baseline = d.baseline)"]
+def flag_sum(n_sigma: float, n_windows: int, flag_value: int, flagged: str = "false", padded: int = 0) -> str:
+    """padded: zeros lie beyond both ends of so many channels."""
+    parts = [f"band AS (SELECT * FROM dev UNION ALL SELECT baseline, p.i, 0.0 FROM (SELECT DISTINCT baseline FROM dev), range(-16, {padded} + 16) p(i) WHERE p.i < 0 OR p.i >= {padded})"] if padded else []
+    parts.append(f"s0 AS (SELECT d.baseline, channel, dev, {n_sigma}::DOUBLE * noise AS thr, false AS f FROM {'band' if padded else 'dev'} d JOIN noise n ON n.baseline = d.baseline)")
     for i in range(n_windows):
         w = 2**i
         parts.append(f"a{i} AS (SELECT baseline, channel, dev, thr, f, CAST(CAST(thr * {1.2**-i!r}::DOUBLE AS FLOAT) AS DOUBLE) AS t FROM s{i})")
         parts.append(f"b{i} AS (SELECT *, sum(CASE WHEN f THEN t ELSE dev END) OVER k AS s, count(*) OVER k AS n FROM a{i} WINDOW k AS (PARTITION BY baseline ORDER BY channel ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))")
         parts.append(f"s{i + 1} AS (SELECT baseline, channel, dev, thr, f OR bool_or(coalesce(n = {w} AND s > t * {w}, false)) OVER (PARTITION BY baseline ORDER BY channel ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS f FROM b{i})")
-    return f"WITH {_dev(13, flagged)}, {_NOISE}, {', '.join(parts)} SELECT baseline, channel, CASE WHEN f THEN {flag_value} ELSE 0 END AS flag FROM s{n_windows}"
+    return f"WITH {_dev(13, flagged)}, {_NOISE}, {', '.join(parts)} SELECT baseline, channel, CASE WHEN f THEN {flag_value} ELSE 0 END AS flag FROM s{n_windows}{f' WHERE channel BETWEEN 0 AND {padded - 1}' if padded else ''}"
 
 
-def average_freq(factor: int) -> str:
-    return f"""WITH {EV} SELECT baseline, time, CAST(channel // {factor} AS INTEGER) AS channel, {r6('coalesce(avg(abs(value)) FILTER (NOT flag), 0.0)')} AS value,
- count(*) FILTER (NOT flag) = 0 AS flag FROM ev3d GROUP BY 1, 2, 3"""
+def average_freq(factor: int, lost: str = "false") -> str:
+    good = f"FILTER (NOT flag AND NOT ({lost}))"
+    return f"""WITH {EV} SELECT baseline, time, CAST(channel // {factor} AS INTEGER) AS channel, {r6(f'coalesce(avg(abs(value)) {good}, 0.0)')} AS value,
+ count(*) {good} = 0 AS flag FROM ev3d GROUP BY 1, 2, 3"""
 
 
 TIME_MEDIAN = f"WITH {EV} SELECT baseline, channel, {r6('coalesce(median(value) FILTER (NOT flag), 0.0)')} AS value, count(*) FILTER (NOT flag) = 0 AS flag FROM ev3d GROUP BY 1, 2"
@@ -239,8 +245,8 @@ def _unaverage(q: Chain, source: str, channels: int, times: int, factor: int, ex
 
 def _unaverage_query() -> str:
     q = Chain(EV)
-    source = q.add("SELECT baseline, time, channel, value > 90 OR (time % 13 = 3 AND channel < 9) AS flag FROM ev3d WHERE channel < 16")
-    return q.sql(f"SELECT * FROM {_unaverage(q, source, 46, 30, 3, 4, 0.3, 0.5)}")
+    source = q.add("SELECT baseline, time, channel, value > 90 OR (time % 13 = 3 AND channel < 9) AS flag FROM ev3d")
+    return q.sql(f"SELECT * FROM {_unaverage(q, source, 142, 30, 3, 4, 0.3, 0.5)}")
 
 
 UNAVERAGE = _unaverage_query()
@@ -275,3 +281,13 @@ _ANGLE = "2 * pi() / 64 * k.i * channel"
 DFT = f"WITH {EMB} SELECT baseline, CAST(k.i AS INTEGER) AS k, {r6(f'sum(value * cos({_ANGLE})) ** 2 + sum(value * sin({_ANGLE})) ** 2')} AS power FROM emb2d, range(0, 33) k(i) GROUP BY 1, 2"
 FFT = f"WITH {EMB} SELECT baseline, CAST(k.i AS INTEGER) AS k, {r6(f'sum(value * cos({_ANGLE}))')} AS re, {r6(f'-sum(value * sin({_ANGLE}))')} AS im FROM emb2d, range(0, 33) k(i) GROUP BY 1, 2"
 FFT_ROUND = f"WITH {EMB} SELECT baseline, channel AS k, {r6('value * 64')} AS value FROM emb2d"
+
+
+def fft_c2c(sign: int) -> str:
+    turn = f"({sign} * 2 * pi() * k.i * channel / 32)"
+    return f"""WITH {EMBC} SELECT baseline, CAST(k.i AS INTEGER) AS k, {r6(f'sum(re * cos({turn}) - im * sin({turn}))')} AS re, {r6(f'sum(re * sin({turn}) + im * cos({turn}))')} AS im
+ FROM embc, range(0, 32) k(i) GROUP BY 1, 2"""
+
+
+FFT_C2C, FFT_C2C_INVERSE = fft_c2c(-1), fft_c2c(1)
+FFT_SINGLE = f"WITH {EMBC} SELECT baseline, channel AS k, true AS near, true AS single FROM embc"

@@ -17,6 +17,7 @@ KINDS = {
     "integer": (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
     "number": (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType),
     "boolean": (T.BooleanType,),
+    "flag": (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType),
     "vector": (T.ArrayType,),
     "any": (T.DataType,),
 }
@@ -43,7 +44,25 @@ class Slot:
 
 GRID2 = Slot({"baseline": "any", "channel": "integer", "value": "number"})
 COMPLEX2 = Slot({"baseline": "any", "channel": "integer", "re": "number", "im": "number"})
-GRID3 = Slot({"baseline": "any", "time": "integer", "channel": "integer", "value": "number", "flag": "boolean"})
+GRID3 = Slot({"baseline": "any", "time": "integer", "channel": "integer", "value": "number", "flag": "flag"})
+
+
+def with_boolean(grid: DataFrame, column: str = "flag") -> DataFrame:
+    """``grid`` with a flag of any width as a boolean: any value but zero flags."""
+    kind = grid.schema[column].dataType
+    if isinstance(kind, T.BooleanType):
+        return grid
+    if not isinstance(kind, KINDS["flag"]):
+        raise TypeError(f"{column} is {kind.simpleString()}, not a flag")
+    return grid.withColumn(column, F.col(column) != 0)
+
+
+def narrowest(value: int) -> T.DataType:
+    """The narrowest integer type that holds ``value``."""
+    for kind, bits in ((T.ByteType(), 8), (T.ShortType(), 16), (T.IntegerType(), 32), (T.LongType(), 64)):
+        if -(1 << (bits - 1)) <= value < 1 << (bits - 1):
+            return kind
+    raise OverflowError(f"{value} is beyond 64 bits")
 
 
 def finite(value: Column) -> Column:

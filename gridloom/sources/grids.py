@@ -36,11 +36,17 @@ def ev3d(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("baseline"), F.floor(at / 86_400).cast("int").alias("time"), F.floor((at % 86_400) / 1800).cast("int").alias("channel"), "value"
     )
     cells = rows.groupBy("baseline", "time", "channel").agg(F.avg("value").alias("_mean"))
-    # A cell for each index: baselines come from the aggregate, the rest is generated beside each.
-    axes = cells.select("baseline").distinct()
-    axes = axes.withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1)))).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    dense = axes.join(cells, ["baseline", "time", "channel"], "left")
-    return dense.select("baseline", "time", "channel", F.coalesce("_mean", F.lit(0.0)).alias("value"), F.col("_mean").isNull().alias("flag"))
+    return densify(cells.withColumnRenamed("_mean", "value"), {"time": DAYS, "channel": SLOTS})
+
+
+def densify(cells: DataFrame, axes: dict[str, int], keys: tuple[str, ...] = ("baseline",), value: str = "value", default: float = 0.0) -> DataFrame:
+    """(keys, axes, value, flag): a row for each cell of ``axes`` (name -> size) of each group of ``keys``; cells without a value hold
+    ``default`` and are flagged. Groups come from the cells, the rest is generated beside each, without a cross join."""
+    every = cells.select(*keys).distinct()
+    for name, size in axes.items():
+        every = every.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    dense = every.join(cells.select(*keys, *axes, F.col(value).alias("_v")), [*keys, *axes], "left")
+    return dense.select(*keys, *axes, F.coalesce("_v", F.lit(default)).alias(value), F.col("_v").isNull().alias("flag"))
 
 
 def li2d(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,3 +36,28 @@ def upsert(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & store[k].eqNullSafe(rows[k])
     return store.join(rows, on, "left_anti").unionByName(rows)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The store at ``path`` as it was last saved."""
+    kept = spark.read.parquet(path)
+    return kept.filter(F.col("version") == kept.agg(F.max("version").alias("v")).first()["v"]).drop("version")
+
+
+def save(path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Creates the store at ``path`` with ``rows``, or upserts them into it; the store as read back.
+
+    Each save is a new version beside the old ones, so readers never see half of one.
+    """
+    spark, version = rows.sparkSession, 0
+    # Appending nothing creates the folder where there is none.
+    rows.limit(0).write.mode("append").parquet(f"{path}/version=-1")
+    kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, version int").parquet(path)
+    last = kept.agg(F.max("version").alias("v")).first()["v"]
+    if last is not None:
+        version = last + 1
+        rows = upsert(kept.filter(F.col("version") == last).drop("version"), rows, keys)
+    else:
+        rows = upsert(rows.limit(0), rows, keys)
+    rows.write.parquet(f"{path}/version={version}")
+    return load(spark, path)

@@ -26,6 +26,7 @@ def as_rows(df, axes, column="value"):
     return [got[k] for k in sorted(got)]
 
 
+# The literal inputs and results of the tests named "literals" define the semantics and must stay as they are.
 VIS = np.array([[1.25], [1.5j], [1.0], [2.0], [-1.75], [2.0]])
 
 
@@ -344,36 +345,132 @@ def test_composition(spark):
     assert [r[0] for r in spark.createDataFrame([(float("nan"),), (1.0,)], "v double").select(schema.finite(F.col("v"))).collect()] == [None, 1.0]
 
 
-def test_jobs(spark):
-    queue, done = jobs.JobQueue(spark, 2), []
-    made = [queue.add(lambda i=i: done.append(spark.range(10 + i).count())) for i in range(4)]
-    assert made[3] in queue
-    queue.finish(1)
-    assert len(queue) == 1
-    queue.finish()
-    assert not queue
-    assert sorted(done) == [10, 11, 12, 13]
-    queue.add(lambda: 1 / 0)
+def test_padded_sum_threshold_equals_a_band_with_zeros_around(spark):
+    r = np.random.default_rng(5)
+    dev = r.normal(0, 1, (30, 6))
+    dev[:2, 0] = dev[-1:, 1] = dev[-3:, 2] = 4
+    dev[0, 3] = 9
+    wide = np.vstack([np.zeros((15, 6)), dev, np.zeros((15, 6))])
+    noise = [(b, 1.0) for b in range(6)]
+    noise = spark.createDataFrame(noise, "baseline int, noise double")
+    dev[:4, 4] = [0.9, 0.9, 0.9, -1]
+    wide[15:45] = dev
+    of = lambda a, padded, falloff=1.2: grids.to_array(rfi.SumThreshold(2.0, falloff=falloff, padded=padded)(long(spark, a).withColumnRenamed("value", "dev").join(noise, "baseline")), value="flag")
+    assert of(dev, True).tolist() == of(wide, False)[15:45].tolist()
+    assert of(dev, True, 2.0).tolist() == of(wide, False, 2.0)[15:45].tolist()
+    assert of(dev, True, 2.0)[:3, 4].all()
+    assert not of(dev, False, 2.0)[:3, 4].any()
+    assert rfi.SumThreshold(2.0, padded=True)(long(spark, dev[:1]).withColumnRenamed("value", "dev").join(noise, "baseline")).count() == 6
+
+
+def test_errors_that_data_decide(spark):
+    dev = long(spark, np.ones((9, 2))).withColumnRenamed("value", "dev")
+    assert rfi.MadNoise(9).table(dev).count() == 2
+    for failing in (rfi.MadNoise(8).table(dev), rfi.MadNoise(8)(dev), reduce.block_sum(spark.range(200).selectExpr("id as i", "1.0D as value"))):
+        with pytest.raises(Exception, match="more than 8|no multiple"):
+            failing.collect()
+    assert reduce.block_sum(spark.range(256).selectExpr("id as i", "1.0D as value")).count() == 2
+    assert reduce.block_sum(spark.range(200).selectExpr("id as i", "1.0D as value"), whole=False).count() == 2
+
+
+def test_flags_of_any_width(spark):
+    data = np.arange(24.0).reshape(4, 6, 1)
+    flags = np.zeros(data.shape, bool)
+    flags[1] = flags[:, 2] = True
+    c = cube(spark, data, flags)
+    want = sorted(map(tuple, twod.SumThresholdFlagger().get_flags(c, (4, 6)).collect()))
+    for kind in ("tinyint", "smallint", "bigint"):
+        narrow = c.withColumn("flag", F.col("flag").cast("int").cast(kind))
+        assert as_rows(twod.average_freq(narrow, 3), ("time", "channel")) == as_rows(twod.average_freq(c, 3), ("time", "channel"))
+        assert as_rows(twod.time_median(narrow), ("channel",), "flag") == as_rows(twod.time_median(c), ("channel",), "flag")
+        complex_ = narrow.select("*", F.col("value").alias("re"), F.lit(0.0).alias("im")).drop("value")
+        assert as_rows(twod.average_freq(complex_, 2), ("time", "channel")) == as_rows(twod.average_freq(c, 2), ("time", "channel"))
+    assert sorted(map(tuple, twod.SumThresholdFlagger(check_dense=True).get_flags(narrow, (4, 6)).collect())) == want
+    with pytest.raises(TypeError):
+        twod.time_median(c.withColumn("flag", F.lit("yes")))
+    assert [schema.narrowest(x).simpleString() for x in (0, 127, 128, -129, 40000, 1 << 40)] == ["tinyint", "tinyint", "smallint", "smallint", "int", "bigint"]
+    with pytest.raises(OverflowError):
+        schema.narrowest(1 << 70)
+
+
+def test_a_cube_with_gaps_is_refused_or_filled(spark):
+    c = cube(spark, np.ones((3, 4, 2)))
+    assert twod.require_dense(c, {"time": 3, "channel": 4}) is c
+    for bad in (c.filter("not (time = 1 and channel = 2 and baseline = 1)"), c.unionByName(c.limit(1)), c.withColumn("channel", F.when(F.col("channel") == 3, 9).otherwise(F.col("channel")))):
+        with pytest.raises(ValueError, match="not dense"):
+            twod.SumThresholdFlagger(check_dense=True).get_flags(bad, (3, 4))
+    filled = grids.densify(c.filter("channel <> 2").drop("flag"), {"time": 3, "channel": 4})
+    assert twod.require_dense(filled, {"time": 3, "channel": 4}).filter("flag").count() == 6
+    assert filled.filter("flag and value <> 0").count() == 0
+
+
+def test_a_tuning_store_on_disk(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "device_name string, n int")
+    assert sorted(map(tuple, tuning.save(f"{tmp_path}/s", rows(("a", 1), ("b", 2)), ["device_name"]).collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, tuning.save(f"{tmp_path}/s", rows(("b", 5), ("c", 3)), ["device_name"]).collect())) == [("a", 1), ("b", 5), ("c", 3)]
+    assert tuning.load(spark, f"{tmp_path}/s").count() == 3
+
+
+def test_a_fold_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "FOLDED", 7)
+    grid = spark.range(300).selectExpr("cast(id % 3 as int) row", "cast(id as int) col", "id as value")
+    got = reduce.hreduce(grid, lambda a, x: (a * 1 + x) % 1000, 0).collect()
+    assert {r["row"]: r["value"] for r in got} == {k: sum(range(k, 300, 3)) % 1000 for k in range(3)}
+    first = reduce.hreduce(grid, lambda a, x: F.when(a < 0, x).otherwise(a), -1)  # the first in column order
+    assert {r["row"]: r["value"] for r in first.collect()} == {0: 0, 1: 1, 2: 2}
+
+
+def test_actions(spark):
+    done = []
+    with jobs.Actions(spark, threads=2, most=3) as actions:
+        made = [actions.submit(lambda i=i: done.append(spark.range(10 + i).count())) for i in range(6)]
+        assert len(actions.unfinished) <= 3
+        actions.settle(1)
+        assert len(actions.unfinished) <= 1
+    assert all(f.done() for f in made)
+    assert sorted(done) == [10, 11, 12, 13, 14, 15]
+    order = []
+    with jobs.Actions(spark, threads=1) as actions:
+        for i in range(5):
+            actions.submit(lambda i=i: order.append(i))
+    assert order == list(range(5))
+    actions = jobs.Actions(spark, 1)
+    actions.submit(lambda: 1 / 0)
     with pytest.raises(ZeroDivisionError):
-        queue.finish()
-
-    async def turns():
-        resource, seen = jobs.Resource("buffer"), []
-        first, second, third = (resource.acquire() for _ in range(3))
-
-        async def use(turn, name, fail=False):
-            with turn:
-                assert await turn.wait() == "buffer"
+        actions.settle()
+    actions.settle()
+    slow = actions.submit(lambda: spark.range(0, 4, 1, 4).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L + id)").collect())
+    late = actions.submit(lambda: "begun")
+    time.sleep(1.5)
+    actions.cancel()
+    began = time.monotonic()
+    assert slow.exception() is not None
+    assert isinstance(late.exception(), InterruptedError)
+    assert time.monotonic() - began < 15
+
+
+def test_turns_and_deadlines(spark):
+    async def run():
+        shared, seen = jobs.InTurn("buffer"), []
+        first, second, third = (shared.ask() for _ in range(3))
+
+        async def use(number, name, fail=False):
+            async with number as value:
+                assert value == "buffer"
                 seen.append(name)
+                await asyncio.sleep(0.01)
                 if fail:
                     raise RuntimeError(name)
 
         got = await asyncio.gather(use(third, 3), use(first, 1), use(second, 2, True), return_exceptions=True)
         with pytest.raises(TimeoutError):
             await jobs.wait_until(asyncio.sleep(5), time.monotonic() + 0.05)
+        assert await jobs.wait_until(asyncio.sleep(0, "in time"), time.monotonic() + 5) == "in time"
+        actions = jobs.Actions(spark, 2)
+        assert await jobs.results([actions.submit(lambda: spark.range(3).count()), actions.submit(lambda: 5)]) == [3, 5]
         return seen, [type(x) for x in got]
 
-    assert asyncio.run(turns()) == ([1, 2], [RuntimeError, type(None), RuntimeError])
+    assert asyncio.run(run()) == ([1, 2], [RuntimeError, type(None), RuntimeError])
     assert jobs.best_setting(spark, "spark.sql.shuffle.partitions", ["2", "4"], lambda: spark.range(5).count()) in ("2", "4")
 
 
