@@ -340,9 +340,23 @@ def _tasks(of: Callable[[pa.Table], pa.Table | None], keys: tuple[str, ...]) ->
     return run
 
 
+def _block(name: np.ndarray, size: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """A block's rows of the matrix: its columns once, and for each set the gaps between the columns it has. Sets of a cluster
+    share most columns, so gaps are small and alike."""
+    count = np.array([len(s) for s in sets], np.int32)
+    columns, at = np.unique(np.concatenate(sets), return_inverse=True)
+    gap = np.diff(at, prepend=0)
+    first = (np.cumsum(count) - count)[count > 0]
+    gap[first] = at[first]
+    return packed(name, size, count, columns, gap.astype(np.uint32))
+
+
 def _sets_of(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    name, size, count, shingle = unpacked(payload)
-    return name, size, np.split(shingle.view(np.uint64), np.cumsum(count)[:-1])
+    name, size, count, columns, gap = unpacked(payload)
+    ends = np.cumsum(count)
+    total = np.concatenate([[0], np.cumsum(gap.astype(np.int64))])
+    at = total[1:] - np.repeat(total[ends - count], count)
+    return name, size, np.split(columns[at], ends[:-1])
 
 
 def _edges(name: np.ndarray, other: np.ndarray, link: np.ndarray) -> pa.Table:
@@ -364,7 +378,7 @@ def _linked(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
 def _gathered(t: pa.Table) -> pa.Table:
     """One row a block, with all its sets."""
     sets = [np.frombuffer(x, np.uint64) for x in t["payload"].to_pylist()]
-    payload = packed(t["name"].to_numpy(), t["n"].to_numpy(), np.array([len(s) for s in sets], np.int32), np.concatenate(sets).view(np.int64))
+    payload = _block(t["name"].to_numpy(), t["n"].to_numpy(), sets)
     return t.slice(0, 1).select(["c", "block"]).append_column("sets", pa.array([payload], pa.binary()))
 
 

@@ -111,6 +111,14 @@ def test_packed_arrays_come_back():
         assert a.tolist() == b.tolist()
 
 
+def test_blocks_of_sets_come_back():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) % np.uint64(500)) for n in (0, 5, 0, 90, 1, 300, 0)]
+    name, size, got = jaccard._sets_of(jaccard._block(np.arange(7), np.arange(7) + 400, sets))
+    assert (name.tolist(), size.tolist()) == (list(range(7)), list(range(400, 407)))
+    assert [s.tolist() for s in got] == [s.tolist() for s in sets]
+
+
 def test_forest():
     r = np.random.default_rng(6)
     u, v = r.integers(-400, 400, 300), r.integers(-400, 400, 300)
