@@ -1,11 +1,15 @@
 """Token counts by a two-tier lookup on the map side.
 
 A compact table of frequent pre-token lengths goes to all workers; what it lacks is encoded once a worker and
-kept in that worker's cache. Pre-tokens are never shuffled.
+kept in that worker's cache. Pre-tokens are never shuffled. Where a text holds a character that regular-expression libraries may class
+differently, or a special string, the stretch around it, from one safe place to the next, is a unit of its own and is
+looked up like a pre-token; the rest of the text goes its usual way.
 """
 
 from __future__ import annotations
 
+import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,80 +22,122 @@ from gridloom.cluster import ship
 #: Fixed value: the tokenizer's own pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class every regular-expression library knows alike: ASCII without the odd control characters, Latin,
-#: Greek, Cyrillic letters and common punctuation. A text with any other character is encoded whole by the library.
-COMMON = r"[\t\n\r -~¡-¬®-ȳΑ-ΡΣ-ҁ‐-‧‰-›€]*"
+#: Greek, Cyrillic letters and common punctuation; and those of them that are no space.
+_SOLID = r"!-~¡-¬®-ȳΑ-ΡΣ-ҁ‐-‧‰-›€"
+COMMON = rf"[\t\n\r {_SOLID}]*"
+#: A space between two of these ends a pre-token on its left, whatever stands further away.
+SAFE = rf"(?<=[{_SOLID}])(?= [{_SOLID}])"
 TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE = 50_000, 512, 400_000
+#: Units that are encoded at a time, and texts that are looked up at a time.
+_ENCODED, _TEXTS = 8192, 256
 DECLARED = "doc_id long, n_bytes long, n_tokens long"
 
-_caches: dict[str, tuple] = {}
+_workers: dict[str, _Worker] = {}
 
 
-def _worker(path: str) -> tuple:
-    """Tokenizer, cache and patterns of this worker; they outlive a task where Python workers are reused."""
-    if path not in _caches:
+class _Worker:
+    """Tokenizer, cache and patterns of a Python worker; they outlive a task where workers are reused."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _caches[path] = (tokenizer, {}, regex.compile(PATTERN).findall, regex.compile(COMMON).fullmatch, special)
-    return _caches[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.cache: dict[str, int] = {}
+        self.words = regex.compile(PATTERN).findall
+        self.common = regex.compile(COMMON).fullmatch
+        special = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(special)).search if special else lambda _: None
+        self.odd = regex.compile("|".join([*special, rf"[^\t\n\r {_SOLID}]+"])).finditer
+        self.safe = regex.compile(SAFE)
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(e) for low in range(0, len(texts), _ENCODED) for e in self.tokenizer.encode_batch(texts[low : low + _ENCODED], add_special_tokens=False)]
+
+    def units(self, text: str) -> list[str]:
+        """Pre-tokens, and whole stretches around what is not common; together they are the text."""
+        if self.common(text) and not self.special(text):
+            return self.words(text)
+        safe = np.array([0, *(m.start() for m in self.safe.finditer(text)), len(text)])
+        out, done = [], 0
+        for m in self.odd(text):
+            if m.start() < done:
+                continue
+            begin = int(safe[np.searchsorted(safe, m.start(), "right") - 1])
+            end = int(safe[np.searchsorted(safe, m.end())])
+            if begin < done:  # goes on from the stretch before
+                out[-1] += text[done:end]
+            else:
+                out += self.words(text[done:begin])
+                out.append(text[begin:end])
+            done = end
+        return out + self.words(text[done:])
+
+
+def _worker(path: str) -> _Worker:
+    if path not in _workers:
+        _workers[path] = _Worker(path)
+    return _workers[path]
 
 
 def frequent_table(documents: DataFrame, path: str, size: int = TABLE_SIZE, sample: int = SAMPLE_DOCS) -> dict[str, int]:
     """The most frequent pre-tokens of ``sample`` documents, ``size`` at most, with their token counts.
 
-    The documents with the smallest hash of doc_id are taken. The table only saves work: what it lacks is encoded
-    where it occurs, so no result depends on it.
+    The documents with the smallest hash of doc_id are taken, each id once a task, and counted whole where they are read; a task sends ``size``
+    words at most. The table only saves work: what it lacks is encoded where it occurs, so no result depends on it.
     """
-    from collections import Counter
+    chosen = [r["doc_id"] for r in documents.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    if not chosen:
+        return {}
 
-    tokenizer, _, findall, common, _ = _worker(path)
-    # Ids are chosen first, so that each task sends few bytes, and then only the texts of these.
-    chosen = documents.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    rows = documents.filter(F.col("doc_id").isin([r["doc_id"] for r in chosen])).select(F.substring("text", 1, 20_000).alias("text")).collect() if chosen else []
-    counts = Counter(w for r in rows if r["text"] and common(r["text"]) for w in findall(r["text"]))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts, worker = set(), Counter(), _worker(path)
+        for batch in batches:
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text and i not in seen:
+                    seen.add(i)
+                    counts.update(w for w in worker.units(text) if len(w) < 64)
+        if counts:
+            words, n = zip(*counts.most_common(size), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([list(words)]), pa.array([list(n)], pa.list_(pa.int64()))], names=["words", "n"])
+
+    rows = documents.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text").mapInArrow(counted, "words array<string>, n array<long>")
+    counts = Counter()
+    for r in rows.toLocalIterator():
+        counts.update(dict(zip(r["words"], r["n"], strict=True)))
     words = sorted(counts, key=lambda w: (-counts[w], w))[:size]
-    return dict(zip(words, _lengths(tokenizer, words), strict=True))
-
-
-def _lengths(tokenizer, texts: list[str]) -> list[int]:
-    return [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return dict(zip(words, _worker(path).lengths(words), strict=True))
 
 
 def count_texts(texts: list[str], path: str, table: dict[str, int], cache_size: int = CACHE_SIZE) -> list[int]:
     """The library's number of tokens of each text."""
-    tokenizer, cache, findall, common, special = _worker(path)
-    out = [0] * len(texts)
-    whole: list[int] = []
-    for i, text in enumerate(texts):
-        if not common(text) or any(s in text for s in special):
-            whole.append(i)
-            continue
-        words = findall(text)
-        got = list(map(table.get, words))
-        if None in got:
-            second = [w for w, n in zip(words, got, strict=True) if n is None]
-            lacking = list({w for w in second if w not in cache})
-            if len(cache) + len(lacking) > cache_size:  # starts anew; memory stays bounded
-                cache.clear()
-                lacking = list(set(second))
-            if lacking:
-                cache.update(zip(lacking, _lengths(tokenizer, lacking), strict=True))
-            out[i] = sum(n for n in got if n is not None) + sum(map(cache.__getitem__, second))
-        else:
-            out[i] = sum(got)
-    for i in whole:
-        out[i] = _lengths(tokenizer, [texts[i]])[0]
-    return out
+    worker = _worker(path)
+    cache, every, ends = worker.cache, [], []
+    for text in texts:
+        every += worker.units(text)
+        ends.append(len(every))
+    got = list(map(table.get, every))
+    if None in got:
+        missed = [i for i, n in enumerate(got) if n is None]
+        second = [every[i] for i in missed]
+        lacking = [w for w in dict.fromkeys(second) if w not in cache]
+        if len(cache) + len(lacking) > cache_size:  # starts anew; memory stays bounded
+            cache.clear()
+            lacking = list(dict.fromkeys(second))
+        cache.update(zip(lacking, worker.lengths(lacking), strict=True))
+        for i, w in zip(missed, second, strict=True):
+            got[i] = cache[w]
+    sums = np.concatenate([[0], np.cumsum(np.array(got, np.int64))])
+    return np.diff(sums[np.array([0, *ends])]).tolist()
 
 
 def _counter(path: str, table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(low, _TEXTS)
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 sizes = [len(x.encode()) for x in texts]
                 counts = count_texts(texts, path, known)
