@@ -1,5 +1,9 @@
 """URL filter: host-suffix and path-prefix expressions, an equi-join on short hash prefixes, full digests confirm.
 
+Rules are few shapes: so many labels of the host, so many characters of the path. Each shape is one expression of a URL and
+one join with the rules of that shape, by a short prefix of the expression's hash; a row meets one row of the rules at most, so rows are neither
+multiplied nor gathered, and pages are not shuffled while the rules are small enough to be sent to all.
+
 Main path: DataFrame functions only.
 """
 
@@ -18,9 +22,11 @@ BASE_RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: The method's own block list, asked where no base rule fits: any host that carries one of these labels, whole.
-SPAM_LABELS = ("spam-farm", "cheap-pills", "casino-bonus", "free-money")
+#: The method's own rules, asked where no base rule fits; they go through the same expressions.
+OWN_RULES = tuple((f"{name}.example.{top}/", "block") for name in ("spam-farm", "cheap-pills", "casino-win", "casino-bonus", "free-money") for top in ("com", "net", "org"))
 PREFIX_BITS = 32
+#: Rule sets of up to so many bytes go to all executors; larger ones are joined by a shuffle on the hash prefix.
+BROADCAST_BYTES = 8 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -39,26 +45,39 @@ def _short(digest: Column) -> Column:
     return F.substring(digest, 1, PREFIX_BITS // 4)
 
 
-def rule_table(like: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """rule, verdict, digest and short hash of each rule; of a rule given twice with two verdicts, block stays."""
-    rows = {}
-    for rule, verdict in rules:
-        if verdict not in ("allow", "block") or "/" not in rule:
-            raise ValueError(f"not a rule: {rule!r} {verdict!r}")
-        rows[rule] = "block" if "block" in (verdict, rows.get(rule)) else verdict
-    made = like.sparkSession.createDataFrame(sorted(rows.items()), "_rule string, _rule_verdict string")
-    digest = _digest(F.substring_index("_rule", "/", 1), F.expr("substring(_rule, instr(_rule, '/'))"))
-    return made.withColumn("_rule_digest", digest).withColumn("_rule_short", _short(F.col("_rule_digest")))
-
-
-def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = BASE_RULES, spam_labels: Sequence[str] = SPAM_LABELS) -> DataFrame:
+def rule_table(like: DataFrame, rules: Sequence[tuple[str, str]], own: Sequence[tuple[str, str]]) -> dict[tuple[int, int], DataFrame]:
+    """By shape (labels, path characters): a row a short hash, with the rules under it. Of a rule given twice with two verdicts,
+    block stays; of one that is both given and the method's own, the given one."""
+    shapes: dict[tuple[int, int], dict[str, tuple[int, str]]] = {}
+    for rank, listed in ((1, rules), (0, own)):
+        for rule, verdict in listed:
+            if verdict not in ("allow", "block") or "/" not in rule:
+                raise ValueError(f"not a rule: {rule!r} {verdict!r}")
+            at = rule.index("/")
+            rows = shapes.setdefault((rule[:at].count(".") + 1, len(rule) - at), {})
+            if rule not in rows or (rows[rule][0] == rank and verdict == "block"):
+                rows[rule] = rank, verdict
+    out = {}
+    for shape, rows in sorted(shapes.items()):
+        made = like.sparkSession.createDataFrame([(rank, rule, verdict) for rule, (rank, verdict) in sorted(rows.items())], "_rank int, _rule string, _rule_verdict string")
+        made = made.withColumn("_digest", _digest(F.substring_index("_rule", "/", 1), F.expr("substring(_rule, instr(_rule, '/'))")))
+        listed = F.collect_list(F.struct("_rank", F.length("_rule").alias("_size"), "_rule", "_rule_verdict", "_digest"))
+        out[shape] = made.groupBy(_short(F.col("_digest")).alias("_short")).agg(listed.alias("_listed"))
+    return out
+
+
+def _confirmed(listed: Column, digest: Column) -> Column:
+    return F.filter(listed, lambda r: r["_digest"] == digest)
+
+
+def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = BASE_RULES, own: Sequence[tuple[str, str]] = OWN_RULES) -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule`` and ``verdict``; one row for each input row.
 
-    A rule fits its host and all subdomains if the path starts with the rule's path; the longest rule wins. Each URL
-    expands to its host suffixes of as many labels as some rule has, times its path prefixes of as many characters
-    as some rule has, so expressions a URL are bounded by the rule set, not by the URL. The expressions meet the rules
-    by a hash prefix of PREFIX_BITS; the whole SHA-256 confirms. Where no rule fits, the verdict is block for a
-    host that has a label of ``spam_labels`` and allow otherwise, and ``rule`` is null.
+    A rule fits its host and all subdomains if the path starts with the rule's path; the longest rule wins, of equally long ones the last by
+    code point. Each URL has an expression for each shape of rule: its last so many labels, its path's first so many characters; so
+    expressions a URL are bounded by the rule set, not by the URL. An expression meets the rules of its shape by a hash prefix of
+    PREFIX_BITS; the whole SHA-256 confirms. Where no given rule fits, ``rule`` is null and the verdict is that of the
+    longest of the method's own rules, or allow.
 
     Null or broken URLs have empty host and path and are allowed. Repeated rows and ties stay rows of their own; an empty
     table gives an empty one. Input columns named like an output column are replaced; others pass through.
@@ -66,27 +85,22 @@ def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = host_path(F.col(f"`{url_col}`"))
     rows = pages.withColumns({"_host": host, "_path": path})
-    listed = rule_table(pages, rules)
-    labels = sorted({rule.split("/", 1)[0].count(".") + 1 for rule, _ in rules})
-    sizes = sorted({len(rule) - rule.index("/") for rule, _ in rules})
-    n = F.size(F.split("_host", r"\."))
-    hosts = F.filter(F.array(*[F.when(n >= k, F.substring_index("_host", ".", -k)) for k in labels]), lambda h: h.isNotNull())
-    paths = F.filter(F.array(*[F.when(F.length("_path") >= k, F.substring("_path", 1, k)) for k in sizes]), lambda p: p.isNotNull())
-    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    digests = F.transform(pairs, lambda x: F.sha2(F.concat_ws("\n", x["h"], x["p"]), 256))
-    # Distinct (host, path) pairs are judged once; a rule list larger than the broadcast threshold joins by shuffle.
-    # Rows are only expanded and joined, never gathered by URL: each row's best rule comes from its own expressions.
-    table = listed.groupBy("_rule_short").agg(F.collect_list(F.struct(F.length("_rule").alias("size"), "_rule", "_rule_verdict", "_rule_digest")).alias("_listed"))
-    expressions = rows.select("_host", "_path").distinct().withColumn("_digest", F.explode(digests))
-    hits = expressions.withColumn("_rule_short", _short(F.col("_digest"))).join(table, "_rule_short")
-    hits = hits.withColumn("_fit", F.filter("_listed", lambda r: r["_rule_digest"] == F.col("_digest"))).filter(F.size("_fit") > 0)
-    best = hits.groupBy("_host", "_path").agg(F.max(F.array_max("_fit")).alias("_best"))
-    own = F.when(F.arrays_overlap(F.split("_host", r"\."), F.array(*[F.lit(x) for x in spam_labels])), "block").otherwise("allow")
-    judged = rows.join(best, ["_host", "_path"], "left")
+    labels = F.size(F.split("_host", r"\."))
+    fits = []
+    small = sum(len(rule) + 100 for rule, _ in (*rules, *own)) <= BROADCAST_BYTES
+    for k, ((n, size), table) in enumerate(rule_table(pages, rules, own).items()):
+        has = (labels >= n) & (F.length("_path") >= size)
+        rows = rows.withColumn(f"_digest{k}", F.when(has, _digest(F.substring_index("_host", ".", -n), F.substring("_path", 1, size))))
+        table = table.withColumnRenamed("_listed", f"_listed{k}")
+        rows = rows.withColumn("_short", _short(F.col(f"_digest{k}"))).join(F.broadcast(table) if small else table, "_short", "left").drop("_short")
+        fits.append(_confirmed(F.col(f"_listed{k}"), F.col(f"_digest{k}")))
+    none = F.array().cast("array<struct<_rank:int,_size:int,_rule:string,_rule_verdict:string,_digest:string>>")
+    best = F.array_max(F.concat(none, *[F.coalesce(f, none) for f in fits]))
+    judged = rows.withColumn("_best", best)
     return judged.select(
         *[F.col(f"`{c}`") for c in keep],
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
-        F.col("_best._rule").alias("rule"),
-        F.coalesce(F.col("_best._rule_verdict"), own).alias("verdict"),
+        F.when(F.col("_best._rank") == 1, F.col("_best._rule")).alias("rule"),
+        F.coalesce(F.col("_best._rule_verdict"), F.lit("allow")).alias("verdict"),
     )
