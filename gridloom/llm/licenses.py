@@ -5,7 +5,7 @@ Main path: DataFrame functions only.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,25 +40,30 @@ TEMPLATES = {
 THRESHOLD = 0.8
 #: ASCII bytes that separate words, after A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Templates of up to so many words are compared with windows of twice as many.
-LENGTH_CLASSES = (8, 16, 32, 64)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST_CLASS = 8
 
 
 def normalised(text: Column) -> Column:
-    """Words joined by one space. ``lower`` also folds letters beyond ASCII, which changes neither the number of
-    words nor whether an ASCII phrase stands somewhere."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
+    """Words joined by one space."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, " "))
 
 
 def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _class_of(n: int) -> int:
-    fits = [c for c in LENGTH_CLASSES if n <= c]
-    if not fits:
-        raise ValueError(f"a template has more than {LENGTH_CLASSES[-1]} words")
-    return fits[0]
+def class_of(n: int) -> int:
+    """Templates of ``n`` words are compared with windows of twice so many words: a power of two, not less than ``n``."""
+    return max(LEAST_CLASS, 1 << (n - 1).bit_length())
+
+
+def rivals(sets: Sequence[tuple[int, set[str]]], threshold: float) -> dict[int, list[int]]:
+    """Templates (class, words) of one class that a block may match together, as they share ``threshold`` of the words of either."""
+    out: dict[int, list[int]] = {k: [] for k in range(len(sets))}
+    for k, (c, a) in enumerate(sets):
+        out[k] = [j for j, (d, b) in enumerate(sets) if j != k and c == d and a != b and len(a & b) >= threshold * min(len(a), len(b))]
+    return out
 
 
 def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -69,7 +74,8 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresho
     of a length class, half overlapping, so any stretch of a template's length lies whole in one. A block matches a
     template if it holds ``threshold`` of the template's distinct words. Template words are ordered by the number of
     documents that hold them, counted over all documents; block and template meet on a word within both prefixes,
-    then the length filter, the positional bound and the exact overlap decide. ``score`` is the largest containment
+    then the length filter, the positional bound and the exact overlap decide. Of templates that differ in a few decisive
+    words (``rivals``) a block keeps those of the largest containment, of equal ones those of the most words. ``score`` is the largest containment
     of a matching template, or 1 where a base phrase stands, else 0.
 
     Null or empty text: no words and no labels. Repeated rows stay rows; ties give the same labels; an empty table gives
@@ -124,28 +130,35 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresho
     for k, (label, s, n) in enumerate(sets):
         inside = sorted(s, key=rank.__getitem__)
         for at, w in enumerate(inside[: len(inside) - need[k] + 1]):
-            rows.append((_class_of(n), w, k, label, at, len(inside), need[k], inside))
+            rows.append((class_of(n), w, k, label, at, len(inside), need[k], inside))
     # The template table is a constant of the code, a row for each prefix word.
     prefixes = F.broadcast(spark.createDataFrame(rows, "_class int, _word string, _template int, _label string, _at int, _size int, _need int, _set array<string>"))
 
     ranked = F.map_from_arrays(listed(order), F.array(*[F.lit(i) for i in range(len(order))]))
-    classes = sorted({_class_of(n) for _, _, n in sets})
+    classes = sorted({class_of(n) for _, _, n in sets})
     def cut_up(c: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("_block_words"), F.lit(1)), F.lit(c))
         return F.transform(starts, lambda i: F.struct(F.lit(c).alias("c"), F.array_intersect(F.slice(F.col("_block_words"), i, 2 * c), listed(order)).alias("w")))
 
     windows = F.flatten(F.array(*[cut_up(c) for c in classes]))
-    least = {c: min(need[k] for k, (_, _, n) in enumerate(sets) if _class_of(n) == c) for c in classes}
+    least = {c: min(need[k] for k, (_, _, n) in enumerate(sets) if class_of(n) == c) for c in classes}
     at_least = F.element_at(F.map_from_arrays(listed(classes), listed(list(least.values()))), F.col("_b.c"))
-    blocks = found.filter("_block_words is not null").select("_row", F.explode(windows).alias("_b"))
+    blocks = found.filter("_block_words is not null").select("_row", F.posexplode(windows).alias("_number", "_b"))
     blocks = blocks.filter(F.size("_b.w") >= at_least).withColumn("_least", at_least)
     blocks = blocks.withColumn("_in_order", F.array_sort(F.transform("_b.w", lambda w: F.struct(F.element_at(ranked, w).alias("r"), w.alias("w")))))
-    blocks = blocks.select("_row", F.col("_b.c").alias("_class"), F.col("_b.w").alias("_block"), F.posexplode(F.slice("_in_order", F.lit(1), F.size("_in_order") - F.col("_least") + 1)).alias("_place", "_w"))
+    blocks = blocks.select("_row", "_number", F.col("_b.c").alias("_class"), F.col("_b.w").alias("_block"), F.posexplode(F.slice("_in_order", F.lit(1), F.size("_in_order") - F.col("_least") + 1)).alias("_place", "_w"))
     met = blocks.withColumn("_word", F.col("_w.w")).join(prefixes, ["_class", "_word"])
     met = met.filter(F.size("_block") >= F.col("_need"))  # length
     met = met.filter(F.least(F.size("_block") - F.col("_place"), F.col("_size") - F.col("_at")) >= F.col("_need"))  # position
     met = met.withColumn("_overlap", F.size(F.array_intersect("_block", "_set"))).filter("_overlap >= _need")
-    matched = met.groupBy("_row").agg(F.collect_set("_label").alias("_own"), F.max(F.col("_overlap") / F.col("_size")).alias("_containment"))
+    # A block has one entry a template at most.
+    hits = met.groupBy("_row", "_number").agg(F.collect_set(F.struct("_template", "_label", "_size", (F.col("_overlap") / F.col("_size")).alias("_share"))).alias("_hits"))
+    against = rivals([(class_of(n), set(s)) for _, s, n in sets], threshold)
+    table = F.map_from_arrays(listed(list(against)), F.array(*[listed(r).cast("array<int>") for r in against.values()]))
+    better = lambda o, h: (o["_share"] > h["_share"]) | ((o["_share"] == h["_share"]) & (o["_size"] > h["_size"]))
+    beaten = lambda h: F.exists("_hits", lambda o: better(o, h) & F.array_contains(F.element_at(table, h["_template"]), o["_template"]))
+    kept = hits.select("_row", F.explode(F.filter("_hits", lambda h: ~beaten(h))).alias("_hit"))
+    matched = kept.groupBy("_row").agg(F.collect_set("_hit._label").alias("_own"), F.max("_hit._share").alias("_containment"))
 
     out = found.join(matched, "_row", "left")
     own = F.coalesce("_own", F.array().cast("array<string>"))

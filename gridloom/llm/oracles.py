@@ -11,18 +11,18 @@ def _quoted(x: str) -> str:
 
 def license_scan() -> str:
     phrases = ", ".join(f"({_quoted(p)}, string_split({_quoted(p)}, ' '), {_quoted(label)})" for p, label in licenses.BASE_PHRASES.items())
-    rows = []
-    for t, label in licenses.TEMPLATES.items():
-        words = t.split()
-        c = next(x for x in licenses.LENGTH_CLASSES if len(words) <= x)
-        rows.append(f"({_quoted(label)}, {c}, list_distinct(string_split({_quoted(t)}, ' ')))")
-    return f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
-phrases(p, pw, label) AS (VALUES {phrases}), templates(label, c, ts) AS (VALUES {', '.join(rows)}),
+    rows, sets = [], [(licenses.class_of(len(t.split())), set(t.split())) for t in licenses.TEMPLATES]
+    for k, ((c, _), (t, label)) in enumerate(zip(sets, licenses.TEMPLATES.items(), strict=True)):
+        rows.append(f"({k}, {_quoted(label)}, {c}, list_distinct(string_split({_quoted(t)}, ' ')))")
+    against = ", ".join(f"({k}, {j})" for k, found in licenses.rivals(sets, licenses.THRESHOLD).items() for j in found)
+    return f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+phrases(p, pw, label) AS (VALUES {phrases}), templates(k, label, c, ts) AS (VALUES {', '.join(rows)}), rivals(k, j) AS (VALUES {against}),
 base AS (SELECT r, i - 1 AS place, label FROM (SELECT r, ws, label, pw, p, unnest(range(1, len(ws) + 1)) AS i FROM w, phrases WHERE list_has_all(ws, pw)) WHERE array_to_string(list_slice(ws, i, i + len(pw) - 1), ' ') = p),
 b AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, list_sort(list(DISTINCT label)) AS ls FROM base GROUP BY r),
-able AS (SELECT r, ws, label, c, ts FROM w, templates WHERE len(list_intersect(list_distinct(ws), ts)) >= {licenses.THRESHOLD} * len(ts)),
-hit AS (SELECT r, label, len(list_intersect(list_distinct(list_slice(ws, i, i + 2 * c - 1)), ts)) / len(ts)::DOUBLE AS s FROM (SELECT *, unnest(range(1, len(ws) + 1, c)) AS i FROM able)),
-m AS (SELECT r, list(DISTINCT label) AS ls, max(s) AS s FROM hit WHERE s >= {licenses.THRESHOLD} GROUP BY r)
+able AS (SELECT r, ws, k, label, c, ts FROM w, templates WHERE len(list_intersect(list_distinct(ws), ts)) >= {licenses.THRESHOLD} * len(ts)),
+hit AS (SELECT r, k, label, i, len(ts) AS z, len(list_intersect(list_distinct(list_slice(ws, i, i + 2 * c - 1)), ts)) / len(ts)::DOUBLE AS s FROM (SELECT *, unnest(range(1, len(ws) + 1, c)) AS i FROM able)),
+beaten AS (SELECT DISTINCT a.r, a.k, a.i FROM hit a JOIN rivals USING (k) JOIN hit o ON o.r = a.r AND o.i = a.i AND o.k = j WHERE (o.s > a.s OR (o.s = a.s AND o.z > a.z)) AND o.s >= {licenses.THRESHOLD}),
+m AS (SELECT r, list(DISTINCT label) AS ls, max(s) AS s FROM hit ANTI JOIN beaten USING (r, k, i) WHERE s >= {licenses.THRESHOLD} GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(b.ls, ','), '') AS base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(m.ls, [])))), ','), '') AS labels, greatest(coalesce(m.s, 0.0::DOUBLE), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END) AS score
 FROM w LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
@@ -39,13 +39,14 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 
 
 def url_filter() -> str:
-    rules = ", ".join(f"({_quoted(r)}, {_quoted(v)}, {_quoted(r.split('/', 1)[0])}, {_quoted(r[r.index('/'):])})" for r, v in urls.BASE_RULES)
-    spam = ", ".join(map(_quoted, urls.SPAM_LABELS))
-    return f"""WITH rules(rule, v, h, p) AS (VALUES {rules}),
+    rules = ", ".join(
+        f"({rank}, {_quoted(r)}, {_quoted(v)}, {_quoted(r.split('/', 1)[0])}, {_quoted(r[r.index('/'):])})" for rank, listed in ((1, urls.BASE_RULES), (0, urls.OWN_RULES)) for r, v in listed
+    )
+    return f"""WITH rules(rank, rule, v, h, p) AS (VALUES {rules}),
 t AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail FROM pages),
 u AS (SELECT r, page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
-best AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(string_split(host, '.'), [{spam}]) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN best USING (r)"""
+best AS (SELECT r, max((rank, length(rule), rule, v)) AS b FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, CASE WHEN b[1] = 1 THEN b[3] END AS rule, coalesce(b[4], 'allow') AS verdict FROM u LEFT JOIN best USING (r)"""
 
 
 _NOISE = r"#$%&*@^~|<>{}[]\_="
