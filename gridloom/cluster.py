@@ -6,12 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _shipped: set[str] = set()
+_kept: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,13 +49,22 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that a lost executor costs no earlier stage.
 
-    The files are removed when the driver's Python ends.
+    The files are removed by ``free``, else when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _kept[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``cut`` returned, when nothing that is still to run reads them."""
+    for table in tables:
+        if path := _kept.pop(table, None):
+            _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
