@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ START, END = b"<|im_start|>", b"<|im_end|>\n"
 _CONTROL = re.compile(rb"<\\*\|")
 _ESCAPED = re.compile(rb"<\\(\\*\|)")
 _PART = 1 << 20
+#: Bytes of text that are formatted into one buffer, and what an Arrow string column can hold.
+_BUFFER, _LARGEST = 256 << 20, (1 << 31) - 1
 SCHEMA = "conv_id long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>"
 
 
@@ -95,6 +98,8 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = conv.to_pylist()
         roles = [_role(x) for x in t["role"].to_pylist()]
         out, turn, span = assemble(t["text"], roles)
+        if len(out) > _LARGEST:
+            raise ValueError(f"conversation {ids[0]} takes {len(out)} bytes when formatted; a string column holds {_LARGEST}")
         first = np.array([0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)], np.int64)
         offsets = turn[first]
         loss = np.array([x == b"assistant" for x in roles], bool)
@@ -107,6 +112,16 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["conv_id", "n_turns", "formatted", "loss_start", "loss_end"],
         )
 
+    def parts(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole conversations of about _BUFFER bytes of text at a time."""
+        ids = t["conv_id"].to_pylist()
+        size = np.cumsum(pc.fill_null(pc.binary_length(t["text"]), 0).to_numpy())
+        low, before = 0, 0
+        for i in range(1, len(ids) + 1):
+            if i == len(ids) or (ids[i] != ids[i - 1] and size[i - 1] - before >= _BUFFER):
+                yield emit(t.slice(low, i - low))
+                low, before = i, size[i - 1]
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -116,15 +131,15 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while cut and ids[cut - 1] == ids[-1]:
             cut -= 1
         if cut:  # the last conversation may go on in the next batch
-            yield emit(pa.concat_tables([*held, t.slice(0, cut)]))
+            yield from parts(pa.concat_tables([*held, t.slice(0, cut)]))
             held = [t.slice(cut)]
         elif held and held[0]["conv_id"][0].as_py() != ids[0]:
-            yield emit(pa.concat_tables(held))
+            yield from parts(pa.concat_tables(held))
             held = [t]
         else:
             held.append(t)
     if held:
-        yield emit(pa.concat_tables(held))
+        yield from parts(pa.concat_tables(held))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -133,7 +148,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     The loss mask holds the texts of assistant turns, as byte spans of ``formatted`` (end exclusive). Rows are
     ordered by turn, then role, then text, nulls first, so repeated rows and ties have one order. Null text and null role
     are empty; rows of null conv_id make one conversation. An empty table has no rows; other columns are ignored.
-    One conversation is one output value, so its turns meet in one task, whatever the partitioning.
+    One conversation is one output value, so its turns meet in one task, whatever the partitioning; one that takes 2 GiB or more when
+    formatted fails the job.
     """
     ship(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("_turn"), "role", "text")

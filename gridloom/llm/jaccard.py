@@ -25,7 +25,7 @@ from gridloom.cluster import ship
 from gridloom.llm.bytewords import column, mix, shingles, words
 from gridloom.llm.components import components
 from gridloom.llm.packing import block_of, cuts, joined, packed, unpacked
-from gridloom.llm.store import cut
+from gridloom.llm.store import cut, free
 
 #: Sets a block of the product, and sets a tile where those outside of a large cluster's main component meet all others.
 BLOCK_SETS, TILE_SETS = 256, 1024
@@ -426,6 +426,7 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
     links = cut(small.mapInArrow(_tasks(_linked(num, den), ("c",)), _EDGES), "links")
     large = rows.filter("blocks > 1")
     if large.isEmpty():
+        free(rows)
         return links
 
     # Every block meets the first; what is then outside of its cluster's largest component meets all.
@@ -433,7 +434,8 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
         df = df.select("c", "block", "name", "n", "payload").repartition("c", "block").sortWithinPartitions("c", "block", "name")
         return cut(df.mapInArrow(_tasks(_gathered, ("c", "block")), "c long, block int, sets binary"), name)
 
-    blocks = gathered(large, "blocks").join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
+    gathered_blocks = gathered(large, "blocks")
+    blocks = gathered_blocks.join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = blocks.select("c", "block", "sets", F.explode(to).alias("task")).repartition("c", "task").sortWithinPartitions("c", "task", "block")
     links = cut(links.unionByName(first.mapInArrow(_tasks(_first_links(num, den), ("c", "task")), _EDGES)), "links")
@@ -443,6 +445,7 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
     main = main.select("c", F.col("m.component").alias("_main"), F.ceil((F.col("_all") - F.col("m.k")) / TILE_SETS).cast("int").alias("tiles")).filter("tiles > 0")
     outside = cut(reached.join(main, "c").filter("component <> _main").select("name", "tiles"), "outside")
     if outside.isEmpty():
+        free(rows, gathered_blocks)
         return links
     tiles = gathered(large.join(outside, "name").withColumn("block", F.expr("cast(pmod(xxhash64(name, 1), tiles) as int)")), "tiles")
     stripe = max(1, TILE_SETS // BLOCK_SETS)
@@ -451,7 +454,9 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
     a = tiles.join(counts, "c").select("c", F.col("block").alias("tile"), F.explode(stripes).alias("stripe"), F.lit(-1).alias("block"), "sets")
     b = blocks.drop("blocks").join(counts, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.floor(F.col("block") / stripe).cast("int").alias("stripe"), "block", "sets")
     second = a.unionByName(b).repartition("c", "tile", "stripe").sortWithinPartitions("c", "tile", "stripe", "block")
-    return cut(links.unionByName(second.mapInArrow(_tasks(_outer_links(num, den), ("c", "tile", "stripe")), _EDGES)), "links")
+    links = cut(links.unionByName(second.mapInArrow(_tasks(_outer_links(num, den), ("c", "tile", "stripe")), _EDGES)), "links")
+    free(rows, gathered_blocks, tiles)
+    return links
 
 
 def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -483,10 +488,13 @@ def join(documents: DataFrame, width: int = 4, num: int = 85, den: int = 100) ->
     described = cut(counted.filter(f"kind = {_DOCS}").select("payload").mapInArrow(_documents_of, "doc_id long, n long, c long"), "described")
     shared = counted.filter(f"kind = {_SHARED}").select("block", "payload")
     active = cut(shared.groupBy("block").applyInArrow(_active(blocks, num, den), f"{_ROWS}, name long, n long"), "active")
+    free(counted)
     ties = active.filter(f"kind = {_TIES}").select("payload").mapInArrow(_pairs_of, _EDGES)
     ties = ties.unionByName(active.filter(f"kind = {_RUNS}").select("block", "payload").groupBy("block").applyInArrow(_tied(num, den), _EDGES))
     links = _links(active.filter(f"kind = {_SHARED}").select("name", "n", "payload"), components(ties), num, den)
 
+    free(active)
+
     # Equal sets are one node, named by the smallest doc_id; a doc_id with several texts joins their nodes.
     full = described.filter("n > 0")
     sets = cut(full.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")), "sets")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.cluster import ship
 from gridloom.llm.bytewords import column, mix, words
 from gridloom.llm.packing import block_of, cuts, packed, unpacked
-from gridloom.llm.store import cut
+from gridloom.llm.store import cut, free
 
 RARE, CONTEXT, SIZE, ROOT, LEAST_WORDS = 64, 4, 24, 8, 191
 #: Symbols of every model: the rare ones and the end. Frequent words follow; the last input stands for what lies before a text.
@@ -448,6 +448,7 @@ def score(documents: DataFrame) -> DataFrame:
         symbol_counts[r["rare"]] -= r["n"]
     symbol_counts = np.maximum(symbol_counts, 0)
     symbol_counts[END] = ends
+    free(heard)
     hashes = np.array([r["name"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
 
@@ -467,6 +468,7 @@ def score(documents: DataFrame) -> DataFrame:
     models = models.groupBy("key").applyInArrow(_trained(counts), _PIECES)
     some = cut(models.groupBy("low", "together").applyInArrow(_averaged, _PIECES), "models")
     pieces = some.groupBy("low").applyInArrow(_averaged, _PIECES).select("low", "payload").collect()
+    free(some)
     flat = np.concatenate([np.frombuffer(r["payload"], np.float32) for r in sorted(pieces, key=lambda r: r["low"])]) if pieces else Model(symbol_counts).flat()
     given = spark.sparkContext.broadcast((flat, symbol_counts, n_by, v_by))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.cluster import cut, shared_dir
+from gridloom.cluster import cut, free, shared_dir
 
-__all__ = ["cut", "shared_dir", "table"]
+__all__ = ["cut", "free", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

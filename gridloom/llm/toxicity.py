@@ -21,8 +21,9 @@ from gridloom.cluster import ship
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
-#: At most so many training texts of each label (those with the smallest hash of doc_id), and so many features.
-TRAIN_A_LABEL, FEATURES = 3000, 2048
+#: The sample to learn from: at most so many texts of each label (those with the smallest hash of doc_id), and so many bytes
+#: of text in all. The size of the model: so many features.
+TRAIN_A_LABEL, TRAIN_BYTES, FEATURES = 3000, 64 << 20, 2048
 LEAST_DOCS, SMOOTHING, L2, STEPS = 3, 1.0, 1e-2, 400
 THRESHOLD = 0.3
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
@@ -138,21 +139,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, bias: float) ->
     return w
 
 
-def train(documents: DataFrame, labels: DataFrame, a_label: int = TRAIN_A_LABEL) -> Model:
-    """The model from labelled rows that are not held out, at most ``a_label`` of each label.
+def _smallest(known: DataFrame, most: int, total: int) -> list[int]:
+    """The ``most`` doc_ids with the smallest hash. A bound of the hash that lets somewhat more pass keeps what tasks send small."""
+    order = F.xxhash64("doc_id")
+    share = (most + 8 * most**0.5 + 64) / max(total, 1)
+    for bounded in (known.filter(order < F.lit(int((share - 0.5) * 2**64))), known) if share < 1 else (known,):
+        found = [r["doc_id"] for r in bounded.orderBy(order, "doc_id").limit(most).collect()]
+        if len(found) == min(most, total):
+            break
+    return found
 
-    A doc_id with several labels is toxic if one says so; rows without a label, doc_id or text are left out.
+
+def train(documents: DataFrame, labels: DataFrame, a_label: int = TRAIN_A_LABEL, most_bytes: int = TRAIN_BYTES) -> Model:
+    """The model from labelled rows that are not held out, at most ``a_label`` of each label and ``most_bytes`` of text.
+
+    A doc_id with several labels is toxic if one says so; of one with several texts, that with the smallest hash counts. Rows without a
+    label, doc_id or text are left out. Labels are taken in turn, by hash, while their texts fit into ``most_bytes``.
     """
     known = labels.filter(f"doc_id is not null and toxic is not null and not ({HELD_OUT})")
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") >= 1, 1).otherwise(0)).alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = max(1, sum(shares.values()))
-    chosen = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(a_label).collect()]
-    ids = known.sparkSession.createDataFrame([(int(r["doc_id"]), int(r["y"])) for r in chosen], "doc_id long, y int")
-    # ids has 2 * a_label rows at most.
-    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["y"] for r in rows], (shares.get(0, 0) / total, shares.get(1, 0) / total))
+    chosen = [(k, i, y) for y in (0, 1) for k, i in enumerate(_smallest(known.filter(F.col("y") == y).select("doc_id"), a_label, shares.get(y, 0)))]
+    ids = known.sparkSession.createDataFrame([(k, int(i), y) for k, i, y in chosen], "place int, doc_id long, y int")
+    # ids has 2 * a_label rows at most. Sizes come first, so that only texts that fit are sent.
+    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    sizes = rows.groupBy("doc_id", "place", "y").agg(F.min(F.struct("_hash", F.octet_length("text").alias("n"))).alias("t")).select("doc_id", "place", "y", "t._hash", "t.n").collect()
+    fits, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["place"], r["y"])):
+        if held + r["n"] <= most_bytes:
+            held += r["n"]
+            fits.append((r["doc_id"], r["_hash"]))
+    wanted = F.broadcast(known.sparkSession.createDataFrame(fits, "doc_id long, _hash long"))
+    # Of repeats, a row a task and then one; no more is sent than fits.
+    texts = rows.join(wanted, ["doc_id", "_hash"]).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    texts.sort(key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in texts], [r["y"] for r in texts], (shares.get(0, 0) / total, shares.get(1, 0) / total))
 
 
 def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -46,6 +46,56 @@ def test_toxicity_of_awkward_tables(spark):
     assert toxicity.score(df.limit(0), labels).count() == 0
 
 
+def ngrams(text, order):
+    text = (text or "").translate(LOWER)
+    return [text[i : i + order] for i in range(len(text) - order + 1)]
+
+
+def bucket(gram):
+    return int(toxicity._buckets(np.frombuffer(gram.encode("utf-32-le"), np.uint32), len(gram))[0])
+
+
+def test_toxicity_features_and_scores_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 150)
+    texts = [prose(i, 25) + (" vile scum Ünd" if i % 3 == 0 else " kind friend") for i in range(40)] + ["", "no", "vile"]
+    labels = [int(i % 3 == 0) for i in range(40)] + [0, 0, 1]
+    shares = (0.8, 0.2)
+    model = toxicity.fit(texts, labels, shares)
+    often = [Counter(bucket(g) for order in toxicity.ORDERS for g in ngrams(t, order)) for t in texts]
+    held = [Counter(b for c, y in zip(often, labels, strict=True) if y == label for b in c) for label in (0, 1)]
+    n = [labels.count(0), labels.count(1)]
+    p = [{b: (held[y][b] + 1) / (n[y] + 2) for b in held[0] | held[1]} for y in (0, 1)]
+    ratio = {b: np.log(p[1][b] / p[0][b]) for b in p[0]}
+    weigh = {b: abs(p[1][b] - p[0][b]) / np.sqrt(sum(p[y][b] * (1 - p[y][b]) / n[y] for y in (0, 1))) for b in ratio if held[0][b] + held[1][b] >= 3}
+    best = sorted(weigh.values(), reverse=True)[:150]
+    assert len(model.features) == 150
+    assert all(weigh[b] >= best[-1] - 1e-12 for b in model.features.tolist())
+    # no neighbouring weights make the weighted loss smaller
+    x = np.array([[ratio[b] * np.log2(1 + c[b]) for b in model.features.tolist()] for c in often])
+    w = model.weights / np.array([ratio[b] for b in model.features.tolist()])
+    y, weight = np.array(labels), np.array([shares[k] / n[k] for k in labels])
+    assert model.bias == pytest.approx(np.log(0.2 / 0.8))
+    gradient = x.T @ (weight * (1 / (1 + np.exp(-(x @ w + model.bias))) - y)) + toxicity.L2 * w
+    start = x.T @ (weight * (0.2 - y))
+    assert np.abs(gradient).max() < 0.02 * np.abs(start).max()
+    want = [1 / (1 + np.exp(-(model.bias + sum(v * np.log2(1 + c[b]) for b, v in zip(model.features.tolist(), model.weights.tolist(), strict=True))))) for c in often]
+    assert model.score(pa.array(texts, pa.string())) == pytest.approx(want)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, shares: seen.append((texts, labels)) or toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0))
+    rows = [(i, prose(i, 30), "s") for i in range(400)] + [(5, prose(f"again{k}", 30), "s") for k in range(50)] + [(6, prose(6, 30), "s")] * 20
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(400)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) toxic")
+    toxicity.train(documents(spark, rows), labels, a_label=40)
+    texts, y = seen[-1]
+    assert Counter(y) == {0: 40, 1: 40}
+    assert len(set(texts)) == 80
+    toxicity.train(documents(spark, rows), labels, a_label=40, most_bytes=4000)
+    assert 3000 < sum(len(t.encode()) for t in seen[-1][0]) <= 4000
+    assert 0 < sum(seen[-1][1]) < len(seen[-1][1])
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate(LOWER)), "\0end"]
 
