@@ -5,15 +5,15 @@ symbols before it: words that occur at least sqrt(N) / ROOT times among the N le
 least) and the end are symbols of their own, so symbols grow with the corpus; any other word belongs to one of RARE symbols by its last two bytes, and
 is drawn within it by its add-one unigram share. Embeddings of the context, scaled by position, add up to a vector; its products
 with output embeddings give logits. Symbols stand in about sqrt(V) classes of as many, by frequency: the class is
-predicted first, then the symbol within it. Training is by noise-contrastive estimation, with the expected noise in place of drawn
-noise; scoring normalises over classes and within them, so the probabilities of all tokens sum to one.
-
-Texts are read twice. The first pass finds the frequent words. The second writes, for each chunk of documents, its
-token numbers, its dictionary, and the symbols of the texts to learn from, dealt into lots by a hash of doc_id and words. A lot has about
-LOT_TOKENS tokens, whatever the files and partitions, and trains a model of its own in the order of the hashes, on every token;
-models are averaged by tokens. So scores do not depend on how the table is partitioned. Dictionaries are shuffled by
-hash block, so a word moves once a chunk and not once a place; counts return to their chunks, which are then scored from the
-written token numbers.
+predicted first, then the symbol within it. Training is by noise-contrastive estimation: classes against the expected noise, symbols
+against noise that is drawn within their class, so a token costs the same however many symbols there are, but for the classes.
+Scoring normalises over classes and within them, so the probabilities of all tokens sum to one.
+
+Texts are read once: for each chunk of documents its token numbers and its dictionary are written. Dictionaries are shuffled by
+hash block, so a word moves once a chunk and not once a place; counts return to their chunks, and frequent words are known from
+them. Then the texts to learn from are dealt, as symbols, into lots by a hash of doc_id and words. A lot has about LOT_TOKENS tokens,
+whatever the files and partitions, and trains a model of its own in the order of the hashes, on every token; models are averaged by
+tokens. So scores do not depend on how the table is partitioned. Last, chunks are scored from their token numbers.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
 from gridloom.llm.bytewords import column, mix, words
-from gridloom.llm.packing import block_of, cuts, packed, unpacked
+from gridloom.llm.packing import block_of, cuts, joined, packed, unpacked
 from gridloom.llm.store import cut, free
 
 RARE, CONTEXT, SIZE, ROOT, LEAST_WORDS = 64, 4, 24, 8, 191
@@ -40,9 +40,13 @@ CHUNK_BYTES, DOCS_A_BLOCK = 8 << 20, 16_384
 BATCH, NOISE, RATE = 1024, 32, 0.4
 #: Tokens a lot; lots of which models are first added up; tokens of one class that are multiplied at a time.
 LOT_TOKENS, LOTS_TOGETHER, TILE = 4_000_000, 64, 8
+#: Symbols of a class that a batch draws as noise.
+DRAWN = 16
 LEARNED = "pmod(crc32(cast(doc_id as string)), 7) <> 2"
-_ROWS = "kind byte, chunk long, key long, low long, ids array<long>, held array<boolean>, sizes array<long>, payload binary"
-_CHUNK, _WORDS, _LEARN = 0, 1, 2
+_ROWS = "kind byte, chunk long, block long, low long, ids array<long>, held array<boolean>, learn array<boolean>, sizes array<long>, payload binary"
+_CHUNK, _WORDS = 0, 1
+#: What a block of words gives: counts for the pieces of chunks, its sums, and its frequent words.
+_BACK, _SUMS, _FREQUENT = 0, 1, 2
 #: Weights in a row of a model.
 PIECE = 1 << 15
 _FAR = np.float32(-60)
@@ -52,12 +56,12 @@ def _rare(tails: np.ndarray) -> np.ndarray:
     return ((tails.astype(np.int64) * 0x9E3779B1 >> 8) & 0xFFFFFF) % RARE
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about CHUNK_BYTES of text."""
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` bytes of text."""
     _, at = column(batch.column("text"))
     low = 0
     while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + CHUNK_BYTES, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
         yield batch.slice(low, high - low)
         low = high
 
@@ -73,21 +77,6 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, tail, sizes + 1
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often a batch holds each word, and the words of each rare symbol."""
-    for batch in batches:
-        for part in _parts(batch):
-            hashes, starts, tails = words(part.column("text"), tails=True)
-            uniq, first, count = np.unique(hashes, return_index=True, return_counts=True)
-            rare = np.bincount(_rare(tails[first]), count, RARE)
-            kinds = np.concatenate([np.zeros(len(uniq)), np.ones(RARE)]).astype(np.int8)
-            names = np.concatenate([uniq.view(np.int64), np.arange(RARE)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(names), pa.array(np.concatenate([_rare(tails[first]), np.zeros(RARE, np.int64)])), pa.array(np.concatenate([count, rare]).astype(np.int64))],
-                names=["kind", "name", "rare", "n"],
-            )
-
-
 def laid_out(symbols: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """(the symbols of texts one after another, each text behind CONTEXT times ``start``; where the texts' own symbols stand)."""
     place = np.arange(len(symbols)) + CONTEXT * np.repeat(np.arange(1, len(sizes) + 1), sizes)
@@ -184,7 +173,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 class Trainer:
     def __init__(self, model: Model):
-        self.model, self.seen = model, 0
+        self.model, self.seen, self.random = model, 0, np.random.default_rng(11)
         self.noise, self.class_noise = ((NOISE * x).astype(np.float32) for x in (model.share, model.class_share))
         self.squares = [np.full(x.shape, 1e-2, np.float32) for x in model.weights()]
         self.log_noise = np.where(self.noise > 0, np.log(np.maximum(self.noise, 1e-30)), 0).astype(np.float32)
@@ -211,33 +200,46 @@ class Trainer:
         self._move(5, slice(None), seems.sum(0) / n)
         return to_q
 
-    def _within(self, q: np.ndarray, rank: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Learns to tell tokens from noise of their class; tokens come by class, and are multiplied in tiles of one class."""
+    def _targets(self, q: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Pushes up the tokens themselves (ascending ranks); the gradient of q."""
+        m, n = self.model, len(q)
+        table = m.outputs.reshape(-1, SIZE)[rank]
+        x = np.einsum("ns,ns->n", q, table)
+        x += m.bias.reshape(-1)[rank] - self.log_noise.reshape(-1)[rank]
+        own = 1 - _sigmoid(x)
+        starts = cuts(rank)[:-1]
+        at = rank[starts] // m.width, rank[starts] % m.width
+        self._move(2, at, np.add.reduceat(own[:, None] * q, starts, axis=0) / n)
+        self._move(3, at, np.add.reduceat(own, starts) / n)
+        return own[:, None] * table
+
+    def _within(self, q: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Pushes down noise of the tokens' classes; the gradient of q. Tokens come by class, and are multiplied in tiles of one
+        class. Of a class of over DRAWN symbols as many places are drawn, the same for all classes, and weigh as much as all."""
         m, n = self.model, len(q)
+        places = np.arange(m.width) if m.width <= DRAWN else np.sort(self.random.choice(m.width, DRAWN, replace=False))
         at = cuts(group)
         count, present = np.diff(at), group[at[:-1]]
         tiles = -(-count // TILE)
         first = np.cumsum(tiles) - tiles
         slot = np.repeat(first * TILE - at[:-1], count) + np.arange(n)
-        size, of = int(tiles.sum()), np.repeat(present, tiles)
+        size, of = int(tiles.sum()), np.repeat(np.arange(len(present)), tiles)
         given = np.zeros((size, TILE, SIZE), np.float32)
         given.reshape(-1, SIZE)[slot] = q
-        table = m.outputs[of]
-        x = np.matmul(given, table.transpose(0, 2, 1))
-        x += (m.bias[of] - self.log_noise[of])[:, None, :]
-        seems = _sigmoid(x)
-        flat, target = seems.reshape(size * TILE, -1), rank - group * m.width
-        own = 1 - flat[slot, target]
-        seems *= -self.noise[of][:, None, :]
-        flat[slot, target] += own
+        here = present[:, None], places
+        table = m.outputs[here][of]
+        seems = np.matmul(given, table.transpose(0, 2, 1))
+        seems += (m.bias[here] - self.log_noise[here])[of][:, None, :]
+        seems = _sigmoid(seems)
+        seems *= -(self.noise[here] * np.float32(m.width / len(places)))[of][:, None, :]
         if size * TILE > n:
             empty = np.ones(size * TILE, bool)
             empty[slot] = False
-            flat[empty] = 0
+            seems.reshape(size * TILE, -1)[empty] = 0
         to_q = np.matmul(seems, table).reshape(-1, SIZE)[slot]
         to_table = np.matmul(seems.transpose(0, 2, 1), given).reshape(size, -1)
-        self._move(2, present, np.add.reduceat(to_table, first, axis=0).reshape(len(present), m.width, SIZE) / n)
-        self._move(3, present, np.add.reduceat(seems.sum(1), first, axis=0) / n)
+        self._move(2, here, np.add.reduceat(to_table, first, axis=0).reshape(len(present), len(places), SIZE) / n)
+        self._move(3, here, np.add.reduceat(seems.sum(1), first, axis=0) / n)
         return to_q
 
     def step(self, window: np.ndarray, at: np.ndarray) -> None:
@@ -246,10 +248,12 @@ class Trainer:
         e, q = m.context(window)
         rank = window[at]
         group = rank // m.width
-        order = np.argsort(group.astype(np.uint16) if len(m.classes) < 1 << 16 else group, kind="stable")
+        order = np.argsort(rank, kind="stable")
         mine, rank, group = (at - CONTEXT)[order], rank[order], group[order]
         q = q[mine]
-        to_q = self._classes(q, group) + self._within(q, rank, group)
+        to_q = self._classes(q, group)
+        to_q += self._targets(q, rank)
+        to_q += self._within(q, group)
         spread = np.zeros((len(window) - CONTEXT, SIZE), np.float32)
         spread[mine] = to_q
         to_e, position = np.zeros_like(e), np.empty_like(m.position)
@@ -274,55 +278,132 @@ class Trainer:
 
 
 def _rows_of(n: int, **given) -> pa.RecordBatch:
-    kinds = {"kind": pa.int8(), "chunk": pa.int64(), "key": pa.int64(), "low": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "payload": pa.binary()}
+    kinds = {"kind": pa.int8(), "chunk": pa.int64(), "block": pa.int64(), "low": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "learn": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "payload": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
-def _written(frequent: np.ndarray, order: np.ndarray, blocks: int, lots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """frequent: hashes of the frequent words, ascending; order: their symbols."""
+def _written(blocks: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks of about ``most`` bytes of text, and their dictionaries by hash block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, most):
                 tokens, tails, sizes = _tokens(part.column("text"))
                 uniq, first, place = np.unique(tokens, return_index=True, return_inverse=True)
-                symbol = _rare(tails[first]).astype(np.int32)
-                at = np.minimum(np.searchsorted(frequent, uniq), max(len(frequent) - 1, 0))
-                if len(frequent):
-                    known = frequent[at] == uniq
-                    symbol[known] = order[at[known]]
-                symbol[uniq == END_HASH] = END
-                learn = part.column("learn").to_numpy(zero_copy_only=False)
-                learned = np.repeat(learn, sizes)
+                rare = _rare(tails[first]).astype(np.uint8)
+                rare[uniq == END_HASH] = END
+                learned = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), sizes)
                 count = np.bincount(place[learned], minlength=len(uniq)).astype(np.int32)
                 chunk = (task << 24) + made
                 made += 1
-                yield _rows_of(1, kind=[_CHUNK], chunk=[chunk], ids=[part.column("doc_id").to_pylist()], held=[part.column("held_out").to_pylist()], sizes=[sizes], payload=[packed(place.astype(np.uint32), symbol)])
+                lists = {"ids": "doc_id", "held": "held_out", "learn": "learn"}
+                yield _rows_of(1, kind=[_CHUNK], chunk=[chunk], sizes=[sizes], payload=[packed(uniq, rare, place.astype(np.uint32))], **{k: [part.column(c).to_pylist()] for k, c in lists.items()})
                 ends = cuts(block_of(uniq, blocks))
                 pieces = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 yield _rows_of(
-                    len(pieces), kind=[_WORDS] * len(pieces), chunk=[chunk] * len(pieces), key=[int(block_of(uniq[a : a + 1], blocks)[0]) for a, _ in pieces], low=[a for a, _ in pieces],
-                    payload=[packed(uniq[a:b], count[a:b], symbol[a:b]) for a, b in pieces],
+                    len(pieces), kind=[_WORDS] * len(pieces), chunk=[chunk] * len(pieces), block=block_of(uniq[ends[:-1]], blocks), low=[a for a, _ in pieces],
+                    payload=[packed(uniq[a:b], count[a:b], rare[a:b]) for a, b in pieces],
                 )
+
+    return run
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """All pieces of a hash block: each word's count to every piece; tokens and distinct words by rare symbol; and the words
+    that may be frequent: no fewer than would be if this block were the corpus, so none is missed."""
+    chunk, low = group.column("chunk").to_pylist(), group.column("low").to_pylist()
+    parts = [unpacked(x) for x in group.column("payload").to_pylist()]
+    n = [len(p[0]) for p in parts]
+    hashes, counts, rare = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    uniq, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    total = np.bincount(place, counts, len(uniq)).astype(np.int64)
+    rare = rare[first].astype(np.int64)
+    known = total > 0
+    sums = np.stack([np.bincount(rare, total, OUTPUTS).astype(np.int64), np.bincount(rare[known], minlength=OUTPUTS)])
+    often = np.flatnonzero((rare != END) & known)
+    often = often[np.argsort(-total[often], kind="stable")]
+    often = often[: max(LEAST_WORDS, int((total[often] >= least_count(int(total.sum()))).sum()))]
+    # Words as frequent as the last one are not told apart by this block.
+    if len(often):
+        often = np.flatnonzero((rare != END) & (total >= total[often[-1]]) & known)
+    back, ends = total[place], np.cumsum(n)
+    return pa.table({
+        "kind": pa.array([*[_BACK] * len(n), _SUMS, _FREQUENT], pa.int8()),
+        "chunk": pa.array([*chunk, None, None], pa.int64()),
+        "low": pa.array([*low, None, None], pa.int64()),
+        "payload": pa.array([*(packed(back[e - k : e]) for e, k in zip(ends, n, strict=True)), packed(sums.ravel()), packed(uniq[often], total[often], rare[often])], pa.binary()),
+    })
+
+
+def _often(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in batch.column("payload").to_pylist():
+                hashes, counts, rare = unpacked(raw)
+                if len(counts):
+                    keep = counts >= min(least, int(np.sort(counts)[-LEAST_WORDS:].min()))
+                    out.append(packed(hashes[keep], counts[keep], rare[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["payload"])
+
+    return run
+
+
+class Vocabulary:
+    """The frequent words (hashes, counts, rare symbols that they would have) and what symbols they are."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: np.ndarray, sums: np.ndarray):
+        """sums: tokens and distinct words of all words by rare symbol, and of the end."""
+        least = least_count(int(sums[0].sum()))
+        order = np.lexsort((hashes.view(np.int64), -counts))
+        order = order[: max(LEAST_WORDS, int((counts >= least).sum()))]
+        self.symbol_counts = np.zeros(OUTPUTS + len(order), np.int64)
+        self.symbol_counts[:OUTPUTS] = sums[0]
+        np.subtract.at(self.symbol_counts, rare[order], counts[order])
+        self.symbol_counts[OUTPUTS:] = counts[order]
+        # Tokens and distinct words left to each rare symbol.
+        self.n_by, self.v_by = self.symbol_counts[:RARE], sums[1][:RARE].copy()
+        np.subtract.at(self.v_by, rare[order], 1)
+        self.tokens, self.distinct = int(sums[0].sum()), int(sums[1].sum())
+        by_hash = np.argsort(hashes[order])
+        self.hashes, self.symbols = hashes[order][by_hash], (OUTPUTS + by_hash).astype(np.int32)
+
+    def of(self, uniq: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = rare.astype(np.int32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, uniq), len(self.hashes) - 1)
+            known = self.hashes[at] == uniq
+            out[known] = self.symbols[at[known]]
+        return out
+
+
+def _dealt(given, lots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Symbols of the texts of chunks that may be learned from, by lot. A text has a name made of its doc_id and its words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                uniq, rare, place = unpacked(row["payload"])
+                learn, sizes = np.array(row["learn"], bool), np.array(row["sizes"], np.int64)
                 if not learn.any():
                     continue
-                # Each text to learn from has a name made of its doc_id and its words in order, and goes to a lot by that.
-                n = sizes[learn]
+                n, mine = sizes[learn], place[np.repeat(learn, sizes)]
                 starts = np.cumsum(n) - n
-                inside = np.arange(int(n.sum()), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)
-                said = np.add.reduceat(mix(tokens[learned] + mix(inside)), starts)
-                name = mix(said ^ mix(part.column("doc_id").filter(pa.array(learn)).to_numpy().view(np.uint64)))
-                every = symbol[place[learned]]
+                inside = np.arange(len(mine), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)
+                said = np.add.reduceat(mix(uniq[mine] + mix(inside)), starts)
+                ids = np.array([i for i, taken in zip(row["ids"], row["learn"], strict=True) if taken], np.int64)
+                name = mix(said ^ mix(ids.view(np.uint64)))
+                every = given.value.of(uniq, rare)[mine]
                 lot = block_of(name, lots)
-                for k in np.unique(lot).tolist():
-                    mine = lot == k
-                    yield _rows_of(1, kind=[_LEARN], key=[k], payload=[packed(name[mine].view(np.int64), n[mine].astype(np.int32), every[np.repeat(mine, n)])])
+                found = np.unique(lot).tolist()
+                payload = [packed(name[lot == k].view(np.int64), n[lot == k].astype(np.int32), every[np.repeat(lot == k, n)]) for k in found]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(payload, pa.binary())], names=["lot", "payload"])
 
     return run
 
 
-def _trained(counts) -> Callable[[pa.Table], pa.Table]:
+def _trained(given) -> Callable[[pa.Table], pa.Table]:
     """A model of one lot, in pieces: whole and with the number of tokens it has seen."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -332,9 +413,9 @@ def _trained(counts) -> Callable[[pa.Table], pa.Table]:
         order = np.argsort(name, kind="stable")
         sizes = n[order].astype(np.int64)
         at = np.repeat(begin[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        trainer = Trainer(Model(counts.value))
+        trainer = Trainer(Model(given.value.symbol_counts))
         trainer.learn(every[at], sizes)
-        lot, flat = group["key"][0].as_py(), trainer.model.flat()
+        lot, flat = group["lot"][0].as_py(), trainer.model.flat()
         lows = list(range(0, len(flat), PIECE))
         return pa.table({
             "low": pa.array(lows, pa.int64()), "together": pa.array([lot // LOTS_TOGETHER] * len(lows), pa.int64()), "lot": pa.array([lot] * len(lows), pa.int64()),
@@ -357,54 +438,29 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.table({"low": group["low"][:1], "together": pa.array([0], pa.int64()), "lot": pa.array([first], pa.int64()), "weight": pa.array([int(weight.sum())]), "payload": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    """All pieces of a hash block: each word's count to every piece, and sums by rare symbol and of all other symbols."""
-    chunk, low = group.column("chunk").to_pylist(), group.column("low").to_pylist()
-    parts = [unpacked(x) for x in group.column("payload").to_pylist()]
-    n = [len(p[0]) for p in parts]
-    hashes, counts, symbols = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, place, counts)
-    known = total > 0
-    symbol = np.minimum(symbols[first][known], RARE).astype(np.int64)
-    words_by, distinct = np.zeros(OUTPUTS, np.int64), np.bincount(symbol, minlength=OUTPUTS)
-    np.add.at(words_by, symbol, total[known])
-    back = total[place]
-    ends = np.cumsum(n)
-    return pa.table({
-        "chunk": pa.array([*chunk, *[-1] * OUTPUTS], pa.int64()),
-        "low": pa.array([*low, *range(OUTPUTS)], pa.int64()),
-        "payload": pa.array([*(packed(back[e - k : e]) for e, k in zip(ends, n, strict=True)), *[None] * OUTPUTS], pa.binary()),
-        "n": pa.array([*[None] * len(chunk), *words_by.tolist()], pa.int64()),
-        "v": pa.array([*[None] * len(chunk), *distinct.tolist()], pa.int64()),
-    })
-
-
-def _scored(given) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(given, weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, symbol_counts, n_by, v_by = given.value
-        model = Model(symbol_counts).load(flat)
-        n_all, v_all = int(n_by.sum()), int(v_by.sum())
-        within = np.log10((n_by + v_by + 1).astype(np.float64))
+        v = given.value
+        model = Model(v.symbol_counts).load(weights.value)
+        within = np.log10(np.append(v.n_by + v.v_by, 0) + 1.0)
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
-                place, symbol = unpacked(row["payload"])
-                count = np.zeros(len(symbol), np.int64)
+                uniq, rare, place = unpacked(row["payload"])
+                symbol = v.of(uniq, rare)
+                count = np.zeros(len(uniq), np.int64)
                 for piece in row["pieces"]:
                     got = unpacked(piece["payload"])[0]
                     count[piece["low"] : piece["low"] + len(got)] = got
-                every = symbol[place]
                 starts = np.cumsum(sizes) - sizes
                 shared = np.log10(count + 1.0)
-                rare = np.where(symbol < RARE, shared - within[np.minimum(symbol, RARE)], 0.0)
-                logs = model.log_probabilities(every, sizes)
-                base = np.add.reduceat(shared[place], starts) - sizes * np.log10(n_all + v_all + 1.0)
-                full = np.add.reduceat(logs / np.log(10) + rare[place], starts)
+                drawn = np.where(symbol < RARE, shared - within[np.minimum(symbol, RARE)], 0.0)
+                logs = model.log_probabilities(symbol[place], sizes)
+                base = np.add.reduceat(shared[place], starts) - sizes * np.log10(v.tokens + v.distinct + 1.0)
+                full = np.add.reduceat(logs / np.log(10) + drawn[place], starts)
                 known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n_all)), pa.array(base), pa.array(full)],
+                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), v.tokens)), pa.array(base), pa.array(full)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -433,46 +489,30 @@ def score(documents: DataFrame) -> DataFrame:
     learn = F.coalesce(F.expr(LEARNED), F.lit(False))
     held = F.coalesce(~F.expr(LEARNED), F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("learn"), held.alias("held_out"), "text")
-    heard = docs.filter("learn").select("text").mapInArrow(_frequent, "kind byte, name long, rare long, n long")
-    heard = cut(heard.groupBy("kind", "name").agg(F.max("rare").alias("rare"), F.sum("n").alias("n")), "frequent")
-    rare = heard.filter("kind = 1").collect()  # RARE rows
-    ends = docs.filter("learn").count()
-    least = least_count(sum(r["n"] for r in rare) + ends)
-    named = heard.filter("kind = 0")
-    top = named.orderBy(F.desc("n"), "name").limit(max(LEAST_WORDS, named.filter(F.col("n") >= least).count())).collect()
-    symbol_counts = np.zeros(OUTPUTS + len(top), np.int64)
-    for r in rare:
-        symbol_counts[r["name"]] = r["n"]
-    for s, r in enumerate(top):
-        symbol_counts[OUTPUTS + s] = r["n"]
-        symbol_counts[r["rare"]] -= r["n"]
-    symbol_counts = np.maximum(symbol_counts, 0)
-    symbol_counts[END] = ends
-    free(heard)
-    hashes = np.array([r["name"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-
-    lots = max(1, -(-int(symbol_counts.sum()) // LOT_TOKENS))
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // DOCS_A_BLOCK))
-    written = cut(docs.mapInArrow(_written(hashes[order], (OUTPUTS + order).astype(np.int32), blocks, lots), _ROWS), "chunks")
-    pieces = written.filter(f"kind = {_WORDS}").select("key", "chunk", "low", "payload")
-    counted = cut(pieces.groupBy("key").applyInArrow(_summed, "chunk long, low long, payload binary, n long, v long"), "counts")
-    sums = counted.filter("chunk = -1").groupBy("low").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # OUTPUTS rows
-    n_by, v_by = np.zeros(OUTPUTS, np.int64), np.zeros(OUTPUTS, np.int64)
-    for r in sums:
-        n_by[r["low"]], v_by[r["low"]] = r["n"], r["v"]
-
+    written = cut(docs.mapInArrow(_written(blocks, CHUNK_BYTES), _ROWS), "chunks")
+    pieces = written.filter(f"kind = {_WORDS}").select("block", "chunk", "low", "payload")
+    counted = cut(pieces.groupBy("block").applyInArrow(_summed, "kind byte, chunk long, low long, payload binary"), "counts")
+    # A row a block; of words, those that are frequent in the whole corpus, and the LEAST_WORDS most frequent of each block.
+    sums = sum((unpacked(r["payload"])[0].reshape(2, OUTPUTS) for r in counted.filter(f"kind = {_SUMS}").select("payload").collect()), np.zeros((2, OUTPUTS), np.int64))
+    often = counted.filter(f"kind = {_FREQUENT}").select("payload").mapInArrow(_often(least_count(int(sums[0].sum()))), "payload binary").collect()
+    often = joined([r["payload"] for r in often], (np.uint64, np.int64, np.int64))
+    vocabulary = Vocabulary(*often, sums)
+    given = spark.sparkContext.broadcast(vocabulary)
+
+    lots = max(1, -(-vocabulary.tokens // LOT_TOKENS))
+    chunks = written.filter(f"kind = {_CHUNK}")
+    dealt = chunks.select("ids", "learn", "sizes", "payload").mapInArrow(_dealt(given, lots), "lot long, payload binary")
+    # Every lot is a task's work, so partitions are not put together.
+    models = dealt.repartition(max(lots, int(spark.conf.get("spark.sql.shuffle.partitions"))), "lot").groupBy("lot").applyInArrow(_trained(given), _PIECES)
     # Models are averaged piece by piece before anything reaches the driver: one model's weights.
-    counts = spark.sparkContext.broadcast(symbol_counts)
-    models = written.filter(f"kind = {_LEARN}").select("key", "payload").repartition(max(lots, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
-    models = models.groupBy("key").applyInArrow(_trained(counts), _PIECES)
     some = cut(models.groupBy("low", "together").applyInArrow(_averaged, _PIECES), "models")
     pieces = some.groupBy("low").applyInArrow(_averaged, _PIECES).select("low", "payload").collect()
     free(some)
-    flat = np.concatenate([np.frombuffer(r["payload"], np.float32) for r in sorted(pieces, key=lambda r: r["low"])]) if pieces else Model(symbol_counts).flat()
-    given = spark.sparkContext.broadcast((flat, symbol_counts, n_by, v_by))
+    flat = np.concatenate([np.frombuffer(r["payload"], np.float32) for r in sorted(pieces, key=lambda r: r["low"])]) if pieces else Model(vocabulary.symbol_counts).flat()
+    weights = spark.sparkContext.broadcast(flat)
 
-    own = counted.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("low", "payload")).alias("pieces"))
-    chunks = written.filter(f"kind = {_CHUNK}").select("chunk", "ids", "held", "sizes", "payload").join(own, "chunk")
+    own = counted.filter(f"kind = {_BACK}").groupBy("chunk").agg(F.collect_list(F.struct("low", "payload")).alias("pieces"))
+    chunks = chunks.select("chunk", "ids", "held", "sizes", "payload").join(own, "chunk")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.select("ids", "held", "sizes", "payload", "pieces").mapInArrow(_scored(given), schema)
+    return chunks.select("ids", "held", "sizes", "payload", "pieces").mapInArrow(_scored(given, weights), schema)

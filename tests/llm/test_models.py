@@ -151,48 +151,65 @@ def test_a_step_equals_plain_loops():
     symbols = r.integers(0, len(counts), sizes.sum()).astype(np.int32)
     language_model.Trainer(model).learn(symbols, sizes)
     trainer = language_model.Trainer(plain)
-    gradients, w = [np.zeros(x.shape) for x in plain.weights()], [x.astype(float) for x in plain.weights()]
-    at = 0
+    assert plain.width <= language_model.DRAWN
+    w = [x.astype(float) for x in plain.weights()]
+    squares = [np.full(x.shape, 1e-2) for x in w]
+    contexts, at = [], 0
     for size in sizes:
         ranks = [plain.start] * 4 + plain.rank[symbols[at : at + size]].tolist()
         at += size
-        for i in range(4, len(ranks)):
-            q = sum(w[1][k] * w[0][ranks[i - 1 - k]] for k in range(4))
-            g, inside = divmod(ranks[i], plain.width)
-            to_q = np.zeros(language_model.SIZE)
-            for table, bias, noise, target, to in ((w[4], w[5], trainer.class_noise, g, (4, 5, ())), (w[2][g], w[3][g], trainer.noise[g], inside, (2, 3, (g,)))):
-                for j in range(len(table)):
-                    seems = 1 / (1 + np.exp(-(table[j] @ q + bias[j] - (np.log(noise[j]) if noise[j] else 0))))
-                    push = (1 - seems if j == target else 0) - noise[j] * seems
-                    gradients[to[0]][(*to[2], j)] += push * q / sizes.sum()
-                    gradients[to[1]][(*to[2], j)] += push / sizes.sum()
-                    to_q += push * table[j]
-            for k in range(4):
-                gradients[0][ranks[i - 1 - k]] += w[1][k] * to_q / sizes.sum()
-                gradients[1][k] += w[0][ranks[i - 1 - k]] * to_q / sizes.sum()
-    for got, old, g in zip(model.weights(), w, gradients, strict=True):
-        assert got == pytest.approx(old + language_model.RATE * g / np.sqrt(1e-2 + g * g), abs=1e-4)
+        contexts += [(ranks[i - 4 : i][::-1], *divmod(ranks[i], plain.width)) for i in range(4, len(ranks))]
+    qs, to_q = [sum(w[1][k] * w[0][before[k]] for k in range(4)) for before, _, _ in contexts], np.zeros((len(contexts), language_model.SIZE))
+
+    def moved(which, gradient):
+        squares[which] += gradient**2
+        w[which] += language_model.RATE * gradient / np.sqrt(squares[which])
+
+    # classes, then the tokens, then the noise of their classes
+    for table, bias, part in ((4, 5, "classes"), (2, 3, "targets"), (2, 3, "noise")):
+        of_table, of_bias = np.zeros(w[table].shape), np.zeros(w[bias].shape)
+        for i, (_, g, inside) in enumerate(contexts):
+            places = [(j,) for j in range(len(w[4]))] if part == "classes" else [(g, inside)] if part == "targets" else [(g, j) for j in range(plain.width)]
+            for place in places:
+                noise = trainer.class_noise[place] if part == "classes" else trainer.noise[place]
+                seems = 1 / (1 + np.exp(-(w[table][place] @ qs[i] + w[bias][place] - (np.log(noise) if noise else 0))))
+                push = -noise * seems if part == "noise" else 1 - seems if part == "targets" else (1 - seems if place == (g,) else 0) - noise * seems
+                of_table[place] += push * qs[i] / len(contexts)
+                of_bias[place] += push / len(contexts)
+                to_q[i] += push * w[table][place]
+        moved(table, of_table)
+        moved(bias, of_bias)
+    inputs, position = np.zeros(w[0].shape), np.zeros(w[1].shape)
+    for i, (before, _, _) in enumerate(contexts):
+        for k in range(4):
+            inputs[before[k]] += w[1][k] * to_q[i] / len(contexts)
+            position[k] += w[0][before[k]] * to_q[i] / len(contexts)
+    moved(0, inputs)
+    moved(1, position)
+    for got, want in zip(model.weights(), w, strict=True):
+        assert got == pytest.approx(want, abs=1e-4)
 
 
 def test_scores_equal_plain_loops_and_do_not_depend_on_partitions(spark, monkeypatch):
     rows = [r for r in awkward() if r[0] not in (6, 7)] + [(100 + i, " ".join(prose(j % 9, 12) for j in range(i % 13)), "m") for i in range(80)]
     given, kept = [], language_model._scored
-    monkeypatch.setattr(language_model, "_scored", lambda x: given.append(x) or kept(x))
+    monkeypatch.setattr(language_model, "_scored", lambda *x: given.append(x) or kept(*x))
     monkeypatch.setattr(language_model, "LOT_TOKENS", 1500)
     df = documents(spark, rows)
     got = [sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["score"]) for r in language_model.score(df.repartition(n)).collect()) for n in (2, 9)]
     assert [r[2] for r in got[0]] == pytest.approx([r[2] for r in got[1]], abs=1e-3)
 
-    flat, symbol_counts, n_by, v_by = given[0].value
-    model = language_model.Model(symbol_counts).load(flat)
+    vocabulary = given[0][0].value
+    symbol_counts, n_by, v_by = vocabulary.symbol_counts, vocabulary.n_by, vocabulary.v_by
+    model = language_model.Model(symbol_counts).load(given[0][1].value)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter(t for i, text, _ in rows if i is not None and not held(i) for t in tokens(text)[:-1])
-    by_rank = sorted(counts, key=lambda w: -counts[w])
-    own = {w for w in by_rank if counts[w] >= language_model.least_count(int(n_by.sum()))} | set(by_rank[: len(symbol_counts) - language_model.OUTPUTS])
-    # equal counts at the border may fall either way; the words below are told by their hash, as the model does
+    total = sum(len(tokens(t)) for i, t, _ in rows if i is not None and not held(i))
+    # of equal counts at the border, those of the smaller hash are symbols
     hashes = dict(zip(counts, language_model.words(pa.array(list(counts)))[0].view(np.int64).tolist(), strict=True))
-    ordered = sorted(counts, key=lambda w: (-counts[w], hashes[w]))[: len(symbol_counts) - language_model.OUTPUTS]
-    assert own >= set(ordered)
+    own = sum(c >= language_model.least_count(total) for c in counts.values())
+    ordered = sorted(counts, key=lambda w: (-counts[w], hashes[w]))[: max(language_model.LEAST_WORDS, own)]
+    assert len(symbol_counts) == language_model.OUTPUTS + len(ordered)
     number = {w: language_model.OUTPUTS + k for k, w in enumerate(ordered)} | {"\0end": language_model.END}
 
     def symbol(word):
@@ -214,6 +231,8 @@ def test_scores_equal_plain_loops_and_do_not_depend_on_partitions(spark, monkeyp
             g, inside = divmod(int(model.rank[s]), model.width)
             total += (softmax(model.classes, model.class_bias, q, g) + softmax(model.outputs[g], model.bias[g], q, inside)) / np.log(10)
             if s < language_model.RARE:
+                left = [w for w in counts if w not in number and symbol(w) == s]
+                assert (n_by[s], v_by[s]) == (sum(counts[w] for w in left), len(left))
                 total += log10((counts[word] + 1) / (n_by[s] + v_by[s] + 1))
             before.append(int(model.rank[s]))
         want.append((-1 if i is None else i, len(tokens(text)), total))
@@ -226,39 +245,44 @@ def test_every_token_of_learnable_texts_is_learned_from(monkeypatch):
     monkeypatch.setattr(language_model, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
     texts = ["one two three", None, "held out text", "four"]
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts, "learn": [True, True, False, True], "held_out": [False, False, True, False]})
-    none = np.zeros(0, np.uint64)
-    got = pa.Table.from_batches(language_model._written(none, none.astype(np.int32), 4, 3)(iter([batch])))
-    learned = [language_model.unpacked(x) for x in got.filter(pa.array(got["kind"].to_numpy() == language_model._LEARN))["payload"].to_pylist()]
+    rows = pa.Table.from_batches(language_model._written(4, 1 << 20)(iter([batch])))
+    counted = [language_model.unpacked(x) for x in rows.filter(pa.array(rows["kind"].to_numpy() == language_model._WORDS))["payload"].to_pylist()]
+    assert sum(int(p[1].sum()) for p in counted) == 4 + 1 + 2
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    given = type("B", (), {"value": language_model.Vocabulary(*none, np.ones((2, language_model.OUTPUTS), np.int64))})()
+    chunks = rows.filter(pa.array(rows["kind"].to_numpy() == language_model._CHUNK)).select(["ids", "learn", "sizes", "payload"])
+    dealt = pa.Table.from_batches(language_model._dealt(given, 3)(iter(chunks.to_batches())))
+    learned = [language_model.unpacked(x) for x in dealt["payload"].to_pylist()]
     assert sum(len(p[2]) for p in learned) == 4 + 1 + 2
     assert sorted(n for p in learned for n in p[1].tolist()) == [1, 2, 4]
-    lot = got.filter(pa.array(got["kind"].to_numpy() == language_model._LEARN)).slice(0, 1)
-    counts = type("B", (), {"value": np.ones(language_model.OUTPUTS, np.int64)})()
-    assert language_model._trained(counts)(lot)["weight"][0].as_py() == len(learned[0][2])
+    assert language_model._trained(given)(dealt.slice(0, 1))["weight"][0].as_py() == len(learned[0][2])
 
 
 def test_symbols_grow_with_the_corpus_and_all_are_learned(spark, monkeypatch):
     made = []
-    kept = language_model._written
-    monkeypatch.setattr(language_model, "_written", lambda hashes, order, blocks, lots: made.append((len(hashes), order)) or kept(hashes, order, blocks, lots))
+    kept = language_model._trained
+    monkeypatch.setattr(language_model, "_trained", lambda given: made.append(given.value) or kept(given))
     for n in (300, 900):
         # all words are as frequent as any other
         rows = [(i, " ".join(f"a{j} b{j}" for j in np.random.default_rng(i).permutation(n)), "m") for i in range(60)]
         got = language_model.score(documents(spark, rows)).collect()
-        assert made[-1][0] == 2 * n
-        assert sorted(made[-1][1].tolist()) == list(range(language_model.OUTPUTS, language_model.OUTPUTS + 2 * n))
+        assert len(made[-1].hashes) == 2 * n
+        assert sorted(made[-1].symbols.tolist()) == list(range(language_model.OUTPUTS, language_model.OUTPUTS + 2 * n))
         assert all(r["score"] < 0 for r in got)
 
 
 def test_words_are_counted_exactly_however_many_a_batch_holds():
-    # 3000 words stand before one that each batch holds once
+    # 3000 words stand before one that each chunk holds once; both chunks get the sums back
     text = " ".join(f"w{i} w{i}" for i in range(3000)) + " zz"
-    got = [r for b in language_model._frequent(iter([pa.RecordBatch.from_pydict({"text": [text]})] * 2)) for r in b.to_pylist()]
-    words = Counter()
-    for r in got:
-        if r["kind"] == 0:
-            words[r["name"]] += r["n"]
-    assert sorted(words.values()) == [2] + [4] * 3000
-    assert sum(r["n"] for r in got if r["kind"] == 1) == 2 * 6001
+    tokens_, tails, _ = language_model._tokens(pa.array([text]))
+    uniq, first, count = np.unique(tokens_, return_index=True, return_counts=True)
+    piece = language_model.packed(uniq, count.astype(np.int32), language_model._rare(tails[first]).astype(np.uint8))
+    got = language_model._summed(pa.table({"chunk": [1, 2], "low": [0, 0], "payload": pa.array([piece] * 2, pa.binary())})).to_pylist()
+    for r in got[:2]:
+        assert sorted(language_model.unpacked(r["payload"])[0].tolist()) == [2, 2] + [4] * 3000
+    sums = language_model.unpacked(got[2]["payload"])[0].reshape(2, -1)
+    assert sums.sum(1).tolist() == [2 * 6002, 3002]
+    assert len(language_model.unpacked(got[3]["payload"])[0]) >= 3000
 
 
 def test_word_beyond_the_old_cap_is_predicted_from_its_context():
