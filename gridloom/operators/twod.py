@@ -1,7 +1,8 @@
 """Two-dimensional flagging of (baseline, time, channel) cubes.
 
 Cubes are dense: every (time, channel) of a baseline has a row, as frames count rows. Every stage keeps to one baseline, so a
-grid that is partitioned by baseline is not shuffled again. Helper columns begin with an underscore.
+grid that is partitioned by baseline is not shuffled again; no key of a window is wider than that. Helper columns begin
+with an underscore.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from gridloom.schema import GRID3, with_boolean
 
 #: This and the defaults of SumThresholdFlagger.
 PASSES = 4
+#: A baseline of up to so many cells is one task's work, and one exchange by baseline then serves all windows of a stage. Larger ones are
+#: dealt by the keys of each window: time passes by baseline and channel, frequency passes by baseline and time.
+CELLS_A_TASK = 4_000_000
 
 
 def require_dense(grid: DataFrame, axes: dict[str, int], keys: Sequence[str] = ("baseline",)) -> DataFrame:
@@ -250,7 +254,10 @@ class SumThresholdFlagger:
         windows_time = [w for w in self.windows_time if w <= channels]
         spike_freq = self.spike_width_freq / self.average_freq
 
-        whole = lambda df, name: cut(df, name).repartition("baseline")  # noqa: E731  one exchange serves all windows of a stage
+        def whole(df: DataFrame, name: str) -> DataFrame:
+            kept = cut(df, name)
+            return kept.repartition("baseline") if times * averaged <= CELLS_A_TASK else kept
+
         grid = whole(average_freq(cube, self.average_freq), "averaged")
         spectrum = time_median(grid).withColumn("time", F.lit(0))
         spectrum = background2d(spectrum, (1, averaged), (0.0, spike_freq), ends, self.background_iterations, self.background_reject)

@@ -393,6 +393,18 @@ def test_flags_of_any_width(spark):
         schema.narrowest(1 << 70)
 
 
+def test_large_baselines_are_split_with_the_same_flags(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    data = np.abs(r.normal(5, 1, (12, 20, 2)))
+    data[3, :, 0] += 30
+    data[:, 7, 1] += 30
+    c, flagger = cube(spark, data, r.random(data.shape) < 0.05), twod.SumThresholdFlagger(spike_width_time=3, spike_width_freq=3, freq_chunks=3)
+    want = sorted(map(tuple, flagger.get_flags(c, (12, 20)).collect()))
+    assert any(x[3] for x in want)
+    monkeypatch.setattr(twod, "CELLS_A_TASK", 0)
+    assert sorted(map(tuple, flagger.get_flags(c, (12, 20)).collect())) == want
+
+
 def test_a_cube_with_gaps_is_refused_or_filled(spark):
     c = cube(spark, np.ones((3, 4, 2)))
     assert twod.require_dense(c, {"time": 3, "channel": 4}) is c
