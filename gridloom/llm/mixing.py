@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most_epochs: int
     Sources by code point, null last, weigh as ``cycle`` repeats, and share the total; a target stops at
     ``most_epochs`` times its source, the excess is shared anew by weight. In the end every open source has the same
     target per unit of weight, so sorting by the level at which a source fills and summing once gives it exactly.
-    The table has one row a source, whatever the documents number.
+    The table has one row a source, whatever the documents number; its windows run over all sources in one task, which is
+    right while sources are counted in thousands.
     """
     place = W.orderBy(F.col("source").isNull(), F.col("source"))
     weights = F.array(*[F.lit(float(x)) for x in cycle])
