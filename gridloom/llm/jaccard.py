@@ -32,6 +32,8 @@ BLOCK_SETS, TILE_SETS = 256, 1024
 #: Shared shingles a block of the product.
 BLOCK_SHINGLES = 400_000
 COLUMNS = 4096
+#: What tables of numbers that go to all executors may take, and a row of such a table there.
+BROADCAST_BYTES, BYTES_A_PLACE = 96 << 20, 48
 #: Bytes of text that are worked on at a time, and bytes of text a block of hashes.
 CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 24 << 20
 #: A shingle of so many sets of a chunk goes to its block once, not once a set; it is last in order everywhere.
@@ -420,11 +422,15 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
     whole = known.groupBy("c").agg(F.count("*").alias("_sets"), F.sum("_held").alias("_all"))
     many = F.ceil(F.greatest(F.col("_sets") / BLOCK_SETS, F.least(F.col("_sets") / 2, F.col("_all") / BLOCK_SHINGLES))).cast("int")
     places = known.select("name", "c").join(whole.select("c", many.alias("blocks")), "c").withColumn("block", F.expr("cast(pmod(xxhash64(name), blocks) as int)"))
-    rows = cut(sets.join(places, "name").select("c", "blocks", "block", "name", "n", "payload"), "placed")
+    # A few numbers a set go to where its shingles are, so that these move once, to their block; beyond a bound they meet by a shuffle.
+    places = cut(places, "places")
+    few = places.count() * BYTES_A_PLACE <= BROADCAST_BYTES
+    rows = sets.join(F.broadcast(places) if few else places, "name").select("c", "blocks", "block", "name", "n", "payload")
+    rows = rows if few else cut(rows, "placed")
 
     small = rows.filter("blocks = 1").select("c", "name", "n", "payload").repartition("c").sortWithinPartitions("c", "name")
     links = cut(small.mapInArrow(_tasks(_linked(num, den), ("c",)), _EDGES), "links")
-    large = rows.filter("blocks > 1")
+    large = places.filter("blocks > 1")
     if large.isEmpty():
         free(rows)
         return links
@@ -434,8 +440,9 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
         df = df.select("c", "block", "name", "n", "payload").repartition("c", "block").sortWithinPartitions("c", "block", "name")
         return cut(df.mapInArrow(_tasks(_gathered, ("c", "block")), "c long, block int, sets binary"), name)
 
-    gathered_blocks = gathered(large, "blocks")
-    blocks = gathered_blocks.join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
+    gathered_blocks = gathered(rows.filter("blocks > 1"), "blocks")
+    near = F.broadcast if few else (lambda x: x)  # no table of clusters has more rows than places
+    blocks = gathered_blocks.join(near(large.groupBy("c").agg(F.max("blocks").alias("blocks"))), "c")
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = blocks.select("c", "block", "sets", F.explode(to).alias("task")).repartition("c", "task").sortWithinPartitions("c", "task", "block")
     links = cut(links.unionByName(first.mapInArrow(_tasks(_first_links(num, den), ("c", "task")), _EDGES)), "links")
@@ -447,9 +454,9 @@ def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFram
     if outside.isEmpty():
         free(rows, gathered_blocks)
         return links
-    tiles = gathered(large.join(outside, "name").withColumn("block", F.expr("cast(pmod(xxhash64(name, 1), tiles) as int)")), "tiles")
+    tiles = gathered(rows.filter("blocks > 1").join(near(outside), "name").withColumn("block", F.expr("cast(pmod(xxhash64(name, 1), tiles) as int)")), "tiles")
     stripe = max(1, TILE_SETS // BLOCK_SETS)
-    counts = main.select("c", "tiles").join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
+    counts = near(main.select("c", "tiles").join(large.groupBy("c").agg(F.max("blocks").alias("blocks")), "c"))
     stripes = F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / stripe).cast("int"))
     a = tiles.join(counts, "c").select("c", F.col("block").alias("tile"), F.explode(stripes).alias("stripe"), F.lit(-1).alias("block"), "sets")
     b = blocks.drop("blocks").join(counts, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.floor(F.col("block") / stripe).cast("int").alias("stripe"), "block", "sets")

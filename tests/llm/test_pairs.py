@@ -165,7 +165,7 @@ def test_components(spark):
 
 @pytest.mark.parametrize(("width", "num", "block", "hot", "chunk"), [(4, 85, 256, 32, 1 << 23), (5, 80, 256, 4, 1 << 14), (4, 85, 8, 32, 1 << 12), (5, 80, 4, 3, 1 << 13)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, width, num, block, hot, chunk):
-    for name, value in (("BLOCK_SETS", block), ("TILE_SETS", 2 * block), ("HOT", hot), ("CHUNK_BYTES", chunk)):
+    for name, value in (("BROADCAST_BYTES", 0 if block == 8 else 1 << 20), ("BLOCK_SETS", block), ("TILE_SETS", 2 * block), ("HOT", hot), ("CHUNK_BYTES", chunk)):
         monkeypatch.setattr(jaccard, name, value)
     rows, n = awkward(), 100
     passage = prose("common", 60)
