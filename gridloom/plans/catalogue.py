@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import schema
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
-from gridloom.operators import basic, fft, reduce, rfi, twod
+from gridloom.operators import basic, fft, kernel, reduce, rfi, twod
 from gridloom.plans import oracles
 from gridloom.sources import grids, tuning
 
@@ -96,6 +97,14 @@ def vectors(spark, sf_dir):
     return _rounded(back.groupBy("pos").agg(F.sum("value").alias("total"), F.count("*").alias("n")), "total")
 
 
+@query(oracles.KERNEL)
+def kernel_running_sum(spark, sf_dir):
+    """A user's kernel: running sums of clipped samples."""
+    v = grids.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("baseline"), F.col("embedding").alias("values"))
+    made = kernel.kernel(v, lambda x: np.cumsum(np.clip(x, -0.1, 0.1), axis=1))
+    return _rounded(made.select("baseline", F.posexplode("values").alias("channel", "value")), "value")
+
+
 # Reductions
 
 

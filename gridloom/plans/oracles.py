@@ -23,6 +23,7 @@ def r6(x: str) -> str:
 
 FILL = "SELECT CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col, 3735928559 AS value FROM range(0, 75) r(i), range(0, 63) c(i)"
 ZERO = f"WITH {EMB} SELECT baseline AS row, channel AS col, CAST(0 AS DOUBLE) AS value FROM emb2d"
+KERNEL = f"WITH {EMB} SELECT baseline, channel, {r6('sum(greatest(-0.1::DOUBLE, least(0.1::DOUBLE, value))) OVER (PARTITION BY baseline ORDER BY channel)')} AS value FROM emb2d"
 ONES = f"WITH {EMB} SELECT baseline AS row, channel AS col, CAST(1 AS DOUBLE) AS value FROM emb2d"
 SCALE = f"WITH {EMB} SELECT baseline AS row, channel AS col, {r6('value * 3.0::DOUBLE')} AS value FROM emb2d"
 TRANSPOSE = f"WITH {EMB} SELECT channel AS row, CAST(baseline AS INTEGER) AS col, {r6('value')} AS value FROM emb2d"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom import functions as fn
 from gridloom import schema
-from gridloom.operators import basic, fft, reduce, rfi, twod
+from gridloom.operators import basic, fft, kernel, reduce, rfi, twod
 from gridloom.plans import compose, jobs
 from gridloom.sources import grids, npy, tuning
 from gridloom.streaming import flag_stream
@@ -432,6 +432,18 @@ def test_a_fold_of_many_columns(spark, monkeypatch):
     assert {r["row"]: r["value"] for r in first.collect()} == {0: 0, 1: 1, 2: 2}
 
 
+def test_a_kernel_of_ones_own(spark):
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [3.0, None]), (4, []), (5, [1.0, 2.0, 4.0]), (6, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "k int, values array<double>").coalesce(1)
+    got = {r["k"]: r["last"] for r in kernel.kernel(df, lambda x: x[:, -1:] * 2 if x.shape[1] else x, out="last").collect()}
+    assert {k: v for k, v in got.items() if k != 3} == {1: [4.0], 2: None, 4: [], 5: [8.0], 6: [10.0]}
+    assert np.isnan(got[3][0])
+    assert kernel.kernel(df, np.sort).columns == ["k", "values"]
+    assert kernel.kernel(df.limit(0), np.sort).count() == 0
+    with pytest.raises(Exception, match="the kernel made"):
+        kernel.kernel(df, lambda x: x.sum(1)).collect()
+
+
 def test_actions(spark):
     done = []
     with jobs.Actions(spark, threads=2, most=3) as actions:
