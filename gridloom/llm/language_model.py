@@ -378,12 +378,18 @@ class Vocabulary:
         return out
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one, as a row holds a chunk of documents."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _dealt(given, lots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Symbols of the texts of chunks that may be learned from, by lot. A text has a name made of its doc_id and its words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 uniq, rare, place = unpacked(row["payload"])
                 learn, sizes = np.array(row["learn"], bool), np.array(row["sizes"], np.int64)
                 if not learn.any():
@@ -444,7 +450,7 @@ def _scored(given, weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         model = Model(v.symbol_counts).load(weights.value)
         within = np.log10(np.append(v.n_by + v.v_by, 0) + 1.0)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 sizes = np.array(row["sizes"], np.int64)
                 uniq, rare, place = unpacked(row["payload"])
                 symbol = v.of(uniq, rare)
