@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import licenses, urls
+from gridloom.llm import licenses, line_dedup, urls
 
 
 def _quoted(x: str) -> str:
@@ -66,9 +66,17 @@ q AS (SELECT r, doc_id, d.source, size, source_size, target, epochs, floor(targe
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM q)
 SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(epochs * size + greatest(0, least(size, left_over - sofar)) AS BIGINT) AS taken FROM c"""
 
+_BLANK = " || ".join(f"chr({ord(c)})" for c in line_dedup.BLANK)
+LINES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, line, translate(trim(line, {_BLANK}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= {line_dedup.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCS}),
+m AS (SELECT r, any_value(l.doc_id) AS doc_id, i, any_value(line) AS line, bool_or(last IS NOT NULL AND l.doc_id IS DISTINCT FROM last) AS gone FROM l LEFT JOIN k USING (key) GROUP BY r, i)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
+
 ORACLES = {
     "op3_license_scan": license_scan(),
     "op4_chat_format": CHAT,
     "op5_url_filter": url_filter(),
     "op6_mix_sources": MIX,
+    "op11_line_dedup": LINES,
 }

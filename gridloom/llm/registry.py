@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import chat, decontamination, fingerprints, jaccard, language_model, licenses, mixing, token_counts, toxicity, urls
+from gridloom.llm import chat, decontamination, fingerprints, jaccard, language_model, licenses, line_dedup, mixing, periodic_runs, token_counts, toxicity, urls
 from gridloom.llm.oracles import ORACLES as SQL
 from gridloom.llm.store import table
 
@@ -56,6 +56,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(periodic_runs.with_planted(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_syncmers": op1_syncmers,
     "op2_toxicity": op2_toxicity,
@@ -67,6 +80,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_lm_scores": op9_lm_scores,
     "op10_decontaminate": op10_decontaminate,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = SQL
