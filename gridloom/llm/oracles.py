@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import licenses, line_dedup, urls
+from gridloom.llm import lexical_search, licenses, line_dedup, urls
 
 
 def _quoted(x: str) -> str:
@@ -73,10 +73,21 @@ k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= {line_dedup.LE
 m AS (SELECT r, any_value(l.doc_id) AS doc_id, i, any_value(line) AS line, bool_or(last IS NOT NULL AND l.doc_id IS DISTINCT FROM last) AS gone FROM l LEFT JOIN k USING (key) GROUP BY r, i)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents), i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS ws FROM benchmark),
+g AS (SELECT count(*) FILTER (len(ws) > 0) AS big_n, CAST(sum(len(ws)) AS BIGINT) AS big_l FROM d),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS t FROM d) GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, g GROUP BY t),
+a AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(ws) AS t FROM i) GROUP BY ALL),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score FROM a JOIN v USING (t) JOIN p USING (t), g GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {lexical_search.TOP}"""
+
 ORACLES = {
     "op3_license_scan": license_scan(),
     "op4_chat_format": CHAT,
     "op5_url_filter": url_filter(),
     "op6_mix_sources": MIX,
     "op11_line_dedup": LINES,
+    "op12_lexical_search": SEARCH,
 }

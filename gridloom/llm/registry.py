@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import chat, decontamination, fingerprints, jaccard, language_model, licenses, line_dedup, mixing, periodic_runs, token_counts, toxicity, urls
+from gridloom.llm import chat, decontamination, fingerprints, jaccard, language_model, lexical_search, licenses, line_dedup, mixing, periodic_runs, token_counts, toxicity, urls
 from gridloom.llm.oracles import ORACLES as SQL
 from gridloom.llm.store import table
 
@@ -60,6 +60,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.collapse(periodic_runs.with_planted(table(spark, sf_dir, "documents")))
     listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_lm_scores": op9_lm_scores,
     "op10_decontaminate": op10_decontaminate,
     "op11_line_dedup": op11_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
