@@ -79,7 +79,8 @@ def dedup(documents: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     filled = lambda x, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), x["word"] - F.coalesce(F.get("keep", i - 1)["word"], F.lit(-1)) - 1), F.array(x["bits"]))
     stays = lambda x, i: F.getbit(F.coalesce(F.get("_bits", F.floor(i / BITS).cast("int")), F.lit(-1).cast("long")), i % BITS) == 1
     left = F.aggregate("keep", F.lit(0).cast("long"), lambda n, x: n + BITS - F.bit_count(x["bits"]))
-    rows = _identity(documents.select("doc_id", "text")).join(marks, ["_a", "_b"], "left").withColumn("_bits", F.flatten(F.transform("keep", filled)))
+    # Bitmaps grow with the input, so they are never broadcast: the plan is the same at every size.
+    rows = _identity(documents.select("doc_id", "text")).join(marks.hint("merge"), ["_a", "_b"], "left").withColumn("_bits", F.flatten(F.transform("keep", filled)))
     text, lines = F.coalesce("text", F.lit("")), _lines(F.col("text"))
     return rows.select(
         "doc_id",
