@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import amplitude
+from gridloom.operators import select
 
 #: Columns that a user's fold takes at a time.
 FOLDED = 4096
@@ -75,25 +76,41 @@ def masked_sum(grid: DataFrame, mask: DataFrame, rows: str = "row", columns: str
     return joined.groupBy(columns).agg(F.sum(F.col("_mask") * F.col("re")).alias("re"), F.sum(F.col("_mask") * F.col("im")).alias("im"))
 
 
-def percentile5(grid: DataFrame, rows: str = "row", columns: str = "col", column_range: tuple[int, int] | None = None, size: int | None = None, max_columns: int | None = None) -> DataFrame:
+def _bisects(method: str | None, size: int | None) -> bool:
+    if method not in (None, "sort", "bisect"):
+        raise ValueError(f"no method {method!r}")
+    return method == "bisect" or (method is None and size is not None and size > select.LIMIT)
+
+
+def percentile5(
+    grid: DataFrame, rows: str = "row", columns: str = "col", column_range: tuple[int, int] | None = None, size: int | None = None, max_columns: int | None = None, method: str | None = None,
+) -> DataFrame:
     """(row, min, max, q25, q75, q50) of the amplitudes: lower order statistics, at ranks (n - 1) * k // 4 from 0.
 
-    Values are ranked by an external sort within each row, not gathered into arrays.
+    ``method`` "sort" ranks values by an external sort within each row, "bisect" counts bits of their keys (``select``) and never brings a row together;
+    unless given, rows of more than ``select.LIMIT`` columns by ``size`` or ``column_range`` are bisected.
     """
     if column_range is not None and max_columns is not None and column_range[1] - column_range[0] > max_columns:
         raise ValueError(f"more than {max_columns} columns")
     part = _in_range(grid, columns, column_range, size)
     size_of = amplitude(F.col("re"), F.col("im")) if "re" in grid.columns else F.col("value").cast("double")
     part = part.select(rows, size_of.alias("_v")).filter("_v is not null")
+    if _bisects(method, size if column_range is None else column_range[1] - column_range[0]):
+        at = {name: (lambda n, k=k: F.floor((n - 1) * k / 4)) for name, k in (("min", 0), ("max", 4), ("q25", 1), ("q75", 3), ("q50", 2))}
+        return select.select(part, [rows], "_v", at).drop("count")
     ranked = part.withColumns({"_at": F.row_number().over(W.partitionBy(rows).orderBy("_v")) - 1, "_n": F.count("*").over(W.partitionBy(rows))})
     pick = lambda k: F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) * k / 4), F.col("_v")))
     return ranked.groupBy(rows).agg(pick(0).alias("min"), pick(4).alias("max"), pick(1).alias("q25"), pick(3).alias("q75"), pick(2).alias("q50"))
 
 
-def order_statistic(grid: DataFrame, rank: int, rows: str = "row", value: str = "value", halfway: bool = False) -> DataFrame:
-    """(row, value): the value at ``rank`` from 0; if ``halfway``, the mean of it and the one before."""
-    ranked = grid.filter(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(W.partitionBy(rows).orderBy(value)) - 1)
+def order_statistic(grid: DataFrame, rank: int, rows: str = "row", value: str = "value", halfway: bool = False, size: int | None = None, method: str | None = None) -> DataFrame:
+    """(row, value): the value at ``rank`` from 0; if ``halfway``, the mean of it and the one before. ``size`` and ``method`` as for ``percentile5``; bisection knows doubles."""
     low = rank - 1 if halfway else rank
+    if _bisects(method, size):
+        two = select.select(grid, [rows], value, {"_low": lambda n: F.lit(max(low, 0)), "_high": lambda n: F.lit(rank)})
+        first, last = F.coalesce("_low", "_high"), F.coalesce("_high", "_low")
+        return two.filter("_low is not null").select(rows, ((first + last) / 2 if halfway and low >= 0 else last).alias(value))
+    ranked = grid.filter(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(W.partitionBy(rows).orderBy(value)) - 1)
     return ranked.filter(F.col("_at").between(low, rank)).groupBy(rows).agg(F.avg(value).alias(value))
 
 

@@ -23,8 +23,8 @@ from gridloom.schema import GRID3, with_boolean
 #: This and the defaults of SumThresholdFlagger.
 PASSES = 4
 #: A baseline of up to so many cells is one task's work, and one exchange by baseline then serves all windows of a stage. Larger ones are
-#: dealt by the keys of each window: time passes by baseline and channel, frequency passes by baseline and time.
-CELLS_A_TASK = 4_000_000
+#: cut into tiles of about so many times and channels, with halos.
+CELLS_A_TASK, TILE = 4_000_000, (512, 1024)
 
 
 def require_dense(grid: DataFrame, axes: dict[str, int], keys: Sequence[str] = ("baseline",)) -> DataFrame:
@@ -64,21 +64,29 @@ def median_abs(cube: DataFrame, keys: Sequence[str] = ("baseline",)) -> DataFram
     return with_boolean(cube).groupBy(*keys).agg(median(F.when(~F.col("flag"), F.abs("value"))).alias("value"))
 
 
-def interpolate_gaps(series: DataFrame, keys: Sequence[str] = ("baseline", "time"), axis: str = "channel", value: str = "value") -> DataFrame:
-    """Missing values on a straight line between their neighbours along ``axis``, the nearest beyond the ends, 0 where all is missing."""
+def nearest_known(rows: DataFrame, keys: Sequence[str], axis: str, value: str) -> DataFrame:
+    """Adds _l and _r: (x, y) of the nearest sample with a value at or before and at or after each along ``axis``, NULL where there is none."""
     order = W.partitionBy(*keys).orderBy(axis)
-    known = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col(axis).alias("x"), F.col(value).alias("y")))
-    rows = series.withColumn("_k", known)
-    rows = rows.withColumns({
+    rows = rows.withColumn("_k", F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col(axis).alias("x"), F.col(value).alias("y"))))
+    return rows.withColumns({
         "_l": F.last("_k", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)),
         "_r": F.first("_k", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)),
-    })
-    line = F.col("_l.y") + (F.col("_r.y") - F.col("_l.y")) * (F.col(axis) - F.col("_l.x")) / (F.col("_r.x") - F.col("_l.x"))
-    filled = (
-        F.when(F.col("_k").isNotNull(), F.col(value)).when(F.col("_l").isNull() & F.col("_r").isNull(), 0.0)
-        .when(F.col("_l").isNull(), F.col("_r.y")).when(F.col("_r").isNull(), F.col("_l.y")).otherwise(line)
+    }).drop("_k")
+
+
+def between(left: Column, right: Column, axis: str) -> Column:
+    """On the straight line between two known samples; the nearest where one is missing, 0 where both are. A known sample is its own neighbour."""
+    line = left["y"] + (right["y"] - left["y"]) * (F.col(axis) - left["x"]) / (right["x"] - left["x"])
+    return (
+        F.when(left.isNull() & right.isNull(), 0.0).when(left.isNull(), right["y"]).when(right.isNull(), left["y"])
+        .when(left["x"] == right["x"], left["y"]).otherwise(line)
     )
-    return rows.withColumn(value, filled).drop("_k", "_l", "_r")
+
+
+def interpolate_gaps(series: DataFrame, keys: Sequence[str] = ("baseline", "time"), axis: str = "channel", value: str = "value") -> DataFrame:
+    """Missing values on a straight line between their neighbours along ``axis``, the nearest beyond the ends, 0 where all is missing."""
+    rows = nearest_known(series, keys, axis, value)
+    return rows.withColumn(value, between(F.col("_l"), F.col("_r"), axis)).drop("_l", "_r")
 
 
 def radius(sigma: float, passes: int = PASSES) -> int:
@@ -153,6 +161,22 @@ def background2d(cube: DataFrame, shape: tuple[int, int], sigma: tuple[float, fl
     return rows.withColumn("flag", F.col("_given")).drop("_given", "_c")
 
 
+def threshold_passes(rows: DataFrame, keys: Sequence[str], axis: str, windows: Sequence[int], rho: float, out: str) -> DataFrame:
+    """Adds ``out``: the two-sided passes of ``sum_threshold`` over series of ``keys`` along ``axis``, whose limit for single samples is ``_t``."""
+    order = W.partitionBy(*keys).orderBy(axis)
+    rows = rows.withColumns({"_pos": F.lit(False), "_neg": F.lit(False)})
+    for w in windows:
+        limit = F.col("_t") / float(rho ** log2(w))
+        held = F.when(F.col("_pos") & (F.col("value") > limit), limit).when(F.col("_neg") & (F.col("value") < -limit), -limit).otherwise(F.col("value"))
+        back = order.rowsBetween(-(w - 1), 0)
+        rows = rows.withColumn("_d", held)
+        rows = rows.withColumns({"_s": F.sum("_d").over(back) / float(w), "_n": F.count(F.lit(1)).over(back)})
+        whole, ahead = F.col("_n") == w, order.rowsBetween(0, w - 1)
+        rows = rows.withColumns({"_hp": whole & (F.col("_s") > limit), "_hn": whole & (-F.col("_s") > limit)})
+        rows = rows.withColumns({"_pos": F.col("_pos") | F.max("_hp").over(ahead), "_neg": F.col("_neg") | F.max("_hn").over(ahead)})
+    return rows.withColumn(out, F.col("_pos") | F.col("_neg")).drop("_pos", "_neg", "_d", "_s", "_n", "_hp", "_hn")
+
+
 def sum_threshold(cube: DataFrame, axis: str, windows: Sequence[int], n_sigma: float = 4.5, rho: float = 1.3, ends: Sequence[int] | None = None, out: str = "found") -> DataFrame:
     """Adds ``out``: two-sided sum-threshold flags along ``axis``.
 
@@ -173,21 +197,12 @@ def sum_threshold(cube: DataFrame, axis: str, windows: Sequence[int], n_sigma: f
         rows = rows.withColumn("_home", _chunk(axis, ends)).withColumn("_c", F.explode(near)).withColumn("_own", F.col("_home") == F.col("_c")).drop("_home")
     column = W.partitionBy("baseline", other, "_c")
     spread = median(F.when(F.col("_own") & ~F.col("flag"), F.abs("value"))).over(column) * (n_sigma * MAD_NORMAL)
-    rows = rows.withColumns({"_t": F.coalesce(spread, F.lit(float("inf"))), "_pos": F.lit(False), "_neg": F.lit(False)})
-    order = column.orderBy(axis)
-    for w in windows:
-        limit = F.col("_t") / float(rho ** log2(w))
-        held = F.when(F.col("_pos") & (F.col("value") > limit), limit).when(F.col("_neg") & (F.col("value") < -limit), -limit).otherwise(F.col("value"))
-        back = order.rowsBetween(-(w - 1), 0)
-        rows = rows.withColumn("_d", held)
-        rows = rows.withColumns({"_s": F.sum("_d").over(back) / float(w), "_n": F.count(F.lit(1)).over(back)})
-        whole, ahead = F.col("_n") == w, order.rowsBetween(0, w - 1)
-        rows = rows.withColumns({"_hp": whole & (F.col("_s") > limit), "_hn": whole & (-F.col("_s") > limit)})
-        rows = rows.withColumns({"_pos": F.col("_pos") | F.max("_hp").over(ahead), "_neg": F.col("_neg") | F.max("_hn").over(ahead)})
-    return rows.filter("_own").withColumn(out, F.col("_pos") | F.col("_neg")).drop("_c", "_own", "_t", "_pos", "_neg", "_d", "_s", "_n", "_hp", "_hn")
+    rows = rows.withColumn("_t", F.coalesce(spread, F.lit(float("inf"))))
+    rows = threshold_passes(rows, ("baseline", other, "_c"), axis, windows, rho, out)
+    return rows.filter("_own").drop("_c", "_own", "_t")
 
 
-def _smeared(flag: Column, keys: Sequence[str], axis: str, width: int) -> Column:
+def smeared(flag: Column, keys: Sequence[str], axis: str, width: int) -> Column:
     """Flags widened by ``width`` samples along ``axis``, clipped at its ends."""
     return F.max(flag).over(W.partitionBy(*keys).orderBy(axis).rowsBetween(-(width // 2), width - 1 - width // 2))
 
@@ -198,7 +213,7 @@ def combine_flags(cube: DataFrame, sources: Sequence[str], extend: int = 3, out:
     for c in sources:
         either = either | F.col(c)
     rows = cube.withColumn("_any", either)
-    return rows.withColumn(out, _smeared(F.col("_any"), ("baseline", "channel"), "time", extend)).drop("_any")
+    return rows.withColumn(out, smeared(F.col("_any"), ("baseline", "channel"), "time", extend)).drop("_any")
 
 
 def unaverage_freq(cube: DataFrame, channels: int, times: int, factor: int = 1, extend: int = 3, time_frac: float = 0.6, freq_frac: float = 0.8) -> DataFrame:
@@ -207,7 +222,7 @@ def unaverage_freq(cube: DataFrame, channels: int, times: int, factor: int = 1,
     counted before either is done."""
     low = F.col("channel") * factor
     rows = with_boolean(cube).select("baseline", "time", "flag", F.explode(F.sequence(low, F.least(low + factor - 1, F.lit(channels - 1)))).alias("channel"))
-    rows = rows.withColumn("_f", _smeared(F.col("flag"), ("baseline", "time"), "channel", extend))
+    rows = rows.withColumn("_f", smeared(F.col("flag"), ("baseline", "time"), "channel", extend))
     rows = rows.withColumn("_t", F.sum(F.col("_f").cast("int")).over(W.partitionBy("baseline", "time")))
     rows = rows.withColumn("_k", F.sum(F.col("_f").cast("int")).over(W.partitionBy("baseline", "channel")))
     whole = F.col("_f") | (F.col("_t") > freq_frac * channels) | (F.col("_k") > time_frac * times)
@@ -234,12 +249,14 @@ class SumThresholdFlagger:
     rho: float = 1.3
     #: Looks for missing and repeated cells first; frames count rows, so such a cube would get wrong flags.
     check_dense: bool = False
+    #: (times, channels) of a tile; None: whole baselines up to CELLS_A_TASK cells, and tiles of TILE beyond.
+    tile: tuple[int, int] | None = None
 
     def get_flags(self, cube: DataFrame, shape: tuple[int, int]) -> DataFrame:
         """(baseline, time, channel, flag) for a dense cube (baseline, time, channel, value or re and im, flag) of ``shape`` (times, channels).
 
         Input flags steer the estimates and are not copied to the output; a NaN input is flagged. Baselines are
-        independent: the grid is partitioned by them once, and results between stages go to the shared folder.
+        independent: the grid is partitioned by them, larger ones by tiles with halos, and results between stages go to the shared folder.
         """
         if "re" not in cube.columns:
             GRID3.validate(cube, "cube")
@@ -247,23 +264,18 @@ class SumThresholdFlagger:
         times, channels = shape
         if self.check_dense:
             require_dense(cube, {"time": times, "channel": channels})
-        averaged = -(-channels // self.average_freq)
-        ends = chunk_ends(averaged, self.freq_chunks)
-        windows_freq = sorted({w for w in (ceil(w / self.average_freq) for w in self.windows_freq) if w <= averaged})
-        # Fixed rule: time windows are held against the number of channels; one longer than the times is never complete.
-        windows_time = [w for w in self.windows_time if w <= channels]
-        spike_freq = self.spike_width_freq / self.average_freq
+        windows_time, windows_freq, ends, spike_freq = self.derived(channels)
+        averaged = ends[-1]
+        if self.tile is not None or times * averaged > CELLS_A_TASK:
+            from gridloom.operators import tiles  # it is built from what stands above
+
+            return self._with_lost(tiles.get_flags(self, cube, shape, self.tile or TILE), cube)
 
         def whole(df: DataFrame, name: str) -> DataFrame:
-            kept = cut(df, name)
-            return kept.repartition("baseline") if times * averaged <= CELLS_A_TASK else kept
+            return cut(df, name).repartition("baseline")
 
         grid = whole(average_freq(cube, self.average_freq), "averaged")
-        spectrum = time_median(grid).withColumn("time", F.lit(0))
-        spectrum = background2d(spectrum, (1, averaged), (0.0, spike_freq), ends, self.background_iterations, self.background_reject)
-        spectrum = spectrum.withColumn("value", F.col("value") - F.col("background")).drop("background")
-        spectrum = cut(sum_threshold(spectrum, "channel", windows_freq, self.outlier_nsigma, self.rho, ends, "spec").select("baseline", "channel", "spec"), "spectrum")
-        grid = grid.join(spectrum, ["baseline", "channel"]).withColumn("flag", F.col("flag") | F.col("spec"))
+        grid = grid.join(self.spectrum_flags(grid, channels), ["baseline", "channel"]).withColumn("flag", F.col("flag") | F.col("spec"))
         grid = background2d(grid, (times, averaged), (self.spike_width_time, spike_freq), ends, self.background_iterations, self.background_reject)
         grid = whole(grid.withColumn("value", F.col("value") - F.col("background")).drop("background"), "residual")
         grid = sum_threshold(grid, "time", windows_time, self.outlier_nsigma, self.rho, None, "in_time")
@@ -271,6 +283,24 @@ class SumThresholdFlagger:
         grid = whole(sum_threshold(grid, "channel", windows_freq, self.outlier_nsigma, self.rho, ends, "in_freq"), "found")
         grid = combine_flags(grid, ("spec", "in_time", "in_freq"), self.time_extend)
         flags = unaverage_freq(grid, channels, times, self.average_freq, self.freq_extend, self.flag_all_time_frac, self.flag_all_freq_frac)
+        return self._with_lost(flags, cube)
+
+    def derived(self, channels: int) -> tuple[list[int], list[int], list[int], float]:
+        """Windows along time and along averaged channels, ends of the averaged channels' chunks, and the spike width in averaged channels."""
+        averaged = -(-channels // self.average_freq)
+        windows_freq = sorted({w for w in (ceil(w / self.average_freq) for w in self.windows_freq) if w <= averaged})
+        # Fixed rule: time windows are held against the number of channels; one longer than the times is never complete.
+        return [w for w in self.windows_time if w <= channels], windows_freq, chunk_ends(averaged, self.freq_chunks), self.spike_width_freq / self.average_freq
+
+    def spectrum_flags(self, grid: DataFrame, channels: int) -> DataFrame:
+        """(baseline, channel, spec): flags of the averaged ``grid``'s median spectra, in a table of its own."""
+        _, windows_freq, ends, spike_freq = self.derived(channels)
+        spectrum = time_median(grid).withColumn("time", F.lit(0))
+        spectrum = background2d(spectrum, (1, ends[-1]), (0.0, spike_freq), ends, self.background_iterations, self.background_reject)
+        spectrum = spectrum.withColumn("value", F.col("value") - F.col("background")).drop("background")
+        return cut(sum_threshold(spectrum, "channel", windows_freq, self.outlier_nsigma, self.rho, ends, "spec").select("baseline", "channel", "spec"), "spectrum")
+
+    def _with_lost(self, flags: DataFrame, cube: DataFrame) -> DataFrame:
         value = F.col("re") + F.col("im") if "re" in cube.columns else F.col("value")
         lost = cube.filter(F.isnan(value.cast("double")) | value.isNull()).select("baseline", "time", "channel", F.lit(True).alias("_lost"))
         return flags.join(lost, ["baseline", "time", "channel"], "left").select("baseline", "time", "channel", (F.col("flag") | F.coalesce("_lost", F.lit(False))).alias("flag"))

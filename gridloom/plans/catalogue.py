@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom import schema
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
-from gridloom.operators import basic, fft, kernel, reduce, rfi, twod
+from gridloom.operators import basic, fft, kernel, reduce, rfi, select, twod
 from gridloom.plans import oracles
 from gridloom.sources import grids, tuning
 
@@ -191,6 +192,31 @@ def order_statistic(spark, sf_dir):
     return _rounded(reduce.order_statistic(_matrix(spark, sf_dir), 20, halfway=True), "value")
 
 
+@query(oracles.percentile5("abs(value)", "emb2d"))
+def percentile5_bisect(spark, sf_dir):
+    return _rounded(reduce.percentile5(_matrix(spark, sf_dir).withColumn("value", F.abs("value")), method="bisect"), *FIVE)
+
+
+@query(oracles.ORDER_STATISTIC)
+def order_statistic_bisect(spark, sf_dir):
+    return _rounded(reduce.order_statistic(_matrix(spark, sf_dir), 20, halfway=True, method="bisect"), "value")
+
+
+@query(oracles.PRICE_QUANTILES)
+def price_quantiles(spark, sf_dir):
+    """Order statistics of whole groups; buckets are divided until they hold 200 values."""
+    at = {"q25": lambda n: F.floor((n - 1) / 4), "q50": lambda n: F.floor((n - 1) / 2), "q99": lambda n: F.floor(99 * (n - 1) / 100), "most": lambda n: n - 1}
+    found = select.select(grids.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", at, 200)
+    return found.withColumnRenamed("count", "n")
+
+
+@query(oracles.PRICE_MEDIANS)
+def price_medians(spark, sf_dir):
+    """Medians of signed values: keys below and above zero."""
+    rows = grids.table(spark, sf_dir, "lineitem").withColumn("signed", F.col("l_extendedprice") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1))
+    return _rounded(select.medians(rows, ["l_linestatus"], "signed", 1000), "value")
+
+
 @query(oracles.RANKS)
 def rank_below_points(spark, sf_dir):
     orders = grids.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("value"))
@@ -401,6 +427,9 @@ def _twod(flagger):
 
 for _name, _flagger in (("twod_flagger", SMALL), ("twod_flagger_averaged", AVERAGED), ("twod_flagger_defaults", twod.SumThresholdFlagger())):
     QUERIES[_name], ORACLES[_name] = _twod(_flagger), oracles.twod_flagger(_flagger, *SHAPE)
+#: The same flags by tiles of 8 times and about 12 channels, with halos.
+QUERIES["twod_flagger_tiled"], ORACLES["twod_flagger_tiled"] = _twod(replace(SMALL, tile=(8, 12))), ORACLES["twod_flagger"]
+QUERIES["twod_flagger_averaged_tiled"], ORACLES["twod_flagger_averaged_tiled"] = _twod(replace(AVERAGED, tile=(11, 4))), ORACLES["twod_flagger_averaged"]
 
 
 # Fourier transforms

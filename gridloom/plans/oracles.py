@@ -28,8 +28,8 @@ ONES = f"WITH {EMB} SELECT baseline AS row, channel AS col, CAST(1 AS DOUBLE) AS
 SCALE = f"WITH {EMB} SELECT baseline AS row, channel AS col, {r6('value * 3.0::DOUBLE')} AS value FROM emb2d"
 TRANSPOSE = f"WITH {EMB} SELECT channel AS row, CAST(baseline AS INTEGER) AS col, {r6('value')} AS value FROM emb2d"
 REGION_READ = f"WITH {EMB} SELECT CAST((baseline - 10) // 3 AS BIGINT) AS row, CAST((channel - 5) // 2 AS INTEGER) AS col, {r6('value')} AS value FROM emb2d WHERE baseline >= 10 AND baseline < 200 AND (baseline - 10) % 3 = 0 AND channel >= 5 AND channel < 60 AND (channel - 5) % 2 = 0"
-REGION_COPY = f"""WITH {EMB}, s AS (SELECT baseline + 100 AS baseline, channel // 2 + 8 AS channel, -value AS value FROM emb2d WHERE baseline < 50 AND channel < 40 AND channel % 2 = 0)
-SELECT d.baseline AS row, d.channel AS col, {r6('coalesce(s.value, d.value)')} AS value FROM emb2d d LEFT JOIN s ON s.baseline = d.baseline AND s.channel = d.channel"""
+REGION_COPY = f"""WITH {EMB} SELECT baseline AS row, channel AS col, {r6('value')} AS value FROM emb2d WHERE baseline < 100 OR baseline >= 150 OR channel < 8 OR channel >= 28
+UNION ALL SELECT baseline + 100 AS row, channel // 2 + 8 AS col, {r6('-value')} AS value FROM emb2d WHERE baseline < 50 AND channel < 40 AND channel % 2 = 0"""
 FLAG_RATE = f"WITH {EV} SELECT {r6('avg(CAST(flag AS INTEGER)) * 100')} AS percent FROM ev3d"
 VECTORS = f"WITH {EMB} SELECT channel AS pos, {r6('sum(value)')} AS total, count(*) AS n FROM emb2d GROUP BY 1"
 
@@ -56,6 +56,10 @@ def percentile5(value: str, table: str, where: str = "") -> str:
 
 
 ORDER_STATISTIC = f"WITH {EMB} SELECT baseline AS row, {r6('(list_sort(list(value))[20] + list_sort(list(value))[21]) / 2')} AS value FROM emb2d GROUP BY 1"
+PRICES = "list_sort(list(l_extendedprice))"
+PRICE_QUANTILES = f"""SELECT l_returnflag, l_linestatus, count(*) AS n, {PRICES}[1 + (count(*) - 1) // 4] AS q25, {PRICES}[1 + (count(*) - 1) // 2] AS q50, {PRICES}[1 + 99 * (count(*) - 1) // 100] AS q99, {PRICES}[count(*)] AS most
+ FROM lineitem GROUP BY 1, 2"""
+PRICE_MEDIANS = f"SELECT l_linestatus, {r6('median(l_extendedprice * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END))')} AS value FROM lineitem GROUP BY 1"
 RANKS = "SELECT p.i * 1000.0::DOUBLE AS point, CAST(count(o.o_totalprice) AS BIGINT) AS below FROM range(0, 500) p(i) LEFT JOIN orders o ON o.o_totalprice < p.i * 1000.0::DOUBLE GROUP BY 1"
 RANK_HELPERS = f"""WITH {EMB}, m AS (SELECT baseline AS row, channel AS col, CASE WHEN channel % 7 = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM emb2d)
 SELECT row, count(*) FILTER (value < 0.05) AS below, count(*) FILTER (value = 0) AS zeros, {r6('greatest(coalesce(max(value) FILTER (value < 0.1), 0), 0)')} AS under,
