@@ -66,7 +66,10 @@ class MedianBackground:
             keys = ["channel"] if mode == CHANNEL else ["baseline", "channel"]
             rows = rows.join(flags.select(*keys, F.col("flag").cast("int").alias("_in")), keys, "left")
             valid = valid & (F.coalesce("_in", F.lit(0)) == 0)
-        rows = rows.withColumn("_ok", F.when(valid, F.col("_amp")))
+        return self._deviations(rows.withColumn("_ok", F.when(valid, F.col("_amp"))))
+
+    def _deviations(self, rows: DataFrame) -> DataFrame:
+        """Adds ``dev`` to rows with _ok, the amplitude where it is valid."""
         frame = W.partitionBy("baseline").orderBy("channel").rowsBetween(-(self.width // 2), (self.width - 1) // 2)
         rows = rows.withColumn("dev", F.coalesce(F.col("_ok") - median(F.col("_ok")).over(frame), F.lit(0.0)))
         return rows.drop("_amp", "_ok", "_in")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom import schema
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
-from gridloom.operators import basic, fft, kernel, reduce, rfi, select, twod
+from gridloom.operators import basic, fft, kernel, reduce, rfi, rolling, select, twod
 from gridloom.plans import oracles
 from gridloom.sources import grids, tuning
 
@@ -276,6 +276,18 @@ def background_median(spark, sf_dir):
     return _rounded(rfi.MedianBackground(13, amplitudes=True)(grids.emb2d(spark, sf_dir)).select("baseline", "channel", "dev"), "dev")
 
 
+@query(oracles.background(13))
+def background_median_ranked(spark, sf_dir):
+    return _rounded(rolling.RankedMedianBackground(13, amplitudes=True)(grids.emb2d(spark, sf_dir)).select("baseline", "channel", "dev"), "dev")
+
+
+@query(oracles.background(101, "((baseline * 7 + channel * 5) % 11 = 0)", "embc", "sqrt(re * re + im * im)"))
+def background_median_ranked_wide(spark, sf_dir):
+    """A window wider than the series, and flags of samples."""
+    g = grids.emb_complex(spark, sf_dir)
+    return _rounded(rolling.RankedMedianBackground(101, use_flags=rfi.FULL)(g, _sample_flags(g)).select("baseline", "channel", "dev"), "dev")
+
+
 @query(oracles.background(6, "(channel % 9 = 4)"))
 def background_median_chanflags(spark, sf_dir):
     b = rfi.MedianBackground(6, amplitudes=True, use_flags=rfi.CHANNEL)
