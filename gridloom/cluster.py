@@ -46,15 +46,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that a lost executor costs no earlier stage.
 
     The files are removed by ``free``, else when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _kept[out] = path
     return out

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import schema
+from gridloom.cluster import scratch
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
 from gridloom.operators import basic, fft, kernel, reduce, rfi, rolling, select, twod
 from gridloom.plans import oracles
-from gridloom.sources import grids, tuning
+from gridloom.sources import grids, npy_source, tuning
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +99,16 @@ def vectors(spark, sf_dir):
     return _rounded(back.groupBy("pos").agg(F.sum("value").alias("total"), F.count("*").alias("n")), "total")
 
 
+@query(oracles.NPY_SCAN)
+def npy_scan(spark, sf_dir):
+    """Series written as .npy arrays, an array a task, and read again by byte ranges of some channels."""
+    npy_source.register(spark)
+    at = scratch(spark, "npy")
+    grids.table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>")).write.format("npy").mode("append").save(at)
+    rows = npy_source.scan_npy(spark, at, ("row", "channel"), {"channel": (8, 40)}, 1 << 16)
+    return _rounded(rows.groupBy("channel").agg(F.count("*").alias("n"), F.sum("re").alias("total"), F.max(F.abs("re")).alias("most")), "total", "most")
+
+
 @query(oracles.KERNEL)
 def kernel_running_sum(spark, sf_dir):
     """A user's kernel: running sums of clipped samples."""

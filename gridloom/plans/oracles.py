@@ -34,6 +34,9 @@ FLAG_RATE = f"WITH {EV} SELECT {r6('avg(CAST(flag AS INTEGER)) * 100')} AS perce
 VECTORS = f"WITH {EMB} SELECT channel AS pos, {r6('sum(value)')} AS total, count(*) AS n FROM emb2d GROUP BY 1"
 
 
+NPY_SCAN = f"WITH {EMB} SELECT CAST(channel AS BIGINT) AS channel, count(*) AS n, {r6('sum(value)')} AS total, {r6('max(abs(value))')} AS most FROM emb2d WHERE channel >= 8 AND channel < 40 GROUP BY 1"
+
+
 def hreduce(op: str) -> str:
     f = {"sum": "CAST(sum(v) AS BIGINT)", "min": "min(v)", "max": "max(v)", "xor": "bit_xor(v)"}[op]
     return f"WITH {EMB} SELECT baseline AS row, {f} AS value FROM (SELECT baseline, CAST(round(value * 1000) AS BIGINT) AS v FROM emb2d WHERE channel >= 7 AND channel < 51) GROUP BY 1"

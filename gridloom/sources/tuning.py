@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.sources.store_writer import latest, read_version, write_version
+
 DEVICE = ("device_name", "device_platform", "device_version")
 
 
@@ -38,26 +40,20 @@ def upsert(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return store.join(rows, on, "left_anti").unionByName(rows)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The store at ``path`` as it was last saved."""
-    kept = spark.read.parquet(path)
-    return kept.filter(F.col("version") == kept.agg(F.max("version").alias("v")).first()["v"]).drop("version")
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The store at ``path`` as it was last saved, or as of ``version``."""
+    return read_version(spark, path, version)
 
 
-def save(path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+def save(path: str, rows: DataFrame, keys: list[str], on: int | None = None) -> DataFrame:
     """Creates the store at ``path`` with ``rows``, or upserts them into it; the store as read back.
 
-    Each save is a new version beside the old ones, so readers never see half of one.
+    Each save is a new version beside the old ones, made from the last one, or from ``on`` if given. Of saves that run at the same time, or if ``on`` is no longer the last, one wins
+    and the others raise ``Conflict``, so that no update is lost; a save that fails leaves no rows. No rows are no save.
     """
-    spark, version = rows.sparkSession, 0
-    # Appending nothing creates the folder where there is none.
-    rows.limit(0).write.mode("append").parquet(f"{path}/version=-1")
-    kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, version int").parquet(path)
-    last = kept.agg(F.max("version").alias("v")).first()["v"]
-    if last is not None:
-        version = last + 1
-        rows = upsert(kept.filter(F.col("version") == last).drop("version"), rows, keys)
-    else:
-        rows = upsert(rows.limit(0), rows, keys)
-    rows.write.parquet(f"{path}/version={version}")
+    spark = rows.sparkSession
+    on = latest(path) if on is None else on
+    merged = upsert(rows.limit(0) if on < 0 else read_version(spark, path, on).select(rows.columns), rows, keys)
+    if not rows.isEmpty():
+        write_version(merged, path, on)
     return load(spark, path)
