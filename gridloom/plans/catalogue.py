@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom import schema
 from gridloom.cluster import scratch
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
-from gridloom.operators import basic, fft, kernel, reduce, rfi, rolling, select, twod
+from gridloom.operators import basic, fft, fold, kernel, reduce, rfi, rolling, select, twod
 from gridloom.plans import oracles
 from gridloom.sources import grids, npy_source, tuning
 
@@ -138,6 +138,13 @@ def hreduce_product(spark, sf_dir):
     return _rounded(reduce.hreduce(m, "product", column_range=(0, 16), size=64), "value")
 
 
+@query(oracles.HREDUCE_CUSTOM)
+def hreduce_fold(spark, sf_dir):
+    """A function of one's own over arrays, combined before the shuffle."""
+    m = _matrix(spark, sf_dir).withColumn("value", F.round(F.abs("value") * 1000).cast("long"))
+    return fold.fold(m, lambda a, b: (a + b) % 997, 0)
+
+
 @query(oracles.HREDUCE_CUSTOM)
 def hreduce_custom(spark, sf_dir):
     """A fold that is no built-in aggregate: addition modulo 997."""
