@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from gridloom import schema
 from gridloom.cluster import scratch
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
-from gridloom.operators import basic, fft, fold, kernel, reduce, rfi, rolling, select, twod
+from gridloom.operators import basic, fft, fold, intervals, kernel, reduce, rfi, rolling, select, twod
 from gridloom.plans import oracles
 from gridloom.sources import grids, npy_source, tuning
+from gridloom.streaming.assemble import flag_spectra
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,6 +236,15 @@ def price_medians(spark, sf_dir):
     return _rounded(select.medians(rows, ["l_linestatus"], "signed", 1000), "value")
 
 
+@query(oracles.INTERVALS)
+def interval_join(spark, sf_dir):
+    """Samples in uneven, overlapping intervals that come as a table."""
+    spans = grids.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    spans = spans.select(F.col("o_orderkey").alias("low"), (F.col("o_orderkey") + 1 + (F.col("o_custkey") * F.col("o_custkey")) % 400).alias("high")).distinct()
+    held = intervals.locate(grids.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), spans, "l_orderkey")
+    return held.groupBy("low", "high").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
 @query(oracles.RANKS)
 def rank_below_points(spark, sf_dir):
     orders = grids.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("value"))
@@ -354,6 +364,21 @@ QUERIES["threshold_sum"], ORACLES["threshold_sum"] = _flagged(SUMS, every=True),
 QUERIES["flagger_sum_chanflags"], ORACLES["flagger_sum_chanflags"] = _flagged(SUMS, rfi.CHANNEL, True), oracles.flag_sum(1.5, 4, 3, "(channel % 9 = 4)")
 QUERIES["flagger_sum_fullflags"], ORACLES["flagger_sum_fullflags"] = _flagged(SUMS, rfi.FULL, True), oracles.flag_sum(1.5, 4, 3, "((baseline * 7 + channel * 5) % 11 = 0)")
 
+
+
+@query(oracles.flag_simple(2.0))
+def rfi_flag_stream(spark, sf_dir):
+    """The flags of ``rfi_flag_simple`` from a stream that splits every series between three micro-batches."""
+    at = scratch(spark, "stream")
+    samples = grids.emb2d(spark, sf_dir).withColumns({"time": F.lit(0), "ts": F.timestamp_seconds(F.lit(grids.FIRST_DAY)), "part": F.col("channel") % 3})
+    samples.coalesce(1).write.partitionBy("part").parquet(f"{at}/in")
+    stream = spark.readStream.schema(samples.drop("part").schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    flagger = rfi.Flagger(rfi.MedianBackground(13, amplitudes=True), rfi.MadNoise(), SIMPLE)
+    sink = lambda df, n: df.filter("flag <> 0").select("baseline", "channel", "flag").write.mode("overwrite").parquet(f"{at}/out/{n}")
+    flag_spectra(stream, flagger, 64, sink, f"{at}/state").awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").schema("baseline long, channel int, flag smallint").parquet(f"{at}/out")
+
+
 PADDED = rfi.SumThreshold(1.5, flag_value=3, padded=True)
 QUERIES["threshold_sum_padded"], ORACLES["threshold_sum_padded"] = _flagged(PADDED, every=True), oracles.flag_sum(1.5, 4, 3, padded=64)
 

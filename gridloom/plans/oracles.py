@@ -63,6 +63,8 @@ PRICES = "list_sort(list(l_extendedprice))"
 PRICE_QUANTILES = f"""SELECT l_returnflag, l_linestatus, count(*) AS n, {PRICES}[1 + (count(*) - 1) // 4] AS q25, {PRICES}[1 + (count(*) - 1) // 2] AS q50, {PRICES}[1 + 99 * (count(*) - 1) // 100] AS q99, {PRICES}[count(*)] AS most
  FROM lineitem GROUP BY 1, 2"""
 PRICE_MEDIANS = f"SELECT l_linestatus, {r6('median(l_extendedprice * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END))')} AS value FROM lineitem GROUP BY 1"
+INTERVALS = """SELECT o_orderkey AS low, o_orderkey + 1 + (o_custkey * o_custkey) % 400 AS high, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
+ FROM orders JOIN lineitem ON l_orderkey >= o_orderkey AND l_orderkey < o_orderkey + 1 + (o_custkey * o_custkey) % 400 WHERE o_orderkey % 5 = 0 GROUP BY 1, 2"""
 RANKS = "SELECT p.i * 1000.0::DOUBLE AS point, CAST(count(o.o_totalprice) AS BIGINT) AS below FROM range(0, 500) p(i) LEFT JOIN orders o ON o.o_totalprice < p.i * 1000.0::DOUBLE GROUP BY 1"
 RANK_HELPERS = f"""WITH {EMB}, m AS (SELECT baseline AS row, channel AS col, CASE WHEN channel % 7 = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM emb2d)
 SELECT row, count(*) FILTER (value < 0.05) AS below, count(*) FILTER (value = 0) AS zeros, {r6('greatest(coalesce(max(value) FILTER (value < 0.1), 0), 0)')} AS under,
