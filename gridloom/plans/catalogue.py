@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom import schema
 from gridloom.cluster import scratch
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
-from gridloom.operators import basic, fft, fold, intervals, kernel, reduce, rfi, rolling, select, twod
+from gridloom.operators import basic, fft, fold, intervals, kernel, reduce, rfi, rolling, select, twod, vectors as blocks
 from gridloom.plans import oracles
 from gridloom.sources import grids, npy_source, tuning
 from gridloom.streaming.assemble import flag_spectra
@@ -100,6 +100,16 @@ def vectors(spark, sf_dir):
     return _rounded(back.groupBy("pos").agg(F.sum("value").alias("total"), F.count("*").alias("n")), "total")
 
 
+@query(oracles.TRANSPOSE_VECTORS)
+def transpose_vectors(spark, sf_dir):
+    """Series by channel from series by baseline, by blocks; told by figures that depend on the order."""
+    given = grids.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("baseline"), F.col("embedding").alias("values"))
+    t = blocks.transpose_vectors(given, channels=16)
+    weighted = F.aggregate(F.zip_with("keys", "values", lambda k, v: v * (k % 11)), F.lit(0.0), lambda a, x: a + x)
+    out = t.select("channel", F.size("values").alias("n"), F.element_at("keys", -1).alias("last"), F.element_at("values", 1).alias("first_value"), weighted.alias("weighted"))
+    return _rounded(out, "first_value", "weighted")
+
+
 @query(oracles.NPY_SCAN)
 def npy_scan(spark, sf_dir):
     """Series written as .npy arrays, an array a task, and read again by byte ranges of some channels."""

@@ -30,6 +30,7 @@ TRANSPOSE = f"WITH {EMB} SELECT channel AS row, CAST(baseline AS INTEGER) AS col
 REGION_READ = f"WITH {EMB} SELECT CAST((baseline - 10) // 3 AS BIGINT) AS row, CAST((channel - 5) // 2 AS INTEGER) AS col, {r6('value')} AS value FROM emb2d WHERE baseline >= 10 AND baseline < 200 AND (baseline - 10) % 3 = 0 AND channel >= 5 AND channel < 60 AND (channel - 5) % 2 = 0"
 REGION_COPY = f"""WITH {EMB} SELECT baseline AS row, channel AS col, {r6('value')} AS value FROM emb2d WHERE baseline < 100 OR baseline >= 150 OR channel < 8 OR channel >= 28
 UNION ALL SELECT baseline + 100 AS row, channel // 2 + 8 AS col, {r6('-value')} AS value FROM emb2d WHERE baseline < 50 AND channel < 40 AND channel % 2 = 0"""
+TRANSPOSE_VECTORS = f"WITH {EMB} SELECT channel, CAST(count(*) AS INTEGER) AS n, max(baseline) AS last, {r6('list(value ORDER BY baseline)[1]')} AS first_value, {r6('sum(value * (baseline % 11))')} AS weighted FROM emb2d GROUP BY 1"
 FLAG_RATE = f"WITH {EV} SELECT {r6('avg(CAST(flag AS INTEGER)) * 100')} AS percent FROM ev3d"
 VECTORS = f"WITH {EMB} SELECT channel AS pos, {r6('sum(value)')} AS total, count(*) AS n FROM emb2d GROUP BY 1"
 
