@@ -75,7 +75,8 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresho
     template if it holds ``threshold`` of the template's distinct words. Template words are ordered by the number of
     documents that hold them, counted over all documents; block and template meet on a word within both prefixes,
     then the length filter, the positional bound and the exact overlap decide. Of templates that differ in a few decisive
-    words (``rivals``) a block keeps those of the largest containment, of equal ones those of the most words. ``score`` is the largest containment
+    words (``rivals``) a block keeps the one that it holds better (larger containment, then more words), and the other only if the block without one notice of the
+    better one still reaches the threshold: both notices give both labels, one notice gives one. ``score`` is the largest containment
     of a matching template, or 1 where a base phrase stands, else 0.
 
     Null or empty text: no words and no labels. Repeated rows stay rows; ties give the same labels; an empty table gives
@@ -138,7 +139,7 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresho
     classes = sorted({class_of(n) for _, _, n in sets})
     def cut_up(c: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("_block_words"), F.lit(1)), F.lit(c))
-        return F.transform(starts, lambda i: F.struct(F.lit(c).alias("c"), F.array_intersect(F.slice(F.col("_block_words"), i, 2 * c), listed(order)).alias("w")))
+        return F.transform(starts, lambda i: F.struct(F.lit(c).alias("c"), F.slice(F.col("_block_words"), i, 2 * c).alias("s"), F.array_intersect(F.slice(F.col("_block_words"), i, 2 * c), listed(order)).alias("w")))
 
     windows = F.flatten(F.array(*[cut_up(c) for c in classes]))
     least = {c: min(need[k] for k, (_, _, n) in enumerate(sets) if class_of(n) == c) for c in classes}
@@ -146,17 +147,21 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresho
     blocks = found.filter("_block_words is not null").select("_row", F.posexplode(windows).alias("_number", "_b"))
     blocks = blocks.filter(F.size("_b.w") >= at_least).withColumn("_least", at_least)
     blocks = blocks.withColumn("_in_order", F.array_sort(F.transform("_b.w", lambda w: F.struct(F.element_at(ranked, w).alias("r"), w.alias("w")))))
-    blocks = blocks.select("_row", "_number", F.col("_b.c").alias("_class"), F.col("_b.w").alias("_block"), F.posexplode(F.slice("_in_order", F.lit(1), F.size("_in_order") - F.col("_least") + 1)).alias("_place", "_w"))
+    blocks = blocks.select("_row", "_number", F.col("_b.c").alias("_class"), F.col("_b.w").alias("_block"), F.col("_b.s").alias("_said"), F.posexplode(F.slice("_in_order", F.lit(1), F.size("_in_order") - F.col("_least") + 1)).alias("_place", "_w"))
     met = blocks.withColumn("_word", F.col("_w.w")).join(prefixes, ["_class", "_word"])
     met = met.filter(F.size("_block") >= F.col("_need"))  # length
     met = met.filter(F.least(F.size("_block") - F.col("_place"), F.col("_size") - F.col("_at")) >= F.col("_need"))  # position
     met = met.withColumn("_overlap", F.size(F.array_intersect("_block", "_set"))).filter("_overlap >= _need")
     # A block has one entry a template at most.
-    hits = met.groupBy("_row", "_number").agg(F.collect_set(F.struct("_template", "_label", "_size", (F.col("_overlap") / F.col("_size")).alias("_share"))).alias("_hits"))
+    twice = F.filter(F.array_intersect("_set", "_block"), lambda w: F.size(F.filter("_said", lambda x: x == w)) > 1)
+    hit = F.struct("_template", "_label", "_size", "_need", (F.col("_overlap") / F.col("_size")).alias("_share"), "_set", F.array_intersect("_set", "_block").alias("_once"), twice.alias("_twice"))
+    hits = met.groupBy("_row", "_number").agg(F.collect_set(hit).alias("_hits"))
     against = rivals([(class_of(n), set(s)) for _, s, n in sets], threshold)
     table = F.map_from_arrays(listed(list(against)), F.array(*[listed(r).cast("array<int>") for r in against.values()]))
     better = lambda o, h: (o["_share"] > h["_share"]) | ((o["_share"] == h["_share"]) & (o["_size"] > h["_size"]))
-    beaten = lambda h: F.exists("_hits", lambda o: better(o, h) & F.array_contains(F.element_at(table, h["_template"]), o["_template"]))
+    # Apart from one notice of the better template, is the other still there?
+    only = lambda o, h: F.size(F.array_union(F.array_except(h["_once"], o["_set"]), h["_twice"])) < h["_need"]
+    beaten = lambda h: F.exists("_hits", lambda o: better(o, h) & F.array_contains(F.element_at(table, h["_template"]), o["_template"]) & only(o, h))
     kept = hits.select("_row", F.explode(F.filter("_hits", lambda h: ~beaten(h))).alias("_hit"))
     matched = kept.groupBy("_row").agg(F.collect_set("_hit._label").alias("_own"), F.max("_hit._share").alias("_containment"))
 

@@ -20,8 +20,9 @@ phrases(p, pw, label) AS (VALUES {phrases}), templates(k, label, c, ts) AS (VALU
 base AS (SELECT r, i - 1 AS place, label FROM (SELECT r, ws, label, pw, p, unnest(range(1, len(ws) + 1)) AS i FROM w, phrases WHERE list_has_all(ws, pw)) WHERE array_to_string(list_slice(ws, i, i + len(pw) - 1), ' ') = p),
 b AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, list_sort(list(DISTINCT label)) AS ls FROM base GROUP BY r),
 able AS (SELECT r, ws, k, label, c, ts FROM w, templates WHERE len(list_intersect(list_distinct(ws), ts)) >= {licenses.THRESHOLD} * len(ts)),
-hit AS (SELECT r, k, label, i, len(ts) AS z, len(list_intersect(list_distinct(list_slice(ws, i, i + 2 * c - 1)), ts)) / len(ts)::DOUBLE AS s FROM (SELECT *, unnest(range(1, len(ws) + 1, c)) AS i FROM able)),
-beaten AS (SELECT DISTINCT a.r, a.k, a.i FROM hit a JOIN rivals USING (k) JOIN hit o ON o.r = a.r AND o.i = a.i AND o.k = j WHERE (o.s > a.s OR (o.s = a.s AND o.z > a.z)) AND o.s >= {licenses.THRESHOLD}),
+hit AS (SELECT *, len(ts) AS z, len(list_intersect(list_distinct(said), ts)) / len(ts)::DOUBLE AS s FROM (SELECT *, list_slice(ws, i, i + 2 * c - 1) AS said FROM (SELECT *, unnest(range(1, len(ws) + 1, c)) AS i FROM able))),
+beaten AS (SELECT DISTINCT a.r, a.k, a.i FROM hit a JOIN rivals USING (k) JOIN hit o ON o.r = a.r AND o.i = a.i AND o.k = j WHERE (o.s > a.s OR (o.s = a.s AND o.z > a.z)) AND o.s >= {licenses.THRESHOLD}
+ AND len(list_filter(a.ts, lambda x: len(list_filter(a.said, lambda y: y = x)) > CASE WHEN list_contains(o.ts, x) THEN 1 ELSE 0 END)) < {licenses.THRESHOLD} * len(a.ts)),
 m AS (SELECT r, list(DISTINCT label) AS ls, max(s) AS s FROM hit ANTI JOIN beaten USING (r, k, i) WHERE s >= {licenses.THRESHOLD} GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(b.ls, ','), '') AS base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(m.ls, [])))), ','), '') AS labels, greatest(coalesce(m.s, 0.0::DOUBLE), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END) AS score

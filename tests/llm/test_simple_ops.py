@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from decimal import Decimal
 
 import pytest
@@ -25,7 +25,7 @@ def base_scan(text):
 
 
 def matches(words, templates):
-    """{label: containment} of the templates that some block matches and no rival matches better there."""
+    """{label: containment} of the templates that some block matches, unless a rival matches better there and the block without one notice of it falls short."""
     threshold = licenses.THRESHOLD
     size = lambda t: licenses.class_of(len(t.split()))
     near = lambda a, b: a != b and size(a) == size(b) and len(set(a.split()) & set(b.split())) >= threshold * min(len(set(a.split())), len(set(b.split())))
@@ -35,7 +35,9 @@ def matches(words, templates):
         for i in range(0, max(len(words), 1), c):
             block = set(words[i : i + 2 * c])
             share = lambda x: (len(set(x.split()) & block) / len(set(x.split())), len(set(x.split())))  # noqa: B023, E731
-            if share(t)[0] >= threshold and not any(near(t, o) and share(o) > share(t) for o in templates):
+            left = lambda o: Counter(words[i : i + 2 * c]) - Counter(set(o.split()))  # noqa: B023, E731
+            falls = lambda o: len(set(t.split()) & set(left(o))) < threshold * len(set(t.split()))  # noqa: B023, E731
+            if share(t)[0] >= threshold and not any(near(t, o) and share(o) > share(t) and falls(o) for o in templates):
                 out[label] = max(out.get(label, 0), share(t)[0])
     return out
 
@@ -46,6 +48,10 @@ def test_license_scan_equals_brute_force(spark):
     extra += [(61, "licensed under the apache pear version 2 0", "z"), (62, "licensed the apache version", "z")]
     # the Kelvin sign is no k, and words with other letters beyond ASCII are not folded
     extra += [(63, "This wor\u212a is licensed under a Creative Commons Attribution 4.0 International License", "z"), (64, "MIT LİCENSE É é", "z"), (65, "\u212a k", "z")]
+    # two whole notices that are rivals: in one block, either way round, and apart
+    notices = {label: t for t, label in licenses.TEMPLATES.items() if label in ("gpl-any", "lgpl-any", "cc-by-4.0", "cc-by-sa-4.0")}
+    for k, (a, b, gap) in enumerate([("gpl-any", "lgpl-any", 0), ("lgpl-any", "gpl-any", 0), ("cc-by-4.0", "cc-by-sa-4.0", 0), ("cc-by-sa-4.0", "cc-by-4.0", 3), ("gpl-any", "lgpl-any", 200)]):
+        extra += [(80 + k, f"{notices[a]} {prose(k, gap)} {notices[b]}", "rivals")]
     rows, long_ = awkward() + extra, " ".join(f"clause{i}" for i in range(150))
     rows += [(66, prose("l", 70) + " " + long_ + " " + prose("m", 20), "z"), (67, " ".join(long_.split()[:110]), "z")]
     for templates in (licenses.TEMPLATES, {**licenses.TEMPLATES, long_: "long"}):
@@ -67,6 +73,8 @@ def test_license_scan_equals_brute_force(spark):
     assert "cc-by-sa-4.0" not in told["cc-by-4.0"]
     assert "cc-by-4.0" not in told["cc-by-sa-4.0"]
     assert got[66][0]["labels"] == "long"
+    assert [{"gpl-any", "lgpl-any"} <= set(got[k][0]["labels"].split(",")) for k in (80, 81, 84)] == [True] * 3
+    assert [{"cc-by-4.0", "cc-by-sa-4.0"} <= set(got[k][0]["labels"].split(",")) for k in (82, 83)] == [True] * 2
     assert got[63][0]["score"] == pytest.approx(12 / 13)
     assert licenses.scan(documents(spark, [])).count() == 0
 
