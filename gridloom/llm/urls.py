@@ -82,9 +82,12 @@ def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str
     Null or broken URLs have empty host and path and are allowed. Repeated rows and ties stay rows of their own; an empty
     table gives an empty one. Input columns named like an output column are replaced; others pass through.
     """
-    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    host, path = host_path(F.col(f"`{url_col}`"))
-    rows = pages.withColumns({"_host": host, "_path": path})
+    # Input columns are numbered meanwhile, so that no working column can have the name of one.
+    named = [F.col(f"_in{k}").alias(c) for k, c in enumerate(pages.columns) if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = pages.toDF(*[f"_in{k}" for k in range(len(pages.columns))])
+    at = next(k for k, c in enumerate(pages.columns) if c.lower() == url_col.lower())
+    host, path = host_path(F.col(f"_in{at}"))
+    rows = rows.withColumns({"_host": host, "_path": path})
     labels = F.size(F.split("_host", r"\."))
     fits = []
     small = sum(len(rule) + 100 for rule, _ in (*rules, *own)) <= BROADCAST_BYTES
@@ -98,7 +101,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str
     best = F.array_max(F.concat(none, *[F.coalesce(f, none) for f in fits]))
     judged = rows.withColumn("_best", best)
     return judged.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *named,
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.when(F.col("_best._rank") == 1, F.col("_best._rule")).alias("rule"),

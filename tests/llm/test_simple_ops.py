@@ -132,6 +132,11 @@ def test_url_filter_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
     assert {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()} == want
     assert urls.judge(df.limit(0)).count() == 0
+    # columns named like working columns, or with odd names, pass through
+    odd = df.selectExpr("*", "page_id as _short", "page_id as _host", "page_id as _path", "page_id as _best", "page_id as _digest0", "page_id as _listed0", "page_id as _in1", "page_id as `a.b`")
+    for r in urls.judge(odd).collect():
+        assert r["verdict"] == want[r["page_id"]]
+        assert {r[c] for c in ("_short", "_host", "_path", "_best", "_digest0", "_listed0", "_in1", "a.b")} == {r["page_id"]}
 
 
 def filled(sizes):
