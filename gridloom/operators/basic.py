@@ -40,16 +40,18 @@ def transpose(grid: DataFrame, rows: str = "row", columns: str = "col") -> DataF
     return grid.select(*[F.col(c).alias(swap.get(c, c)) for c in grid.columns])
 
 
-Region = Mapping[str, "int | slice | tuple[int, int] | tuple[int, int, int]"]
+Region = Mapping[str, "int | slice | tuple[int, int] | tuple[int, int, int] | None"]
 
 
 def canonical(region: Region, shape: Mapping[str, int]) -> dict[str, tuple[int, int, int]]:
     """(start, stop, step) for every axis of ``shape``. IndexError: unknown axis, out of range, empty or a step that is not
-    positive; TypeError: not an integer, slice or tuple. A slice's length rounds up, as in NumPy."""
+    positive; TypeError: not an integer, slice or tuple. A slice's length rounds up, as in NumPy. An axis that ``shape`` lacks, given as None, is a new one, and not in the result."""
     out = {}
-    for axis in region:
-        if axis not in shape:
+    for axis, at in region.items():
+        if axis not in shape and at is not None:
             raise IndexError(f"no axis {axis!r}")
+        if axis in shape and at is None:
+            raise IndexError(f"{axis!r} is no new axis")
     for axis, n in shape.items():
         at = region.get(axis, slice(None))
         if isinstance(at, bool) or not isinstance(at, int | slice | tuple):
@@ -70,8 +72,9 @@ def canonical(region: Region, shape: Mapping[str, int]) -> dict[str, tuple[int,
     return out
 
 
-def region(grid: DataFrame, where: Region, shape: Mapping[str, int], reindex: bool = True) -> DataFrame:
-    """The samples of a strided rectangle, counted from 0 if ``reindex``. Bounds are plain range predicates, which reach the scan."""
+def region(grid: DataFrame, where: Region, shape: Mapping[str, int], reindex: bool = True, squeeze: bool = False) -> DataFrame:
+    """The samples of a strided rectangle, counted from 0 if ``reindex``. Bounds are plain range predicates, which reach the scan. An axis of ``where`` that is None is new and has
+    one place, 0; if ``squeeze``, axes given as an integer are dropped, as indexing an array does."""
     out = grid
     for axis, (low, high, step) in canonical(where, shape).items():
         if (low, high) != (0, shape[axis]):
@@ -80,7 +83,9 @@ def region(grid: DataFrame, where: Region, shape: Mapping[str, int], reindex: bo
             out = out.filter((F.col(axis) - low) % step == 0)
         if reindex and (low or step > 1):
             out = out.withColumn(axis, F.floor((F.col(axis) - low) / step).cast(grid.schema[axis].dataType))
-    return out
+    new = {axis: F.lit(0) for axis, at in where.items() if at is None}
+    gone = [axis for axis, at in where.items() if squeeze and isinstance(at, int)]
+    return out.withColumns(new).drop(*gone) if new or gone else out
 
 
 def region_write(dest: DataFrame, src: DataFrame, where: Region, shape: Mapping[str, int], column: str = "value") -> DataFrame:

@@ -88,6 +88,20 @@ def region_copy(spark, sf_dir):
     return _rounded(basic.region_copy(m, basic.scale(m, -1.0), {"row": (0, 50), "col": (0, 40, 2)}, {"row": (100, 150), "col": (8, 28)}, shape, shape), "value")
 
 
+@query(oracles.REGION_WRITE)
+def region_write(spark, sf_dir):
+    """A strided rectangle of samples taken from another grid."""
+    m = _matrix(spark, sf_dir)
+    src = m.filter("row < 30 and col < 10").withColumn("value", (F.col("row") * 1000 + F.col("col")).cast("double"))
+    return _rounded(basic.region_write(m, src, {"row": (20, 80, 2), "col": (4, 34, 3)}, {"row": 500, "col": 64}), "value")
+
+
+@query(oracles.REGION_PROFILE)
+def region_profile(spark, sf_dir):
+    """One row of the grid as a grid of its own: an integer index drops its axis, and a new axis has one place."""
+    return _rounded(basic.region(_matrix(spark, sf_dir), {"row": 7, "col": (2, 60, 5), "pol": None}, {"row": 500, "col": 64}, squeeze=True), "value")
+
+
 @query(oracles.FLAG_RATE)
 def flag_rate(spark, sf_dir):
     return _rounded(grids.flag_rate(grids.ev3d(spark, sf_dir)), "percent")
@@ -492,6 +506,16 @@ def _twod(flagger):
 
 for _name, _flagger in (("twod_flagger", SMALL), ("twod_flagger_averaged", AVERAGED), ("twod_flagger_defaults", twod.SumThresholdFlagger())):
     QUERIES[_name], ORACLES[_name] = _twod(_flagger), oracles.twod_flagger(_flagger, *SHAPE)
+LOST = "(channel * 7 + time * 3) % 11 = 4"
+
+
+@query(oracles.twod_flagger(SMALL, *SHAPE, LOST))
+def twod_flagger_nan(spark, sf_dir):
+    """NaN samples take no part in any figure and are flagged in the output."""
+    g = grids.ev3d(spark, sf_dir).withColumn("value", F.when(F.expr(LOST), float("nan")).otherwise(F.col("value")))
+    return SMALL.get_flags(g, SHAPE)
+
+
 #: The same flags by tiles of 8 times and about 12 channels, with halos.
 QUERIES["twod_flagger_tiled"], ORACLES["twod_flagger_tiled"] = _twod(replace(SMALL, tile=(8, 12))), ORACLES["twod_flagger"]
 QUERIES["twod_flagger_averaged_tiled"], ORACLES["twod_flagger_averaged_tiled"] = _twod(replace(AVERAGED, tile=(11, 4))), ORACLES["twod_flagger_averaged"]

@@ -28,6 +28,10 @@ class Operation:
     inputs: Mapping[str, Slot]
     output: str = "out"
 
+    @property
+    def outputs(self) -> tuple[str, ...]:
+        return (self.output,)
+
     def __call__(self, **tables: DataFrame) -> dict[str, DataFrame]:
         if lacking := set(self.inputs) - set(tables):
             raise ValueError(f"{self.name}: nothing bound to {sorted(lacking)}")
@@ -37,22 +41,37 @@ class Operation:
 
 @dataclass(frozen=True)
 class Sequence:
-    """Operations one after another. ``wires`` maps "operation.slot" to a shared name, for inputs and outputs; what is not
-    wired keeps the name "operation.slot". Two slots of one name are one table."""
+    """Operations, or sequences of them, one after another. ``wires`` maps "operation.slot" to a shared name, for inputs and outputs; what is not
+    wired keeps the name "operation.slot". Two slots of one name are one table. ``compounds`` says the same the other way round: a name and all slots that share it; the
+    slots of a compound must agree on the kinds of the columns they have in common, and take part in no other."""
 
-    operations: tuple[Operation, ...]
+    operations: tuple[Operation | Sequence, ...]
     wires: Mapping[str, str] = field(default_factory=dict)
+    compounds: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    name: str = "sequence"
 
     def __post_init__(self):
         names = [o.name for o in self.operations]
         if len(set(names)) != len(names):
             raise ValueError("operations need names of their own")
-        known = {f"{o.name}.{s}" for o in self.operations for s in (*o.inputs, o.output)}
-        if unknown := set(self.wires) - known:
+        known = {f"{o.name}.{s}" for o in self.operations for s in (*o.inputs, *o.outputs)}
+        listed = [s for slots in self.compounds.values() for s in slots]
+        if twice := {s for s in listed if listed.count(s) > 1 or self.wires.get(s) is not None}:
+            raise ValueError(f"in two compounds: {sorted(twice)}")
+        if unknown := (set(self.wires) | set(listed)) - known:
             raise ValueError(f"no slots {sorted(unknown)}")
+        slots = {f"{o.name}.{s}": slot for o in self.operations for s, slot in o.inputs.items()}
+        for name, members in self.compounds.items():
+            kinds: dict[str, str] = {}
+            for s in members:
+                for column, kind in slots[s].columns.items() if s in slots else ():
+                    if "any" not in (kind, kinds.get(column, kind)) and kinds.get(column, kind) != kind:
+                        raise TypeError(f"{name}.{column} is both {kinds[column]} and {kind}")
+                    if kind != "any":
+                        kinds[column] = kind
 
     def _at(self, slot: str) -> str:
-        return self.wires.get(slot, slot)
+        return self.wires.get(slot) or next((name for name, slots in self.compounds.items() if slot in slots), slot)
 
     @property
     def inputs(self) -> dict[str, Slot]:
@@ -60,15 +79,20 @@ class Sequence:
         for o in self.operations:
             for s, slot in o.inputs.items():
                 if (at := self._at(f"{o.name}.{s}")) not in made:
-                    needed[at] = Slot({**needed[at].columns, **slot.columns}) if at in needed else slot
-            made.add(self._at(f"{o.name}.{o.output}"))
+                    before = needed[at].columns if at in needed else {}
+                    needed[at] = Slot({**before, **{c: kind for c, kind in slot.columns.items() if kind != "any" or c not in before}})
+            made |= {self._at(f"{o.name}.{s}") for s in o.outputs}
         return needed
 
+    @property
+    def outputs(self) -> tuple[str, ...]:
+        return tuple(self._at(f"{o.name}.{s}") for o in self.operations for s in o.outputs)
+
     def __call__(self, **tables: DataFrame) -> dict[str, DataFrame]:
         have = dict(tables)
         for o in self.operations:
             got = o(**{s: have[at] for s in o.inputs if (at := self._at(f"{o.name}.{s}")) in have})
-            have[self._at(f"{o.name}.{o.output}")] = got[o.output]
+            have |= {self._at(f"{o.name}.{s}"): got[s] for s in o.outputs}
         return have
 
     def graph(self) -> str:
@@ -77,7 +101,7 @@ class Sequence:
         for o in self.operations:
             lines.append(f'  "{o.name}" [shape=box];')
             lines += [f'  "{self._at(f"{o.name}.{s}")}" -> "{o.name}";' for s in o.inputs]
-            lines.append(f'  "{o.name}" -> "{self._at(f"{o.name}.{o.output}")}";')
+            lines += [f'  "{o.name}" -> "{self._at(f"{o.name}.{s}")}";' for s in o.outputs]
         return "\n".join([*lines, "}"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import json
 import threading
 import time
 import uuid
@@ -11,6 +12,9 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.sql import SparkSession
 
+from gridloom.sources import tuning
+from gridloom.sources.store_writer import Conflict, latest
+
 
 class Actions:
     """Spark actions run from ``threads`` threads, under a job tag of their own.
@@ -149,3 +153,20 @@ def best_setting(spark: SparkSession, key: str, values: list, action: Callable[[
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     return min(times, key=times.get)
+
+
+def tuned_setting(spark: SparkSession, store: str, operation: str, arguments: dict, key: str, values: list, action: Callable[[], object], nearest: bool = False):
+    """The best of ``values`` for a session setting, from the tuning store at ``store`` if it knows the operation with these arguments on this cluster; else
+    measured by ``best_setting`` and saved there. ``nearest``: what is known of another version or cluster will do. Two that measure at the same time may both
+    save; the one that comes second reads the first one's value."""
+    keys = {"device_name": spark.sparkContext.master, "device_platform": "spark", "device_version": spark.version, "operation": operation, "arguments": json.dumps(arguments, sort_keys=True), "setting": key}
+    on = latest(store)
+    if on >= 0 and (known := tuning.lookup(tuning.load(spark, store), keys, nearest).first()) is not None:
+        return known["value"]
+    best = str(best_setting(spark, key, values, action))
+    row = spark.createDataFrame([tuple(keys.values()) + (best,)], ", ".join(f"{c} string" for c in (*keys, "value")))
+    try:
+        tuning.save(store, row, list(keys), on)
+    except Conflict:
+        return tuned_setting(spark, store, operation, arguments, key, [best], lambda: None, nearest)
+    return best

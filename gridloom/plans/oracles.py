@@ -31,6 +31,8 @@ REGION_READ = f"WITH {EMB} SELECT CAST((baseline - 10) // 3 AS BIGINT) AS row, C
 REGION_COPY = f"""WITH {EMB} SELECT baseline AS row, channel AS col, {r6('value')} AS value FROM emb2d WHERE baseline < 100 OR baseline >= 150 OR channel < 8 OR channel >= 28
 UNION ALL SELECT baseline + 100 AS row, channel // 2 + 8 AS col, {r6('-value')} AS value FROM emb2d WHERE baseline < 50 AND channel < 40 AND channel % 2 = 0"""
 TRANSPOSE_VECTORS = f"WITH {EMB} SELECT channel, CAST(count(*) AS INTEGER) AS n, max(baseline) AS last, {r6('list(value ORDER BY baseline)[1]')} AS first_value, {r6('sum(value * (baseline % 11))')} AS weighted FROM emb2d GROUP BY 1"
+REGION_WRITE = f"""WITH {EMB} SELECT baseline AS row, channel AS col, {r6('CASE WHEN baseline >= 20 AND baseline < 80 AND (baseline - 20) % 2 = 0 AND channel >= 4 AND channel < 34 AND (channel - 4) % 3 = 0 THEN 1000 * ((baseline - 20) // 2) + (channel - 4) // 3 ELSE value END')} AS value FROM emb2d"""
+REGION_PROFILE = f"WITH {EMB} SELECT CAST((channel - 2) // 5 AS INTEGER) AS col, CAST(0 AS INTEGER) AS pol, {r6('value')} AS value FROM emb2d WHERE baseline = 7 AND channel >= 2 AND channel < 60 AND (channel - 2) % 5 = 0"
 FLAG_RATE = f"WITH {EV} SELECT {r6('avg(CAST(flag AS INTEGER)) * 100')} AS percent FROM ev3d"
 VECTORS = f"WITH {EMB} SELECT channel AS pos, {r6('sum(value)')} AS total, count(*) AS n FROM emb2d GROUP BY 1"
 
@@ -263,14 +265,14 @@ def _unaverage_query() -> str:
 UNAVERAGE = _unaverage_query()
 
 
-def twod_flagger(p, times: int, channels: int) -> str:
-    q = Chain(EV)
+def twod_flagger(p, times: int, channels: int, lost: str = "false") -> str:
+    q, good = Chain(EV), f"FILTER (NOT flag AND NOT ({lost}))"
     averaged = -(-channels // p.average_freq)
     ends = sorted({int(x) for x in np.linspace(0, averaged, p.freq_chunks + 1)})
     wf = sorted({w for w in (ceil(w / p.average_freq) for w in p.windows_freq) if w <= averaged})
     wt = [w for w in p.windows_time if w <= channels]
     spike = p.spike_width_freq / p.average_freq
-    grid = q.add(f"SELECT baseline, time, CAST(channel // {p.average_freq} AS INTEGER) AS channel, coalesce(avg(abs(value)) FILTER (NOT flag), 0.0) AS value, count(*) FILTER (NOT flag) = 0 AS flag FROM ev3d GROUP BY 1, 2, 3")
+    grid = q.add(f"SELECT baseline, time, CAST(channel // {p.average_freq} AS INTEGER) AS channel, coalesce(avg(abs(value)) {good}, 0.0) AS value, count(*) {good} = 0 AS flag FROM ev3d GROUP BY 1, 2, 3")
     spec = q.add(f"SELECT baseline, 0 AS time, channel, coalesce(median(value) FILTER (NOT flag), 0.0) AS value, count(*) FILTER (NOT flag) = 0 AS flag FROM {grid} GROUP BY 1, 3")
     less = lambda a, b: q.add(f"SELECT a.baseline, a.time, a.channel, value - background AS value, flag FROM {a} a JOIN {b} b ON b.baseline = a.baseline AND b.time = a.time AND b.channel = a.channel")
     spec = less(spec, _background2d(q, spec, 0.0, spike, ends, p.background_iterations, p.background_reject))
@@ -285,7 +287,7 @@ def twod_flagger(p, times: int, channels: int) -> str:
         f" JOIN {spec} s ON s.baseline = t.baseline AND s.channel = t.channel"
     )
     wide = q.add(f'SELECT baseline, time, channel, {_smear(chr(34) + "any" + chr(34), "baseline, channel", "time", p.time_extend)} AS flag FROM {either}')
-    return q.sql(f"SELECT * FROM {_unaverage(q, wide, channels, times, p.average_freq, p.freq_extend, p.flag_all_time_frac, p.flag_all_freq_frac)}").replace(" AS any FROM", ' AS "any" FROM')
+    return q.sql(f"SELECT baseline, time, channel, flag OR ({lost}) AS flag FROM {_unaverage(q, wide, channels, times, p.average_freq, p.freq_extend, p.flag_all_time_frac, p.flag_all_freq_frac)}").replace(" AS any FROM", ' AS "any" FROM')
 
 
 _ANGLE = "2 * pi() / 64 * k.i * channel"
