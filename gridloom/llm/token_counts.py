@@ -21,13 +21,15 @@ from gridloom.cluster import ship
 
 #: Fixed value: the tokenizer's own pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose class every regular-expression library knows alike: ASCII without the odd control characters, Latin,
-#: Greek, Cyrillic letters and common punctuation; and those of them that are no space.
-_SOLID = r"!-~¡-¬®-ȳΑ-ΡΣ-ҁ‐-‧‰-›€"
+#: Characters whose class every regular-expression library knows alike, as it has been the same since the first versions of Unicode: ASCII without the odd control
+#: characters, letters of Latin, Greek, Cyrillic, Hebrew, Arabic, Kana, Han and Hangul, and common punctuation; and those of them that are no space.
+_SOLID = r"!-~¡-¬®-ȳΑ-ΡΣ-ҁא-תء-غف-ي٠-٩‐-‧‰-›€、-〃〈-】ぁ-んァ-ヺ一-龥가-힣！-＇（-～"
 COMMON = rf"[\t\n\r {_SOLID}]*"
 #: A space between two of these ends a pre-token on its left, whatever stands further away.
 SAFE = rf"(?<=[{_SOLID}])(?= [{_SOLID}])"
-TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE = 50_000, 512, 400_000
+TABLE_SIZE, SAMPLE_DOCS = 50_000, 512
+#: Bytes of a worker's cache, reckoned as _ENTRY and four a character for each unit; longer units than _CACHED characters hardly come again and are not kept.
+CACHE_BYTES, _ENTRY, _CACHED = 64 << 20, 120, 256
 #: Units that are encoded at a time, and texts that are looked up at a time.
 _ENCODED, _TEXTS = 8192, 256
 DECLARED = "doc_id long, n_bytes long, n_tokens long"
@@ -45,6 +47,7 @@ class _Worker:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, int] = {}
+        self.held = 0
         self.words = regex.compile(PATTERN).findall
         self.common = regex.compile(COMMON).fullmatch
         special = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -110,7 +113,7 @@ def frequent_table(documents: DataFrame, path: str, size: int = TABLE_SIZE, samp
     return dict(zip(words, _worker(path).lengths(words), strict=True))
 
 
-def count_texts(texts: list[str], path: str, table: dict[str, int], cache_size: int = CACHE_SIZE) -> list[int]:
+def count_texts(texts: list[str], path: str, table: dict[str, int], cache_bytes: int = CACHE_BYTES) -> list[int]:
     """The library's number of tokens of each text."""
     worker = _worker(path)
     cache, every, ends = worker.cache, [], []
@@ -122,12 +125,19 @@ def count_texts(texts: list[str], path: str, table: dict[str, int], cache_size:
         missed = [i for i, n in enumerate(got) if n is None]
         second = [every[i] for i in missed]
         lacking = [w for w in dict.fromkeys(second) if w not in cache]
-        if len(cache) + len(lacking) > cache_size:  # starts anew; memory stays bounded
-            cache.clear()
-            lacking = list(dict.fromkeys(second))
-        cache.update(zip(lacking, worker.lengths(lacking), strict=True))
+        fresh = dict(zip(lacking, worker.lengths(lacking), strict=True))
+        got_twice = {w: cache[w] if w in cache else fresh[w] for w in dict.fromkeys(second)}
+        for w in lacking:
+            size = _ENTRY + 4 * len(w)
+            if len(w) > _CACHED or size > cache_bytes:
+                continue
+            if worker.held + size > cache_bytes:  # starts anew; memory stays bounded
+                cache.clear()
+                worker.held = 0
+            cache[w] = fresh[w]
+            worker.held += size
         for i, w in zip(missed, second, strict=True):
-            got[i] = cache[w]
+            got[i] = got_twice[w]
     sums = np.concatenate([[0], np.cumsum(np.array(got, np.int64))])
     return np.diff(sums[np.array([0, *ends])]).tolist()
 

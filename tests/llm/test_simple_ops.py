@@ -206,16 +206,49 @@ def test_only_the_stretch_around_an_odd_character_is_a_unit_of_its_own():
 
     worker = token_counts._worker(str(public_tokenizers.path("byte_bpe_50k.json")))
     # no place beside the odd characters is safe, the next spaces are
-    assert worker.units("one two 日本語 three four") == ["one", " two 日本語 three", " four"]
-    for text in ("a b 日本 c d <|endoftext|> e f", "日本", "x 日 本 y", "", "no odd one"):
+    assert worker.units("one two กขค three four") == ["one", " two กขค three", " four"]
+    # scripts whose classes are old are cut like any other
+    assert worker.units("one 日本語 שלום مرحبا 한국어 four") == ["one", " 日本語", " שלום", " مرحبا", " 한국어", " four"]
+    for text in ("a b 日本 c d <|endoftext|> e f", "日本", "x 日 本 y", "", "no odd one", "a กข b ก c"):
         assert "".join(worker.units(text)) == text
 
 
-def test_token_cache_stays_bounded():
+def test_token_cache_stays_bounded_in_bytes():
+    import sys
+
     import public_tokenizers
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [prose(i, 200) for i in range(20)]
+    r = random.Random(8)
+    texts = [prose(i, 200) for i in range(20)] + ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(20000)), " ".join("กขค" for _ in range(3000)), "x" * 9000]
+    texts += ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(90)) + "。" for _ in range(300)]
+    worker = token_counts._worker(path)
+    worker.cache.clear()
+    worker.held = 0
     free = token_counts.count_texts(texts, path, {})
-    token_counts._worker(path).cache.clear()
-    assert token_counts.count_texts(texts, path, {}, cache_size=50) == free
+    for most in (0, 500, 20_000):
+        worker.cache.clear()
+        worker.held = 0
+        for low in range(0, len(texts), 7):
+            assert token_counts.count_texts(texts[low : low + 7], path, {}, cache_bytes=most) == free[low : low + 7]
+            assert sum(map(sys.getsizeof, worker.cache)) <= most
+            assert max(map(len, worker.cache), default=0) <= token_counts._CACHED
+    worker.cache.clear()
+    worker.held = 0
+
+
+def test_texts_of_many_scripts_pass_through_both_tiers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r = str(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    letters = ["אבגדהוזחטי", "ابتثجحخدذر", "かきくけこ", "カキクケコ", "一二三人大日本語中", "가나다라마", "абвгд", "٠١٢٣", "、。！？（）", "12", "-–—", "é"]
+    words_ = ["".join(r.choice(r.choice(letters)) for _ in range(r.randint(1, 5))) for _ in range(60)] + ["".join(r.choice(x) for _ in range(4)) for x in letters]
+    rows = [(i, r.choice([" ", "  ", "\n", ""]).join(r.choice(words_) for _ in range(r.randint(1, 60))), "a") for i in range(120)]
+    library = Tokenizer.from_file(path)
+    want = sorted((i, len(library.encode(t, add_special_tokens=False))) for i, t, _ in rows)
+    assert sorted((x["doc_id"], x["n_tokens"]) for x in token_counts.count_tokens(documents(spark, rows), path).collect()) == want
+    worker = token_counts._worker(path)
+    spoken = [u for _, t, _ in rows for u in worker.units(t)]
+    table = token_counts.frequent_table(documents(spark, rows), path)
+    assert sum(u in table for u in spoken) > 0.95 * len(spoken)
