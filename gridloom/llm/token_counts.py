@@ -28,7 +28,7 @@ COMMON = rf"[\t\n\r {_SOLID}]*"
 #: A space between two of these ends a pre-token on its left, whatever stands further away.
 SAFE = rf"(?<=[{_SOLID}])(?= [{_SOLID}])"
 TABLE_SIZE, SAMPLE_DOCS = 50_000, 512
-#: Bytes of a worker's cache, reckoned as _ENTRY and four a character for each unit; longer units than _CACHED characters hardly come again and are not kept.
+#: Bytes of a worker's cache, reckoned as _ENTRY and eight a character for each unit (Python keeps two forms of it); longer units than _CACHED characters hardly come again and are not kept.
 CACHE_BYTES, _ENTRY, _CACHED = 64 << 20, 120, 256
 #: Units that are encoded at a time, and texts that are looked up at a time.
 _ENCODED, _TEXTS = 8192, 256
@@ -128,7 +128,7 @@ def count_texts(texts: list[str], path: str, table: dict[str, int], cache_bytes:
         fresh = dict(zip(lacking, worker.lengths(lacking), strict=True))
         got_twice = {w: cache[w] if w in cache else fresh[w] for w in dict.fromkeys(second)}
         for w in lacking:
-            size = _ENTRY + 4 * len(w)
+            size = _ENTRY + 8 * len(w)
             if len(w) > _CACHED or size > cache_bytes:
                 continue
             if worker.held + size > cache_bytes:  # starts anew; memory stays bounded
