@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 from gridloom.cluster import ship
 from gridloom.llm.bytewords import NON_ALNUM, chained, words
 from gridloom.llm.packing import cuts
-from gridloom.llm.store import cut
+from gridloom.llm.store import cut, free
 
 WIDTH, SIMILARITY = 5, 0.8
 #: At similarity 0.8 fingerprints differ in 9.7 of 64 bits on average, with a deviation of 2.9; of 1,800 random pairs
 #: of similarity 0.8 or more none differed in more than 19.
 RADIUS, BLOCKS = 19, 4
 SLACK = RADIUS // BLOCKS
-#: Items are read to the driver and sent to the workers in lots of so many bytes at most; an item's entries in the index take 60 KB.
-LOT_BYTES = 2 << 20
+#: Items are read to the driver and sent to the workers in lots of about so many bytes and so many items; an item's entries in the index take 60 KB, so a lot's
+#: index takes about 60 MB in a worker, and workers hold the index of one lot at a time.
+LOT_BYTES, LOT_ITEMS = 2 << 20, 1000
 #: Of several lots, documents without any item's shingle are left out first, by a table of so many bits.
 _SCREEN_BITS, _FILTER_BITS = 27, 20
 _WINDOWS = 8192
@@ -160,14 +161,21 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-def _lots(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark, read to the driver lot by lot; only one lot is held. No items are one empty lot."""
+def _lot_filters(benchmark: DataFrame) -> Iterator[DataFrame]:
+    """The benchmark in lots, which are read to the driver one by one; only one is held. No items are one empty lot."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    lots = max(1, -(-total // LOT_BYTES))
+    size = items.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("items")).first()
+    lots = max(1, -(-(size["bytes"] or 0) // LOT_BYTES), -(-size["items"] // LOT_ITEMS))
     for k in range(lots):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k) if lots > 1 else items
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+        yield items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k) if lots > 1 else items
+
+
+def _read(part: DataFrame) -> list[tuple[int, str]]:
+    return [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+
+
+def _lots(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    return map(_read, _lot_filters(benchmark))
 
 
 def _screened(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, bool]:
@@ -260,8 +268,14 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
 
         return run
 
-    # Lots follow one another over the same rows, so documents are read once.
-    out = documents
-    for lot in _lots(benchmark):
-        out = out.mapInArrow(filtered(spark.sparkContext.broadcast(Index(lot, width, similarity))), documents.schema)
+    # Lots follow one another; where there are several, what one leaves is written before the next, so that its index can go.
+    out, lots = documents, list(_lot_filters(benchmark))
+    for k, chosen in enumerate(lots):
+        index = spark.sparkContext.broadcast(Index(_read(chosen), width, similarity))
+        before, out = out, out.mapInArrow(filtered(index), documents.schema)
+        if len(lots) > 1:
+            out = cut(out, "clean")
+            index.destroy()
+            if k:
+                free(before)
     return out

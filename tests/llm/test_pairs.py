@@ -227,9 +227,19 @@ def test_decontamination_equals_brute_force(spark):
 def test_decontamination_in_lots(spark, monkeypatch):
     items = [(i, prose(f"item{i}", 20)) for i in range(30)]
     df, bench = documents(spark, [(i, prose("a", 9) + " " + t, "s") for i, t in items]), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontamination, "LOT_BYTES", 600)
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(df, bench).collect()} == {(i, i) for i, _ in items}
-    assert decontamination.keep_clean(df, bench).count() == 0
+    for name, most in (("LOT_BYTES", 600), ("LOT_ITEMS", 9)):
+        with monkeypatch.context() as patched:
+            patched.setattr(decontamination, name, most)
+            assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(df, bench).collect()} == {(i, i) for i, _ in items}
+            clean = df.unionByName(documents(spark, [(99, prose("clean", 40), "s")]))
+            assert [r["doc_id"] for r in decontamination.keep_clean(clean, bench).collect()] == [99]
+
+
+def test_the_index_of_a_full_lot_is_bounded():
+    items = [(i, prose(f"lot{i}", 12)) for i in range(decontamination.LOT_ITEMS)]
+    index = decontamination.Index(items)
+    held = sum(v.nbytes + w.nbytes for _, _, sizes in index.widths.values() for _, near in sizes.values() for v, w in near.tables)
+    assert held < 100 << 20
 
 
 def test_fingerprints_of_edited_texts(spark):
