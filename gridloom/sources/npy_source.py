@@ -19,16 +19,13 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
 
 from gridloom.cluster import ship
+from gridloom.sources.store_writer import make, opened, remove
 
 #: Bytes of a partition; bytes that a task reads at a time.
 PART, READ = 128 << 20, 4 << 20
 _CLOSED = {"LessThan": (0, 0), "LessThanOrEqual": (0, 1), "GreaterThan": (1, 1), "GreaterThanOrEqual": (1, 0), "EqualTo": (2, 0)}
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 @dataclass(frozen=True)
 class Header:
     """Where an array's data begin, and how: ``shape`` in the order of the data, outermost first; ``flipped`` if that is the array's reversed."""
@@ -41,7 +38,7 @@ class Header:
 
 def read_header(path: str) -> Header:
     """The header alone is read. Arrays of Python objects and records are a ValueError."""
-    system, at = _opened(path)
+    system, at = opened(path)
     with system.open_input_file(at) as f:
         head = io.BytesIO(f.read(10))
         version = np.lib.format.read_magic(head)
@@ -133,7 +130,7 @@ class NpyReader(ds.DataSourceReader):
             self._narrow(column[0], f.value + extra if side else 0, f.value + 1 if side == 2 else f.value + extra if not side else 1 << 62)
 
     def files(self) -> list[str]:
-        system, at = _opened(self.path)
+        system, at = opened(self.path)
         info = system.get_file_info(at)
         prefix = self.path[: len(self.path) - len(at)] if self.path.endswith(at) else "file://"
         if info.type == fs.FileType.Directory:
@@ -160,7 +157,7 @@ class NpyReader(ds.DataSourceReader):
         if box is None:
             return
         names = self.axes[::-1] if box.header.flipped else self.axes
-        system, at = _opened(box.path)
+        system, at = opened(box.path)
         with system.open_input_file(at) as f:
             for ranges, first, size in spans(box):
                 f.seek(first)
@@ -199,8 +196,7 @@ class NpyWriter(ds.DataSourceWriter):
             return Written(None)
         if any(x is None for x in given) or len({len(x) for x in given}) != 1:
             raise ValueError("arrays of a file have one length, and none is null")
-        system, at = _opened(self.aside)
-        system.create_dir(at, recursive=True)
+        system, at = opened(self.aside)
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.npy"
         out = io.BytesIO()
         np.save(out, np.array(given, np.float64))
@@ -209,7 +205,7 @@ class NpyWriter(ds.DataSourceWriter):
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, at = _opened(self.path)
+        system, at = opened(self.path)
         system.create_dir(at, recursive=True)
         old = [x.path for x in system.get_file_info(fs.FileSelector(at)) if x.path.endswith(".npy")] if self.overwrite else []
         for m in messages:
@@ -220,9 +216,7 @@ class NpyWriter(ds.DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, at = _opened(self.aside)
-        if system.get_file_info(at).type == fs.FileType.Directory:
-            system.delete_dir(at)
+        remove(self.aside)
 
 
 class NpySource(ds.DataSource):
@@ -241,7 +235,9 @@ class NpySource(ds.DataSource):
         return NpyReader(self.options, self._axes())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> NpyWriter:
-        return NpyWriter(self.options, schema, overwrite)
+        writer = NpyWriter(self.options, schema, overwrite)
+        make(writer.aside)
+        return writer
 
 
 def register(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ wins, and the others fail with ``Conflict`` and leave nothing. A task or driver
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -26,13 +27,33 @@ class Conflict(RuntimeError):
     """Another version has been written meanwhile."""
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def make(path: str) -> None:
+    """A folder for a job's tasks, made by the driver: a task that is still running when the folder is removed finds none to write to."""
+    system, at = opened(path)
+    system.create_dir(at, recursive=True)
+
+
+def remove(path: str) -> None:
+    """Removes the folder, if it is there; again where a task that is still running puts a file into it meanwhile."""
+    system, at = opened(path)
+    for attempt in range(20):
+        try:
+            if system.get_file_info(at).type == fs.FileType.Directory:
+                system.delete_dir(at)
+            return
+        except OSError:
+            if attempt == 19:
+                raise
+            time.sleep(0.1)
+
+
 def latest(path: str) -> int:
     """The last version at ``path``, -1 without any."""
-    system, at = _opened(path)
+    system, at = opened(path)
     if system.get_file_info(at).type != fs.FileType.Directory:
         return -1
     found = [re.fullmatch(r"version=(\d+)", x.base_name) for x in system.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.Directory]
@@ -53,8 +74,7 @@ class VersionWriter(ds.DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        system, at = _opened(self.aside)
-        system.create_dir(at, recursive=True)
+        system, at = opened(self.aside)
         # An attempt that fails or is repeated has a file of its own; only files that are named to the commit stay.
         name, writer = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.parquet", None
         with system.open_output_stream(f"{at}/{name}") as f:
@@ -66,12 +86,12 @@ class VersionWriter(ds.DataSourceArrowWriter):
         return Part(name if writer else "")
 
     def commit(self, messages: list[Part | None]) -> None:
-        system, at = _opened(self.aside)
+        system, at = opened(self.aside)
         named = {m.name for m in messages if m is not None and m.name}
         for x in system.get_file_info(fs.FileSelector(at)):
             if x.base_name not in named:
                 system.delete_file(x.path)
-        target = f"{_opened(self.path)[1]}/version={self.on + 1}"
+        target = f"{opened(self.path)[1]}/version={self.on + 1}"
         try:
             if latest(self.path) != self.on:
                 raise Conflict(f"{self.path}: version {self.on + 1} is there already")
@@ -86,9 +106,7 @@ class VersionWriter(ds.DataSourceArrowWriter):
             raise
 
     def abort(self, messages: list[Part | None]) -> None:
-        system, at = _opened(self.aside)
-        if system.get_file_info(at).type == fs.FileType.Directory:
-            system.delete_dir(at)
+        remove(self.aside)
 
 
 class VersionSource(ds.DataSource):
@@ -97,7 +115,9 @@ class VersionSource(ds.DataSource):
         return "gridloom_versions"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> VersionWriter:
-        return VersionWriter(self.options)
+        writer = VersionWriter(self.options)
+        make(writer.aside)
+        return writer
 
 
 def write_version(rows: DataFrame, path: str, on: int) -> None:
