@@ -11,7 +11,7 @@ from gridloom.operators import rfi, twod
 from gridloom.plans.jobs import elapsed
 from gridloom.sources import grids, npy
 
-#: Workload sizes: channels, antennas; an antenna count of n gives 2 n (n + 1) baselines.
+#: Fixed values, as are the defaults of the arguments: workload sizes (channels, antennas); an antenna count of n gives 2 n (n + 1) baselines.
 PRESETS = {"small": (26, 2), "medium": (128, 15), "kat7": (8192, 7), "big": (10240, 64)}
 
 

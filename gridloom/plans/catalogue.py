@@ -13,7 +13,7 @@ from gridloom import schema
 from gridloom.cluster import scratch
 from gridloom.functions import amplitude, fmax, fmin, max_below, median_nonzero, rank_below, zeros
 from gridloom.operators import basic, fft, fold, intervals, kernel, reduce, rfi, rolling, select, twod, vectors as blocks
-from gridloom.plans import oracles
+from gridloom.plans import observe, oracles
 from gridloom.sources import grids, npy_source, tuning
 from gridloom.streaming.assemble import flag_spectra
 
@@ -107,6 +107,12 @@ def flag_rate(spark, sf_dir):
     return _rounded(grids.flag_rate(grids.ev3d(spark, sf_dir)), "percent")
 
 
+@query(oracles.FLAG_RATES)
+def flag_rates_observed(spark, sf_dir):
+    """Rates by baseline, told by the write of the flags."""
+    return _rounded(observe.write_flags(grids.ev3d(spark, sf_dir), scratch(spark, "flags")).table(spark), "percent")
+
+
 @query(oracles.VECTORS)
 def vectors(spark, sf_dir):
     v = schema.to_vectors(grids.emb2d(spark, sf_dir))

@@ -33,6 +33,7 @@ UNION ALL SELECT baseline + 100 AS row, channel // 2 + 8 AS col, {r6('-value')}
 TRANSPOSE_VECTORS = f"WITH {EMB} SELECT channel, CAST(count(*) AS INTEGER) AS n, max(baseline) AS last, {r6('list(value ORDER BY baseline)[1]')} AS first_value, {r6('sum(value * (baseline % 11))')} AS weighted FROM emb2d GROUP BY 1"
 REGION_WRITE = f"""WITH {EMB} SELECT baseline AS row, channel AS col, {r6('CASE WHEN baseline >= 20 AND baseline < 80 AND (baseline - 20) % 2 = 0 AND channel >= 4 AND channel < 34 AND (channel - 4) % 3 = 0 THEN 1000 * ((baseline - 20) // 2) + (channel - 4) // 3 ELSE value END')} AS value FROM emb2d"""
 REGION_PROFILE = f"WITH {EMB} SELECT CAST((channel - 2) // 5 AS INTEGER) AS col, CAST(0 AS INTEGER) AS pol, {r6('value')} AS value FROM emb2d WHERE baseline = 7 AND channel >= 2 AND channel < 60 AND (channel - 2) % 5 = 0"
+FLAG_RATES = f"WITH {EV} SELECT baseline AS key, count(*) AS n, count(*) FILTER (flag) AS flagged, {r6('avg(CAST(flag AS INTEGER)) * 100')} AS percent FROM ev3d GROUP BY 1"
 FLAG_RATE = f"WITH {EV} SELECT {r6('avg(CAST(flag AS INTEGER)) * 100')} AS percent FROM ev3d"
 VECTORS = f"WITH {EMB} SELECT channel AS pos, {r6('sum(value)')} AS total, count(*) AS n FROM emb2d GROUP BY 1"
 
