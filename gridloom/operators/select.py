@@ -36,6 +36,24 @@ def ordered_key(value: Column) -> Column:
     return F.when((value < 0) & ~F.isnan(value.cast("double")), -bits).otherwise(bits)
 
 
+def with_key(rows: DataFrame, value: str, key: str = "_key") -> DataFrame:
+    """``rows`` with ``ordered_key`` of ``value`` beside them, by a projection a step, so that each logarithm and power is worked out once a row: as one expression
+    every branch repeats them. Rows of a null value are left out, by the value, as a filter of the key would repeat all steps."""
+    size, unit, near = F.col("_size"), F.col("_unit"), F.col("_near")
+    rows = rows.filter(F.col(value).isNotNull()).withColumn("_size", F.abs(F.col(value).cast("double")))
+    rows = rows.withColumn("_near", F.floor(F.log2(F.when(size < float("inf"), size))).cast("int")).withColumn("_unit", F.pow(F.lit(2.0), near))
+    # The logarithm is rounded, so it may be off by one next to a power of two.
+    rows = rows.withColumn("_off", F.when(unit > size, -1).when(unit * 2 <= size, 1).otherwise(0))
+    right = F.when(F.col("_off") < 0, unit / 2).when(F.col("_off") > 0, unit * 2).otherwise(unit)
+    normal = (near + F.col("_off") + 1023).cast("long") * (1 << _HIDDEN) + ((size / right - 1) * float(1 << _HIDDEN)).cast("long")
+    small = (size * 2.0**537 * 2.0**537).cast("long")
+    top = 2047 << _HIDDEN
+    bits = F.when(F.isnan(size), top + 1).when(size == float("inf"), top).when(size == 0, 0).when(size < 2.0**-1022, small).otherwise(normal)
+    rows = rows.withColumn("_bits", bits)
+    sign = (F.col(value) < 0) & ~F.isnan(F.col(value).cast("double"))
+    return rows.withColumn(key, F.when(sign, -F.col("_bits")).otherwise(F.col("_bits"))).drop("_size", "_near", "_unit", "_off", "_bits")
+
+
 def from_key(key: Column) -> Column:
     """The double of an ``ordered_key``."""
     bits = F.abs(key)
@@ -65,7 +83,7 @@ def select(grid: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str,
         made.append(cut(df, name))
         return made[-1]
 
-    rows = grid.select(*keys, ordered_key(F.col(value)).alias("_key")).filter("_key is not null")
+    rows = with_key(grid.select(*keys, F.col(value).alias("_value")), "_value").select(*keys, "_key")
     shift, group = 64 - BITS, W.partitionBy(*keys)
     counts = kept(rows.groupBy(*keys, F.shiftright("_key", shift).alias("_prefix")).agg(F.count("*").alias("_k")), "histogram")
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()])

@@ -29,6 +29,29 @@ def test_keys_are_bit_patterns_in_order(spark):
     assert nan[0]["k"] > nan[1]["k"]
 
 
+def test_keys_by_steps_are_the_same_and_work_out_each_logarithm_once(spark):
+    r = random.Random(6)
+    values = [2.0**e for e in range(-1074, 1024)]
+    values += [math.nextafter(v, to) for v in values for to in (0, math.inf)] + [struct.unpack("<d", r.randbytes(8))[0] for _ in range(3000)]
+    values += [-v for v in values] + [0.0, -0.0, math.inf, -math.inf, math.nan, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = select.with_key(rows, "v").withColumn("k", select.ordered_key(F.col("v"))).collect()
+    assert len(got) == len(values) - 1 and all(x["_key"] == x["k"] for x in got)
+    seen = []
+    whole = select.cut
+
+    def spied(df, name):
+        seen.append(explained(df))
+        return whole(df, name)
+
+    select.cut, kept = spied, select.cut
+    try:
+        select.medians(rows.withColumn("g", F.lit(1)), ["g"], "v", 100).collect()
+    finally:
+        select.cut = kept
+    assert 1 <= seen[0].count("LOG2(") <= 3  # once in each rendering of the plan; as one expression, once a branch
+
+
 @pytest.mark.parametrize("limit", [7, 1 << 20])
 def test_selection_equals_sorted_lists(spark, limit):
     r = np.random.default_rng(3)
