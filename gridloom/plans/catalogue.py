@@ -400,9 +400,12 @@ QUERIES["flagger_sum_fullflags"], ORACLES["flagger_sum_fullflags"] = _flagged(SU
 def rfi_flag_stream(spark, sf_dir):
     """The flags of ``rfi_flag_simple`` from a stream that splits every series between three micro-batches."""
     at = scratch(spark, "stream")
-    samples = grids.emb2d(spark, sf_dir).withColumns({"time": F.lit(0), "ts": F.timestamp_seconds(F.lit(grids.FIRST_DAY)), "part": F.col("channel") % 3})
-    samples.coalesce(1).write.partitionBy("part").parquet(f"{at}/in")
-    stream = spark.readStream.schema(samples.drop("part").schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    samples = grids.emb2d(spark, sf_dir).withColumns({"time": F.lit(0), "ts": F.timestamp_seconds(F.lit(grids.FIRST_DAY))})
+    # A third of the channels after the other, each by all tasks that read the table: all thirds have as many files, and a micro-batch takes the files of one.
+    for third in range(3):
+        samples.filter(F.col("channel") % 3 == third).write.parquet(f"{at}/in/{third}")
+    files = max(1, len(spark.read.schema(samples.schema).parquet(f"{at}/in/0").inputFiles()))
+    stream = spark.readStream.schema(samples.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(f"{at}/in")
     flagger = rfi.Flagger(rfi.MedianBackground(13, amplitudes=True), rfi.MadNoise(), SIMPLE)
     sink = lambda df, n: df.filter("flag <> 0").select("baseline", "channel", "flag").write.mode("overwrite").parquet(f"{at}/out/{n}")
     flag_spectra(stream, flagger, 64, sink, f"{at}/state").awaitTermination()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,57 +20,69 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Assembler(StatefulProcessor):
-    """State of one spectrum: its samples so far, how many there are, and, by a timer, when to give up."""
+    """State of one spectrum: its samples so far, a value for each micro-batch that brought some, how many there are, and, by a timer, when to give up.
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], schema: str, channels: int, wait_ms: int, when: str):
-        self.keys, self.columns, self.schema, self.channels, self.wait_ms, self.when = list(keys), list(columns), schema, channels, wait_ms, when
+    What a spectrum costs is calls to the state store, so a batch makes few of them for it, whatever its number of samples."""
+
+    def __init__(self, keys: Sequence[str], columns: Sequence[str], channels: int, wait_ms: int, when: str):
+        self.keys, self.columns, self.channels, self.wait_ms, self.when = list(keys), list(columns), channels, wait_ms, when
+        self.channel, self.time = self.columns.index("channel"), self.columns.index(when)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.samples = handle.getListState("samples", self.schema)
-        self.count = handle.getValueState("count", "n long")
+        self.samples = handle.getListState("samples", "told binary")
+        self.count = handle.getValueState("count", "n long, until long")
+        self.pick, self.made = None, Row(*self.keys, "samples", "whole")
+
+    def _out(self, key: tuple, rows: Sequence[tuple], whole: bool) -> Row:
+        return self.made(*key, sorted(rows, key=lambda r: (r[self.channel] is None, r[self.channel])), whole)
 
-    def _out(self, key: tuple, rows: pd.DataFrame, whole: bool) -> pd.DataFrame:
-        out = pd.DataFrame({k: [v] * len(rows) for k, v in zip(self.keys, key, strict=True)})
-        return pd.concat([out, rows.reset_index(drop=True)], axis=1).assign(whole=whole)
+    def _told(self) -> list[tuple]:
+        return [r for told in list(self.samples.get()) for r in pickle.loads(told[0])]  # noqa: S301  the state holds what this class wrote
 
-    def _told(self) -> pd.DataFrame:
-        rows = pd.DataFrame(list(self.samples.get()), columns=self.columns)
-        return rows.drop_duplicates("channel", keep="last").sort_values("channel")
+    def _once(self, rows: Sequence[tuple]) -> list[tuple]:
+        """The last sample of each channel."""
+        return list({r[self.channel]: r for r in rows}.values())
 
-    def _forget(self) -> None:
+    def _forget(self, until: int | None) -> None:
         self.samples.clear()
         self.count.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        given = pd.concat(list(rows), ignore_index=True)[self.columns]
-        held = self.count.get()[0] if self.count.exists() else 0
+        if until is not None:
+            self.handle.deleteTimer(until)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        given = []
+        for r in rows:
+            if self.pick is None:
+                self.pick = itemgetter(*[r.__fields__.index(c) for c in self.columns])
+            given.append(self.pick(r))
+        held, until = self.count.get() or (0, None)
         if held + len(given) < self.channels:
-            self._keep(given, held)
+            self._keep(given, held, until)
             return
-        every = pd.concat([self._told(), given], ignore_index=True) if held else given
-        every = every.drop_duplicates("channel", keep="last").sort_values("channel")
+        every = self._once([*self._told(), *given] if held else given)
+        if held:
+            self._forget(until)
         if len(every) < self.channels:
             # Samples that came twice: what is known stays, once.
-            self._forget()
-            self._keep(every, 0)
+            self._keep(every, 0, None)
             return
-        self._forget()
         yield self._out(key, every, True)
 
-    def _keep(self, rows: pd.DataFrame, held: int) -> None:
-        self.samples.appendList([tuple(None if pd.isna(x) else x for x in r) for r in rows.astype(object).itertuples(index=False, name=None)])
-        self.count.update((held + len(rows),))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
-        self.handle.registerTimer(int(rows[self.when].max().timestamp() * 1000) + self.wait_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rows = self._told()
-        self._forget()
-        if len(rows):
+    def _keep(self, rows: list[tuple], held: int, until: int | None) -> None:
+        last = max((int(r[self.time].timestamp() * 1000) + self.wait_ms for r in rows if r[self.time] is not None), default=None)
+        later = max((t for t in (last, until) if t is not None), default=self.wait_ms)
+        self.samples.appendValue((pickle.dumps(rows, pickle.HIGHEST_PROTOCOL),))
+        self.count.update((held + len(rows), later))
+        if later != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(later)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        rows = self._once(self._told())
+        self._forget(None)
+        if rows:
             yield self._out(key, rows, False)
 
     def close(self) -> None:
@@ -90,10 +104,11 @@ def assemble(samples: DataFrame, channels: int, keys: Sequence[str] = ("baseline
     told = lambda names: ", ".join(f"{c} {fields[c]}" for c in names)
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
     marked = samples.withWatermark(when, wait)
-    made = marked.groupBy(*keys).transformWithStateInPandas(
-        Assembler(keys, columns, told(columns), channels, wait_ms, when), f"{told(keys)}, {told(columns)}, whole boolean", "Append", "eventTime"
+    parts = ", ".join(f"`{c}`: {fields[c]}" for c in columns)
+    made = marked.groupBy(*keys).transformWithState(
+        Assembler(keys, columns, channels, wait_ms, when), f"{told(keys)}, samples array<struct<{parts}>>, whole boolean", "Append", "eventTime"
     )
-    return made
+    return made.select(*keys, F.inline("samples"), "whole").select(*keys, *columns, "whole")
 
 
 def flag_spectra(

@@ -1,13 +1,18 @@
 """Streams that split spectra: the flags are those of the table, and state goes away."""
 
 import glob
+import math
+import os
 import random
+from datetime import datetime, timezone
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gridloom.operators import rfi
-from gridloom.streaming.assemble import assemble, flag_spectra
+from gridloom.plans import catalogue
+from gridloom.streaming.assemble import Assembler, assemble, flag_spectra
 
 CHANNELS = 30
 SCHEMA = "baseline int, time int, channel int, value double, ts timestamp"
@@ -56,3 +61,65 @@ def test_what_is_never_whole_is_handed_on_and_forgotten(spark, tmp_path):
     state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
     assert state <= 4  # the last spectrum's sample, its count and its timer
     assert glob.glob(f"{tmp_path}/state/state/*")
+
+
+def test_the_query_reads_each_third_from_many_files(spark, tmp_path, monkeypatch):
+    """Its input was written by one task, so one file fed each micro-batch."""
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+
+    def spied(stream, flagger, channels, sink, checkpoint):
+        seen.extend(len(glob.glob(f"{os.path.dirname(checkpoint)}/in/{k}/*.parquet")) for k in range(3))
+        query = flag_spectra(stream, flagger, channels, sink, checkpoint)
+        query.awaitTermination()
+        seen.append(query.lastProgress["batchId"])
+        return query
+
+    monkeypatch.setattr(catalogue, "flag_spectra", spied)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = sorted(map(tuple, catalogue.rfi_flag_stream(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] >= 3 and seen[:3] == [seen[0]] * 3 and seen[3] >= 2
+    assert got == sorted(map(tuple, catalogue.QUERIES["rfi_flag_simple"](spark, str(tmp_path)).collect())) != []
+
+
+def test_a_batch_makes_few_calls_for_a_spectrum():
+    """As many for 20 samples as for one: each call is a round trip."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, []
+
+        def get(self):
+            calls.append(f"{self.name}.get")
+            return iter(self.held) if self.name == "samples" else (self.held or [None])[0]
+
+        def appendValue(self, value):  # noqa: N802
+            calls.append(f"{self.name}.append")
+            self.held.append(value)
+
+        def update(self, value):
+            calls.append(f"{self.name}.update")
+            self.held = [value]
+
+        def clear(self):
+            calls.append(f"{self.name}.clear")
+            self.held = []
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: State(name)  # noqa: N815
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")  # noqa: N815
+
+    told = Row("baseline", "channel", "value", "ts")
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    a = Assembler(["baseline"], ["channel", "value", "ts"], 60, 1000, "ts")
+    a.init(Handle())
+    batch = lambda k: iter([told(7, c, float("nan") if c == 3 else 1.0 * c, at) for c in range(k, 60, 3)])
+    assert list(a.handleInputRows((7,), batch(2), None)) == [] and len(calls) == 4
+    assert list(a.handleInputRows((7,), batch(0), None)) == [] and len(calls) == 7  # the timer stands
+    (out,) = a.handleInputRows((7,), batch(1), None)
+    assert len(calls) == 12
+    assert [r[0] for r in out.samples] == list(range(60)) and out.whole and math.isnan(out.samples[3][1])
