@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
-from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,30 +19,64 @@ from gridloom.streaming import flag_stream
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packing(keys: Sequence[str], columns: Sequence[str], when: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Samples of a spectrum that stand in one Arrow batch and have one time become a row: keys, time, how many, and the samples as an Arrow message."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            names = [*keys, when]
+            found = t.select(names).append_column("_at", pa.array(np.arange(t.num_rows))).group_by(names, use_threads=False).aggregate([("_at", "list")])
+            at = found["_at_list"].combine_chunks()
+            rows = t.select(list(columns)).take(at.flatten()).combine_chunks().to_batches()[0]
+            n = at.value_lengths().to_numpy()
+            ends = np.cumsum(n)
+            told = [rows.slice(high - k, k).serialize().to_pybytes() for high, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            out = found.select(names).append_column("n", pa.array(n, pa.int64())).append_column("told", pa.array(told, pa.binary()))
+            yield from out.combine_chunks().to_batches()
+
+    return run
+
+
+def _unpacking(keys: Sequence[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [pa.ipc.read_record_batch(pa.py_buffer(x), schema) for x in batch.column("told").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(parts)), [p.num_rows for p in parts]))
+            own = pa.Table.from_batches([batch]).select([*keys, "whole"]).take(of)
+            rows = pa.Table.from_batches(parts, schema)
+            out = pa.table([*(own[k] for k in keys), *rows.columns, own["whole"]], names=[*keys, *schema.names, "whole"])
+            yield from out.combine_chunks().to_batches()
+
+    return run
+
+
 class Assembler(StatefulProcessor):
-    """State of one spectrum: its samples so far, a value for each micro-batch that brought some, how many there are, and, by a timer, when to give up.
+    """State of one spectrum: its samples so far in packs, how many there are, and, by a timer, when to give up.
 
-    What a spectrum costs is calls to the state store, so a batch makes few of them for it, whatever its number of samples."""
+    What a spectrum costs is rows that Python reads one by one and calls to the state store, so samples come packed, and a batch makes few calls for a spectrum, whatever its number of samples."""
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], channels: int, wait_ms: int, when: str):
-        self.keys, self.columns, self.channels, self.wait_ms, self.when = list(keys), list(columns), channels, wait_ms, when
-        self.channel, self.time = self.columns.index("channel"), self.columns.index(when)
+    def __init__(self, keys: Sequence[str], schema: pa.Schema, channels: int, wait_ms: int, when: str):
+        self.keys, self.schema, self.channels, self.wait_ms, self.when = list(keys), schema, channels, wait_ms, when
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.samples = handle.getListState("samples", "told binary")
         self.count = handle.getValueState("count", "n long, until long")
-        self.pick, self.made = None, Row(*self.keys, "samples", "whole")
-
-    def _out(self, key: tuple, rows: Sequence[tuple], whole: bool) -> Row:
-        return self.made(*key, sorted(rows, key=lambda r: (r[self.channel] is None, r[self.channel])), whole)
+        self.made = Row(*self.keys, "told", "whole")
 
-    def _told(self) -> list[tuple]:
-        return [r for told in list(self.samples.get()) for r in pickle.loads(told[0])]  # noqa: S301  the state holds what this class wrote
+    def _once(self, packs: Sequence[bytes]) -> pa.RecordBatch:
+        """The last sample of each channel, in order of channels."""
+        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(p)), self.schema) for p in packs], self.schema)
+        _, back = np.unique(rows["channel"].to_numpy()[::-1], return_index=True)
+        return rows.take(pa.array(rows.num_rows - 1 - back)).combine_chunks().to_batches()[0]
 
-    def _once(self, rows: Sequence[tuple]) -> list[tuple]:
-        """The last sample of each channel."""
-        return list({r[self.channel]: r for r in rows}.values())
+    def _told(self) -> list[bytes]:
+        return [told[0] for told in list(self.samples.get())]
 
     def _forget(self, until: int | None) -> None:
         self.samples.clear()
@@ -51,39 +85,39 @@ class Assembler(StatefulProcessor):
             self.handle.deleteTimer(until)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        given = []
-        for r in rows:
-            if self.pick is None:
-                self.pick = itemgetter(*[r.__fields__.index(c) for c in self.columns])
-            given.append(self.pick(r))
-        held, until = self.count.get() or (0, None)
-        if held + len(given) < self.channels:
-            self._keep(given, held, until)
+        given = [(r[self.when], r["n"], bytes(r["told"])) for r in rows]
+        count, packs = sum(g[1] for g in given), [g[2] for g in given]
+        until = max((int(g[0].timestamp() * 1000) + self.wait_ms for g in given if g[0] is not None), default=self.wait_ms)
+        held, before = self.count.get() or (0, None)
+        if held + count < self.channels:
+            self._keep(packs, held + count, until, before)
             return
-        every = self._once([*self._told(), *given] if held else given)
+        every = self._once([*self._told(), *packs] if held else packs)
         if held:
-            self._forget(until)
-        if len(every) < self.channels:
+            self._forget(before)
+        if every.num_rows < self.channels:
             # Samples that came twice: what is known stays, once.
-            self._keep(every, 0, None)
+            self._keep([every.serialize().to_pybytes()], every.num_rows, max(until, before or until), None)
             return
-        yield self._out(key, every, True)
-
-    def _keep(self, rows: list[tuple], held: int, until: int | None) -> None:
-        last = max((int(r[self.time].timestamp() * 1000) + self.wait_ms for r in rows if r[self.time] is not None), default=None)
-        later = max((t for t in (last, until) if t is not None), default=self.wait_ms)
-        self.samples.appendValue((pickle.dumps(rows, pickle.HIGHEST_PROTOCOL),))
-        self.count.update((held + len(rows), later))
-        if later != until:
-            if until is not None:
-                self.handle.deleteTimer(until)
-            self.handle.registerTimer(later)
+        yield self.made(*key, every.serialize().to_pybytes(), True)
+
+    def _keep(self, packs: list[bytes], held: int, until: int, before: int | None) -> None:
+        if len(packs) == 1:
+            self.samples.appendValue((packs[0],))
+        else:
+            self.samples.appendList([(p,) for p in packs])
+        until = max(until, before or until)
+        self.count.update((held, until))
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        rows = self._once(self._told())
+        packs = self._told()
         self._forget(None)
-        if rows:
-            yield self._out(key, rows, False)
+        if packs:
+            yield self.made(*key, self._once(packs).serialize().to_pybytes(), False)
 
     def close(self) -> None:
         pass
@@ -103,12 +137,10 @@ def assemble(samples: DataFrame, channels: int, keys: Sequence[str] = ("baseline
     columns = [c for c in fields if c not in keys]
     told = lambda names: ", ".join(f"{c} {fields[c]}" for c in names)
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    marked = samples.withWatermark(when, wait)
-    parts = ", ".join(f"`{c}`: {fields[c]}" for c in columns)
-    made = marked.groupBy(*keys).transformWithState(
-        Assembler(keys, columns, channels, wait_ms, when), f"{told(keys)}, samples array<struct<{parts}>>, whole boolean", "Append", "eventTime"
-    )
-    return made.select(*keys, F.inline("samples"), "whole").select(*keys, *columns, "whole")
+    kinds = spark.createDataFrame([], samples.select(*columns).schema).toArrow().schema
+    packs = samples.mapInArrow(_packing(keys, columns, when), f"{told([*keys, when])}, n long, told binary").withWatermark(when, wait)
+    made = packs.groupBy(*keys).transformWithState(Assembler(keys, kinds, channels, wait_ms, when), f"{told(keys)}, told binary, whole boolean", "Append", "eventTime")
+    return made.mapInArrow(_unpacking(keys, kinds), f"{told(keys)}, {told(columns)}, whole boolean")
 
 
 def flag_spectra(

@@ -7,12 +7,13 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gridloom.operators import rfi
 from gridloom.plans import catalogue
-from gridloom.streaming.assemble import Assembler, assemble, flag_spectra
+from gridloom.streaming.assemble import Assembler, _packing, assemble, flag_spectra
 
 CHANNELS = 30
 SCHEMA = "baseline int, time int, channel int, value double, ts timestamp"
@@ -113,13 +114,19 @@ def test_a_batch_makes_few_calls_for_a_spectrum():
         getListState = getValueState = lambda self, name, schema: State(name)  # noqa: N815
         registerTimer = deleteTimer = lambda self, at: calls.append("timer")  # noqa: N815
 
-    told = Row("baseline", "channel", "value", "ts")
     at = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    a = Assembler(["baseline"], ["channel", "value", "ts"], 60, 1000, "ts")
+    schema = pa.schema([("channel", pa.int32()), ("value", pa.float64()), ("ts", pa.timestamp("us", tz="UTC"))])
+    a = Assembler(["baseline"], schema, 60, 1000, "ts")
     a.init(Handle())
-    batch = lambda k: iter([told(7, c, float("nan") if c == 3 else 1.0 * c, at) for c in range(k, 60, 3)])
+
+    def batch(k):
+        rows = pa.RecordBatch.from_pylist([{"baseline": 7, "channel": c, "value": math.nan if c == 3 else 1.0 * c, "ts": at} for c in range(k, 60, 3)], pa.schema([("baseline", pa.int64()), *schema]))
+        (pack,) = _packing(["baseline"], schema.names, "ts")(iter([rows]))
+        return iter([Row(**x) for x in pack.to_pylist()])
+
     assert list(a.handleInputRows((7,), batch(2), None)) == [] and len(calls) == 4
     assert list(a.handleInputRows((7,), batch(0), None)) == [] and len(calls) == 7  # the timer stands
     (out,) = a.handleInputRows((7,), batch(1), None)
     assert len(calls) == 12
-    assert [r[0] for r in out.samples] == list(range(60)) and out.whole and math.isnan(out.samples[3][1])
+    rows = pa.ipc.read_record_batch(pa.py_buffer(out.told), schema).to_pylist()
+    assert [r["channel"] for r in rows] == list(range(60)) and out.whole and math.isnan(rows[3]["value"])
