@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from gridloom.llm import mixing
 from tests.llm.cases import documents, prose
@@ -61,3 +63,24 @@ def test_run_and_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("most", [corpus_pipeline.BROADCAST_BYTES, 0])
+def test_near_copies_leave_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", most)
+    rows = tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "text as _pack", "doc_id as _ids")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large for the setting
+    try:
+        for repeats in (True, False):  # doc_id 7 has two rows
+            given = docs if repeats else docs.filter("doc_id is null or doc_id <> 7")
+            kept = corpus_pipeline.drop_near_copies(spark, given, str(tmp_path))
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert ("SortMergeJoin" in plan) == (most == 0), plan
+            assert kept.columns == docs.columns
+            want = linked_components([r for r in rows if r[0] is not None and (repeats or r[0] != 7)], 5, 80, 100)
+            assert any(want[i] != i for i in want)
+            assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*(i for i in want if want[i] == i), None])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
